@@ -26,17 +26,14 @@ def to_float(text: Column) -> Column:
     JSON reader hands over in quotes) is null.
     """
     t = F.trim(text)
-    return F.when(t == "true", F.lit(1.0)).when(t == "false", F.lit(0.0)).otherwise(_double(t))
+    return F.coalesce(_double(t), F.when(t == "true", 1.0).when(t == "false", 0.0))
 
 
 def to_int(text: Column) -> Column:
     """As :func:`to_float`, but whole: decimals truncate toward zero, NaN / Inf / overflow give null."""
     t = F.trim(text)
-    return (
-        F.when(t == "true", F.lit(1).cast("bigint"))
-        .when(t == "false", F.lit(0).cast("bigint"))
-        .otherwise(F.coalesce(t.try_cast("bigint"), _double(t).try_cast("bigint")))
-    )
+    truth = F.when(t == "true", F.lit(1)).when(t == "false", F.lit(0)).cast("bigint")
+    return F.coalesce(t.try_cast("bigint"), _double(t).try_cast("bigint"), truth)
 
 
 def maybe_numeric(text: Column) -> Column:

@@ -14,40 +14,62 @@ from barlake.functions import maybe_numeric, symbol_or, to_int, truthy, ts_from_
 from barlake.sources.lines import valid_docs
 
 DOC = "MAP<STRING, VARIANT>"
+ENTRIES = "ARRAY<STRUCT<key: STRING, value: VARIANT, inner: MAP<STRING, VARIANT>>>"
 MAX_DEPTH = 8
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
+def _entry(key: Column, value: Column) -> Column:
+    """A key, its value, and the value's own entries if it is an object."""
+    return F.struct(key.alias("key"), value.alias("value"), value.try_cast(DOC).alias("inner"))
 
 
-def _entries(value: Column) -> Column:
-    return F.map_entries(value.try_cast(DOC))
+def _entries(doc: Column) -> Column:
+    return F.transform(F.map_entries(doc), lambda e: _entry(e["key"], e["value"]))
 
 
-def _entry(key: Column, value: Column) -> Column:
-    return F.struct(key.alias("key"), value.alias("value"))
+def _is_object(entry: Column) -> Column:
+    return entry["inner"].isNotNull()
+
+
+def _opened(entries: Column) -> Column:
+    """Replace every object in an entry list by its own entries, under joined keys."""
+    def inner(e: Column) -> Column:
+        return F.transform(
+            F.map_entries(e["inner"]), lambda x: _entry(F.concat(e["key"], F.lit("_"), x["key"]), x["value"])
+        )
 
+    return F.flatten(F.transform(entries, lambda e: F.when(_is_object(e), inner(e)).otherwise(F.array(e))))
 
-def _prefixed(prefix: Column, entries: Column) -> Column:
-    return F.transform(entries, lambda e: _entry(F.concat(prefix, F.lit("_"), e["key"]), e["value"]))
 
+def _leaves(entries: Column, levels: int) -> Column:
+    """Open objects level by level, stopping at the first level without any."""
+    too_deep = F.raise_error(F.lit("JSON nested too deep; raise max_depth")).cast(ENTRIES)
 
-def _open_objects(entries: Column) -> Column:
-    """Replace every object in an entry list by its own entries."""
-    return F.flatten(F.transform(entries, lambda e: F.when(
-        _is_object(e["value"]), _prefixed(e["key"], _entries(e["value"]))
-    ).otherwise(F.array(_entry(e["key"], e["value"])))))
+    def step(e: Column) -> Column:
+        deeper = _leaves(_opened(e), levels - 1) if levels > 1 else too_deep
+        return F.when(F.exists(e, _is_object), deeper).otherwise(e)
+
+    return F.transform(F.array(entries), step)[0]  # binds the list, so that it is built once
 
 
 def _text(value: Column) -> Column:
-    """Text of a leaf: lists (and objects kept whole) as compact JSON, scalars as is, '' as null."""
-    nested = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)<")
-    return F.when(nested, F.to_json(value)).otherwise(F.nullif(F.trim(value.cast("string")), F.lit("")))
+    """Text of a leaf: lists and whole objects as compact JSON, decimals with a fraction, '' as null."""
+    kind = F.schema_of_variant(value)
+    plain = F.trim(value.cast("string"))
+    decimal = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
+    spelled_out = F.concat(
+        F.regexp_replace(value.try_cast("decimal(38, 18)").cast("string"), "0+$", ""), F.lit("0")
+    )
+    return (
+        F.when(kind.rlike("^(ARRAY|OBJECT)<"), F.to_json(value))
+        .when(kind.startswith("DECIMAL"), decimal)
+        .when((kind == "DOUBLE") & plain.contains("E"), F.coalesce(spelled_out, plain))
+        .otherwise(F.nullif(plain, F.lit("")))
+    )
 
 
 def _to_map(entries: Column) -> Column:
-    return F.map_from_entries(F.transform(entries, lambda e: _entry(e["key"], _text(e["value"]))))
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], _text(e["value"]))))
 
 
 def flatten(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
@@ -56,14 +78,7 @@ def flatten(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
     Objects nested deeper than ``max_depth`` raise, so no key is lost; raise
     the limit for such data.
     """
-    entries = F.map_entries(doc)
-    for _ in range(max_depth - 1):
-        entries = _open_objects(entries)
-    too_deep = F.exists(entries, lambda e: _is_object(e["value"]) & (F.size(_entries(e["value"])) > 0))
-    leaves = F.filter(entries, lambda e: ~_is_object(e["value"]))
-    return F.when(
-        too_deep, F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels; raise max_depth"))
-    ).otherwise(_to_map(leaves))
+    return _to_map(_leaves(_entries(doc), max_depth))
 
 
 def generic_jsonl(texts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -94,17 +109,14 @@ def meta(texts: DataFrame) -> DataFrame:
     """Collector state: top-level keys, and ``endpointState`` as text and as ``{endpoint}_{key}``."""
     docs = valid_docs(texts, DOC)
     carried = [c for c in docs.columns if c not in ("doc", "path_symbol")]
-    state = F.col("doc")["endpointState"]
-    entries = F.transform(
-        F.map_entries("doc"),
-        lambda e: F.when(
-            (e["key"] == "endpointState") & _is_object(e["value"]),
-            _open_objects(_entries(e["value"])),
-        ).when(e["key"] == "endpointState", F.expr("array()")).otherwise(F.array(e)),
+    state = F.try_element_at("doc", F.lit("endpointState"))
+    entries = F.concat(
+        F.filter(_entries(F.col("doc")), lambda e: e["key"] != "endpointState"),
+        F.coalesce(_opened(_entries(state.try_cast(DOC))), F.array().cast(ENTRIES)),
     )
     fields = F.col("fields")
     rows = docs.select(
-        _to_map(F.flatten(entries)).alias("fields"),
+        _to_map(entries).alias("fields"),
         F.to_json(state).alias("endpoint_state_json"),
         "path_symbol", *carried,
     )

@@ -38,8 +38,8 @@ def _list_text(field: Column) -> Column:
 def klines(texts: DataFrame) -> DataFrame:
     """Trade, mark, index and premium candles."""
     docs, carried = _docs(texts, schemas.KLINE_JSON)
-    raw = _list(F.col("doc.raw"))
-    return docs.select(
+    raw = F.col("_raw")
+    return docs.withColumn("_raw", _list(F.col("doc.raw"))).select(
         F.col("path_symbol").alias("symbol"),
         *_with_time("ts", to_int(F.col("doc.ts"))),
         *_with_time("ts_from_raw", to_int(F.get(raw, 0).cast("string"))),
