@@ -55,8 +55,8 @@ def mixed_time_ms(text: Column) -> Column:
     ms = F.when(number < SECONDS_BELOW, number * 1000).otherwise(number)
     scaled = F.when(F.abs(ms) <= LAST_DATE_MS, F.floor(ms + 0.5))
     iso = F.upper(F.regexp_replace(t, " ", "T"))
-    with_colon = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.when(iso.rlike(r"T.*[+-]\d{4}$"), with_colon).otherwise(iso)
+    seconds = F.regexp_replace(iso, r"T(\d{2}:\d{2})(?=$|[Z+-])", "T$1:00")
+    zoned = F.regexp_replace(seconds, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2")
     dated = F.when(iso.rlike(DATE_TIME_TEXT), F.unix_millis(F.try_to_timestamp(zoned)))
     return F.when(t.rlike(NUMBER_TEXT), scaled).otherwise(dated)
 

@@ -47,13 +47,19 @@ def event_study(
     bars: DataFrame, predicate: Column, horizons: list[int] | None = None, price: str = "kline_close",
     by_symbol: bool = False,
 ) -> DataFrame:
-    """Statistics of the forward moves per horizon (and symbol).
+    """Statistics of the forward moves per horizon (and symbol)."""
+    return move_statistics(forward_moves(bars, predicate, horizons, price), by_symbol)
+
+
+def move_statistics(moves: DataFrame, by_symbol: bool = False) -> DataFrame:
+    """Statistics per horizon (and symbol) of a moves table.
 
     ``event_count`` counts all events; the other figures cover the events
     that have a move. Up and down are strict; an unchanged price is neither.
+    The moves are read several times: for a study of very many events, write
+    them to a table first.
     """
     keys = ["symbol", "horizon_hours"] if by_symbol else ["horizon_hours"]
-    moves = forward_moves(bars, predicate, horizons, price)
     move = F.col("move")
     totals = moves.groupBy(*keys).agg(
         F.count("*").alias("event_count"),

@@ -11,6 +11,8 @@ from barlake.sources.routing import DATASETS, Dataset, for_symbols, route, sourc
 from barlake.sources.tables import write_dataset
 
 UNIT = ["dataset", "label", "path_symbol"]  # one table partition
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = "path STRING, modified_at TIMESTAMP"
 
 
 def dataset_texts(spark: SparkSession, paths: list[str], dataset: Dataset) -> DataFrame:
@@ -62,9 +64,10 @@ def files_to_rebuild(files: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, table_root: str) -> DataFrame:
-    schema = "path STRING, modified_at TIMESTAMP"
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{table_root}/_manifest")
-    return spark.read.schema(schema).parquet(f"{table_root}/_manifest")
+    """Converted files with the modification time they had; empty before the first refresh."""
+    if not _has_files(spark, f"{table_root}/{MANIFEST}"):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{table_root}/{MANIFEST}")
 
 
 def _table_files(spark: SparkSession, table_root: str, dataset: Dataset) -> DataFrame:
@@ -121,7 +124,7 @@ def refresh(
         after = {r["path"] for r in touched(dataset).toLocalIterator()}
         _delete(spark, sorted(before[dataset.name] & after))
 
-    plan.select("path", "modified_at").coalesce(1).write.mode("append").parquet(f"{table_root}/_manifest")
+    plan.select("path", "modified_at").coalesce(1).write.mode("append").parquet(f"{table_root}/{MANIFEST}")
     return count
 
 

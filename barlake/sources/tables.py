@@ -8,18 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.functions import bucket_floor
 from barlake.sources.routing import BY_NAME, Dataset
 
 
-def spread_for_write(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Range-partition and sort by ``keys``, splitting hot keys over many tasks.
-
-    A row number as last range key splits even a group of equal keys, so a
-    symbol with a third of all rows is written by a third of the tasks, and
-    each file covers a short time range (tight row-group statistics).
-    """
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.repartitionByRange(*keys, "_row").sortWithinPartitions(*keys).drop("_row")
+DAY_MS = 86_400_000
 
 
 def write_dataset(
@@ -27,11 +20,16 @@ def write_dataset(
     compression: str = "zstd", max_records_per_file: int = 0,
 ) -> None:
     """Store a parsed dataset; the folder's symbol becomes the partition, the record's own
-    symbol stays as ``record_symbol``. Overwriting replaces only partitions that get rows."""
+    symbol stays as ``record_symbol``. Overwriting replaces only partitions that get rows.
+
+    Map-only: a split of a source file lies in one table partition and is in
+    time order already, so rows are sorted within their task and written with
+    no shuffle. A symbol with most of the rows is simply many splits.
+    """
     stored = rows.withColumnRenamed("symbol", "record_symbol").withColumnRenamed("path_symbol", "symbol")
     keys = [*dataset.partitions, *(["ts_ms"] if "ts_ms" in stored.columns else [])]
     (
-        spread_for_write(stored, keys).write.mode(mode)
+        stored.sortWithinPartitions(*keys).write.mode(mode)
         .partitionBy(*dataset.partitions)
         .option("compression", compression)
         .option("maxRecordsPerFile", max_records_per_file)
@@ -40,6 +38,19 @@ def write_dataset(
     )
 
 
+def write_by_symbol(rows: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Store a computed table (the wide one, or bars) partitioned by symbol, in time order.
+
+    Rows gather by (symbol, day); adaptive execution then merges small and
+    splits large pieces, so no symbol or day ends up in one task.
+    """
+    placed = rows.withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS)).hint("rebalance", "symbol", "_day")
+    (
+        placed.drop("_day").sortWithinPartitions("symbol", "ts_ms").write.mode("overwrite")
+        .partitionBy("symbol").option("compression", compression).parquet(path)
+    )
+
+
 def read_dataset(
     spark: SparkSession, root: str, name: str, extra: list[Column] | None = None
 ) -> DataFrame | None:
