@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts that count as whole and as decimal numbers (no exponent).
-WHOLE_NUMBER = r"^[+-]?\d+$"
+# Fixed value: text that counts as a number (no exponent).
 DECIMAL_NUMBER = r"^[+-]?(\d+\.\d*|\d*\.\d+|\d+)$"
 
 
@@ -46,7 +45,7 @@ def maybe_numeric(text: Column) -> Column:
     filled = F.when(t != "", t)
     return F.struct(
         filled.alias("value_str"),
-        F.when(t.rlike(WHOLE_NUMBER), t.try_cast("bigint")).alias("value_long"),
+        t.try_cast("bigint").alias("value_long"),
         F.when(t.rlike(DECIMAL_NUMBER), t.try_cast("double")).alias("value_double"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions import bucket_floor, clean_key, mixed_time_ms, note_label, slug
-from barlake.operators.resample import BAR_COLUMNS, bar_aggregates
+from barlake.operators.resample import BAR_COLUMNS, resample_all
 from barlake.schemas import TIMEFRAMES
 
 DAY_MS = 86_400_000
@@ -75,40 +75,33 @@ def snapshot_view(notes: DataFrame) -> DataFrame:
 
     x = F.col("snapshot.view_state.x_range")
     bounds = F.when(F.size(x) == 2, x)
-    minutes = F.create_map(*[F.lit(v) for pair in TIMEFRAMES.items() for v in pair])
     chosen = F.coalesce(_filled(F.col("timeframe")), _filled(F.col("snapshot.timeframe")), F.lit("1m"))
     return notes.select(
         clean_key(F.col("folder_symbol")).alias("symbol"), "id",
         F.coalesce(known_or_null(chosen), F.lit("1m")).alias("timeframe"),
         mixed_time_ms(bounds[0]).alias("x0_ms"), mixed_time_ms(bounds[1]).alias("x1_ms"),
-    ).withColumn("width_ms", minutes[F.col("timeframe")].cast("bigint") * 60_000)
+    )
 
 
 def snapshot_bars(notes: DataFrame, rows: DataFrame) -> DataFrame:
     """Bars of each snapshot's symbol and timeframe whose start lies in its x-range.
 
-    Notes are laid out by day and meet the one-minute rows on (symbol, day), so
-    a symbol with most of the rows is spread over its days and only rows a
-    snapshot shows are aggregated. An open range is closed by the extent of
-    the symbol's rows.
+    Bars are made first, once however many notes show them, from rows that
+    combine map-side. Notes are laid out by day (every bar lies within one)
+    and meet the bars on (symbol, timeframe, day), so neither a symbol nor a
+    popular chart is one task. An open range is closed by the extent of the
+    symbol's rows.
     """
     extent = rows.groupBy("symbol").agg(F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last"))
     first_day = bucket_floor(F.greatest("x0_ms", "_first"), DAY_MS)
-    last_day = bucket_floor(F.least(F.col("x1_ms") + F.col("width_ms"), "_last"), DAY_MS)
+    last_day = bucket_floor(F.least("x1_ms", "_last"), DAY_MS)
     days = F.when(first_day <= last_day, F.sequence(first_day, last_day, F.lit(DAY_MS).cast("bigint")))
     placed = (
         snapshot_view(notes).join(extent, "symbol")
-        .select("symbol", "id", "timeframe", "x0_ms", "x1_ms", "width_ms", F.explode(days).alias("_day"))
-    )
-    shown = rows.withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS)).join(placed, ["symbol", "_day"])
-    shown = shown.withColumn("_bucket", bucket_floor(F.col("ts_ms"), F.col("width_ms"))).where(
-        F.coalesce(F.col("_bucket") >= F.col("x0_ms"), F.lit(True))
-        & F.coalesce(F.col("_bucket") <= F.col("x1_ms"), F.lit(True))
-    )
-    columns = ["id", "timeframe", *BAR_COLUMNS]
-    minute = F.col("width_ms") <= 60_000
-    bars = (
-        shown.where(~minute).groupBy("id", "timeframe", "symbol", "_bucket").agg(*bar_aggregates())
-        .withColumnRenamed("_bucket", "ts_ms").select(*columns)
+        .select("symbol", "id", "timeframe", "x0_ms", "x1_ms", F.explode(days).alias("_day"))
     )
-    return bars.unionByName(shown.where(minute).select(*columns))
+    bars = resample_all(rows).withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS))
+    return bars.join(placed, ["symbol", "timeframe", "_day"]).where(
+        F.coalesce(F.col("ts_ms") >= F.col("x0_ms"), F.lit(True))
+        & F.coalesce(F.col("ts_ms") <= F.col("x1_ms"), F.lit(True))
+    ).select("id", "timeframe", *BAR_COLUMNS)

@@ -10,6 +10,7 @@ from barlake.functions.numbers import is_finite
 from barlake.schemas import SERIES_COLUMNS
 
 PAGE_ROWS = 10_000
+SALTS = 64
 
 
 def in_bounds(rows: DataFrame, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
@@ -85,21 +86,30 @@ def _paged(rows: DataFrame, values: list[str], page_ms: int, page_rows: int) ->
 
     Equal rows collapse to a count before anything is gathered. A page with
     too many rows (many rows per minute) is spread over parts: rows by hash,
-    and the copies of one row evenly.
+    and the copies of one row evenly. The part counts, kept for such pages
+    only, are repeated per salt, so that a full page is not joined in one task.
     """
     page = bucket_floor(F.col("ts_ms"), page_ms).alias("page_ms")
     counted = rows.groupBy("symbol", page, "ts_ms", *values).agg(F.count("*").alias("_n"))
-    parts = counted.groupBy("symbol", "page_ms").agg(F.ceil(F.sum("_n") / page_rows).alias("_parts"))
-    first = F.pmod(F.xxhash64("ts_ms", *values), F.col("_parts"))
+    full = (
+        counted.groupBy("symbol", "page_ms").agg(F.ceil(F.sum("_n") / page_rows).alias("_full"))
+        .where(F.col("_full") > 1)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    )
+    salted = counted.withColumn("_hash", F.xxhash64("ts_ms", *values))
+    salted = salted.withColumn("_salt", F.pmod("_hash", F.lit(SALTS).cast("bigint")))
+    split = salted.join(full, ["symbol", "page_ms", "_salt"], "left").withColumn(
+        "_parts", F.coalesce("_full", F.lit(1).cast("bigint"))
+    )
+    used = F.least("_n", "_parts")
     shares = F.transform(
-        F.when(F.col("_n") > 1, F.sequence(F.lit(0).cast("bigint"), F.least("_n", "_parts") - 1))
-        .otherwise(F.array(F.lit(0).cast("bigint"))),
+        F.sequence(F.lit(0).cast("bigint"), used - 1),
         lambda i: F.struct(
-            F.pmod(first + i, F.col("_parts")).alias("part"),
-            F.floor((F.col("_n") + F.least("_n", "_parts") - 1 - i) / F.least("_n", "_parts")).alias("_copies"),
+            F.pmod(F.shiftright("_hash", 8) + i, F.col("_parts")).alias("part"),
+            F.floor((F.col("_n") + used - 1 - i) / used).alias("_copies"),
         ),
     )
-    return counted.join(parts, ["symbol", "page_ms"]).select("symbol", "page_ms", "ts_ms", *values, F.inline(shares))
+    return split.select("symbol", "page_ms", "ts_ms", *values, F.inline(shares))
 
 
 def pack(

@@ -39,6 +39,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_of(table(spark, sf_dir, "events"))
 
 
+def spread_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks for per-row work: a table with fewer splits than cores is spread over the cores first."""
+    rows, cores = ticks(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, "event_id") if rows.rdd.getNumPartitions() < cores else rows
+
+
 def candles(ticks: DataFrame, price: Column, interval: str = "1", shift_ms: int = 0, volume: bool = False) -> DataFrame:
     start = bucket_floor(F.col("ms") + shift_ms, int(interval) * MINUTE_MS).alias("ts_ms")
     sums = [F.sum("price").alias("volume"), F.sum(F.col("price") * F.col("price")).alias("turnover")]

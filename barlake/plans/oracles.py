@@ -418,6 +418,9 @@ _TICK_ROWS = ", ".join(
         c, f"{'price' if c.startswith('kline_') else 'size'} AS {c}")
     for c in SERIES_COLUMNS
 )
-ORACLES["stream_resample_1h"] = f"""WITH {TICKS}, w AS (SELECT symbol, ms AS ts_ms, {_TICK_ROWS} FROM b)
+_STREAM = f"""WITH {TICKS}, w AS (SELECT symbol, ms AS ts_ms, {_TICK_ROWS} FROM b)
 SELECT symbol, bucket AS ts_ms, {_bars('')}
 FROM (SELECT *, {floor_to('ts_ms', 60 * MINUTE)} AS bucket FROM w) GROUP BY symbol, bucket"""
+ORACLES["stream_resample_1h"] = _STREAM
+ORACLES["stream_append_1h"] = f"""{_STREAM}
+HAVING bucket + {60 * MINUTE} <= (SELECT max(ts_ms) FROM w) - {1440 * MINUTE}"""

@@ -23,7 +23,7 @@ from barlake.settings import shared_dir
 from barlake.sources import dynamic, ingest, market, report, routing, tables
 from barlake.sources.notes import parse_notes
 from barlake.streaming.ingest import stream_ingest
-from barlake.streaming.resample import latest_bars, run_updates, stream_resample
+from barlake.streaming.resample import latest_bars, run_append, run_updates, stream_resample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ def millis(*names: str) -> list[Column]:
 
 @query
 def jsonl_kline_ingest(spark, sf_dir):
-    rows = market.klines(dt.kline_texts(dt.ticks(spark, sf_dir)).drop("dataset", "path"))
+    rows = market.klines(dt.kline_texts(dt.spread_ticks(spark, sf_dir)).drop("dataset", "path"))
     return rows.select(
         "event_id", "symbol", "ts_ms", *millis("ts"), "ts_from_raw_ms", *millis("ts_from_raw"),
         "open", "high", "low", "close", "volume", "turnover", "has_volume_turnover", "raw_json", "extra_json",
@@ -60,7 +60,7 @@ def jsonl_kline_ingest(spark, sf_dir):
 
 @query
 def jsonl_funding_ingest(spark, sf_dir):
-    rows = market.funding_history(dt.funding_texts(dt.ticks(spark, sf_dir)))
+    rows = market.funding_history(dt.funding_texts(dt.spread_ticks(spark, sf_dir)))
     return rows.select(
         "event_id", "symbol", "path_symbol", "ts_ms", *millis("ts"), "collector_ts_ms", *millis("collector_ts"),
         "funding_rate_timestamp_ms", *millis("funding_rate_timestamp"), "funding_rate_timestamp_raw", "funding_rate",
@@ -69,7 +69,7 @@ def jsonl_funding_ingest(spark, sf_dir):
 
 @query
 def jsonl_open_interest_ingest(spark, sf_dir):
-    rows = market.open_interest(dt.open_interest_texts(dt.ticks(spark, sf_dir)))
+    rows = market.open_interest(dt.open_interest_texts(dt.spread_ticks(spark, sf_dir)))
     return rows.select(
         "event_id", "symbol", "ts_ms", "collector_ts_ms", "source_timestamp_ms", *millis("source_timestamp"),
         "source_timestamp_raw", "open_interest",
@@ -78,7 +78,7 @@ def jsonl_open_interest_ingest(spark, sf_dir):
 
 @query
 def jsonl_account_ratio_ingest(spark, sf_dir):
-    rows = market.account_ratio(dt.account_ratio_texts(dt.ticks(spark, sf_dir)))
+    rows = market.account_ratio(dt.account_ratio_texts(dt.spread_ticks(spark, sf_dir)))
     return rows.select(
         "event_id", "symbol", "ts_ms", "collector_ts_ms", "source_timestamp_ms", "source_timestamp_raw",
         "buy_ratio", "sell_ratio", "long_short_ratio",
@@ -87,7 +87,7 @@ def jsonl_account_ratio_ingest(spark, sf_dir):
 
 @query
 def jsonl_generic_flatten(spark, sf_dir):
-    rows = dynamic.generic_jsonl(dt.generic_texts(dt.ticks(spark, sf_dir)))
+    rows = dynamic.generic_jsonl(dt.generic_texts(dt.spread_ticks(spark, sf_dir)))
     return dynamic.long_form(rows).select(
         "event_id", "symbol", "ts_ms", "field", "value_str", "value_long", "value_double"
     )
@@ -95,19 +95,19 @@ def jsonl_generic_flatten(spark, sf_dir):
 
 @query
 def jsonl_generic_wide(spark, sf_dir):
-    rows = dynamic.generic_jsonl(dt.generic_texts(dt.ticks(spark, sf_dir)))
+    rows = dynamic.generic_jsonl(dt.generic_texts(dt.spread_ticks(spark, sf_dir)))
     wide = dynamic.widen(rows, {"a_b_c": "double", "a_e": "double", "list": "string", "text": "bigint", "u": "bigint"})
     return wide.select("event_id", "symbol", "ts_ms", "a_b_c", "a_e", "list", "text", "u")
 
 
 @query
 def generic_field_names(spark, sf_dir):
-    return dynamic.field_names(dynamic.generic_jsonl(dt.generic_texts(dt.ticks(spark, sf_dir))))
+    return dynamic.field_names(dynamic.generic_jsonl(dt.generic_texts(dt.spread_ticks(spark, sf_dir))))
 
 
 @query
 def ingest_report(spark, sf_dir):
-    return report.ingest_report(dt.kline_texts(dt.ticks(spark, sf_dir)))
+    return report.ingest_report(dt.kline_texts(dt.spread_ticks(spark, sf_dir)))
 
 
 @query
@@ -165,7 +165,7 @@ FILE_NAMES = [
 def _source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in FILE_NAMES])
     name = F.element_at(names, (F.pmod(F.col("user_id"), F.lit(len(FILE_NAMES))) + 1).cast("int"))
-    return dt.ticks(spark, sf_dir).select(
+    return dt.spread_ticks(spark, sf_dir).select(
         "event_id", "ms", "size",
         F.concat(F.lit("/data/symbols/"), F.lower("symbol"), F.lit("/"), name).alias("path"),
     )
@@ -370,13 +370,13 @@ def _time_texts() -> Column:
 
 @query
 def timestamp_normalise(spark, sf_dir):
-    texts = dt.ticks(spark, sf_dir).select("event_id", F.posexplode(_time_texts()).alias("spelling", "text"))
+    texts = dt.spread_ticks(spark, sf_dir).select("event_id", F.posexplode(_time_texts()).alias("spelling", "text"))
     return texts.select("event_id", F.col("spelling").cast("bigint").alias("spelling"), mixed_time_ms(F.col("text")).alias("ms"))
 
 
 @query
 def marker_list_normalise(spark, sf_dir):
-    return dt.ticks(spark, sf_dir).select("event_id", _csv(marker_times(_time_texts())).alias("markers"))
+    return dt.spread_ticks(spark, sf_dir).select("event_id", _csv(marker_times(_time_texts())).alias("markers"))
 
 
 @query
@@ -395,7 +395,7 @@ def numeric_parse(spark, sf_dir):
         F.concat(n, F.lit("e3")), F.concat(F.lit("x"), n), F.lit(""), F.lit("true"), F.concat(n, F.lit(".")),
         F.concat(F.lit("."), n), F.concat(F.lit("+"), n), F.concat(n, F.lit("d")), F.lit("1e400"),
     )
-    rows = dt.ticks(spark, sf_dir).select("event_id", F.posexplode(texts).alias("spelling", "text"))
+    rows = dt.spread_ticks(spark, sf_dir).select("event_id", F.posexplode(texts).alias("spelling", "text"))
     as_float = to_float(F.col("text"))
     return rows.select(
         "event_id", F.col("spelling").cast("bigint").alias("spelling"),
@@ -474,7 +474,7 @@ def _write_texts(texts: DataFrame, folder: str) -> None:
 def stream_ingest_funding(spark, sf_dir):
     """Funding lines written as source files, streamed into a typed table, read back."""
     root = shared_dir(spark, "stream-ingest")
-    _write_texts(dt.funding_texts(dt.ticks(spark, sf_dir)), f"{root}/source/funding_history.jsonl")
+    _write_texts(dt.funding_texts(dt.spread_ticks(spark, sf_dir)), f"{root}/source/funding_history.jsonl")
     run = stream_ingest(
         spark, f"{root}/source/funding_history.jsonl", f"{root}/lake/funding_history",
         routing.BY_NAME["funding_history"], f"{root}/checkpoint",
@@ -494,7 +494,7 @@ def _candle_texts(candles: DataFrame) -> DataFrame:
 
 @query
 def ingest_to_wide(spark, sf_dir):
-    """Source files to typed tables to the wide table, through storage."""
+    """Source files to typed tables to the stored wide table, read back."""
     root = shared_dir(spark, "ingest-to-wide")
     ticks = dt.ticks(spark, sf_dir)
     sources = {
@@ -515,13 +515,12 @@ def ingest_to_wide(spark, sf_dir):
         _write_texts(texts, f"{root}/source/{name}.jsonl")
     ingest.refresh(spark, f"{root}/source", f"{root}/lake")
     wide = open_wide(tables.open_tables(spark, f"{root}/lake"))
-    return rounded(wide.drop("ts"))
+    tables.write_by_symbol(wide.drop("ts"), f"{root}/wide")
+    return rounded(spark.read.parquet(f"{root}/wide"))
 
 
-@query
-def stream_resample_1h(spark, sf_dir):
+def _streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars over a stream of the events file, each tick a row of its own."""
-    root = shared_dir(spark, "stream-resample")
     batch = dt.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = dt.ticks_of(stream).select(
@@ -530,5 +529,20 @@ def stream_resample_1h(spark, sf_dir):
         F.col("size").alias("kline_volume"), (F.col("size") * F.col("price")).alias("kline_turnover"),
         *[F.col("size").alias(c) for c in SERIES_COLUMNS if not c.startswith("kline_")],
     )
-    run_updates(stream_resample(rows, "1h"), f"{root}/bars", f"{root}/checkpoint").awaitTermination()
+    return stream_resample(rows, "1h", "1 day")
+
+
+@query
+def stream_resample_1h(spark, sf_dir):
+    """Every bar, as of the newest batch."""
+    root = shared_dir(spark, "stream-resample")
+    run_updates(_streamed_bars(spark, sf_dir), f"{root}/bars", f"{root}/checkpoint").awaitTermination()
     return rounded(latest_bars(spark, f"{root}/bars"))
+
+
+@query
+def stream_append_1h(spark, sf_dir):
+    """Only bars the watermark has closed: those that end a day before the newest tick."""
+    root = shared_dir(spark, "stream-append")
+    run_append(_streamed_bars(spark, sf_dir), f"{root}/bars", f"{root}/checkpoint").awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/bars"))

@@ -52,24 +52,26 @@ def _leaves(entries: Column, levels: int) -> Column:
     return F.transform(F.array(entries), step)[0]  # binds the list, so that it is built once
 
 
-def _text(value: Column) -> Column:
-    """Text of a leaf: lists and whole objects as compact JSON, decimals with a fraction, '' as null."""
+def _text(value: Column, plain: Column) -> Column:
+    """Text of a leaf from its plain text: decimals keep a fraction, '' is null."""
     kind = F.schema_of_variant(value)
-    plain = F.trim(value.cast("string"))
-    decimal = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
     spelled_out = F.concat(
         F.regexp_replace(value.try_cast("decimal(38, 18)").cast("string"), "0+$", ""), F.lit("0")
     )
+    whole = ~plain.contains(".") & F.right(plain, F.lit(1)).between("0", "9")
     return (
-        F.when(kind.rlike("^(ARRAY|OBJECT)<"), F.to_json(value))
-        .when(kind.startswith("DECIMAL"), decimal)
-        .when((kind == "DOUBLE") & plain.contains("E"), F.coalesce(spelled_out, plain))
+        F.when(whole & kind.startswith("DECIMAL"), F.concat(plain, F.lit(".0")))
+        .when(plain.contains("E") & (kind == "DOUBLE"), F.coalesce(spelled_out, plain))
         .otherwise(F.nullif(plain, F.lit("")))
     )
 
 
 def _to_map(entries: Column) -> Column:
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], _text(e["value"]))))
+    """Leaves as map<key, text>; lists and objects kept whole become compact JSON."""
+    plain = F.transform(
+        entries, lambda e: F.struct(e["key"], e["value"], F.trim(e["value"].cast("string")).alias("plain"))
+    )
+    return F.map_from_entries(F.transform(plain, lambda e: F.struct(e["key"], _text(e["value"], e["plain"]))))
 
 
 def flatten(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
@@ -131,7 +133,13 @@ def meta(texts: DataFrame) -> DataFrame:
 
 def field_names(rows: DataFrame) -> DataFrame:
     """Distinct flattened keys of a table (schema-sized result)."""
-    return rows.select(F.explode(F.map_keys("fields")).alias("field")).distinct()
+    return _exploded(rows, []).select("field").distinct()
+
+
+def _exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per key. The outer form keeps the optimizer from testing for empty maps up front,
+    which would flatten every document twice."""
+    return rows.select(*keep, F.explode_outer("fields").alias("field", "_text")).where(F.col("field").isNotNull())
 
 
 def widen(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -144,7 +152,7 @@ def long_form(rows: DataFrame) -> DataFrame:
     """One row per key, with the text and its numeric readings."""
     keep = [c for c in rows.columns if c != "fields"]
     return (
-        rows.select(*keep, F.explode("fields").alias("field", "_text"))
+        _exploded(rows, keep)
         .select(*keep, "field", maybe_numeric(F.col("_text")).alias("_v"))
         .select(*keep, "field", "_v.value_str", "_v.value_long", "_v.value_double")
     )

@@ -41,25 +41,30 @@ def write_dataset(
 def write_by_symbol(rows: DataFrame, path: str, compression: str = "zstd") -> None:
     """Store a computed table (the wide one, or bars) partitioned by symbol, in time order.
 
-    Rows gather by (symbol, day); adaptive execution then merges small and
-    splits large pieces, so no symbol or day ends up in one task.
+    Replaces the symbols that ``rows`` holds and keeps the others, so after a
+    refresh only changed symbols need rewriting. Rows gather by (symbol, day);
+    adaptive execution then merges small and splits large pieces, so no symbol
+    or day ends up in one task.
     """
     placed = rows.withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS)).hint("rebalance", "symbol", "_day")
     (
         placed.drop("_day").sortWithinPartitions("symbol", "ts_ms").write.mode("overwrite")
-        .partitionBy("symbol").option("compression", compression).parquet(path)
+        .partitionBy("symbol").option("compression", compression)
+        .option("partitionOverwriteMode", "dynamic").parquet(path)
     )
 
 
 def read_dataset(
-    spark: SparkSession, root: str, name: str, extra: list[Column] | None = None
+    spark: SparkSession, root: str, name: str, extra: list[Column] | None = None, merge_schema: bool = False,
 ) -> DataFrame | None:
     """A stored dataset with ``symbol_partition`` and any extra columns; None when there are no files.
 
     ``symbol`` is the bare partition column, so a symbol filter prunes folders.
+    All files written here share one schema; ``merge_schema`` reads every
+    footer, for tables that other writers add columns to.
     """
     try:
-        rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}")
+        rows = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(f"{root}/{name}")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
