@@ -237,6 +237,9 @@ SELECT symbol, ts_ms, {_listed(SERIES_COLUMNS)} FROM w
 WHERE symbol = '{q.SYMBOL.upper()}' AND ts_ms >= {q.START_MS} AND ts_ms <= {q.END_MS} ORDER BY ts_ms"""
 ORACLES["funding_series"] = f"""WITH {TICKS}, {F}
 SELECT symbol, ts_ms, funding_rate FROM f WHERE symbol = '{q.SYMBOL.upper()}' AND ts_ms >= {q.START_MS} ORDER BY ts_ms"""
+ORACLES["sql_over_views"] = f"""{WIDE}
+SELECT symbol, ts_ms, {_listed([c for c in SERIES_COLUMNS if c not in ('kline_open', 'kline_high', 'kline_low')])} FROM w
+WHERE symbol = '{q.SYMBOL.upper()}' AND ts_ms >= {q.START_MS} ORDER BY ts_ms"""
 _VIEWS = {
     "market_kline": "(SELECT symbol FROM k UNION ALL SELECT symbol FROM k5 UNION ALL SELECT symbol FROM k60)",
     "mark_price_kline": "m", "index_price_kline": "i", "premium_index_price_kline": "p", "open_interest": "oi",
@@ -321,6 +324,11 @@ FROM moves GROUP BY {keys}"""
 
 ORACLES["event_study_overall"] = _study("horizon_hours")
 ORACLES["event_study_by_symbol"] = _study("symbol, horizon_hours")
+ORACLES["event_study_markdown"] = f"""WITH s AS ({_study('symbol, horizon_hours')})
+SELECT '| symbol | horizon_hours | event_count | up_count | down_count |' AS value
+UNION ALL SELECT '| --- | --- | --- | --- | --- |'
+UNION ALL SELECT '| ' || symbol || ' | ' || horizon_hours || ' | ' || event_count || ' | ' || up_count || ' | '
+  || down_count || ' |' FROM s"""
 ORACLES["event_forward_moves"] = f"""{_moves('kline_volume > 50', [1, 20])}
 SELECT symbol, event_ts_ms, horizon_hours, move FROM moves"""
 
@@ -394,10 +402,12 @@ ORACLES["note_validation"] = f"""WITH {NOTES}
 SELECT id, symbol, title, nullif(trim(text), '') AS body, timeframe, created_at,
   title IS NOT NULL AND trim(text) <> '' AS valid,
   CASE WHEN title IS NULL THEN 'missing title' WHEN trim(text) = '' THEN 'missing body' END AS reject_reason FROM notes"""
-ORACLES["snapshot_bars"] = f"""{WIDE}, {TF}, {NOTES},
-v AS (SELECT id, symbol, coalesce(tf.timeframe, '1m') AS timeframe, coalesce(width, 60000) AS width,
+_PINNED = """v AS (SELECT id, symbol, coalesce(tf.timeframe, '1m') AS timeframe, coalesce(width, 60000) AS width,
         CASE WHEN turn <> 1 THEN start_ms END AS x0, CASE WHEN turn <> 1 THEN start_ms + 30 * 3600000 END AS x1
-      FROM notes LEFT JOIN tf ON tf.timeframe = coalesce(notes.timeframe, '8h')),
+      FROM notes LEFT JOIN tf ON tf.timeframe = coalesce(notes.timeframe, '8h'))"""
+ORACLES["snapshot_views"] = f"""WITH {TF}, {NOTES}, {_PINNED}
+SELECT symbol, id, timeframe, x0 AS x0_ms, x1 AS x1_ms FROM v"""
+ORACLES["snapshot_bars"] = f"""{WIDE}, {TF}, {NOTES}, {_PINNED},
 shown AS (SELECT w.*, id, timeframe, x0, x1, (ts_ms // width) * width AS bucket FROM v JOIN w USING (symbol))
 SELECT id, timeframe, symbol, bucket AS ts_ms, {_bars('')}
 FROM shown WHERE (x0 IS NULL OR bucket >= x0) AND (x1 IS NULL OR bucket <= x1) GROUP BY id, timeframe, symbol, bucket"""

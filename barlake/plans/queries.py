@@ -243,6 +243,20 @@ def view_counts(spark, sf_dir):
     return series.row_counts({**views, "symbol_timeseries_1m": dt.wide(spark, sf_dir)})
 
 
+@query
+def sql_over_views(spark, sf_dir):
+    """The chart query as SQL text with bound parameters, over the temp views."""
+    open_wide(dt.market_tables(dt.ticks(spark, sf_dir)))
+    return rounded(spark.sql(
+        """SELECT symbol, ts_ms, kline_close, mark_close, index_close, premium_close, kline_volume, kline_turnover,
+                  open_interest, buy_ratio, sell_ratio, long_short_ratio, basis_bps
+           FROM symbol_timeseries_1m
+           WHERE symbol = :symbol AND (:start IS NULL OR ts_ms >= :start) AND (:end IS NULL OR ts_ms <= :end)
+           ORDER BY ts_ms""",
+        args={"symbol": SYMBOL.upper(), "start": START_MS, "end": None},
+    ))
+
+
 @query
 def symbol_list(spark, sf_dir):
     ticks = dt.ticks(spark, sf_dir)
@@ -344,6 +358,13 @@ def event_forward_moves(spark, sf_dir):
     return moves.withColumn("horizon_hours", F.col("horizon_hours").cast("bigint"))
 
 
+@query
+def event_study_markdown(spark, sf_dir):
+    """The counts of a study as lines of a markdown table."""
+    counts = _study(spark, sf_dir, by_symbol=True).select("symbol", "horizon_hours", "event_count", "up_count", "down_count")
+    return events.markdown_rows(counts)
+
+
 # --- scalars --------------------------------------------------------------------------------
 
 
@@ -446,6 +467,11 @@ def note_validation(spark, sf_dir):
     )
 
 
+@query
+def snapshot_views(spark, sf_dir):
+    return notes.snapshot_view(_notes(spark, sf_dir))
+
+
 @query
 def snapshot_bars(spark, sf_dir):
     bars = notes.snapshot_bars(_notes(spark, sf_dir), dt.wide(spark, sf_dir))
