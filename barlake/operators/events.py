@@ -45,10 +45,19 @@ def forward_moves(
 
 def event_study(
     bars: DataFrame, predicate: Column, horizons: list[int] | None = None, price: str = "kline_close",
-    by_symbol: bool = False,
+    by_symbol: bool = False, work_path: str | None = None,
 ) -> DataFrame:
-    """Statistics of the forward moves per horizon (and symbol)."""
-    return move_statistics(forward_moves(bars, predicate, horizons, price), by_symbol)
+    """Statistics of the forward moves per horizon (and symbol).
+
+    The statistics read the moves several times. With ``work_path``, a folder
+    every executor can reach, the moves are stored there first, so that the
+    join behind them runs once; do so for any large study.
+    """
+    moves = forward_moves(bars, predicate, horizons, price).select("symbol", "horizon_hours", "move")
+    if work_path is not None:
+        moves.write.mode("overwrite").parquet(work_path)
+        moves = bars.sparkSession.read.parquet(work_path)
+    return move_statistics(moves, by_symbol)
 
 
 def move_statistics(moves: DataFrame, by_symbol: bool = False) -> DataFrame:
@@ -56,8 +65,6 @@ def move_statistics(moves: DataFrame, by_symbol: bool = False) -> DataFrame:
 
     ``event_count`` counts all events; the other figures cover the events
     that have a move. Up and down are strict; an unchanged price is neither.
-    The moves are read several times: for a study of very many events, write
-    them to a table first.
     """
     keys = ["symbol", "horizon_hours"] if by_symbol else ["horizon_hours"]
     move = F.col("move")

@@ -100,8 +100,17 @@ def snapshot_bars(notes: DataFrame, rows: DataFrame) -> DataFrame:
         snapshot_view(notes).join(extent, "symbol")
         .select("symbol", "id", "timeframe", "x0_ms", "x1_ms", F.explode(days).alias("_day"))
     )
-    bars = resample_all(rows).withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS))
-    return bars.join(placed, ["symbol", "timeframe", "_day"]).where(
-        F.coalesce(F.col("ts_ms") >= F.col("x0_ms"), F.lit(True))
-        & F.coalesce(F.col("ts_ms") <= F.col("x1_ms"), F.lit(True))
-    ).select("id", "timeframe", *BAR_COLUMNS)
+    coarse = [tf for tf in TIMEFRAMES if tf != "1m"]
+
+    def shown(bars: DataFrame, charts: DataFrame) -> DataFrame:
+        dated = bars.withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS))
+        return dated.join(charts, ["symbol", "timeframe", "_day"]).where(
+            F.coalesce(F.col("ts_ms") >= F.col("x0_ms"), F.lit(True))
+            & F.coalesce(F.col("ts_ms") <= F.col("x1_ms"), F.lit(True))
+        ).select("id", "timeframe", *BAR_COLUMNS)
+
+    # apart, so that without one-minute charts the one-minute rows need not be joined
+    minute = F.col("timeframe") == "1m"
+    return shown(resample_all(rows, coarse), placed.where(~minute)).unionByName(
+        shown(resample_all(rows, ["1m"]), placed.where(minute))
+    )

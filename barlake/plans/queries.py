@@ -337,7 +337,9 @@ def series_unpack(spark, sf_dir):
 
 
 def _study(spark: SparkSession, sf_dir: str, by_symbol: bool) -> DataFrame:
-    result = events.event_study(dt.wide(spark, sf_dir), F.col("basis_bps") > 0, by_symbol=by_symbol)
+    result = events.event_study(
+        dt.wide(spark, sf_dir), F.col("basis_bps") > 0, by_symbol=by_symbol, work_path=shared_dir(spark, "event-study"),
+    )
     result = result.withColumn("horizon_hours", F.col("horizon_hours").cast("bigint"))
     return rounded(result, ["mean_move", "median_move"])
 
@@ -474,8 +476,10 @@ def snapshot_views(spark, sf_dir):
 
 @query
 def snapshot_bars(spark, sf_dir):
-    bars = notes.snapshot_bars(_notes(spark, sf_dir), dt.wide(spark, sf_dir))
-    return rounded(bars)
+    """Bars per snapshot, from a stored wide table (it is read several times)."""
+    path = shared_dir(spark, "wide")
+    tables.write_by_symbol(dt.wide(spark, sf_dir).drop("ts"), path)
+    return rounded(notes.snapshot_bars(_notes(spark, sf_dir), spark.read.parquet(path)))
 
 
 # --- incremental and streaming ------------------------------------------------------------------

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.settings import configure
-from barlake.sources.lines import read_texts
+from barlake.sources.lines import decoded, read_texts
 from barlake.sources.routing import DATASETS, Dataset, for_symbols, route, source_files
 from barlake.sources.tables import write_dataset
 
@@ -75,10 +75,14 @@ def _table_files(spark: SparkSession, table_root: str, dataset: Dataset) -> Data
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet").load(f"{table_root}/{dataset.name}").select("path")
     )
-    label = F.regexp_extract("path", f"{dataset.label}=([^/]*)", 1) if dataset.label else F.lit(None).cast("string")
+
+    def part(key: str) -> Column:
+        return decoded(F.regexp_extract("path", f"{key}=([^/]*)", 1))
+
     return listing.select(
-        "path", F.lit(dataset.name).alias("dataset"), label.alias("label"),
-        F.regexp_extract("path", "symbol=([^/]+)", 1).alias("path_symbol"),
+        "path", F.lit(dataset.name).alias("dataset"),
+        (part(dataset.label) if dataset.label else F.lit(None).cast("string")).alias("label"),
+        part("symbol").alias("path_symbol"),
     )
 
 

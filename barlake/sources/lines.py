@@ -17,6 +17,11 @@ JSON_OPTIONS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 OK, BLANK, MALFORMED, NOT_OBJECT = "ok", "blank", "malformed", "not_object"
 
 
+def decoded(path: Column) -> Column:
+    """A path as written: %XX escapes resolved (a plus sign is a plus sign)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_texts(spark: SparkSession, paths: list[str], whole_files: bool = False) -> DataFrame:
     """Lines (or whole files) with their path: columns ``value``, ``path``, ``modified_at``."""
     return (
@@ -24,7 +29,7 @@ def read_texts(spark: SparkSession, paths: list[str], whole_files: bool = False)
         .text(paths, wholetext=whole_files)
         .select(
             "value",
-            F.col("_metadata.file_path").alias("path"),
+            decoded(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_modification_time").alias("modified_at"),
         )
     )

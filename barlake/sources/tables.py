@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions import bucket_floor
+from barlake.settings import configure
 from barlake.sources.routing import BY_NAME, Dataset
 
 
@@ -64,7 +65,7 @@ def read_dataset(
     footer, for tables that other writers add columns to.
     """
     try:
-        rows = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(f"{root}/{name}")
+        rows = configure(spark).read.option("mergeSchema", str(merge_schema).lower()).parquet(f"{root}/{name}")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

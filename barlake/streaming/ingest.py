@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlake.settings import configure
+from barlake.sources.lines import decoded
 from barlake.sources.routing import Dataset, route
 
 
@@ -15,7 +16,7 @@ def stream_texts(spark: SparkSession, source_glob: str, dataset: Dataset) -> Dat
     texts = (
         spark.readStream.option("recursiveFileLookup", "true")
         .text(source_glob, wholetext=dataset.whole_files)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select("value", decoded(F.col("_metadata.file_path")).alias("path"))
     )
     routed = route(texts).where(F.col("dataset") == dataset.name)
     return routed.withColumnRenamed("label", dataset.label) if dataset.label else routed.drop("label")

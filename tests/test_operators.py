@@ -247,9 +247,11 @@ def study_of(rows, hours):
 
 
 @pytest.mark.parametrize("by_symbol", [False, True])
-def test_event_study(frame, rows, by_symbol):
+def test_event_study(frame, rows, by_symbol, tmp_path):
     predicate = (F.col("basis_bps") > 20) & (F.col("basis_bps") < float("inf")) & ~F.isnan("basis_bps")
     result = events.event_study(frame, predicate, [1, 3, 200], by_symbol=by_symbol).collect()
+    stored = events.event_study(frame, predicate, [1, 3, 200], by_symbol=by_symbol, work_path=str(tmp_path / "moves"))
+    assert sorted(stored.collect()) == sorted(result)
     for symbols in ([("A",), ("B",)] if by_symbol else [("A", "B")]):
         expected = study_of([r for r in rows if r[0] in symbols], [1, 3, 200])
         for h, moves in expected.items():

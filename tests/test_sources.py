@@ -255,6 +255,18 @@ def test_refresh_rereads_all_parts_of_a_changed_source(spark, tmp_path):
     assert [r.close for r in closes] == [1.0, 3.0]
 
 
+def test_odd_folder_names_survive(spark, tmp_path):
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    odd = source / "A B+C%41=é" / "kline_1.jsonl"
+    write(odd, candle(0, 1.0))
+    assert ingest.refresh(spark, str(source), lake) == 1
+    assert [r.symbol for r in tables.read_dataset(spark, lake, "market_kline").collect()] == ["A B+C%41=É"]
+    write(odd, "{bad\n")
+    later(odd, 5)
+    assert ingest.refresh(spark, str(source), lake) == 1
+    assert tables.read_dataset(spark, lake, "market_kline") is None
+
+
 def test_stream_ingest_takes_each_file_once(spark, source, tmp_path):
     lake, checkpoint = str(tmp_path / "lake"), str(tmp_path / "cp")
     dataset = routing.BY_NAME["market_kline"]
