@@ -5,34 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: text that counts as a number (no exponent).
+# Texts that count as whole numbers, as numbers without and with exponent / infinities, and as zero.
+# Text is matched before it is cast, because a cast that fails is slow.
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 DECIMAL_NUMBER = r"^[+-]?(\d+\.\d*|\d*\.\d+|\d+)$"
-
-
-def _double(text: Column) -> Column:
-    """Text to double; Java's suffix and hex spellings ("1d", "2f", "0x1p3") are not numbers here."""
-    java_only = (
-        text.endswith("d") | text.endswith("D") | text.contains("x") | text.contains("X")
-        | ((text.endswith("f") | text.endswith("F")) & ~F.lower(text).endswith("inf"))
-    )
-    return F.when(~java_only, text.try_cast("double"))
+ANY_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?|nan))\s*$"
+ZERO = r"^[+-]?(0+\.?0*|\.0+)$"
 
 
 def to_float(text: Column) -> Column:
     """JSON scalar text to double: true/false to 1/0, blank or bad text to null.
 
     The *text* nan / inf passes through; an unquoted NaN literal (which the
-    JSON reader hands over in quotes) is null.
+    JSON reader hands over in quotes) is null. The pattern also keeps out
+    Java's own spellings ("1d", "0x1p3"); the expression is kept small, as a
+    row of many such columns is one compiled method.
     """
-    t = F.trim(text)
-    return F.coalesce(_double(t), F.when(t == "true", 1.0).when(t == "false", 0.0))
+    number = F.when(text.rlike(ANY_NUMBER), text.try_cast("double"))
+    return number.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0))
 
 
 def to_int(text: Column) -> Column:
     """As :func:`to_float`, but whole: decimals truncate toward zero, NaN / Inf / overflow give null."""
-    t = F.trim(text)
-    truth = F.when(t == "true", F.lit(1)).when(t == "false", F.lit(0)).cast("bigint")
-    return F.coalesce(t.try_cast("bigint"), _double(t).try_cast("bigint"), truth)
+    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint")).otherwise(to_float(text).try_cast("bigint"))
 
 
 def maybe_numeric(text: Column) -> Column:
@@ -45,7 +40,7 @@ def maybe_numeric(text: Column) -> Column:
     filled = F.when(t != "", t)
     return F.struct(
         filled.alias("value_str"),
-        t.try_cast("bigint").alias("value_long"),
+        F.when(t.rlike(WHOLE_NUMBER), t.try_cast("bigint")).alias("value_long"),
         F.when(t.rlike(DECIMAL_NUMBER), t.try_cast("double")).alias("value_double"),
     )
 
@@ -53,8 +48,7 @@ def maybe_numeric(text: Column) -> Column:
 def truthy(text: Column) -> Column:
     """Null for blank, false and zero, so that ``coalesce`` falls through them."""
     t = F.trim(text)
-    empty = (t == "") | (t == "false") | F.coalesce(t.try_cast("double") == 0, F.lit(False))
-    return F.when(~empty, text)
+    return F.when(~((t == "") | (t == "false") | t.rlike(ZERO)), text)
 
 
 def is_finite(value: Column) -> Column:

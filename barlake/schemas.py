@@ -7,6 +7,9 @@ KLINE_JSON = ["ts", "open", "high", "low", "close", "volume", "turnover", "raw",
 FUNDING_JSON = ["symbol", "ts", "fundingRateTimestamp", "fundingRate"]
 OPEN_INTEREST_JSON = ["ts", "timestamp", "openInterest"]
 ACCOUNT_RATIO_JSON = ["symbol", "ts", "timestamp", "buyRatio", "sellRatio"]
+RISK_LIMIT_JSON = [
+    "id", "riskLimitValue", "maintenanceMargin", "initialMargin", "isLowestRisk", "maxLeverage", "mmDeduction",
+]
 
 PRICE_COLUMNS = ["open", "high", "low", "close"]
 

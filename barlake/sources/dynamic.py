@@ -87,8 +87,9 @@ def generic_jsonl(texts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Any object per line; time is the first filled one of ts, timestamp, time."""
     docs = valid_docs(texts, DOC).withColumn("fields", flatten(F.col("doc"), max_depth)).drop("doc")
     fields = F.col("fields")
-    ts_ms = to_int(F.coalesce(truthy(fields["ts"]), truthy(fields["timestamp"]), fields["time"]))
-    return docs.select(
+    time = F.coalesce(truthy(fields["ts"]), truthy(fields["timestamp"]), fields["time"])
+    ts_ms = to_int(F.col("_time"))
+    return docs.withColumn("_time", time).select(
         symbol_or(fields["symbol"], F.col("path_symbol")).alias("symbol"),
         ts_ms.alias("ts_ms"),
         ts_from_ms(ts_ms).alias("ts"),

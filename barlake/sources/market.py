@@ -21,8 +21,14 @@ def _docs(texts: DataFrame, fields: list[str]) -> tuple[DataFrame, list[str]]:
     return valid_docs(texts, schemas.json_struct(fields)), carried
 
 
-def _with_time(name: str, ms: Column) -> list[Column]:
-    return [ms.alias(f"{name}_ms"), ts_from_ms(ms).alias(name)]
+def _with_times(rows: DataFrame, *names: str) -> DataFrame:
+    """Put a timestamp beside each ``<name>_ms``; a step of its own, so that the number is parsed once."""
+    columns: list[str | Column] = []
+    for column in rows.columns:
+        columns.append(column)
+        if column.removesuffix("_ms") in names:
+            columns.append(ts_from_ms(F.col(column)).alias(column.removesuffix("_ms")))
+    return rows.select(*columns)
 
 
 def _list(field: Column) -> Column:
@@ -30,69 +36,70 @@ def _list(field: Column) -> Column:
     return field.try_cast("ARRAY<VARIANT>")
 
 
-def _list_text(field: Column) -> Column:
-    """Compact JSON text of a list field."""
-    return F.when(_list(field).isNotNull(), F.to_json(field))
-
-
 def klines(texts: DataFrame) -> DataFrame:
     """Trade, mark, index and premium candles."""
     docs, carried = _docs(texts, schemas.KLINE_JSON)
-    raw = F.col("_raw")
-    return docs.withColumn("_raw", _list(F.col("doc.raw"))).select(
+    raw_list = _list(F.col("doc.raw"))
+    rows = docs.withColumns({"_raw": raw_list, "_first": F.get(raw_list, 0).cast("string")}).select(
         F.col("path_symbol").alias("symbol"),
-        *_with_time("ts", to_int(F.col("doc.ts"))),
-        *_with_time("ts_from_raw", to_int(F.get(raw, 0).cast("string"))),
+        to_int(F.col("doc.ts")).alias("ts_ms"),
+        to_int(F.col("_first")).alias("ts_from_raw_ms"),
         *[to_float(F.col(f"doc.{c}")).alias(c) for c in [*schemas.PRICE_COLUMNS, "volume", "turnover"]],
-        F.coalesce(F.size(raw) >= 7, F.lit(False)).alias("has_volume_turnover"),
-        _list_text(F.col("doc.raw")).alias("raw_json"),
-        _list_text(F.col("doc.extra")).alias("extra_json"),
+        F.coalesce(F.size("_raw") >= 7, F.lit(False)).alias("has_volume_turnover"),
+        F.when(F.col("_raw").isNotNull(), F.to_json("doc.raw")).alias("raw_json"),
+        F.when(_list(F.col("doc.extra")).isNotNull(), F.to_json("doc.extra")).alias("extra_json"),
         "path_symbol", *carried,
     )
+    return _with_times(rows, "ts", "ts_from_raw")
 
 
-def _collected(docs: DataFrame, source_field: str, source_name: str) -> list[Column]:
+def _collected(docs: DataFrame, source_field: str, source_name: str) -> DataFrame:
     """Collector and source times; the row's own time prefers the collector's."""
-    collector, source = to_int(F.col("doc.ts")), to_int(F.col(f"doc.{source_field}"))
-    return [
-        *_with_time("ts", F.coalesce(collector, source)),
-        *_with_time("collector_ts", collector),
-        *_with_time(source_name, source),
-        F.col(f"doc.{source_field}").alias(f"{source_name}_raw"),
-    ]
+    parsed = docs.withColumns({
+        "collector_ts_ms": to_int(F.col("doc.ts")),
+        f"{source_name}_ms": to_int(F.col(f"doc.{source_field}")),
+        f"{source_name}_raw": F.col(f"doc.{source_field}"),
+    })
+    return parsed.withColumn("ts_ms", F.coalesce("collector_ts_ms", f"{source_name}_ms"))
+
+
+def _time_columns(source_name: str) -> list[str]:
+    return ["ts_ms", "collector_ts_ms", f"{source_name}_ms", f"{source_name}_raw"]
 
 
 def funding_history(texts: DataFrame) -> DataFrame:
     docs, carried = _docs(texts, schemas.FUNDING_JSON)
-    return docs.select(
+    rows = _collected(docs, "fundingRateTimestamp", "funding_rate_timestamp").select(
         symbol_or(F.col("doc.symbol"), F.col("path_symbol")).alias("symbol"),
-        *_collected(docs, "fundingRateTimestamp", "funding_rate_timestamp"),
+        *_time_columns("funding_rate_timestamp"),
         to_float(F.col("doc.fundingRate")).alias("funding_rate"),
         "path_symbol", *carried,
     )
+    return _with_times(rows, "ts", "collector_ts", "funding_rate_timestamp")
 
 
 def open_interest(texts: DataFrame) -> DataFrame:
     docs, carried = _docs(texts, schemas.OPEN_INTEREST_JSON)
-    return docs.select(
+    rows = _collected(docs, "timestamp", "source_timestamp").select(
         F.col("path_symbol").alias("symbol"),
-        *_collected(docs, "timestamp", "source_timestamp"),
+        *_time_columns("source_timestamp"),
         to_float(F.col("doc.openInterest")).alias("open_interest"),
         "path_symbol", *carried,
     )
+    return _with_times(rows, "ts", "collector_ts", "source_timestamp")
 
 
 def account_ratio(texts: DataFrame) -> DataFrame:
     docs, carried = _docs(texts, schemas.ACCOUNT_RATIO_JSON)
-    buy, sell = to_float(F.col("doc.buyRatio")), to_float(F.col("doc.sellRatio"))
-    return docs.select(
+    ratios = {"buy_ratio": to_float(F.col("doc.buyRatio")), "sell_ratio": to_float(F.col("doc.sellRatio"))}
+    rows = _collected(docs, "timestamp", "source_timestamp").withColumns(ratios).select(
         symbol_or(F.col("doc.symbol"), F.col("path_symbol")).alias("symbol"),
-        *_collected(docs, "timestamp", "source_timestamp"),
-        buy.alias("buy_ratio"),
-        sell.alias("sell_ratio"),
-        guarded_ratio(buy, sell).alias("long_short_ratio"),
+        *_time_columns("source_timestamp"),
+        "buy_ratio", "sell_ratio",
+        guarded_ratio(F.col("buy_ratio"), F.col("sell_ratio")).alias("long_short_ratio"),
         "path_symbol", *carried,
     )
+    return _with_times(rows, "ts", "collector_ts", "source_timestamp")
 
 
 RISK_LIMIT_DOC = "STRUCT<symbol: STRING, generatedAtIso: STRING, rows: ARRAY<VARIANT>>"
@@ -108,19 +115,19 @@ def risk_limit(texts: DataFrame) -> DataFrame:
         "path_symbol", *carried,
         F.posexplode("doc.rows").alias("pos", "entry"),
     ).where(F.schema_of_variant("entry").startswith("OBJECT<"))
-
-    def field(name: str) -> Column:
-        return F.try_variant_get("entry", f"$.{name}", "string")
-
-    return entries.select(
+    # texts first, so that each field is looked up once
+    fields = entries.withColumns(
+        {f: F.try_variant_get("entry", f"$.{f}", "string") for f in schemas.RISK_LIMIT_JSON}
+    )
+    return fields.select(
         "symbol", "generated_at_iso",
         (F.col("pos") + 1).alias("row_num"),
-        to_int(field("id")).alias("id"),
-        to_float(field("riskLimitValue")).alias("risk_limit_value"),
-        to_float(field("maintenanceMargin")).alias("maintenance_margin"),
-        to_float(field("initialMargin")).alias("initial_margin"),
-        to_int(field("isLowestRisk")).alias("is_lowest_risk"),
-        to_float(field("maxLeverage")).alias("max_leverage"),
-        to_float(field("mmDeduction")).alias("mm_deduction"),
+        to_int(F.col("id")).alias("id"),
+        to_float(F.col("riskLimitValue")).alias("risk_limit_value"),
+        to_float(F.col("maintenanceMargin")).alias("maintenance_margin"),
+        to_float(F.col("initialMargin")).alias("initial_margin"),
+        to_int(F.col("isLowestRisk")).alias("is_lowest_risk"),
+        to_float(F.col("maxLeverage")).alias("max_leverage"),
+        to_float(F.col("mmDeduction")).alias("mm_deduction"),
         "path_symbol", *carried,
     )
