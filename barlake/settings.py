@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,13 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path for one run's intermediate tables.
 
-    The root is the folder the cluster names in ``spark.checkpoint.dir``; only
-    a session that names none (tests on one machine) gets a temporary folder.
+    The root comes from Spark's own settings, by one rule for every master:
+    the folder named in ``spark.checkpoint.dir``, else a folder under
+    ``spark.sql.warehouse.dir``. Both are shared by driver and executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="barlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -4,6 +4,8 @@ import pytest
 from compare import differences, oracle_connection
 
 import __spark_entry__ as entry
+from barlake.plans.oracles import ORACLES
+from barlake.plans.queries import QUERIES
 
 # too few rows at the smallest scale for this one to have any
 MAY_BE_EMPTY = {"duplicate_keys"}
@@ -14,7 +16,7 @@ def conn(sf_dir):
     return oracle_connection(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf_dir, conn, name):
     problems = differences(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name], conn)
     if name in MAY_BE_EMPTY:
@@ -23,7 +25,8 @@ def test_query_matches_sql(spark, sf_dir, conn, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_returns_rows(spark):
