@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import token_files
+from barlake.llm import piece_sampling, prefix_counts, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -15,8 +15,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).drop("ids")
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model").drop("ids")
+
+
+def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op7_piece_sampling": op7_piece_sampling,
+    "op8_prefix_counts": op8_prefix_counts,
 }
 
 ORACLES: dict[str, str] = {}
