@@ -71,13 +71,14 @@ class WordMemo:
 
     def learn(self, words: Iterable) -> dict:
         """A dict that holds at least these words."""
-        new = set(words).difference(self.values)
+        words = set(words)
+        new = words.difference(self.values)
         if new:
             if len(self.recent) > self.recent_size:
                 for word in self.recent:
                     del self.values[word]
                 self.recent = []
-                new = set(words).difference(self.values)
+                new = words.difference(self.values)
             new = list(new)
             self.values.update(zip(new, self.compute(new), strict=True))
             stay = min(self.room, len(new))
@@ -96,6 +97,13 @@ def kept(key: tuple, make: Callable):
     return _KEPT[key]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer file lies on this machine."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

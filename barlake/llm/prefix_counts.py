@@ -28,7 +28,7 @@ from itertools import accumulate, chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import WordMemo, kept, map_columns, tokenizer_file
+from barlake.llm.common import WordMemo, byte_letters, kept, map_columns, tokenizer_file
 
 # Unicode white space, the tokenizer's splitting rule, and chunks of it that
 # never share a match of that rule: white space before the last one, or a run of text with one space before.
@@ -50,13 +50,6 @@ def chunks_of(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letters byte-level vocabularies write bytes with: printable ones stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Counts for one vocabulary. Tokens are numbers; ``splits`` has the two parts a merged token is made of."""
 
@@ -65,7 +58,7 @@ class PrefixCounter:
 
         with open(tokenizer_file(name), encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         special = {t["content"] for t in spec["added_tokens"] if t["special"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.token = {bytes(map(letters.__getitem__, t)): i for t, i in vocab.items()}

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import piece_sampling, prefix_counts, token_files
+from barlake.llm import piece_sampling, prefix_counts, secret_scan, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "llm-token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", end_id=1)
@@ -24,6 +28,7 @@ def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_token_files": op3_token_files,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_prefix_counts": op8_prefix_counts,

@@ -60,22 +60,26 @@ def encode(symbols: np.ndarray, table: Table, lanes: int = 1024, every: int = 12
     state = np.full(lanes, LOW, dtype=np.uint64)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
-    shift, limit = np.uint64(SCALE_BITS), np.uint64(31 - SCALE_BITS + 32)
+    room, limit = np.uint64(1 << SCALE_BITS), np.uint64(31 - SCALE_BITS + 32)
     emitted = 0
+    freqs, starts = table.freq[symbols], table.start[symbols]
+    if not freqs.all():
+        raise ValueError("symbol without a frequency")
+    limits = freqs << limit
     for t in range(steps - 1, -1, -1):
-        now = symbols[t * lanes:(t + 1) * lanes]
-        freq, start = table.freq[now], table.start[now]
-        if not freq.all():
-            raise ValueError("symbol without a frequency")
-        x = state[:len(now)]
-        full = x >= freq << limit
-        if full.any():
+        now = slice(t * lanes, (t + 1) * lanes)
+        freq = freqs[now]
+        x = state[:len(freq)]
+        full = np.flatnonzero(x >= limits[now])
+        if len(full):
             out = x[full]
             words.append(out.astype(np.uint32))
             emitted += len(out)
             x[full] = out >> WORD_BITS
         quotient = x // freq
-        state[:len(now)] = (quotient << shift) + (x - quotient * freq) + start
+        # x + quotient * (2**SCALE_BITS - freq) + start, in place
+        x += quotient * (room - freq)
+        x += starts[now]
         if t % every == 0:
             marks.append((emitted, state.copy()))
     marks.reverse()
@@ -113,8 +117,8 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
         symbol = table.symbol[slot]
         out[(t - begin) * lanes:(t - begin) * lanes + k] = symbol
         x = table.freq[symbol] * (x >> shift) + slot - table.start[symbol]
-        low = x < LOW
-        if m := int(np.count_nonzero(low)):
+        low = np.flatnonzero(x < LOW)
+        if m := len(low):
             x[low] = (x[low] << WORD_BITS) | stream[position:position + m]
             position += m
         state[:k] = x

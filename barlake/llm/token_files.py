@@ -16,55 +16,86 @@ rows in any order; an empty table gives empty files.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlake.llm.common import WordMemo, kept, map_columns, stored, tokenizer_file, utf8
+from barlake.llm.common import WordMemo, byte_letters, kept, map_columns, stored, tokenizer_file, utf8
 from barlake.llm.rans import Table, decode, encode
 
 BLOCK_IDS = 1 << 19
 
 
+# The tokenizer's splitting rule for lower-case text of the characters PLAIN has, where
+# lower case is one character for one and no character combines with another.
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\u017e]+|[0-9]|[^a-z0-9\xdf-\u017e]+")
+
+BYTE_LETTERS = {b: c for c, b in byte_letters().items()}
+
+
 class WordEncoder:
     """Ids of a text as the library gives them, word by word.
 
     This tokenizer drops white space, and neither its rules for characters nor
     its merges look across it, so a text's ids are those of its words in turn.
-    Only ASCII white space splits here; the rest is left to the library.
+    Only ASCII white space splits here. Words of plain Latin letters are split
+    further by the tokenizer's rule and its merges asked for each new part;
+    all others go to the library whole.
     """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file(name))
+        self.model = self.library.model
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.parts = WordMemo(self._encode_parts, hot=150_000, recent=100_000)
         self.memo = WordMemo(self._encode)
 
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        for part in parts:
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            yield array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        texts = [w.decode() for w in words]
+        plain = [PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
+        splits = [SPLIT.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        parts = self.parts.learn(chain.from_iterable(splits))
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        found = iter(self.library.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
+        return [
+            b"".join([parts[x] for x in split]) if p else array("H", next(found).ids).tobytes()
+            for p, split in zip(plain, splits, strict=True)
+        ]
 
     def __call__(self, text: bytes) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+        """Ids as 16-bit integers."""
         words = text.split()
         return b"".join(map(self.memo.learn(words).__getitem__, words))
 
 
 def encode_texts(docs: DataFrame, name: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_crc32): ids as 16-bit integers where the vocabulary fits, else 32-bit."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, n_tokens, ids_crc32, ids): ids as 16-bit integers, the checksum over 32-bit ones."""
+    end = array("H", [end_id]).tobytes()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         encoder = kept(("words", name), lambda: WordEncoder(name))
         for batch in batches:
             ids = [encoder(text) + end for text in batch["text"]]
             yield {
-                "doc_id": batch["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids],
-                "ids": ids,
+                "doc_id": batch["doc_id"], "n_tokens": [len(x) // 2 for x in ids],
+                "ids_crc32": [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], "ids": ids,
             }
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(F.col(text_column)).alias("text"))
@@ -77,13 +108,9 @@ def count_symbols(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                found = np.bincount(np.frombuffer(ids, "<u4"))
-                if len(found) > len(total):
-                    found[:len(total)] += total
-                    total = found
-                else:
-                    total[:len(found)] += found
+            found = np.bincount(np.frombuffer(b"".join(batch["ids"]), "<u2"), minlength=len(total))
+            found[:len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield {"symbol": seen.tolist(), "n": total[seen].tolist()}
 
@@ -112,17 +139,17 @@ def write(docs: DataFrame, path: str, name: str, end_id: int, block_ids: int = B
         size = 0
 
         def block() -> dict:
-            symbols = np.frombuffer(b"".join(ids), "<u4")
+            symbols = np.frombuffer(b"".join(ids), "<u2")
             return {
                 "part": [part], "seq": [seq], "part_offset": [offset], "n_tokens": [len(symbols)], "doc_ids": [list(doc_ids)],
-                "lengths": [[len(x) // 4 for x in ids]], "block": [encode(symbols, table)],
+                "lengths": [[len(x) // 2 for x in ids]], "block": [encode(symbols, table)],
             }
 
         for batch in batches:
             for doc_id, own in zip(batch["doc_id"], batch["ids"], strict=True):
                 ids.append(own)
                 doc_ids.append(doc_id)
-                size += len(own) // 4
+                size += len(own) // 2
                 if size >= block_ids:
                     yield block()
                     seq, offset, size = seq + 1, offset + size, 0
