@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import piece_sampling, prefix_counts, secret_scan, token_files
+from barlake.llm import compression_quality, line_labels, piece_sampling, prefix_counts, secret_scan, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -19,6 +19,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).drop("ids")
 
 
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model").drop("ids")
 
@@ -27,11 +31,18 @@ def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+def op9_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_labels.judge(docs, line_labels.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_token_files": op3_token_files,
+    "op6_compression_quality": op6_compression_quality,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_prefix_counts": op8_prefix_counts,
+    "op9_line_labels": op9_line_labels,
 }
 
 ORACLES: dict[str, str] = {}
