@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import compression_quality, line_labels, piece_sampling, prefix_counts, secret_scan, token_files
+from barlake.llm import compression_quality, line_labels, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -13,6 +13,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "llm-token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", end_id=1)
@@ -38,6 +42,7 @@ def op9_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_simhash_join": op2_simhash_join,
     "op3_token_files": op3_token_files,
     "op6_compression_quality": op6_compression_quality,
     "op7_piece_sampling": op7_piece_sampling,
