@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import compression_quality, line_labels, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
+from barlake.llm import compression_quality, line_labels, mixing, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -23,6 +23,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).drop("ids")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents"))
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_join": op2_simhash_join,
     "op3_token_files": op3_token_files,
+    "op4_mixing": op4_mixing,
     "op6_compression_quality": op6_compression_quality,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_prefix_counts": op8_prefix_counts,
