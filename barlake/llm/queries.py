@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barlake.llm import compression_quality, line_labels, mixing, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
+from barlake.llm import compression_quality, line_labels, mixing, permutation_index, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -44,6 +45,10 @@ def op9_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_labels.judge(docs, line_labels.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_join": op2_simhash_join,
@@ -53,6 +58,7 @@ QUERIES = {
     "op7_piece_sampling": op7_piece_sampling,
     "op8_prefix_counts": op8_prefix_counts,
     "op9_line_labels": op9_line_labels,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 ORACLES: dict[str, str] = {}
