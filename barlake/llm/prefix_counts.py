@@ -25,11 +25,14 @@ from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.common import WordMemo, byte_letters, kept, map_columns, tokenizer_file
 
+CODE = np.uint64(0x9E3779B97F4A7C15)
+
 # Unicode white space, the tokenizer's splitting rule, and chunks of it that
 # never share a match of that rule: white space before the last one, or a run of text with one space before.
 RARE = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -73,9 +76,20 @@ class PrefixCounter:
         self.split = regex.compile(SPLIT)
         self.edges: tuple[dict, dict] = ({}, {})
         self.fits: dict[int, bool] = {}
-        self.suffixes = {t[i:] for t in self.token for i in range(len(t))}
-        self.pieces = WordMemo(self._piece_counts, hot=100_000, recent=100_000)
-        self.chunks = WordMemo(self._chunk_counts, hot=250_000, recent=100_000)
+        self.table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for token, i in self.token.items():
+            tail = lambda k, t=token: np.uint64(int.from_bytes(t[max(0, len(t) - k - 8):len(t) - k], "big"))
+            with np.errstate(over="ignore"):
+                by_length.setdefault(len(token), []).append((int(self._code(tail, len(token))), i))
+        for length, rows in by_length.items():
+            rows.sort()
+            self.table[length] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+            if len(set(self.table[length][0].tolist())) < len(rows):
+                raise ValueError("two tokens have one code")
+        self.lengths = sorted(-x for x in by_length)  # longest first, as negative numbers
+        self.pieces = WordMemo(self._piece_counts, hot=250_000, recent=200_000)
+        self.chunks = WordMemo(self._chunk_counts, hot=350_000, recent=250_000)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at the left (0) or right (1) edge while a token is being merged, each with the rank that ends it."""
@@ -95,8 +109,6 @@ class PrefixCounter:
         key = before << 20 | token
         if key in self.fits:
             return self.fits[key]
-        if len(self.fits) > 400_000:
-            self.fits.clear()
         left, right, i, j, rank = self._edge(before, 1), self._edge(token, 0), 0, 0, self.rank
         while True:
             x, x_until = left[i]
@@ -113,70 +125,103 @@ class PrefixCounter:
         self.fits[key] = fits = i == len(left) or j == len(right)
         return fits
 
-    def _piece_counts(self, pieces: list[str]) -> Iterator[bytes | array]:
-        """Counts at every character of matches of the splitting rule.
+    def _may_follow_each(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        keys = (before.astype(np.int64) << 20 | token).tolist()
+        found = list(map(self.fits.get, keys))
+        if None in found:
+            found = [self._may_follow(k >> 20, k & 0xFFFFF) if f is None else f for k, f in zip(keys, found, strict=True)]
+        return np.array(found, bool)
 
-        A prefix's last token and count depend on nothing after it, so pieces
-        in sorted order go on from the prefix they share with the one before.
-        """
+    def _piece_counts(self, pieces: list[str]) -> Iterator[bytes | array]:
+        """Counts at every character of matches of the splitting rule, many of like length at once."""
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
         found: dict[str, bytes | array] = {}
-        last, counts, before, token_of, inner = [-1], [0], b"", self.token.get, self.suffixes
-        for data in sorted(piece.encode() for piece in pieces):
-            shared = 0
-            for shared, (x, y) in enumerate(zip(data, before, strict=False)):  # noqa: B007
-                if x != y:
-                    break
-            else:
-                shared = min(len(data), len(before))
-            del last[shared + 1:], counts[shared + 1:]
-            for end in range(shared + 1, len(data) + 1):
-                begins, begin = [], end - 1
-                while begin >= 0 and data[begin:end] in inner:
-                    begins.append(begin)
-                    begin -= 1
-                for begin in reversed(begins):
-                    token = token_of(data[begin:end])
-                    if token is not None and (begin == 0 or self._may_follow(last[begin], token)):
-                        last.append(token)
-                        counts.append(counts[begin] + 1)
-                        break
-                else:
-                    raise ValueError("a byte without a token")
-            before, piece = data, data.decode()
-            at = counts if len(data) == len(piece) else [counts[e] for e in accumulate((len(c.encode()) for c in piece), initial=0)]
-            found[piece] = bytes(at) if at[-1] < 256 else array("I", at)
+        order = sorted(((piece.encode(), piece) for piece in pieces), key=lambda x: -len(x[0]))
+        at = 0
+        while at < len(order):
+            longest = len(order[at][0])
+            group = order[at:at + max(1, min(8192, 1_000_000 // longest))]
+            self._fill(group, found)
+            at += len(group)
         return (found[piece] for piece in pieces)
 
-    def _split_counts(self, pieces: list[str]) -> list[int]:
-        if len(pieces) == 1:
-            return self.pieces.values[pieces[0]]
-        out, total = [0], 0
-        for piece in pieces:
-            counts = self.pieces.values[piece]
-            out += [total + c for c in counts[1:]]
-            total += counts[-1]
+    def _fill(self, group: list[tuple[bytes, str]], found: dict[str, bytes | array]) -> None:
+        """Prefix by prefix: the last token is the longest one that ends there and may follow what is before it."""
+        lengths = np.array([len(data) for data, _ in group])  # longest first
+        n, size = len(group), int(lengths[0])
+        data = np.frombuffer(b"".join(d.ljust(size, b"\0") for d, _ in group), np.uint8).reshape(n, size)
+        tail = np.zeros((n, size + 1), np.uint64)  # the last eight bytes of each prefix
+        last, counts = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
+        for end in range(1, size + 1):
+            live = int(np.searchsorted(-lengths, -end, side="right"))
+            tail[:live, end] = (tail[:live, end - 1] << np.uint64(8)) | data[:live, end - 1]
+            rows = np.arange(live)
+            for length in self.lengths[bisect.bisect_left(self.lengths, -end):]:
+                length = -length
+                codes, tokens = self.table[length]
+                code = self._code(lambda k: tail[rows, end - k], length)
+                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = np.flatnonzero(codes[place] == code)
+                if not len(hit):
+                    continue
+                token, owner = tokens[place[hit]], rows[hit]
+                if length < end:
+                    fits = self._may_follow_each(last[owner, end - length], token)
+                    token, owner, hit = token[fits], owner[fits], hit[fits]
+                last[owner, end] = token
+                counts[owner, end] = counts[owner, end - length] + 1
+                rows = np.delete(rows, hit)
+                if not len(rows):
+                    break
+            if len(rows):
+                raise ValueError("a byte without a token")
+        small = counts.astype(np.uint8)
+        for k, (raw, piece) in enumerate(group):
+            row = counts[k, :len(raw) + 1] if counts[k, len(raw)] > 255 else small[k, :len(raw) + 1]
+            if len(raw) != len(piece):  # only ends of characters
+                row = row[np.append((data[k, :len(raw)] & 0xC0) != 0x80, True)]
+            found[piece] = row.tobytes() if row.dtype == np.uint8 else array("I", row.tolist())
+
+    @staticmethod
+    def _code(tail, length: int):
+        """A number for the last ``length`` bytes, of eight bytes at a time; the bytes themselves up to eight."""
+        code, k = np.uint64(0), 0
+        while length - k > 8:
+            code, k = code * CODE + tail(k), k + 8
+        rest = (1 << 8 * (length - k)) - 1
+        return code * CODE + (tail(k) & np.uint64(rest)) if k else tail(0) & np.uint64(rest)
+
+    def _split_counts(self, pieces: list[str]) -> bytes | array:
+        """Counts of pieces in a row, as small numbers where they fit."""
+        known = self.pieces.values
+        out = known[pieces[0]]
+        for piece in pieces[1:]:
+            counts, total = known[piece], out[-1]
+            more = [total + c for c in counts[1:]]
+            out = out + bytes(more) if type(out) is bytes and more[-1] < 256 else array("I", [*out, *more])
         return out
 
     def _chunk_counts(self, chunks: list[str]) -> Iterator[bytes | array]:
         """Counts at every character of chunks, as small numbers in a row."""
         splits = list(map(self.split.findall, chunks))
-        cut = {c[:k]: self.split.findall(c[:k]) for c in chunks for k in self._cut_contractions(c)}
+        cut = {c[:k]: self.split.findall(c[:k]) for c in chunks if "'" in c for k in self._cut_contractions(c)}
         self.pieces.learn(chain.from_iterable([*splits, *cut.values()]))
+        known = self.pieces.values
         for chunk, pieces in zip(chunks, splits, strict=True):
-            out = self._split_counts(pieces)
-            if "'" in chunk and (cuts := self._cut_contractions(chunk)):
-                out = list(out)
+            out = known[pieces[0]] if len(pieces) == 1 else self._split_counts(pieces)
+            if cut and "'" in chunk and (cuts := self._cut_contractions(chunk)):
+                own = list(out)
                 for k in cuts:
-                    out[k] = self._split_counts(cut[chunk[:k]])[-1]
-            yield bytes(out) if out[-1] < 256 else array("I", out)
+                    own[k] = self._split_counts(cut[chunk[:k]])[-1]
+                out = bytes(own) if max(own) < 256 else array("I", own)
+            yield out
 
     def _cut_contractions(self, chunk: str) -> list[int]:
         """Where a prefix ends inside a contraction, which then is none."""
-        if "'" not in chunk:
-            return []
         return [k for m in self.split.finditer(chunk) if m[0][0] == "'" and len(m[0]) > 2 for k in range(m.start() + 1, m.end())]
 
-    def counts(self, texts: list[str], group: int = 2_000_000) -> Iterator[int]:
+    def counts(self, texts: list[str], group: int = 6_000_000) -> Iterator[int]:
         """Tokens of whole texts; new chunks of about ``group`` characters are learnt together."""
         waiting, size = [], 0
         for text in texts:
