@@ -62,7 +62,7 @@ def uniform(keys: np.ndarray) -> np.ndarray:
 
 
 class PieceSampler:
-    def __init__(self, name: str, alpha: float = 1.0, hot: int = 150_000, recent: int = 60_000):
+    def __init__(self, name: str, alpha: float = 1.0, hot: int = 250_000, recent: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(name))

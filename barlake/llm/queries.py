@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import compression_quality, line_labels, mixing, permutation_index, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
+from barlake.llm import compression_quality, line_labels, mixing, page_wrappers, permutation_index, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -28,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"))
 
 
+def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_simhash_join": op2_simhash_join,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op5_page_wrappers": op5_page_wrappers,
     "op6_compression_quality": op6_compression_quality,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_prefix_counts": op8_prefix_counts,
