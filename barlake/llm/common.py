@@ -56,6 +56,17 @@ def map_columns(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Itera
     return df.mapInArrow(run, kind)
 
 
+def filter_rows(df: DataFrame, column: str, good: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, for whose values in one column ``good`` says so; whatever the columns are called."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(good(batch.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class WordMemo:
     """Remember a value per word; ``compute`` gets the list of new words.
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import map_columns, utf8
+from barlake.llm.common import filter_rows, kept, map_columns, utf8
 from barlake.llm.samples import held_out, labelled
 
 ROWS_PER_CLASS = 3000
@@ -165,30 +165,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents, then score and predicted, under names of their own: own_score, own_predicted."""
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        compressors = Compressors(model.good, model.bad)
-        for batch in batches:
-            text = batch.pop("own_bytes")
-            found = model.scores(np.array([compressors.figures(t) for t in text]).reshape(len(text), 4))
-            yield batch | {"own_score": found.tolist(), "own_predicted": (found >= threshold).astype(int).tolist()}
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_columns(docs.withColumn("own_bytes", utf8(F.col("text"))), run, f"{kinds}, own_score double, own_predicted int")
-
-
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(docs, labels)
-    # only the text goes through the compressors
-    found = _score_texts(rows, model)
+    found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def _score_texts(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score, predicted) from (doc_id, text)."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         compressors = Compressors(model.good, model.bad)
         for batch in batches:
@@ -200,5 +184,11 @@ def _score_texts(rows: DataFrame, model: Model, threshold: float = THRESHOLD) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of at least the threshold, with their columns."""
-    found = score(docs, fit(docs, labels), threshold)
-    return found.where(F.col("own_predicted") == 1).select(*docs.columns)
+    model = fit(docs, labels)
+
+    def good(texts: list) -> list[bool]:
+        compressors = kept(("compressors", model.good, model.bad), lambda: Compressors(model.good, model.bad))
+        figures = [compressors.figures((t or "").encode()) for t in texts]
+        return (model.scores(np.array(figures).reshape(len(texts), 4)) >= threshold).tolist()
+
+    return filter_rows(docs, "text", good)

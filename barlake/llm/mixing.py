@@ -174,6 +174,10 @@ def _turn(spark: SparkSession, state: DataFrame, turned: dict[tuple, bool]) -> D
     return now.withColumn("own_in", F.col("own_in") != F.coalesce("own_turn", F.lit(False))).drop("own_turn")
 
 
+def row_hash(sources: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.array_join(sources, "\u0001", "\u0002"), F.col("text"))
+
+
 def mix(docs: DataFrame, sources: Column, seed: int = 11, most: int = MOST, weights: tuple[float, ...] = WEIGHTS, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(kept columns, own_sources, own_size, own_uses) of every document, and (source, source_size, target).
 
@@ -183,7 +187,7 @@ def mix(docs: DataFrame, sources: Column, seed: int = 11, most: int = MOST, weig
     rows = docs.select(
         *keep, F.array_sort(F.array_distinct(sources)).alias("own_sources"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("own_size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.array_join(sources, "\u0001", "\u0002"), F.col("text")).alias("own_hash"),
+        row_hash(sources, seed).alias("own_hash"),
     )
     rows = stored(rows, "mix-rows")
     goals, uses = plan(rows, most, weights)
@@ -206,8 +210,9 @@ def mix_by_source(docs: DataFrame, seed: int = 11) -> DataFrame:
 def repeat(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mix itself: each document as often as it is used, with its columns."""
     used, _ = mix(docs, F.array("source"), seed)
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.array_join(F.array("source"), "\u0001", "\u0002"), F.col("text"))
     # a hash stands for equal rows, so its uses are one number
     often = used.groupBy("own_hash").agg(F.max("own_uses").alias("own_uses")).where("own_uses > 0")
-    found = docs.withColumn("own_hash", key).join(often, "own_hash")
-    return found.withColumn("own_copy", F.explode(F.sequence(F.lit(1), F.col("own_uses")))).select(*docs.columns)
+    # the row itself is one column, so no name of its own gets in the way
+    rows = docs.select(row_hash(F.array("source"), seed).alias("own_hash"), F.struct("*").alias("own_row"))
+    found = rows.join(often, "own_hash").select("own_row", F.explode(F.sequence(F.lit(1), F.col("own_uses").cast("int"))).alias("own_copy"))
+    return found.select("own_row.*")
