@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barlake.functions.text import stripped
+
 # Texts that count as whole numbers, as numbers without and with exponent / infinities, and as zero.
 # Text is matched before it is cast, because a cast that fails is slow.
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
@@ -14,15 +16,13 @@ ZERO = r"^[+-]?(0+\.?0*|\.0+)$"
 
 
 def to_float(text: Column) -> Column:
-    """JSON scalar text to double: true/false to 1/0, blank or bad text to null.
+    """Number text to double; blank or bad text, the words true and false too, to null.
 
-    The *text* nan / inf passes through; an unquoted NaN literal (which the
-    JSON reader hands over in quotes) is null. The pattern also keeps out
-    Java's own spellings ("1d", "0x1p3"); the expression is kept small, as a
-    row of many such columns is one compiled method.
+    The text nan / inf passes through. The pattern also keeps out Java's own
+    spellings ("1d", "0x1p3"); the expression is kept small, as a row of many
+    such columns is one compiled method.
     """
-    number = F.when(text.rlike(ANY_NUMBER), text.try_cast("double"))
-    return number.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0))
+    return F.when(text.rlike(ANY_NUMBER), text.try_cast("double"))
 
 
 def to_int(text: Column) -> Column:
@@ -36,7 +36,7 @@ def maybe_numeric(text: Column) -> Column:
     Whole numbers fill both numeric fields, decimals only the double; text
     with an exponent stays text; blank is all null.
     """
-    t = F.trim(text)
+    t = stripped(text)
     filled = F.when(t != "", t)
     return F.struct(
         filled.alias("value_str"),
@@ -47,7 +47,7 @@ def maybe_numeric(text: Column) -> Column:
 
 def truthy(text: Column) -> Column:
     """Null for blank, false and zero, so that ``coalesce`` falls through them."""
-    t = F.trim(text)
+    t = stripped(text)
     return F.when(~((t == "") | (t == "false") | t.rlike(ZERO)), text)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barlake.functions.text import stripped
 from barlake.schemas import TIMEFRAMES
 
 # Accepted timestamp texts (upper case, T between date and time).
@@ -12,10 +13,12 @@ NUMBER_TEXT = r"^[+-]?\d+(\.\d+)?$"
 DATE_TIME_TEXT = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
 SECONDS_BELOW = 1e12
 LAST_DATE_MS = 8.64e15
+FIRST_YEAR_MS, LAST_YEAR_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
 def ts_from_ms(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
+    """The timestamp; null outside the years 1 to 9999."""
+    return F.when(ms.between(FIRST_YEAR_MS, LAST_YEAR_MS), F.timestamp_millis(ms))
 
 
 def timeframe_ms(timeframe: str) -> int:
@@ -50,7 +53,7 @@ def mixed_time_ms(text: Column) -> Column:
     Numbers below 1e12 are seconds, others milliseconds. Text without a zone
     is UTC, a bare date is midnight, anything else is null.
     """
-    t = F.trim(text)
+    t = stripped(text)
     number = t.try_cast("double")
     ms = F.when(number < SECONDS_BELOW, number * 1000).otherwise(number)
     scaled = F.when(F.abs(ms) <= LAST_DATE_MS, F.floor(ms + 0.5))

@@ -78,7 +78,7 @@ def move_statistics(moves: DataFrame, by_symbol: bool = False) -> DataFrame:
         F.min("move").alias("max_down"),
         F.avg((move > 0).cast("double")).alias("win_rate"),
     )
-    medians = exact_median(moves.where(move.isNotNull()), keys, "move", few_groups=not by_symbol)
+    medians = exact_median(moves.where(move.isNotNull()), keys, "move")
     return (
         totals.join(medians.withColumnRenamed("median", "median_move"), keys, "left")
         .select(*keys, "event_count", "move_count", *STATISTICS[1:])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions import bucket_floor, clean_key, mixed_time_ms, note_label, slug
+from barlake.functions.text import stripped
 from barlake.operators.resample import BAR_COLUMNS, resample_all
 from barlake.schemas import TIMEFRAMES
 
@@ -13,7 +14,7 @@ DAY_MS = 86_400_000
 
 
 def _filled(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(stripped(text), F.lit(""))
 
 
 def validate_notes(notes: DataFrame) -> DataFrame:
@@ -37,11 +38,11 @@ def snapshot_index(notes: DataFrame) -> DataFrame:
         F.col("folder_symbol").alias("symbol"),
         "id",
         note_label(F.col("created_at"), F.col("saved_at"), F.col("title"), F.col("id")).alias("label"),
-        F.coalesce(F.trim("title"), F.lit("")).alias("title"),
+        F.coalesce(stripped(F.col("title")), F.lit("")).alias("title"),
         _filled(F.col("saved_at")).alias("saved_at"),
         _filled(F.col("created_at")).alias("created_at"),
         _filled(F.col("timeframe")).alias("timeframe"),
-        F.when(F.col("ai_summary").isNotNull(), F.coalesce(F.trim("ai_summary.status"), F.lit(""))).alias("ai_status"),
+        F.when(F.col("ai_summary").isNotNull(), F.coalesce(stripped(F.col("ai_summary.status")), F.lit(""))).alias("ai_status"),
     )
 
 
@@ -83,34 +84,45 @@ def snapshot_view(notes: DataFrame) -> DataFrame:
     )
 
 
+CHART = ["symbol", "timeframe", "x0_ms", "x1_ms"]
+
+
+def chart_id(view: DataFrame) -> DataFrame:
+    """Views with ``chart``, one id for each different symbol, timeframe and x-range."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CHART]
+    return view.withColumn("chart", F.concat_ws("|", *parts))
+
+
+def snapshot_charts(notes: DataFrame) -> DataFrame:
+    """Which chart each note shows; the bars of charts are in :func:`snapshot_bars`."""
+    return chart_id(snapshot_view(notes)).select("id", "chart")
+
+
 def snapshot_bars(notes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Bars of each snapshot's symbol and timeframe whose start lies in its x-range.
+    """Bars of each different chart that notes show: those whose start lies in its x-range.
 
-    Bars are made first, once however many notes show them, from rows that
-    combine map-side. Notes are laid out by day (every bar lies within one)
-    and meet the bars on (symbol, timeframe, day), so neither a symbol nor a
-    popular chart is one task. An open range is closed by the extent of the
-    symbol's rows.
+    Charts are laid out by day (every bar lies within one). Only rows of a
+    (symbol, day) that some chart shows become bars; bars are made once, by
+    aggregates that combine map-side, and meet their charts on (symbol,
+    timeframe, day). An open range is closed by the extent of the symbol's rows.
     """
+    charts = chart_id(snapshot_view(notes)).select("chart", *CHART).distinct()
     extent = rows.groupBy("symbol").agg(F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last"))
     first_day = bucket_floor(F.greatest("x0_ms", "_first"), DAY_MS)
     last_day = bucket_floor(F.least("x1_ms", "_last"), DAY_MS)
     days = F.when(first_day <= last_day, F.sequence(first_day, last_day, F.lit(DAY_MS).cast("bigint")))
-    placed = (
-        snapshot_view(notes).join(extent, "symbol")
-        .select("symbol", "id", "timeframe", "x0_ms", "x1_ms", F.explode(days).alias("_day"))
-    )
+    placed = charts.join(extent, "symbol").select("chart", *CHART, F.explode(days).alias("_day"))
     coarse = [tf for tf in TIMEFRAMES if tf != "1m"]
 
-    def shown(bars: DataFrame, charts: DataFrame) -> DataFrame:
-        dated = bars.withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS))
-        return dated.join(charts, ["symbol", "timeframe", "_day"]).where(
+    def shown(wanted: DataFrame, timeframes: list[str]) -> DataFrame:
+        dated = rows.withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS))
+        needed = dated.join(wanted.select("symbol", "_day").distinct(), ["symbol", "_day"], "left_semi").drop("_day")
+        bars = resample_all(needed, timeframes).withColumn("_day", bucket_floor(F.col("ts_ms"), DAY_MS))
+        return bars.join(wanted, ["symbol", "timeframe", "_day"]).where(
             F.coalesce(F.col("ts_ms") >= F.col("x0_ms"), F.lit(True))
             & F.coalesce(F.col("ts_ms") <= F.col("x1_ms"), F.lit(True))
-        ).select("id", "timeframe", *BAR_COLUMNS)
+        ).select("chart", "timeframe", *BAR_COLUMNS)
 
     # apart, so that without one-minute charts the one-minute rows need not be joined
     minute = F.col("timeframe") == "1m"
-    return shown(resample_all(rows, coarse), placed.where(~minute)).unionByName(
-        shown(resample_all(rows, ["1m"]), placed.where(minute))
-    )
+    return shown(placed.where(~minute), coarse).unionByName(shown(placed.where(minute), ["1m"]))

@@ -49,30 +49,21 @@ def _coarse_middle(bins: DataFrame, keys: list[str]) -> DataFrame:
     return _holding_middle(ranked, keys, "_coarse").drop("_upto")
 
 
-def exact_median(values: DataFrame, keys: list[str], value: str, few_groups: bool = False) -> DataFrame:
-    """One row per key with ``median``; null and non-finite values must be filtered out before.
-
-    ``few_groups`` states that the keys take a small fixed number of values,
-    so that the (at most two) bins kept per group may be broadcast.
-    """
+def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per key with ``median``; null and non-finite values must be filtered out before."""
     fine_bin = order_bin(F.col("_v"))
     keyed = values.select(*keys, F.col(value).alias("_v")).withColumns(
         {"_fine": fine_bin, "_coarse": F.shiftright(fine_bin, COARSE_SHIFT)}
     )
     exact = [*keys, "_coarse", "_fine", "_v"]
     ranks = ["_lo", "_hi", "_before"]
-    if few_groups:
-        middle = _coarse_middle(keyed.groupBy(*keys, "_coarse").agg(F.count("*").alias("_n")), keys)
-        kept = keyed.join(F.broadcast(middle), [*keys, "_coarse"])
-        counted = kept.groupBy(*exact, *ranks).agg(F.count("*").alias("_n"))
-    else:  # equal values collapse first, so that a value most rows share is one row in the join
-        distinct = keyed.groupBy(*exact).agg(F.count("*").alias("_n"))
-        middle = _coarse_middle(distinct.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n")), keys)
-        counted = distinct.join(middle, [*keys, "_coarse"])
+    # equal values collapse first, so that a value most rows share is one row in the join
+    distinct = keyed.groupBy(*exact).agg(F.count("*").alias("_n"))
+    middle = _coarse_middle(distinct.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n")), keys)
+    counted = distinct.join(middle, [*keys, "_coarse"])
 
     fine = counted.groupBy(*keys, "_coarse", *ranks, "_fine").agg(F.sum("_n").alias("_n"))
     middle = _holding_middle(fine, [*keys, "_coarse"], "_fine").drop("_upto", "_lo", "_hi")
-    middle = F.broadcast(middle) if few_groups else middle
 
     last = counted.drop("_before").join(middle, [*keys, "_coarse", "_fine"])
     found = _holding_middle(last, [*keys, "_coarse", "_fine"], "_v")

@@ -9,9 +9,6 @@ from barlake.functions import bucket_floor, finite, iso_utc, timeframe_ms
 from barlake.functions.numbers import is_finite
 from barlake.schemas import SERIES_COLUMNS
 
-PAGE_ROWS = 10_000
-SALTS = 64
-
 
 def in_bounds(rows: DataFrame, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Inclusive time bounds; a bound of None is open."""
@@ -81,60 +78,19 @@ def empty_series(covered: DataFrame) -> DataFrame:
 # --- parallel arrays ----------------------------------------------------------
 
 
-def _paged(rows: DataFrame, values: list[str], page_ms: int, page_rows: int) -> DataFrame:
-    """Add page, part and copies, so that no (symbol, page, part) exceeds about ``page_rows`` rows.
-
-    Equal rows collapse to a count before anything is gathered. A page with
-    too many rows (many rows per minute) is spread over parts: rows by hash,
-    and the copies of one row evenly. The part counts, kept for such pages
-    only, are repeated per salt, so that a full page is not joined in one task.
-    """
-    page = bucket_floor(F.col("ts_ms"), page_ms).alias("page_ms")
-    counted = rows.groupBy("symbol", page, "ts_ms", *values).agg(F.count("*").alias("_n"))
-    full = (
-        counted.groupBy("symbol", "page_ms").agg(F.ceil(F.sum("_n") / page_rows).alias("_full"))
-        .where(F.col("_full") > 1)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    )
-    salted = counted.withColumn("_hash", F.xxhash64("ts_ms", *values))
-    salted = salted.withColumn("_salt", F.pmod("_hash", F.lit(SALTS).cast("bigint")))
-    split = salted.join(full, ["symbol", "page_ms", "_salt"], "left").withColumn(
-        "_parts", F.coalesce("_full", F.lit(1).cast("bigint"))
-    )
-    used = F.least("_n", "_parts")
-    shares = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), used - 1),
-        lambda i: F.struct(
-            F.pmod(F.shiftright("_hash", 8) + i, F.col("_parts")).alias("part"),
-            F.floor((F.col("_n") + used - 1 - i) / used).alias("_copies"),
-        ),
-    )
-    return split.select("symbol", "page_ms", "ts_ms", *values, F.inline(shares))
-
-
-def pack(
-    rows: DataFrame, values: list[str] = SERIES_COLUMNS, page: str = "1d", page_rows: int = PAGE_ROWS,
-    unique_minutes: bool = False,
-) -> DataFrame:
+def pack(rows: DataFrame, values: list[str] = SERIES_COLUMNS, page: str = "1d") -> DataFrame:
     """Rows as pages of parallel arrays in time order: ``ts``, one array per column, ``rows``.
 
-    A page is one symbol's time slice (``page`` is a timeframe id), never a
-    whole symbol, so its size is bounded. Rows known to be unique per minute
-    (resampled bars) skip the duplicate handling and its shuffle. Nulls stay;
-    NaN and infinities become null.
+    A page is one symbol's slice of a plain time grid (``page`` is a timeframe
+    id), never a whole symbol; a smaller grid makes smaller pages. Rows of one
+    minute all stay. Nulls stay; NaN and infinities become null.
     """
     timed = rows.where(F.col("ts_ms").isNotNull()).select("symbol", "ts_ms", *[finite(F.col(c)).alias(c) for c in values])
-    if unique_minutes:
-        paged = timed.withColumn("page_ms", bucket_floor(F.col("ts_ms"), timeframe_ms(page))).withColumns(
-            {"part": F.lit(0).cast("bigint"), "_copies": F.lit(1).cast("bigint")}
-        )
-    else:
-        paged = _paged(timed, values, timeframe_ms(page), page_rows)
-    row = F.struct("ts_ms", *values, "_copies")
-    gathered = paged.groupBy("symbol", "page_ms", "part").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    copies = F.flatten(F.transform("_rows", lambda r: F.array_repeat(r, r["_copies"].cast("int"))))
-    return gathered.withColumn("_rows", copies).select(
-        "symbol", "page_ms", "part",
+    row = F.struct("ts_ms", *values)
+    page_ms = bucket_floor(F.col("ts_ms"), timeframe_ms(page)).alias("page_ms")
+    gathered = timed.groupBy("symbol", page_ms).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    return gathered.select(
+        "symbol", "page_ms",
         F.size("_rows").cast("bigint").alias("rows"),
         F.transform("_rows", lambda r: iso_utc(r["ts_ms"])).alias("ts"),
         F.col("_rows.ts_ms").alias("ts_ms"),
@@ -142,19 +98,19 @@ def pack(
     )
 
 
-def pack_with_funding(bars: DataFrame, funding: DataFrame, page: str = "1d", **options) -> DataFrame:
+def pack_with_funding(bars: DataFrame, funding: DataFrame, page: str = "1d") -> DataFrame:
     """Pages of bars with the funding arrays of the same slice beside them.
 
     Funding keeps its own time axis and is never joined row by row. A slice
     with only funding still appears when the symbol has bars elsewhere.
     """
+    pages = pack(bars, SERIES_COLUMNS, page)
     of_listed = funding.join(symbols_of(bars), "symbol", "left_semi")
-    rates = pack(of_listed, ["funding_rate"], page, **options).select(
-        "symbol", "page_ms", "part", F.col("ts").alias("funding_ts"), F.col("ts_ms").alias("funding_ts_ms"),
-        "funding_rate",
+    rates = pack(of_listed, ["funding_rate"], page).select(
+        "symbol", "page_ms", F.col("ts").alias("funding_ts"), F.col("ts_ms").alias("funding_ts_ms"), "funding_rate",
     )
-    joined = pack(bars, SERIES_COLUMNS, page, **options).join(rates, ["symbol", "page_ms", "part"], "full")
-    arrays = [c for c in joined.columns if c not in ("symbol", "page_ms", "part", "rows")]
+    joined = pages.join(rates, ["symbol", "page_ms"], "full")
+    arrays = [c for c in joined.columns if c not in ("symbol", "page_ms", "rows")]
     return joined.withColumns({
         "rows": F.coalesce("rows", F.lit(0).cast("bigint")),
         **{c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in arrays},

@@ -39,12 +39,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_of(table(spark, sf_dir, "events"))
 
 
-def spread_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks for per-row work: a table with fewer splits than cores is spread over the cores first."""
-    rows, cores = ticks(spark, sf_dir), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, "event_id") if rows.rdd.getNumPartitions() < cores else rows
-
-
 def candles(ticks: DataFrame, price: Column, interval: str = "1", shift_ms: int = 0, volume: bool = False) -> DataFrame:
     start = bucket_floor(F.col("ms") + shift_ms, int(interval) * MINUTE_MS).alias("ts_ms")
     sums = [F.sum("price").alias("volume"), F.sum(F.col("price") * F.col("price")).alias("turnover")]
@@ -146,7 +140,11 @@ def kline_texts(ticks: DataFrame) -> DataFrame:
         5: F.concat(line(), F.lit(" tail")), 6: F.lit("{}"), 7: line(open_=""), 8: line(open_='"open": "", '),
         9: line(ts='"<ms>.9"'), 10: line(raw=', "raw": ["<ms>",1,true,null,"x"]'), 11: line(raw=', "raw": {"a": 1}'),
         12: line(open_='"open": NaN, '), 13: line(open_='"open": true, '), 14: line(open_='"open": "x", '),
-        15: line(raw=""), 16: line(raw=', "raw": "[1]", "extra": [ 1, {"a": "b"} ]'),
+        15: line(raw=""), 16: line(raw=', "raw": "[1]", "extra": [ 1, {"z": "b", "a": 1.50} ]'),
+        17: F.concat(line(), F.lit(',"x":2')), 18: F.concat(line(), F.lit(',"end":[]')),
+        19: F.concat(line(), F.lit(',"doc":{"ts":9}')), 20: F.concat(line(), F.lit(" "), line()),
+        21: F.concat(line(), F.lit('],"doc":['), line()), 22: line(open_='"open": "true", '),
+        23: line(ts="9223372036854775807"),
     }
     return ticks.select(
         "event_id", F.col("symbol").alias("path_symbol"), by_size(cases, line()).alias("value"),
@@ -189,10 +187,13 @@ def account_ratio_texts(ticks: DataFrame) -> DataFrame:
 
 
 def generic_texts(ticks: DataFrame) -> DataFrame:
+    """Every line has an object 1 to 30 levels deep (by size) and an id of 20 digits."""
+    depth = F.pmod(F.col("size").cast("int"), F.lit(30)) + 1
+    deep = F.concat(F.repeat(F.lit('{"k":'), depth), F.lit("7"), F.repeat(F.lit("}"), depth))
     text = _text(
         '{"ts": 0, "timestamp": "", "time": "<ms>", "a": {"b": {"c": "<s>", "d": {}}, "e": <p>}, '
-        '"list": [1, "<s>", {"x": [2]}], "text": " user <u> ", "none": null, "u": <u>, "u": -<u>}',
-        ms=F.col("ms"), s=F.col("size"), p=F.col("price"), u=F.col("user_id"),
+        '"list": [1, "<s>", {"x": [2]}], "text": " user <u> ", "none": null, "u": <u>, "u": -<u>, "id": 12345678901<d>, "deep": <deep>}',
+        d=F.lpad(F.col("user_id").cast("string"), 9, "0"), deep=deep, ms=F.col("ms"), s=F.col("size"), p=F.col("price"), u=F.col("user_id"),
     )
     return ticks.select("event_id", F.col("symbol").alias("path_symbol"), text.alias("value"))
 
@@ -245,8 +246,8 @@ def note_texts(conversations: DataFrame) -> DataFrame:
         F.concat(day, F.lit("T00:00:00+00:00")).alias("saved_at"),
         F.when(F.col("role") == "user", "").otherwise(F.concat(day, F.lit("T12:00"))).alias("created_at"),
         F.concat(F.lit(" "), F.lower(nth(NOTE_SYMBOLS, conv))).alias("symbol"),
-        F.when(turn != 2, F.concat(F.lit("turn "), turn)).otherwise(" ").alias("title"),
-        F.col("text").alias("body"),
+        F.when(turn != 2, F.concat(F.lit("turn "), turn)).otherwise(" \t\n").alias("title"),
+        F.when(F.pmod(conv, F.lit(7)) != 3, F.col("text")).otherwise("\n\t").alias("body"),
         nth(NOTE_TIMEFRAMES, turn).alias("timeframe"),
         F.struct(F.lit("8h").alias("timeframe"), F.struct(x_range.alias("x_range")).alias("view_state")).alias("snapshot"),
         F.when(F.col("role") == "assistant", F.struct(F.lit(" ok ").alias("status"))).alias("ai_summary"),

@@ -99,18 +99,18 @@ ORACLES: dict[str, str] = {}
 _RAW7 = """'["' || ms || '","' || price || '","' || price || '","' || price || '","' || price || '","' || size || '","' || size || '"]'"""
 
 ORACLES["jsonl_kline_ingest"] = f"""WITH {TICKS}, r AS (
-  SELECT *, CASE WHEN size NOT IN (6) THEN ms END AS ts_ms,
+  SELECT *, CASE WHEN size = 23 THEN 9223372036854775807 WHEN size <> 6 THEN ms END AS ts_ms,
          CASE WHEN size NOT IN (6, 11, 15, 16) THEN ms END AS raw_ms
-  FROM b WHERE size NOT IN (0, 1, 2, 3, 4, 5))
-SELECT event_id, symbol, ts_ms, ts_ms AS ts_at, raw_ms AS ts_from_raw_ms, raw_ms AS ts_from_raw_at,
-  CASE WHEN size IN (6, 7, 8, 12, 14) THEN NULL WHEN size = 13 THEN 1.0 ELSE price END AS open,
+  FROM b WHERE size NOT IN (0, 1, 2, 3, 4, 5, 17, 18, 19, 20, 21))
+SELECT event_id, symbol, ts_ms, CASE WHEN size <> 23 THEN ts_ms END AS ts_at, raw_ms AS ts_from_raw_ms, raw_ms AS ts_from_raw_at,
+  CASE WHEN size IN (6, 7, 8, 12, 14, 22) THEN NULL WHEN size = 13 THEN 1.0 ELSE price END AS open,
   CASE WHEN size <> 6 THEN price END AS high, CASE WHEN size <> 6 THEN price END AS low,
   CASE WHEN size <> 6 THEN price END AS close, CASE WHEN size <> 6 THEN size END AS volume,
   CAST(NULL AS DOUBLE) AS turnover,
   size NOT IN (6, 10, 11, 15, 16) AS has_volume_turnover,
   CASE WHEN size IN (6, 11, 15, 16) THEN NULL WHEN size = 10 THEN '["' || ms || '",1,true,null,"x"]'
        ELSE {_RAW7} END AS raw_json,
-  CASE WHEN size IN (6, 10, 11, 15) THEN NULL WHEN size = 16 THEN '[1,{{"a":"b"}}]' ELSE '[]' END AS extra_json
+  CASE WHEN size IN (6, 10, 11, 15) THEN NULL WHEN size = 16 THEN '[1,{{"z":"b","a":1.5}}]' ELSE '[]' END AS extra_json
 FROM r"""
 
 ORACLES["jsonl_funding_ingest"] = f"""WITH {TICKS}, r AS (
@@ -140,7 +140,11 @@ _GENERIC_FIELDS = [
     ("list", """'[1,"' || size || '",{"x":[2]}]'""", "NULL", "NULL"), ("text", "'user ' || user_id", "NULL", "NULL"),
     ("none", "NULL", "NULL", "NULL"), ("u", "CAST(-user_id AS VARCHAR)", "-user_id", "CAST(-user_id AS DOUBLE)"),
 ]
-ORACLES["jsonl_generic_flatten"] = f"WITH {TICKS} " + " UNION ALL ".join(
+_DEEP = "'deep' || repeat('_k', CAST(size AS INT) % 30 + 1)"
+_LONG_ID = "'12345678901' || lpad(CAST(user_id AS VARCHAR), 9, '0')"
+ORACLES["jsonl_generic_flatten"] = f"""WITH {TICKS}
+SELECT event_id, symbol, ms AS ts_ms, {_DEEP} AS field, '7' AS value_str, CAST(7 AS BIGINT) AS value_long, 7.0::DOUBLE AS value_double FROM b
+UNION ALL SELECT event_id, symbol, ms, 'id', {_LONG_ID}, NULL, CAST({_LONG_ID} AS DOUBLE) FROM b UNION ALL """ + " UNION ALL ".join(
     f"SELECT event_id, symbol, ms AS ts_ms, '{name}' AS field, CAST({text} AS VARCHAR) AS value_str, "
     f"CAST({whole} AS BIGINT) AS value_long, CAST({number} AS DOUBLE) AS value_double FROM b"
     for name, text, whole, number in _GENERIC_FIELDS
@@ -149,13 +153,13 @@ ORACLES["jsonl_generic_wide"] = f"""WITH {TICKS}
 SELECT event_id, symbol, ms AS ts_ms, size AS a_b_c, price AS a_e, '[1,"' || size || '",{{"x":[2]}}]' AS list,
   CAST(NULL AS BIGINT) AS text, -user_id AS u FROM b"""
 ORACLES["generic_field_names"] = (
-    "SELECT field FROM (VALUES " + ", ".join(f"('{f[0]}')" for f in _GENERIC_FIELDS)
-    + ") AS t(field) WHERE EXISTS (SELECT 1 FROM events)"
+    "SELECT field FROM (VALUES ('id'), " + ", ".join(f"('{f[0]}')" for f in _GENERIC_FIELDS)
+    + f") AS t(field) WHERE EXISTS (SELECT 1 FROM events) UNION (WITH {TICKS} SELECT DISTINCT {_DEEP} FROM b)"
 )
 ORACLES["ingest_report"] = f"""WITH {TICKS}
 SELECT symbol, 'market_kline' AS dataset, count(DISTINCT user_id) AS files, count(*) AS lines,
-  count(*) FILTER (size > 5) AS rows, count(*) FILTER (size IN (0, 1)) AS blank,
-  count(*) FILTER (size IN (2, 5)) AS malformed, count(*) FILTER (size IN (3, 4)) AS not_object
+  count(*) FILTER (size > 5 AND size NOT BETWEEN 17 AND 21) AS rows, count(*) FILTER (size IN (0, 1)) AS blank,
+  count(*) FILTER (size IN (2, 5) OR size BETWEEN 17 AND 21) AS malformed, count(*) FILTER (size IN (3, 4)) AS not_object
 FROM b GROUP BY symbol"""
 ORACLES["duplicate_keys"] = f"""WITH {TICKS}
 SELECT symbol, {floor_to('ms', MINUTE)} AS ts_ms, count(*) AS copies FROM b GROUP BY 1, 2 HAVING count(*) > 1"""
@@ -171,7 +175,7 @@ ORACLES["meta_expand"] = """
 SELECT CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE c_name END AS symbol,
   c_custkey * 86400000 AS listing_time_at, c_custkey * 86400000 AS collected_from_at,
   CAST(NULL AS BIGINT) AS collected_to_at,
-  '{"flag":true,"kline":{"deep":{"z":' || c_custkey || '},"next":"' || c_custkey || '"}}' AS endpoint_state_json,
+  '{"kline":{"next":"' || c_custkey || '","deep":{"z":' || c_custkey || '}},"flag":true}' AS endpoint_state_json,
   c_custkey AS kline_next, '{"z":' || c_custkey || '}' AS kline_deep, true AS flag,
   'seg ' || c_mktsegment AS note, '{"x":[' || c_custkey || ']}' AS extra
 FROM customer"""
@@ -282,17 +286,14 @@ _ISO_SECONDS = "%Y-%m-%dT%H:%M:%S+00:00"
 ORACLES["series_pack"] = f"""{WIDE}, {F},
 wp AS (SELECT symbol, {floor_to('ts_ms', 1440 * MINUTE)} AS page_ms, count(*) AS rows,
          {_joined(_iso('ts_ms', _ISO_SECONDS))} AS ts,
-         {_joined('CAST(round(kline_close * 100) AS BIGINT)')} AS kline_close,
-         {_joined('CAST(round(open_interest * 100) AS BIGINT)')} AS open_interest
+         {', '.join(f"{_joined(f'CAST(round({c} * 100) AS BIGINT)')} AS {c}" for c in SERIES_COLUMNS)}
        FROM w GROUP BY 1, 2),
 fp AS (SELECT symbol, {floor_to('ts_ms', 1440 * MINUTE)} AS page_ms,
          {_joined(_iso('ts_ms', _ISO_SECONDS))} AS funding_ts,
          {_joined('CAST(round(funding_rate * 1000000) AS BIGINT)')} AS funding_rate
        FROM f WHERE symbol IN (SELECT symbol FROM w) GROUP BY 1, 2)
-SELECT symbol, page_ms, CAST(0 AS BIGINT) AS part, coalesce(rows, 0) AS rows, coalesce(ts, '') AS ts,
-  coalesce(funding_ts, '') AS funding_ts, coalesce(kline_close, '') AS kline_close,
-  coalesce(open_interest, '') AS open_interest, coalesce(funding_rate, '') AS funding_rate,
-  coalesce(rows, 0) AS n_mark_close, coalesce(rows, 0) AS n_basis_bps, coalesce(rows, 0) AS n_kline_turnover
+SELECT symbol, page_ms, coalesce(rows, 0) AS rows, coalesce(ts, '') AS ts, coalesce(funding_ts, '') AS funding_ts,
+  {', '.join(f"coalesce({c}, '') AS {c}" for c in SERIES_COLUMNS)}, coalesce(funding_rate, '') AS funding_rate
 FROM wp FULL JOIN fp USING (symbol, page_ms)"""
 ORACLES["series_pack_1h"] = f"""WITH r AS ({_resample(60)})
 SELECT symbol, {floor_to('ts_ms', 1440 * MINUTE)} AS page_ms, count(*) AS rows,
@@ -340,7 +341,7 @@ SELECT event_id,
   {_iso('ms', '%Y-%m-%dT%H:%M:%S.%gZ')} AS iso_millis, {_iso(floor_to('ms', MINUTE), _ISO_SECONDS)} AS iso_minute
 FROM b"""
 _SECOND, _MIDNIGHT = floor_to("ms", 1000), floor_to("ms", 1440 * MINUTE)
-_SPELLINGS = [_SECOND] * 6 + [_MIDNIGHT, "NULL", "NULL", "NULL"]
+_SPELLINGS = [_SECOND] * 6 + [_MIDNIGHT, "NULL", "NULL", "NULL", _MIDNIGHT]
 ORACLES["timestamp_normalise"] = f"WITH {TICKS} " + " UNION ALL ".join(
     f"SELECT event_id, CAST({n} AS BIGINT) AS spelling, CAST({ms} AS BIGINT) AS ms FROM b"
     for n, ms in enumerate(_SPELLINGS)
@@ -362,12 +363,14 @@ _NUMBERS = [  # as_int, as_float, value_str, value_long, value_double
     ("user_id * 1000", "user_id * 1000", f"{_TEXT} || 'e3'", "NULL", "NULL"),
     ("NULL", "NULL", f"'x' || {_TEXT}", "NULL", "NULL"),
     ("NULL", "NULL", "NULL", "NULL", "NULL"),
-    ("1", "1", "'true'", "NULL", "NULL"),
+    ("NULL", "NULL", "'true'", "NULL", "NULL"),
     ("user_id", "user_id", f"{_TEXT} || '.'", "NULL", "user_id"),
     ("0", f"'.' || {_TEXT}", f"'.' || {_TEXT}", "NULL", f"'.' || {_TEXT}"),
     ("user_id", "user_id", f"'+' || {_TEXT}", "user_id", "user_id"),
     ("NULL", "NULL", f"{_TEXT} || 'd'", "NULL", "NULL"),
     ("NULL", "NULL", "'1e400'", "NULL", "NULL"),
+    ("user_id", f"{_TEXT} || '.5'", f"{_TEXT} || '.5'", "NULL", f"{_TEXT} || '.5'"),
+    ("NULL", "NULL", _TEXT, "user_id", "user_id"),
 ]
 ORACLES["numeric_parse"] = f"WITH {TICKS} " + " UNION ALL ".join(
     f"SELECT event_id, CAST({n} AS BIGINT) AS spelling, CAST({i} AS BIGINT) AS as_int, CAST({f} AS DOUBLE) AS as_float, "
@@ -383,10 +386,10 @@ _NOTE_TIMEFRAMES = "['', '1h', '4h', '15m', '1m', 'bad']"
 NOTES = f"""n AS (
   SELECT *, 'c' || conv_id || '_' || turn AS id, ({_NOTE_SYMBOLS})[(conv_id % 5) + 1] AS symbol,
     ({_NOTE_TIMEFRAMES})[(turn % 6) + 1] AS tf, 1704067200000 + (conv_id % 28) * 86400000 AS start_ms,
-    CASE WHEN turn <> 2 THEN 'turn ' || turn END AS title_
+    CASE WHEN turn <> 2 THEN 'turn ' || turn END AS title_, CASE WHEN conv_id % 7 <> 3 THEN text END AS body_
   FROM conversations),
 notes AS (
-  SELECT id, symbol, role, text, turn, start_ms, nullif(tf, '') AS timeframe, title_ AS title,
+  SELECT id, symbol, role, body_, turn, start_ms, nullif(tf, '') AS timeframe, title_ AS title,
     strftime(epoch_ms(start_ms), '%Y-%m-%d') || 'T00:00:00+00:00' AS saved_at,
     CASE WHEN role <> 'user' THEN strftime(epoch_ms(start_ms), '%Y-%m-%d') || 'T12:00' END AS created_at
   FROM n)"""
@@ -395,22 +398,25 @@ SELECT symbol, id, coalesce(created_at, saved_at) || coalesce(' | ' || title, ''
   saved_at, created_at, timeframe, CASE WHEN role = 'assistant' THEN 'ok' END AS ai_status FROM notes"""
 ORACLES["snapshot_index"] = _INDEX
 ORACLES["snapshots_of_symbol"] = f"{_INDEX} WHERE symbol = '{q.SYMBOL.upper()}'"
-ORACLES["snapshot_by_id"] = f"""WITH {NOTES} SELECT id, coalesce(title, ' ') AS title, text AS body,
+ORACLES["snapshot_by_id"] = f"""WITH {NOTES} SELECT id, coalesce(title, ' ' || chr(9) || chr(10)) AS title, coalesce(body_, chr(10) || chr(9)) AS body,
   coalesce(timeframe, '') AS timeframe FROM notes WHERE symbol = 'VIEW' AND id = 'c4_0'"""
 ORACLES["snapshot_counts"] = f"WITH {NOTES} SELECT symbol, count(*) AS snapshots FROM notes GROUP BY symbol"
 ORACLES["note_validation"] = f"""WITH {NOTES}
-SELECT id, symbol, title, nullif(trim(text), '') AS body, timeframe, created_at,
-  title IS NOT NULL AND trim(text) <> '' AS valid,
-  CASE WHEN title IS NULL THEN 'missing title' WHEN trim(text) = '' THEN 'missing body' END AS reject_reason FROM notes"""
+SELECT id, symbol, title, nullif(trim(body_), '') AS body, timeframe, created_at,
+  title IS NOT NULL AND coalesce(trim(body_), '') <> '' AS valid,
+  CASE WHEN title IS NULL THEN 'missing title' WHEN coalesce(trim(body_), '') = '' THEN 'missing body' END AS reject_reason FROM notes"""
 _PINNED = """v AS (SELECT id, symbol, coalesce(tf.timeframe, '1m') AS timeframe, coalesce(width, 60000) AS width,
         CASE WHEN turn <> 1 THEN start_ms END AS x0, CASE WHEN turn <> 1 THEN start_ms + 30 * 3600000 END AS x1
       FROM notes LEFT JOIN tf ON tf.timeframe = coalesce(notes.timeframe, '8h'))"""
 ORACLES["snapshot_views"] = f"""WITH {TF}, {NOTES}, {_PINNED}
 SELECT symbol, id, timeframe, x0 AS x0_ms, x1 AS x1_ms FROM v"""
+_CHART = "symbol || '|' || timeframe || '|' || coalesce(CAST(x0 AS VARCHAR), '') || '|' || coalesce(CAST(x1 AS VARCHAR), '')"
+ORACLES["snapshot_charts"] = f"WITH {TF}, {NOTES}, {_PINNED} SELECT id, {_CHART} AS chart FROM v"
 ORACLES["snapshot_bars"] = f"""{WIDE}, {TF}, {NOTES}, {_PINNED},
-shown AS (SELECT w.*, id, timeframe, x0, x1, (ts_ms // width) * width AS bucket FROM v JOIN w USING (symbol))
-SELECT id, timeframe, symbol, bucket AS ts_ms, {_bars('')}
-FROM shown WHERE (x0 IS NULL OR bucket >= x0) AND (x1 IS NULL OR bucket <= x1) GROUP BY id, timeframe, symbol, bucket"""
+charts AS (SELECT DISTINCT {_CHART} AS chart, symbol, timeframe, width, x0, x1 FROM v),
+shown AS (SELECT w.*, chart, timeframe, x0, x1, (ts_ms // width) * width AS bucket FROM charts JOIN w USING (symbol))
+SELECT chart, timeframe, symbol, bucket AS ts_ms, {_bars('')}
+FROM shown WHERE (x0 IS NULL OR bucket >= x0) AND (x1 IS NULL OR bucket <= x1) GROUP BY chart, timeframe, symbol, bucket"""
 
 # --- incremental and streaming -----------------------------------------------------------------------------------
 
@@ -418,10 +424,13 @@ ORACLES["incremental_changed_files"] = f"""WITH {TICKS}, {_PATHS}, {_ROUTED}
 SELECT path, dataset, label, symbol AS path_symbol, max(ms) AS modified_ms FROM routed
 WHERE dataset IS NOT NULL GROUP BY ALL
 HAVING max(ms) > coalesce(max(ms) FILTER (size < 50), -1)"""
-ORACLES["stream_ingest_funding"] = f"""WITH {TICKS}, r AS (
+_FUNDING_TABLE = f"""WITH {TICKS}, r AS (
   SELECT *, CASE WHEN size < 60 THEN ms END AS c, {floor_to('ms', 60 * MINUTE)} AS h FROM b)
 SELECT symbol, CASE WHEN size < 30 THEN symbol ELSE 'REC_' || symbol END AS record_symbol, coalesce(c, h) AS ts_ms,
   c AS collector_ts_ms, h AS funding_rate_timestamp_ms, price AS funding_rate FROM r"""
+for _name in ("stream_ingest_funding", "refresh_then_stream", "stream_then_refresh"):
+    ORACLES[_name] = _FUNDING_TABLE
+ORACLES["refresh_second_run"] = f"{_FUNDING_TABLE} WHERE symbol <> 'SIGNUP' AND (symbol <> 'VIEW' OR size >= 50)"
 ORACLES["ingest_to_wide"] = f"{WIDE} SELECT {_listed([c for c in WIDE_COLUMNS if c != 'ts'])} FROM w"
 _TICK_ROWS = ", ".join(
     {"kline_volume": "size AS kline_volume", "kline_turnover": "size * price AS kline_turnover"}.get(

@@ -51,7 +51,7 @@ def millis(*names: str) -> list[Column]:
 
 @query
 def jsonl_kline_ingest(spark, sf_dir):
-    rows = market.klines(dt.kline_texts(dt.spread_ticks(spark, sf_dir)).drop("dataset", "path"))
+    rows = market.klines(dt.kline_texts(dt.ticks(spark, sf_dir)).drop("dataset", "path"))
     return rows.select(
         "event_id", "symbol", "ts_ms", *millis("ts"), "ts_from_raw_ms", *millis("ts_from_raw"),
         "open", "high", "low", "close", "volume", "turnover", "has_volume_turnover", "raw_json", "extra_json",
@@ -60,7 +60,7 @@ def jsonl_kline_ingest(spark, sf_dir):
 
 @query
 def jsonl_funding_ingest(spark, sf_dir):
-    rows = market.funding_history(dt.funding_texts(dt.spread_ticks(spark, sf_dir)))
+    rows = market.funding_history(dt.funding_texts(dt.ticks(spark, sf_dir)))
     return rows.select(
         "event_id", "symbol", "path_symbol", "ts_ms", *millis("ts"), "collector_ts_ms", *millis("collector_ts"),
         "funding_rate_timestamp_ms", *millis("funding_rate_timestamp"), "funding_rate_timestamp_raw", "funding_rate",
@@ -69,7 +69,7 @@ def jsonl_funding_ingest(spark, sf_dir):
 
 @query
 def jsonl_open_interest_ingest(spark, sf_dir):
-    rows = market.open_interest(dt.open_interest_texts(dt.spread_ticks(spark, sf_dir)))
+    rows = market.open_interest(dt.open_interest_texts(dt.ticks(spark, sf_dir)))
     return rows.select(
         "event_id", "symbol", "ts_ms", "collector_ts_ms", "source_timestamp_ms", *millis("source_timestamp"),
         "source_timestamp_raw", "open_interest",
@@ -78,7 +78,7 @@ def jsonl_open_interest_ingest(spark, sf_dir):
 
 @query
 def jsonl_account_ratio_ingest(spark, sf_dir):
-    rows = market.account_ratio(dt.account_ratio_texts(dt.spread_ticks(spark, sf_dir)))
+    rows = market.account_ratio(dt.account_ratio_texts(dt.ticks(spark, sf_dir)))
     return rows.select(
         "event_id", "symbol", "ts_ms", "collector_ts_ms", "source_timestamp_ms", "source_timestamp_raw",
         "buy_ratio", "sell_ratio", "long_short_ratio",
@@ -87,7 +87,7 @@ def jsonl_account_ratio_ingest(spark, sf_dir):
 
 @query
 def jsonl_generic_flatten(spark, sf_dir):
-    rows = dynamic.generic_jsonl(dt.generic_texts(dt.spread_ticks(spark, sf_dir)))
+    rows = dynamic.generic_jsonl(dt.generic_texts(dt.ticks(spark, sf_dir)))
     return dynamic.long_form(rows).select(
         "event_id", "symbol", "ts_ms", "field", "value_str", "value_long", "value_double"
     )
@@ -95,19 +95,19 @@ def jsonl_generic_flatten(spark, sf_dir):
 
 @query
 def jsonl_generic_wide(spark, sf_dir):
-    rows = dynamic.generic_jsonl(dt.generic_texts(dt.spread_ticks(spark, sf_dir)))
+    rows = dynamic.generic_jsonl(dt.generic_texts(dt.ticks(spark, sf_dir)))
     wide = dynamic.widen(rows, {"a_b_c": "double", "a_e": "double", "list": "string", "text": "bigint", "u": "bigint"})
     return wide.select("event_id", "symbol", "ts_ms", "a_b_c", "a_e", "list", "text", "u")
 
 
 @query
 def generic_field_names(spark, sf_dir):
-    return dynamic.field_names(dynamic.generic_jsonl(dt.generic_texts(dt.spread_ticks(spark, sf_dir))))
+    return dynamic.field_names(dynamic.generic_jsonl(dt.generic_texts(dt.ticks(spark, sf_dir))))
 
 
 @query
 def ingest_report(spark, sf_dir):
-    return report.ingest_report(dt.kline_texts(dt.spread_ticks(spark, sf_dir)))
+    return report.ingest_report(dt.kline_texts(dt.ticks(spark, sf_dir)))
 
 
 @query
@@ -144,7 +144,7 @@ def _symbol_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = dt.table(spark, sf_dir, "customer").select(
         F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit(" ")).alias("symbol"))
     types = dt.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"))
-    blanks = dt.table(spark, sf_dir, "nation").select(F.lit("  ").alias("symbol"))
+    blanks = dt.table(spark, sf_dir, "nation").select(F.lit(" \t\n").alias("symbol"))
     return routing.select_symbols(segments, types, blanks)
 
 
@@ -165,7 +165,7 @@ FILE_NAMES = [
 def _source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in FILE_NAMES])
     name = F.element_at(names, (F.pmod(F.col("user_id"), F.lit(len(FILE_NAMES))) + 1).cast("int"))
-    return dt.spread_ticks(spark, sf_dir).select(
+    return dt.ticks(spark, sf_dir).select(
         "event_id", "ms", "size",
         F.concat(F.lit("/data/symbols/"), F.lower("symbol"), F.lit("/"), name).alias("path"),
     )
@@ -307,20 +307,17 @@ def _csv(values: Column) -> Column:
 def series_pack(spark, sf_dir):
     """Day pages of minute rows with funding beside them; arrays as text."""
     pages = series.pack_with_funding(dt.wide(spark, sf_dir), dt.funding(dt.ticks(spark, sf_dir)))
-    whole = {c: F.transform(c, lambda x: F.round(x * 100).cast("bigint")) for c in ("kline_close", "open_interest")}
     return pages.select(
-        "symbol", "page_ms", "part", "rows",
-        _csv(F.col("ts")).alias("ts"), _csv(F.col("funding_ts")).alias("funding_ts"),
-        *[_csv(v).alias(c) for c, v in whole.items()],
+        "symbol", "page_ms", "rows", _csv(F.col("ts")).alias("ts"), _csv(F.col("funding_ts")).alias("funding_ts"),
+        *[_csv(F.transform(c, lambda x: F.round(x * 100).cast("bigint"))).alias(c) for c in SERIES_COLUMNS],
         _csv(F.transform("funding_rate", lambda x: F.round(x * 1000000).cast("bigint"))).alias("funding_rate"),
-        *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("mark_close", "basis_bps", "kline_turnover")],
     )
 
 
 @query
 def series_pack_1h(spark, sf_dir):
-    """Pages of resampled bars, which are unique per bucket."""
-    pages = series.pack(resample.resample(dt.wide(spark, sf_dir), "1h"), page="1d", unique_minutes=True)
+    """Pages of resampled bars."""
+    pages = series.pack(resample.resample(dt.wide(spark, sf_dir), "1h"), page="1d")
     return pages.select(
         "symbol", "page_ms", "rows", _csv(F.col("ts")).alias("ts"),
         _csv(F.transform("kline_high", lambda x: F.round(x * 100).cast("bigint"))).alias("kline_high"),
@@ -388,18 +385,19 @@ def _time_texts() -> Column:
         F.concat(F.date_format(at + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")),
         F.concat(F.date_format(at - F.expr("interval 5 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-0500")),
         F.date_format(at, "yyyy-MM-dd"), F.lit("bad"), F.lit(""), F.date_format(at, "yyyy-MM"),
+        F.concat(F.lit("\n"), F.date_format(at, "yyyy-MM-dd"), F.lit("\t")),
     )
 
 
 @query
 def timestamp_normalise(spark, sf_dir):
-    texts = dt.spread_ticks(spark, sf_dir).select("event_id", F.posexplode(_time_texts()).alias("spelling", "text"))
+    texts = dt.ticks(spark, sf_dir).select("event_id", F.posexplode(_time_texts()).alias("spelling", "text"))
     return texts.select("event_id", F.col("spelling").cast("bigint").alias("spelling"), mixed_time_ms(F.col("text")).alias("ms"))
 
 
 @query
 def marker_list_normalise(spark, sf_dir):
-    return dt.spread_ticks(spark, sf_dir).select("event_id", _csv(marker_times(_time_texts())).alias("markers"))
+    return dt.ticks(spark, sf_dir).select("event_id", _csv(marker_times(_time_texts())).alias("markers"))
 
 
 @query
@@ -417,8 +415,9 @@ def numeric_parse(spark, sf_dir):
         F.concat(F.lit(" "), n, F.lit(" ")), F.concat(n, F.lit(".9")), F.concat(F.lit("-"), n, F.lit(".9")),
         F.concat(n, F.lit("e3")), F.concat(F.lit("x"), n), F.lit(""), F.lit("true"), F.concat(n, F.lit(".")),
         F.concat(F.lit("."), n), F.concat(F.lit("+"), n), F.concat(n, F.lit("d")), F.lit("1e400"),
+        F.concat(F.lit("\n"), n, F.lit(".5\t")), F.concat(F.lit("\u2003"), n, F.lit("\xa0")),
     )
-    rows = dt.spread_ticks(spark, sf_dir).select("event_id", F.posexplode(texts).alias("spelling", "text"))
+    rows = dt.ticks(spark, sf_dir).select("event_id", F.posexplode(texts).alias("spelling", "text"))
     as_float = to_float(F.col("text"))
     return rows.select(
         "event_id", F.col("spelling").cast("bigint").alias("spelling"),
@@ -431,7 +430,7 @@ def numeric_parse(spark, sf_dir):
 @query
 def clean_symbols(spark, sf_dir):
     names = dt.table(spark, sf_dir, "part").select(
-        "p_partkey", clean_key(F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).alias("symbol"))
+        "p_partkey", clean_key(F.concat(F.lit(" \t"), F.col("p_name"), F.lit("\n\u3000"))).alias("symbol"))
     return names.groupBy("symbol").agg(F.count("*").alias("n"))
 
 
@@ -474,9 +473,14 @@ def snapshot_views(spark, sf_dir):
     return notes.snapshot_view(_notes(spark, sf_dir))
 
 
+@query
+def snapshot_charts(spark, sf_dir):
+    return notes.snapshot_charts(_notes(spark, sf_dir))
+
+
 @query
 def snapshot_bars(spark, sf_dir):
-    """Bars per snapshot, from a stored wide table (it is read several times)."""
+    """Bars per chart that notes show, from a stored wide table (it is read several times)."""
     path = shared_dir(spark, "wide")
     tables.write_by_symbol(dt.wide(spark, sf_dir).drop("ts"), path)
     return rounded(notes.snapshot_bars(_notes(spark, sf_dir), spark.read.parquet(path)))
@@ -496,24 +500,79 @@ def incremental_changed_files(spark, sf_dir):
     return rebuild.select(*units, F.unix_millis("modified_at").alias("modified_ms"))
 
 
-def _write_texts(texts: DataFrame, folder: str) -> None:
-    texts.select("value", F.col("path_symbol").alias("symbol")).write.partitionBy("symbol").text(folder)
+# Columns of the funding table that the queries over it return.
+FUNDING_COLUMNS = ["symbol", "record_symbol", "ts_ms", "collector_ts_ms", "funding_rate_timestamp_ms", "funding_rate"]
+
+
+class _FundingLake:
+    """Funding lines as source files that come in two parts, and the table made of them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, purpose: str):
+        self.spark, self.root = spark, shared_dir(spark, purpose)
+        self.ticks = dt.ticks(spark, sf_dir)
+
+    def land(self, rows: DataFrame, mode: str = "append") -> None:
+        texts = dt.funding_texts(rows).select("value", F.col("path_symbol").alias("symbol"))
+        texts.write.mode(mode).partitionBy("symbol").text(f"{self.root}/source/funding_history.jsonl")
+
+    def refresh(self) -> None:
+        ingest.refresh(self.spark, f"{self.root}/source", f"{self.root}/lake")
+
+    def stream(self) -> None:
+        stream_ingest(
+            self.spark, f"{self.root}/source", f"{self.root}/lake", f"{self.root}/checkpoint", "funding_history",
+        ).awaitTermination()
+
+    def rows(self) -> DataFrame:
+        return tables.read_dataset(self.spark, f"{self.root}/lake", "funding_history").select(FUNDING_COLUMNS)
 
 
 @query
 def stream_ingest_funding(spark, sf_dir):
     """Funding lines written as source files, streamed into a typed table, read back."""
-    root = shared_dir(spark, "stream-ingest")
-    _write_texts(dt.funding_texts(dt.spread_ticks(spark, sf_dir)), f"{root}/source/funding_history.jsonl")
-    run = stream_ingest(
-        spark, f"{root}/source/funding_history.jsonl", f"{root}/lake/funding_history",
-        routing.BY_NAME["funding_history"], f"{root}/checkpoint",
-    )
-    run.awaitTermination()
-    rows = tables.read_dataset(spark, f"{root}/lake", "funding_history")
-    return rows.select(
-        "symbol", "record_symbol", "ts_ms", "collector_ts_ms", "funding_rate_timestamp_ms", "funding_rate"
-    )
+    lake = _FundingLake(spark, sf_dir, "stream-ingest")
+    lake.land(lake.ticks)
+    lake.stream()
+    return lake.rows()
+
+
+@query
+def refresh_then_stream(spark, sf_dir):
+    """Half of the lines converted by a refresh, the other half by a stream on the same table."""
+    lake = _FundingLake(spark, sf_dir, "refresh-then-stream")
+    lake.land(lake.ticks.where("size < 50"))
+    lake.refresh()
+    lake.land(lake.ticks.where("size >= 50"))
+    lake.stream()
+    return lake.rows()
+
+
+@query
+def stream_then_refresh(spark, sf_dir):
+    """The other order: a stream first, then a refresh on the same table."""
+    lake = _FundingLake(spark, sf_dir, "stream-then-refresh")
+    lake.land(lake.ticks.where("size < 50"))
+    lake.stream()
+    lake.land(lake.ticks.where("size >= 50"))
+    lake.refresh()
+    return lake.rows()
+
+
+@query
+def refresh_second_run(spark, sf_dir):
+    """A second refresh after one symbol's source was emptied, one is new and the others got more lines."""
+    lake = _FundingLake(spark, sf_dir, "refresh-second-run")
+    lake.land(lake.ticks.where("size < 50 and symbol <> 'VIEW'"))
+    lake.refresh()
+    lake.land(lake.ticks.where("size >= 50 and symbol <> 'SIGNUP'"))
+    spark.range(1).select(F.lit(" ").alias("value")).write.mode("overwrite").text(
+        f"{lake.root}/source/funding_history.jsonl/symbol=SIGNUP")
+    lake.refresh()
+    return lake.rows()
+
+
+def _write_texts(texts: DataFrame, folder: str) -> None:
+    texts.select("value", F.col("path_symbol").alias("symbol")).write.partitionBy("symbol").text(folder)
 
 
 def _candle_texts(candles: DataFrame) -> DataFrame:

@@ -35,7 +35,9 @@ def wide_1m(
     come unsorted (sort where they are used); all six inputs shuffle once on
     the same key and the joins chain on it.
     """
-    joined = minute_klines(market, "kline", [*PRICE_COLUMNS, "volume", "turnover"])
+    candles = minute_klines(market, "kline", [*PRICE_COLUMNS, "volume", "turnover"])
+    # rows without a time match nothing: they go round the joins, where they would be one hot key per symbol
+    joined = candles.where(F.col("ts_ms").isNotNull())
     for other in (
         minute_klines(mark, "mark"),
         minute_klines(index, "index"),
@@ -44,6 +46,7 @@ def wide_1m(
         five_minute(account_ratio, ["buy_ratio", "sell_ratio", "long_short_ratio"]),
     ):
         joined = joined.join(other, KEY, "left")
+    joined = joined.unionByName(candles.where(F.col("ts_ms").isNull()), allowMissingColumns=True)
     return joined.withColumns({
         "ts": ts_from_ms(F.col("ts_ms")),
         "basis_bps": basis_bps(F.col("mark_close"), F.col("index_close")),

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions import maybe_numeric, symbol_or, to_int, truthy, ts_from_ms
-from barlake.sources.lines import valid_docs
+from barlake.functions.text import stripped
+from barlake.sources.lines import JSON_OPTIONS, valid_docs
 
 DOC = "MAP<STRING, VARIANT>"
 ENTRIES = "ARRAY<STRUCT<key: STRING, value: VARIANT, inner: MAP<STRING, VARIANT>>>"
-MAX_DEPTH = 8
 
 
 def _entry(key: Column, value: Column) -> Column:
@@ -41,15 +41,14 @@ def _opened(entries: Column) -> Column:
     return F.flatten(F.transform(entries, lambda e: F.when(_is_object(e), inner(e)).otherwise(F.array(e))))
 
 
-def _leaves(entries: Column, levels: int) -> Column:
-    """Open objects level by level, stopping at the first level without any."""
-    too_deep = F.raise_error(F.lit("JSON nested too deep; raise max_depth")).cast(ENTRIES)
+def _leaves(entries: Column, text: Column) -> Column:
+    """Open objects level by level until none is left; a text has no more levels than opening braces."""
+    braces = F.length(text) - F.length(F.replace(text, F.lit("{")))
 
-    def step(e: Column) -> Column:
-        deeper = _leaves(_opened(e), levels - 1) if levels > 1 else too_deep
-        return F.when(F.exists(e, _is_object), deeper).otherwise(e)
+    def step(e: Column, _: Column) -> Column:
+        return F.when(F.exists(e, _is_object), _opened(e).cast(ENTRIES)).otherwise(e)
 
-    return F.transform(F.array(entries), step)[0]  # binds the list, so that it is built once
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(braces, F.lit(1))), entries.cast(ENTRIES), step)
 
 
 def _text(value: Column, plain: Column) -> Column:
@@ -58,7 +57,8 @@ def _text(value: Column, plain: Column) -> Column:
     spelled_out = F.concat(
         F.regexp_replace(value.try_cast("decimal(38, 18)").cast("string"), "0+$", ""), F.lit("0")
     )
-    whole = ~plain.contains(".") & F.right(plain, F.lit(1)).between("0", "9")
+    # a decimal without a fraction was one in the source, unless it is a whole number too long for a LONG
+    whole = ~plain.contains(".") & F.right(plain, F.lit(1)).between("0", "9") & (F.length(plain) < 19)
     return (
         F.when(whole & kind.startswith("DECIMAL"), F.concat(plain, F.lit(".0")))
         .when(plain.contains("E") & (kind == "DOUBLE"), F.coalesce(spelled_out, plain))
@@ -69,23 +69,24 @@ def _text(value: Column, plain: Column) -> Column:
 def _to_map(entries: Column) -> Column:
     """Leaves as map<key, text>; lists and objects kept whole become compact JSON."""
     plain = F.transform(
-        entries, lambda e: F.struct(e["key"], e["value"], F.trim(e["value"].cast("string")).alias("plain"))
+        entries, lambda e: F.struct(e["key"], e["value"], stripped(e["value"].cast("string")).alias("plain"))
     )
     return F.map_from_entries(F.transform(plain, lambda e: F.struct(e["key"], _text(e["value"], e["plain"]))))
 
 
-def flatten(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """Map<a_b_c, text> of a JSON object; a repeated key keeps its last value.
+def flatten(doc: Column, text: Column) -> Column:
+    """Map<a_b_c, text> of a JSON object of any depth and its text; a repeated key keeps its last value."""
+    return _to_map(_leaves(_entries(doc), text))
 
-    Objects nested deeper than ``max_depth`` raise, so no key is lost; raise
-    the limit for such data.
-    """
-    return _to_map(_leaves(_entries(doc), max_depth))
 
+def _flattened(texts: DataFrame) -> DataFrame:
+    docs = valid_docs(texts, DOC, keep_text=True)
+    return docs.withColumn("fields", flatten(F.col("doc"), F.col("value"))).drop("doc", "value")
 
-def generic_jsonl(texts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+
+def generic_jsonl(texts: DataFrame) -> DataFrame:
     """Any object per line; time is the first filled one of ts, timestamp, time."""
-    docs = valid_docs(texts, DOC).withColumn("fields", flatten(F.col("doc"), max_depth)).drop("doc")
+    docs = _flattened(texts)
     fields = F.col("fields")
     time = F.coalesce(truthy(fields["ts"]), truthy(fields["timestamp"]), fields["time"])
     ts_ms = to_int(F.col("_time"))
@@ -98,9 +99,9 @@ def generic_jsonl(texts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def snapshot(texts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def snapshot(texts: DataFrame) -> DataFrame:
     """Instrument or ticker document: one row of flattened keys."""
-    docs = valid_docs(texts, DOC).withColumn("fields", flatten(F.col("doc"), max_depth)).drop("doc")
+    docs = _flattened(texts)
     return docs.select(
         symbol_or(F.col("fields")["symbol"], F.col("path_symbol")).alias("symbol"),
         "fields", "path_symbol",
@@ -110,17 +111,21 @@ def snapshot(texts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 def meta(texts: DataFrame) -> DataFrame:
     """Collector state: top-level keys, and ``endpointState`` as text and as ``{endpoint}_{key}``."""
-    docs = valid_docs(texts, DOC)
-    carried = [c for c in docs.columns if c not in ("doc", "path_symbol")]
+    docs = valid_docs(texts, DOC, keep_text=True)
+    carried = [c for c in docs.columns if c not in ("doc", "value", "path_symbol")]
     state = F.try_element_at("doc", F.lit("endpointState"))
-    entries = F.concat(
-        F.filter(_entries(F.col("doc")), lambda e: e["key"] != "endpointState"),
-        F.coalesce(_opened(_entries(state.try_cast(DOC))), F.array().cast(ENTRIES)),
-    )
+    opened = F.coalesce(_opened(_entries(state.try_cast(DOC))), F.array().cast(ENTRIES))
+    # in the state's own place, so that of keys that meet the last one in the text counts
+    entries = F.flatten(F.transform(
+        _entries(F.col("doc")), lambda e: F.when(e["key"] == "endpointState", opened).otherwise(F.array(e))
+    ))
+    # a VARIANT sorts the keys of objects; the text keeps them as they came
+    kept = F.from_json("value", "endpointState STRING", JSON_OPTIONS)["endpointState"]
+    state_text = F.when(F.schema_of_variant(state).rlike("^(OBJECT|ARRAY)"), kept).otherwise(F.to_json(state))
     fields = F.col("fields")
     rows = docs.select(
         _to_map(entries).alias("fields"),
-        F.to_json(state).alias("endpoint_state_json"),
+        state_text.alias("endpoint_state_json"),
         "path_symbol", *carried,
     )
     times = {"listing_time": "listingTimeMs", "collected_from": "collectedFromMs", "collected_to": "collectedToMs"}

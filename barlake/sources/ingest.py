@@ -95,16 +95,19 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 def refresh(
     spark: SparkSession, source_root: str, table_root: str, symbols: DataFrame | None = None,
-    overwrite: bool = False, **write_options,
+    overwrite: bool = False, datasets: list[str] | None = None, **write_options,
 ) -> int:
     """Rebuild the partitions whose source changed since the last refresh; returns the file count.
 
+    ``symbols`` and ``datasets`` restrict it to some of the source files.
+
     Order: write data, drop partitions that lost all rows, then record the
     manifest. A run that dies in between is repeated by the next one.
     """
     configure(spark)
     files = source_files(spark, source_root)
     files = files if symbols is None else for_symbols(files, symbols)
+    files = files if datasets is None else files.where(F.col("dataset").isin(datasets))
     # The plan is a list of file names and times: taken once, so that a file
     # touched while the refresh runs is picked up by the next refresh.
     changed = files if overwrite else changed_files(files, read_manifest(spark, table_root))

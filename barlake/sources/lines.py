@@ -2,8 +2,10 @@
 
 Raw text is a DataFrame with a ``value`` column (one line, or one whole file)
 plus any carried columns. Each text is parsed once, inside an envelope
-``{"doc": <text>, "end": 1}``: the trailing field proves that the text was one
-complete JSON value, so trailing garbage counts as malformed too.
+``{"doc": [<text>], "end": []}`` read as a map of lists. The text was exactly
+one object if the map has two entries and the first one element: text that
+goes on after its object, or closes the list or the envelope itself, adds an
+element or an entry, or breaks the whole.
 """
 
 from __future__ import annotations
@@ -35,27 +37,35 @@ def read_texts(spark: SparkSession, paths: list[str], whole_files: bool = False)
     )
 
 
-def parse_json(text: Column, doc_type: str) -> Column:
-    """struct(doc, end): ``end`` is null unless the text is exactly one JSON value."""
-    envelope = F.concat(F.lit('{"doc":'), text, F.lit(',"end":1}'))
-    return F.from_json(envelope, f"doc {doc_type}, end INT", JSON_OPTIONS)
+def _enveloped(text: Column, doc_type: str) -> Column:
+    envelope = F.concat(F.lit('{"doc":['), text, F.lit('],"end":[]}'))
+    return F.from_json(envelope, f"MAP<STRING, ARRAY<{doc_type}>>", JSON_OPTIONS)
 
 
-def _parsed(texts: DataFrame, doc_type: str) -> DataFrame:
-    """Add ``doc`` and ``end``. ``inline`` keeps the optimizer from parsing once per use."""
-    return texts.select("*", F.inline(F.array(parse_json(F.col("value"), doc_type))))
+def _is_one(parsed: Column) -> Column:
+    """Whether the text was exactly one JSON value."""
+    return F.coalesce((F.size(parsed) == 2) & (F.size(F.try_element_at(parsed, F.lit("doc"))) == 1), F.lit(False))
+
+
+def _with_object(texts: DataFrame, doc_type: str) -> DataFrame:
+    """Add ``doc``: the object, null for any other text. ``inline`` keeps the optimizer from parsing once per use."""
+    parsed = texts.select("*", F.inline(F.array(F.struct(_enveloped(F.col("value"), doc_type).alias("_parsed")))))
+    found = F.when(_is_one(F.col("_parsed")), F.get(F.try_element_at("_parsed", F.lit("doc")), 0))
+    return parsed.withColumn("doc", found).drop("_parsed")
 
 
 def with_doc(texts: DataFrame, doc_type: str) -> DataFrame:
     """Replace ``value`` by ``doc`` (typed) and ``status`` (ok / blank / malformed / not_object)."""
     status = (
-        F.when(F.col("end").isNotNull(), F.when(F.col("doc").isNotNull(), OK).otherwise(NOT_OBJECT))
-        .when(F.col("value").rlike(r"\S"), MALFORMED)
-        .otherwise(BLANK)
+        F.when(F.col("doc").isNotNull(), OK)
+        .when(~F.col("value").rlike(r"\S"), BLANK)
+        .when(_is_one(_enveloped(F.col("value"), "STRING")), NOT_OBJECT)  # only such texts are parsed again
+        .otherwise(MALFORMED)
     )
-    return _parsed(texts, doc_type).withColumn("status", status).drop("value", "end")
+    return _with_object(texts, doc_type).withColumn("status", status).drop("value")
 
 
-def valid_docs(texts: DataFrame, doc_type: str) -> DataFrame:
+def valid_docs(texts: DataFrame, doc_type: str, keep_text: bool = False) -> DataFrame:
     """Only the texts that hold a JSON object (as ``doc``); others are skipped, never fatal."""
-    return _parsed(texts, doc_type).where(F.col("end").isNotNull() & F.col("doc").isNotNull()).drop("value", "end")
+    found = _with_object(texts, doc_type).where(F.col("doc").isNotNull())
+    return found if keep_text else found.drop("value")

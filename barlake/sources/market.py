@@ -13,12 +13,24 @@ from pyspark.sql import functions as F
 
 from barlake import schemas
 from barlake.functions import guarded_ratio, symbol_or, to_float, to_int, ts_from_ms
-from barlake.sources.lines import valid_docs
+from barlake.sources.lines import JSON_OPTIONS, valid_docs
 
 
 def _docs(texts: DataFrame, fields: list[str]) -> tuple[DataFrame, list[str]]:
     carried = [c for c in texts.columns if c not in ("value", "path_symbol")]
-    return valid_docs(texts, schemas.json_struct(fields)), carried
+    docs = valid_docs(texts, schemas.json_struct(fields), keep_text=True)
+    # as text, a JSON true and a quoted "true" look alike; the few lines that have one are read again as booleans
+    scalars = [f for f in fields if f not in schemas.LIST_FIELDS]
+    any_flag = F.exists(F.array(*[F.col(f"doc.{f}") for f in scalars]), lambda t: t.isin("true", "false"))
+    flags = F.from_json("value", ", ".join(f"`{f}` BOOLEAN" for f in scalars), JSON_OPTIONS)
+    return docs.withColumn("_flags", F.when(any_flag, flags)), carried
+
+
+def _scalar(field: str) -> Column:
+    """Text of a scalar field: JSON true / false as 1 / 0, the literals for infinity as inf; quoted words stay words."""
+    text = F.col(f"doc.{field}")
+    flag = F.col(f"_flags.{field}").cast("int").cast("string")
+    return F.when(text.isin("true", "false"), flag).when(text == '"Infinity"', "inf").when(text == '"-Infinity"', "-inf").otherwise(text)
 
 
 def _with_times(rows: DataFrame, *names: str) -> DataFrame:
@@ -40,14 +52,17 @@ def klines(texts: DataFrame) -> DataFrame:
     """Trade, mark, index and premium candles."""
     docs, carried = _docs(texts, schemas.KLINE_JSON)
     raw_list = _list(F.col("doc.raw"))
-    rows = docs.withColumns({"_raw": raw_list, "_first": F.get(raw_list, 0).cast("string")}).select(
+    extra_list = _list(F.col("doc.extra"))
+    # a VARIANT sorts the keys of objects; the text keeps them as they came
+    kept = F.when(raw_list.isNotNull() | extra_list.isNotNull(), F.from_json("value", "raw STRING, extra STRING", JSON_OPTIONS))
+    rows = docs.withColumns({"_raw": raw_list, "_first": F.get(raw_list, 0).cast("string"), "_kept": kept}).select(
         F.col("path_symbol").alias("symbol"),
-        to_int(F.col("doc.ts")).alias("ts_ms"),
+        to_int(_scalar("ts")).alias("ts_ms"),
         to_int(F.col("_first")).alias("ts_from_raw_ms"),
-        *[to_float(F.col(f"doc.{c}")).alias(c) for c in [*schemas.PRICE_COLUMNS, "volume", "turnover"]],
+        *[to_float(_scalar(c)).alias(c) for c in [*schemas.PRICE_COLUMNS, "volume", "turnover"]],
         F.coalesce(F.size("_raw") >= 7, F.lit(False)).alias("has_volume_turnover"),
-        F.when(F.col("_raw").isNotNull(), F.to_json("doc.raw")).alias("raw_json"),
-        F.when(_list(F.col("doc.extra")).isNotNull(), F.to_json("doc.extra")).alias("extra_json"),
+        F.when(F.col("_raw").isNotNull(), F.col("_kept.raw")).alias("raw_json"),
+        F.when(extra_list.isNotNull(), F.col("_kept.extra")).alias("extra_json"),
         "path_symbol", *carried,
     )
     return _with_times(rows, "ts", "ts_from_raw")
@@ -56,8 +71,8 @@ def klines(texts: DataFrame) -> DataFrame:
 def _collected(docs: DataFrame, source_field: str, source_name: str) -> DataFrame:
     """Collector and source times; the row's own time prefers the collector's."""
     parsed = docs.withColumns({
-        "collector_ts_ms": to_int(F.col("doc.ts")),
-        f"{source_name}_ms": to_int(F.col(f"doc.{source_field}")),
+        "collector_ts_ms": to_int(_scalar("ts")),
+        f"{source_name}_ms": to_int(_scalar(source_field)),
         f"{source_name}_raw": F.col(f"doc.{source_field}"),
     })
     return parsed.withColumn("ts_ms", F.coalesce("collector_ts_ms", f"{source_name}_ms"))
@@ -72,7 +87,7 @@ def funding_history(texts: DataFrame) -> DataFrame:
     rows = _collected(docs, "fundingRateTimestamp", "funding_rate_timestamp").select(
         symbol_or(F.col("doc.symbol"), F.col("path_symbol")).alias("symbol"),
         *_time_columns("funding_rate_timestamp"),
-        to_float(F.col("doc.fundingRate")).alias("funding_rate"),
+        to_float(_scalar("fundingRate")).alias("funding_rate"),
         "path_symbol", *carried,
     )
     return _with_times(rows, "ts", "collector_ts", "funding_rate_timestamp")
@@ -83,7 +98,7 @@ def open_interest(texts: DataFrame) -> DataFrame:
     rows = _collected(docs, "timestamp", "source_timestamp").select(
         F.col("path_symbol").alias("symbol"),
         *_time_columns("source_timestamp"),
-        to_float(F.col("doc.openInterest")).alias("open_interest"),
+        to_float(_scalar("openInterest")).alias("open_interest"),
         "path_symbol", *carried,
     )
     return _with_times(rows, "ts", "collector_ts", "source_timestamp")
@@ -91,7 +106,7 @@ def open_interest(texts: DataFrame) -> DataFrame:
 
 def account_ratio(texts: DataFrame) -> DataFrame:
     docs, carried = _docs(texts, schemas.ACCOUNT_RATIO_JSON)
-    ratios = {"buy_ratio": to_float(F.col("doc.buyRatio")), "sell_ratio": to_float(F.col("doc.sellRatio"))}
+    ratios = {"buy_ratio": to_float(_scalar("buyRatio")), "sell_ratio": to_float(_scalar("sellRatio"))}
     rows = _collected(docs, "timestamp", "source_timestamp").withColumns(ratios).select(
         symbol_or(F.col("doc.symbol"), F.col("path_symbol")).alias("symbol"),
         *_time_columns("source_timestamp"),
@@ -116,9 +131,12 @@ def risk_limit(texts: DataFrame) -> DataFrame:
         F.posexplode("doc.rows").alias("pos", "entry"),
     ).where(F.schema_of_variant("entry").startswith("OBJECT<"))
     # texts first, so that each field is looked up once
-    fields = entries.withColumns(
-        {f: F.try_variant_get("entry", f"$.{f}", "string") for f in schemas.RISK_LIMIT_JSON}
-    )
+    def text(field: str) -> Column:
+        value = F.try_variant_get("entry", f"$.{field}", "variant")
+        is_flag = F.schema_of_variant(value) == "BOOLEAN"
+        return F.when(is_flag, value.try_cast("boolean").cast("int").cast("string")).otherwise(value.try_cast("string"))
+
+    fields = entries.withColumns({f: text(f) for f in schemas.RISK_LIMIT_JSON})
     return fields.select(
         "symbol", "generated_at_iso",
         (F.col("pos") + 1).alias("row_num"),

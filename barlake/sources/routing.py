@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions import clean_key, symbol_in_path, symbol_or
+from barlake.functions.text import stripped
 from barlake.sources import dynamic, market
 
 
@@ -85,7 +86,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_symbols_file(spark: SparkSession, path: str) -> DataFrame:
     """One symbol per line; blank lines and # comments are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("symbol"))
+    lines = spark.read.text(path).select(stripped(F.col("value")).alias("symbol"))
     return lines.where((F.col("symbol") != "") & ~F.col("symbol").startswith("#"))
 
 

@@ -1,44 +1,34 @@
-"""Append newly landed source files to the typed tables."""
+"""Convert newly landed source files as they come."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlake.settings import configure
-from barlake.sources.lines import decoded
-from barlake.sources.routing import Dataset, route
-
-
-def stream_texts(spark: SparkSession, source_glob: str, dataset: Dataset) -> DataFrame:
-    """New lines of one dataset as a stream, routed as in the batch ingest."""
-    texts = (
-        spark.readStream.option("recursiveFileLookup", "true")
-        .text(source_glob, wholetext=dataset.whole_files)
-        .select("value", decoded(F.col("_metadata.file_path")).alias("path"))
-    )
-    routed = route(texts).where(F.col("dataset") == dataset.name)
-    return routed.withColumnRenamed("label", dataset.label) if dataset.label else routed.drop("label")
+from barlake.sources.ingest import refresh
 
 
 def stream_ingest(
-    spark: SparkSession, source_glob: str, table_path: str, dataset: Dataset, checkpoint: str,
+    spark: SparkSession, source_root: str, table_root: str, checkpoint: str, dataset: str | None = None, **write_options,
 ) -> StreamingQuery:
-    """Process every file not seen before, then stop; the Parquet sink is exactly-once.
+    """Process every file not seen before, then stop.
 
-    A file that *changes* after it was read is not read again; use the
-    incremental refresh for such sources.
+    The stream only notices new files; each batch then runs the incremental
+    refresh, restricted to one dataset if one is named. So stream and refresh
+    share one writer and one manifest, may take turns on one table in any order,
+    and a batch that is run again finds nothing left to do. Partitions that a
+    new file touches are rebuilt; others are not read.
     """
     configure(spark)
-    rows = dataset.parse(stream_texts(spark, source_glob, dataset)).drop("path", "dataset")
-    stored = rows.withColumnRenamed("symbol", "record_symbol").withColumnRenamed("path_symbol", "symbol")
+    listing = spark.readStream.format("binaryFile").schema(
+        "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+    ).option("recursiveFileLookup", "true").load(source_root)
+
+    def convert(batch: DataFrame, batch_id: int) -> None:
+        refresh(batch.sparkSession, source_root, table_root, datasets=[dataset] if dataset else None, **write_options)
+
     return (
-        stored.writeStream.format("parquet")
-        .partitionBy(*dataset.partitions)
-        .option("compression", "zstd")
-        .option("path", table_path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        listing.select("path").writeStream.foreachBatch(convert)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

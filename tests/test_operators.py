@@ -179,9 +179,8 @@ def key(row):
     return tuple((x is None, x if x is not None else 0) for x in row)
 
 
-@pytest.mark.parametrize("unique", [True, False])
-def test_pack_and_unpack_are_inverse(frame, rows, unique):
-    pages = series.pack(frame, page="4h", unique_minutes=unique)
+def test_pack_and_unpack_are_inverse(frame, rows):
+    pages = series.pack(frame, page="4h")
     back = sorted((tuple(r) for r in series.unpack(pages).collect()), key=key)
     assert back == sorted([(r[0], r[1], *[x if fin(x) else None for x in r[2:]]) for r in rows], key=key)
     for page in pages.collect():
@@ -189,13 +188,13 @@ def test_pack_and_unpack_are_inverse(frame, rows, unique):
         assert {t // (4 * HOUR) for t in page.ts_ms} == {page.page_ms // (4 * HOUR)}
 
 
-def test_pack_splits_hot_minutes_and_copies(spark):
+def test_pack_keeps_copies_in_time_order(spark):
     copies = [("A", 0, 1.0)] * 1000 + [("A", 0, float(i)) for i in range(500)] + [("A", 60_000, None), ("B", 0, 2.0)] * 3
     df = spark.createDataFrame(copies, "symbol STRING, ts_ms BIGINT, kline_close DOUBLE").repartition(4)
-    pages = series.pack(df, ["kline_close"], page_rows=100)
+    pages = series.pack(df, ["kline_close"], page="5m")
     back = sorted((tuple(r) for r in series.unpack(pages, ["kline_close"]).collect()), key=key)
     assert back == sorted(copies, key=key)
-    assert max(r.rows for r in pages.collect()) < 250
+    assert all(r.ts_ms == sorted(r.ts_ms) for r in pages.collect())
 
 
 def test_pack_with_funding(spark, frame):
@@ -220,8 +219,7 @@ def test_order_bin_keeps_order(spark):
     assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:]))
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_exact_median(spark, few):
+def test_exact_median(spark):
     rnd = random.Random(3)
     groups = {
         1: [rnd.gauss(0, 0.01) for _ in range(2001)], 2: [rnd.gauss(0, 0.01) for _ in range(2000)],
@@ -230,7 +228,7 @@ def test_exact_median(spark, few):
     }
     data = [(k, v) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(data, "k INT, v DOUBLE").repartition(6)
-    found = {r.k: r.median for r in quantiles.exact_median(df, ["k"], "v", few_groups=few).collect()}
+    found = {r.k: r.median for r in quantiles.exact_median(df, ["k"], "v").collect()}
     assert found == {k: statistics.median(vs) for k, vs in groups.items()}
 
 
@@ -317,9 +315,12 @@ def test_snapshot_bars(spark, frame, rows):
         note("range", "1h", x), note("open", "4h"), note("state", "", x, "8h"), note("minute", "1m", x),
         note("bad", "7x", x, "8h"), note("none", "1h", ["2030-01-01", "2030-01-02"]), note("other", "1h", symbol="QQQ"),
     ], NOTE)
-    found = {}
+    charts: dict = {}
     for r in notes.snapshot_bars(df, frame).collect():
-        found.setdefault(r.id, {})[r.symbol, r.ts_ms] = {c: r[c] for c in SERIES_COLUMNS}
+        charts.setdefault(r.chart, {})[r.symbol, r.ts_ms] = {c: r[c] for c in SERIES_COLUMNS}
+    shows = {r.id: r.chart for r in notes.snapshot_charts(df).collect()}
+    assert set(charts) < set(shows.values()) and shows["minute"] == shows["bad"] and len(set(shows.values())) == 6
+    found = {i: charts[c] for i, c in shows.items() if c in charts}
     assert set(found) == {"range", "open", "state", "minute", "bad"}
     lo, hi = 1704063600000, first + 5 * HOUR
     mine = [r for r in rows if r[0] == "A"]

@@ -15,7 +15,7 @@ def values(spark, expression, inputs, type_="string"):
 
 def test_to_int(spark):
     cases = {
-        "1.9": 1, "-1.9": -1, " 7 ": 7, "": None, "x": None, "true": 1, "false": 0, '"NaN"': None, "1e3": 1000,
+        "1.9": 1, "-1.9": -1, " 7 ": 7, "": None, "x": None, "true": None, "false": None, '"NaN"': None, "1e3": 1000,
         "inf": None, "nan": None, "1e300": None, "9223372036854775807": 9223372036854775807, "+5": 5, "7d": None,
         "1_000": None, None: None,
     }
@@ -24,7 +24,7 @@ def test_to_int(spark):
 
 def test_to_float(spark):
     cases = {
-        "1.5": 1.5, "": None, " ": None, "x": None, "true": 1.0, "false": 0.0, '"NaN"': None, "inf": math.inf,
+        "1.5": 1.5, "": None, " ": None, "x": None, "true": None, "false": None, '"NaN"': None, "inf": math.inf,
         "-Infinity": -math.inf, "1d": None, "1F": None, "0x1p3": None, "5.": 5.0, ".5": 0.5, " 2 ": 2.0, None: None,
     }
     assert values(spark, fn.to_float, cases) == list(cases.values())

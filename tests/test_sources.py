@@ -5,7 +5,6 @@ import math
 import os
 
 import pytest
-from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from barlake.plans.timeseries import open_wide
@@ -87,10 +86,30 @@ def test_flatten(spark):
 
 
 def test_flatten_depth(spark):
-    deep = texts(spark, ['{"a":{"b":{"c":{"d":1}}}}'])
-    assert dynamic.generic_jsonl(deep).first().fields == {"a_b_c_d": "1"}
-    with pytest.raises(SparkRuntimeException):
-        dynamic.generic_jsonl(deep, max_depth=3).collect()
+    def nested(n):
+        return '{"a":' * n + "1" + "}" * n
+
+    deep = texts(spark, [nested(4), nested(30), nested(100), '{"l":[{"x":{"y":1}}],"id":12345678901234567890,"d":1.0}'])
+    four, thirty, hundred, mixed = [r.fields for r in dynamic.generic_jsonl(deep).collect()]
+    assert (four, thirty, hundred) == tuple({"_".join(["a"] * n): "1"} for n in (4, 30, 100))
+    assert mixed == {"l": '[{"x":{"y":1}}]', "id": "12345678901234567890", "d": "1.0"}
+
+
+def test_text_that_goes_on_after_its_object(spark):
+    broken = ['{"ts":1},"x":2', '{"ts":1},"end":5', '{"ts":1},"doc":{"ts":9}', '{"ts":1},{"ts":2}', '{"ts":1} {"ts":2}',
+              '{"ts":1}],"x":[2', '{"ts":1}],"doc":[{"ts":9}', '{"ts":1}],"end":[', '{"ts":1}]']
+    rows = texts(spark, [*broken, "[1]", '"x"', "5", "null", "", " ", '{"ts":7}'])
+    assert [r.ts_ms for r in market.klines(rows).collect()] == [7]
+    counts = report.ingest_report(rows.withColumns({"dataset": F.lit("d"), "path": F.lit("p")})).first()
+    assert (counts.rows, counts.malformed, counts.not_object, counts.blank) == (1, len(broken), 4, 2)
+
+
+def test_kept_json_keeps_its_order(spark):
+    row = market.klines(texts(spark, ['{"ts":9223372036854775807,"raw":[{"z":1,"a":1.50}, 2],"extra":[ {"b":1,"a":2} ],"open":"true","high":true,"low":Infinity}'])).first()
+    assert (row.raw_json, row.extra_json) == ('[{"z":1,"a":1.5},2]', '[{"b":1,"a":2}]')
+    assert (row.ts_ms, row.ts, row.open, row.high, row.low) == (2**63 - 1, None, None, 1.0, float("inf"))
+    state = dynamic.meta(texts(spark, ['{"endpointState":{"k":{"n":1},"b":2},"k_n":2}'])).first()
+    assert state.endpoint_state_json == '{"k":{"n":1},"b":2}' and state.fields["k_n"] == "2"
 
 
 def test_widen_and_names(spark):
@@ -196,8 +215,9 @@ def test_partition_pruning_and_shape_of_wide_plan(spark, source, tmp_path):
     one = wide.where((F.col("symbol") == "AAA") & (F.col("ts_ms") >= 0))
     plan = one._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert len(scans) == 6 and all("symbol" in s.split("PartitionFilters")[1].split("]")[0] for s in scans)
-    assert sum("(interval" in s.split("PartitionFilters")[1] for s in scans) == 4
+    # six inputs, and once more the candles without a time, which go round the joins
+    assert len(scans) == 7 and all("symbol" in s.split("PartitionFilters")[1].split("]")[0] for s in scans)
+    assert sum("(interval" in s.split("PartitionFilters")[1] for s in scans) == 5
     assert all("GreaterThanOrEqual(ts_ms,0)" in s for s in scans)
     assert "raw_json" not in plan and "rangepartitioning" not in plan and "Python" not in plan
 
@@ -269,16 +289,21 @@ def test_odd_folder_names_survive(spark, tmp_path):
 
 def test_stream_ingest_takes_each_file_once(spark, source, tmp_path):
     lake, checkpoint = str(tmp_path / "lake"), str(tmp_path / "cp")
-    dataset = routing.BY_NAME["market_kline"]
 
     def run():
-        stream_ingest(spark, f"{source}/*", f"{lake}/market_kline", dataset, checkpoint).awaitTermination()
+        stream_ingest(spark, str(source), lake, checkpoint, "market_kline").awaitTermination()
         return tables.read_dataset(spark, lake, "market_kline").count()
 
     assert run() == 6
     assert run() == 6
     write(source / "BBB" / "kline_1.jsonl", candle(0, 1.0))
     assert run() == 7
+    # a refresh takes its turn on the same table, and so does the stream after it
+    write(source / "CCC" / "kline_1.jsonl", candle(0, 1.0))
+    ingest.refresh(spark, str(source), lake)
+    assert tables.read_dataset(spark, lake, "market_kline").count() == 8 == run()
+    write(source / "DDD" / "kline_1.jsonl", candle(0, 1.0))
+    assert run() == 9 and ingest.refresh(spark, str(source), lake) == 0
 
 
 def test_report(spark):
