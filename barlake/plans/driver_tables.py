@@ -228,6 +228,21 @@ def instrument_texts(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("p_partkey").cast("string").alias("path_symbol"), text.alias("value"))
 
 
+def supplier_documents(suppliers: DataFrame, template: str) -> DataFrame:
+    """One document for each supplier, by its number: small numbers have no note."""
+    text = _text(
+        template, n=F.col("s_name"), k=F.col("s_suppkey"), b=F.col("s_acctbal"), t=F.col("s_suppkey") * 86_400_000,
+        p=F.when(F.col("s_suppkey") < 3, "").otherwise(F.concat(F.lit("N"), "s_nationkey")),
+    )
+    return suppliers.select(F.format_string("S%d", "s_suppkey").alias("path_symbol"), text.alias("value"))
+
+
+# Documents of one object each, as a source has them in files of their own.
+INSTRUMENT_FILE = '{"symbol": "<n>", "priceFilter": {"tickSize": "<b>", "range": {"max": <k>}}, "status": " <p> ", "tags": ["<k>", 1]}'
+TICKER_FILE = '{"lastPrice": "<b>", "turnover": <k>.5, "phone": "<p>"}'
+META_FILE = '{"symbol": "", "listingTimeMs": "<t>", "endpointState": {"kline": {"next": "<k>", "deep": {"z": <k>}}}, "note": "<p>"}'
+
+
 # The symbols and timeframes that conversations are spread over.
 NOTE_SYMBOLS = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
 NOTE_TIMEFRAMES = ["", "1h", "4h", "15m", "1m", "bad"]

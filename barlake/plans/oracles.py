@@ -191,6 +191,15 @@ ORACLES["snapshot_flatten"] = " UNION ALL ".join(
     "FROM part" for name, text, whole, number in _PART_FIELDS
 )
 
+_NATION = "CASE WHEN s_suppkey >= 3 THEN 'N' || s_nationkey END"
+ORACLES["instrument_view"] = f"""SELECT 'S' || s_suppkey AS symbol, s_name AS record_symbol, s_acctbal AS "priceFilter_tickSize",
+  s_suppkey AS "priceFilter_range_max", {_NATION} AS status, '["' || s_suppkey || '",1]' AS tags FROM supplier"""
+ORACLES["ticker_view"] = f"""SELECT 'S' || s_suppkey AS symbol, 'S' || s_suppkey AS record_symbol, s_acctbal AS "lastPrice",
+  s_suppkey + 0.5::DOUBLE AS turnover, {_NATION} AS phone FROM supplier"""
+ORACLES["meta_view"] = f"""SELECT 'S' || s_suppkey AS symbol, 'S' || s_suppkey AS record_symbol, s_suppkey * 86400000 AS listing_time_at,
+  s_suppkey * 86400000 AS "listingTimeMs", s_suppkey AS kline_next, '{{"z":' || s_suppkey || '}}' AS kline_deep, {_NATION} AS note,
+  '{{"kline":{{"next":"' || s_suppkey || '","deep":{{"z":' || s_suppkey || '}}}}}}' AS endpoint_state_json FROM supplier"""
+
 # --- symbols, routing, labels -----------------------------------------------------------
 
 _SYMBOLS = """s AS (

@@ -137,6 +137,35 @@ def snapshot_flatten(spark, sf_dir):
     return dynamic.long_form(rows)
 
 
+def _opened_view(spark: SparkSession, sf_dir: str, file_name: str, template: str, view: str) -> DataFrame:
+    """One source file per supplier, converted by a refresh and opened as a view with its keys as columns."""
+    root = shared_dir(spark, f"view-{view}")
+    texts = dt.supplier_documents(dt.table(spark, sf_dir, "supplier"), template)
+    _write_texts(texts, f"{root}/source/{file_name}")
+    ingest.refresh(spark, f"{root}/source", f"{root}/lake")
+    tables.open_tables(spark, f"{root}/lake")
+    return spark.table(view)
+
+
+@query
+def instrument_view(spark, sf_dir):
+    rows = _opened_view(spark, sf_dir, "raw/instrument.json", dt.INSTRUMENT_FILE, "instrument")
+    return rows.select("symbol", "record_symbol", "priceFilter_tickSize", "priceFilter_range_max", "status", "tags")
+
+
+@query
+def ticker_view(spark, sf_dir):
+    rows = _opened_view(spark, sf_dir, "raw/ticker.json", dt.TICKER_FILE, "ticker")
+    return rows.select("symbol", "record_symbol", "lastPrice", "turnover", "phone")
+
+
+@query
+def meta_view(spark, sf_dir):
+    rows = _opened_view(spark, sf_dir, "meta.json", dt.META_FILE, "meta")
+    return rows.select(
+        "symbol", "record_symbol", *millis("listing_time"), "listingTimeMs", "kline_next", "kline_deep", "note", "endpoint_state_json")
+
+
 # --- symbols, routing, labels -----------------------------------------------------
 
 

@@ -154,6 +154,31 @@ def widen(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "fields" and c not in columns], *typed)
 
 
+def field_types(rows: DataFrame) -> DataFrame:
+    """(field, type): the narrowest of bigint, double and string that all filled values of a key fit; one row per key."""
+    value = maybe_numeric(F.col("_text"))
+    counts = _exploded(rows, []).select("field", value.alias("_v")).groupBy("field").agg(
+        F.count("_v.value_str").alias("_n"), F.count("_v.value_long").alias("_whole"), F.count("_v.value_double").alias("_number"),
+    )
+    kind = F.when((F.col("_n") > 0) & (F.col("_whole") == F.col("_n")), "bigint").when((F.col("_n") > 0) & (F.col("_number") == F.col("_n")), "double")
+    return counts.select("field", kind.otherwise("string").alias("type"))
+
+
+def with_key_columns(rows: DataFrame) -> DataFrame:
+    """The rows with every key that is no column yet as a typed column, in the order of names; ``fields`` stays.
+
+    What passes through the driver is one row per key, like a schema.
+    """
+    types = {r["field"]: r["type"] for r in field_types(rows).collect()}
+    known = {c.lower() for c in rows.columns}
+    typed = []
+    for key in sorted(types):
+        if key.lower() not in known:
+            known.add(key.lower())  # names differ in more than case
+            typed.append(F.try_element_at("fields", F.lit(key)).try_cast(types[key]).alias(key))
+    return rows.select("*", *typed)
+
+
 def long_form(rows: DataFrame) -> DataFrame:
     """One row per key, with the text and its numeric readings."""
     keep = [c for c in rows.columns if c != "fields"]

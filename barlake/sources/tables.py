@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions import bucket_floor
 from barlake.settings import configure
+from barlake.sources.dynamic import with_key_columns
 from barlake.sources.routing import BY_NAME, Dataset
 
 
@@ -74,9 +75,15 @@ def read_dataset(
 
 
 def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every dataset that has files, registered as a temp view of the same name."""
+    """Every dataset that has files, registered as a temp view of the same name.
+
+    Keys of documents that are not known beforehand are typed columns of their
+    views, found in one pass over such a table.
+    """
     found = {name: read_dataset(spark, root, name) for name in BY_NAME}
-    tables = {name: rows for name, rows in found.items() if rows is not None}
+    tables = {
+        name: with_key_columns(rows) if "fields" in rows.columns else rows for name, rows in found.items() if rows is not None
+    }
     for name, rows in tables.items():
         rows.createOrReplaceTempView(name)
     return tables
