@@ -89,7 +89,8 @@ def move_statistics(moves: DataFrame, by_symbol: bool = False) -> DataFrame:
 
 
 def write_csv(result: DataFrame, path: str) -> None:
-    result.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    # a few rows, gathered after the aggregates and not by running those in one task
+    result.repartition(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def markdown_rows(result: DataFrame) -> DataFrame:

@@ -284,6 +284,17 @@ ORACLES["resample_funding_8h"] = f"""WITH {TICKS}, {F}
 SELECT symbol, {floor_to('ts_ms', 480 * MINUTE)} AS ts_ms, arg_max(funding_rate, f.ts_ms) AS funding_rate
 FROM f GROUP BY 1, 2"""
 
+_EVERY = "CASE WHEN (ts_ms // 60000) % {} = 0 THEN NULL ELSE {} END AS {}"
+_GAPS = {"kline_open": 2, "kline_close": 3, "kline_high": 5, "kline_volume": 7, "mark_close": 2, "basis_bps": 3}
+# what isn't finite counts as missing
+_GAPPED = f"{WIDE}, g AS (SELECT * REPLACE ({', '.join(_EVERY.format(n, c, c) for c, n in _GAPS.items())}) FROM w)"
+ORACLES["nonfinite_resample_1h"] = f"""{_GAPPED} SELECT symbol, bucket AS ts_ms, {_bars('')}
+FROM (SELECT *, {floor_to('ts_ms', 60 * MINUTE)} AS bucket FROM g) GROUP BY symbol, bucket"""
+ORACLES["nonfinite_coverage"] = f"{_GAPPED} " + " UNION ALL ".join(
+    f"SELECT symbol, '{c}' AS series, count({c}) AS finite_rows, count({c}) > 0 AS has_data FROM g GROUP BY symbol"
+    for c in SERIES_COLUMNS
+)
+
 # --- parallel arrays ------------------------------------------------------------------------------
 
 
@@ -308,6 +319,10 @@ ORACLES["series_pack_1h"] = f"""WITH r AS ({_resample(60)})
 SELECT symbol, {floor_to('ts_ms', 1440 * MINUTE)} AS page_ms, count(*) AS rows,
   {_joined(_iso('ts_ms', _ISO_SECONDS))} AS ts, {_joined('CAST(round(kline_high * 100) AS BIGINT)')} AS kline_high
 FROM r GROUP BY 1, 2"""
+ORACLES["nonfinite_pack"] = f"""{_GAPPED}
+SELECT symbol, {floor_to('ts_ms', 1440 * MINUTE)} AS page_ms, count(*) AS rows,
+  {_joined('CAST(round(kline_open * 100) AS BIGINT)')} AS kline_open, {_joined('CAST(round(mark_close * 100) AS BIGINT)')} AS mark_close
+FROM g GROUP BY 1, 2"""
 ORACLES["series_unpack"] = _resample(1)
 
 # --- event study --------------------------------------------------------------------------------------
@@ -342,6 +357,9 @@ UNION ALL SELECT '| ' || symbol || ' | ' || horizon_hours || ' | ' || event_coun
 ORACLES["event_forward_moves"] = f"""{_moves('kline_volume > 50', [1, 20])}
 SELECT symbol, event_ts_ms, horizon_hours, move FROM moves"""
 
+ORACLES["event_study_csv"] = f"""WITH s AS ({_study('symbol, horizon_hours')})
+SELECT symbol, horizon_hours, event_count, up_count, down_count FROM s"""
+
 # --- scalars ------------------------------------------------------------------------------------------------
 
 ORACLES["iso_text"] = f"""WITH {TICKS}

@@ -325,6 +325,37 @@ def resample_funding_8h(spark, sf_dir):
     return resample.resample_funding(dt.funding(dt.ticks(spark, sf_dir)), "8h")
 
 
+def _with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table with NaN and infinities in some series, by the minute."""
+    wide, minute = dt.wide(spark, sf_dir), F.floor(F.col("ts_ms") / dt.MINUTE_MS)
+
+    def every(n: int, value: float, column: str) -> Column:
+        return F.when(F.pmod(minute, F.lit(n)) == 0, F.lit(value)).otherwise(F.col(column))
+
+    inf, nan = float("inf"), float("nan")
+    return wide.withColumns({
+        "kline_open": every(2, nan, "kline_open"), "kline_close": every(3, inf, "kline_close"), "kline_high": every(5, -inf, "kline_high"),
+        "kline_volume": every(7, nan, "kline_volume"), "mark_close": every(2, inf, "mark_close"), "basis_bps": every(3, nan, "basis_bps"),
+    })
+
+
+@query
+def nonfinite_resample_1h(spark, sf_dir):
+    return rounded(resample.resample(_with_gaps(spark, sf_dir), "1h"))
+
+
+@query
+def nonfinite_coverage(spark, sf_dir):
+    return series.coverage(_with_gaps(spark, sf_dir))
+
+
+@query
+def nonfinite_pack(spark, sf_dir):
+    pages = series.pack(_with_gaps(spark, sf_dir), ["kline_open", "mark_close"])
+    whole = [_csv(F.transform(c, lambda x: F.round(x * 100).cast("bigint"))).alias(c) for c in ("kline_open", "mark_close")]
+    return pages.select("symbol", "page_ms", "rows", *whole)
+
+
 # --- parallel arrays --------------------------------------------------------------------
 
 
@@ -393,6 +424,15 @@ def event_study_markdown(spark, sf_dir):
     return events.markdown_rows(counts)
 
 
+@query
+def event_study_csv(spark, sf_dir):
+    """The counts of a study written as CSV and read back."""
+    path = shared_dir(spark, "study-csv")
+    counts = _study(spark, sf_dir, by_symbol=True).select("symbol", "horizon_hours", "event_count", "up_count", "down_count")
+    events.write_csv(counts, path)
+    return spark.read.schema(counts.schema).option("header", "true").csv(path)
+
+
 # --- scalars --------------------------------------------------------------------------------
 
 
