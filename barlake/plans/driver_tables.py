@@ -187,8 +187,9 @@ def account_ratio_texts(ticks: DataFrame) -> DataFrame:
 
 
 def generic_texts(ticks: DataFrame) -> DataFrame:
-    """Every line has an object 1 to 30 levels deep (by size) and an id of 20 digits."""
-    depth = F.pmod(F.col("size").cast("int"), F.lit(30)) + 1
+    """Every line has an id of 20 digits and an object, which in one line of seven is up to 30 levels deep (by size)."""
+    size = F.col("size").cast("int")
+    depth = F.when(F.pmod(size, F.lit(7)) == 0, F.pmod(size, F.lit(30))).otherwise(0) + 1
     deep = F.concat(F.repeat(F.lit('{"k":'), depth), F.lit("7"), F.repeat(F.lit("}"), depth))
     text = _text(
         '{"ts": 0, "timestamp": "", "time": "<ms>", "a": {"b": {"c": "<s>", "d": {}}, "e": <p>}, '
