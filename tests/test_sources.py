@@ -119,6 +119,20 @@ def test_widen_and_names(spark):
     assert [(r.x, r.y, r.z) for r in wide] == [(1.5, None, None), (None, None, 2)]
 
 
+def test_keys_become_columns_of_views(spark, tmp_path):
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    write(source / "AAA" / "raw" / "instrument.json", '{"symbol":"aaa","f":{"tick":"0.5","n":1},"Status":"on","status":"off"}')
+    write(source / "BBB" / "raw" / "instrument.json", '{"f":{"tick":2,"n":"x"},"empty":""}')
+    ingest.refresh(spark, str(source), lake)
+    tables.open_tables(spark, lake)
+    view = spark.table("instrument")
+    types = dict(view.dtypes)
+    assert (types["f_tick"], types["f_n"], types["empty"]) == ("double", "string", "string")
+    assert sum(c.lower() == "status" for c in view.columns) == 1 and "fields" in view.columns
+    rows = view.select("symbol", "record_symbol", "f_tick", "f_n").orderBy("symbol").collect()
+    assert [tuple(r) for r in rows] == [("AAA", "aaa", 0.5, "1"), ("BBB", "BBB", 2.0, "x")]
+
+
 def test_meta(spark):
     docs = [
         '{"symbol":"","listingTimeMs":"1704067200000","endpointState":{"k":{"n":"5","d":{"z":1}},"flag":true},"o":{"x":1}}',
