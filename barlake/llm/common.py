@@ -98,16 +98,22 @@ class WordMemo:
         return self.values
 
 
-#: Kept by a Python worker from one task to the next.
+#: Kept by a Python worker from one task to the next: the state of the operator it works for, no other's.
 _KEPT: dict = {}
 
 
 def kept(key: tuple, make: Callable):
     if key not in _KEPT:
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let go of what another operator has kept, in tasks that keep nothing themselves."""
+    _KEPT.clear()
+
+
 def byte_letters() -> dict[str, int]:
     """The letters byte-level vocabularies write bytes with: printable ones stand for themselves."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

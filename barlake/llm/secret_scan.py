@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import map_columns
+from barlake.llm.common import forget, map_columns
 
 # The kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "packed")
@@ -304,6 +304,7 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_c
     """All rows and columns, secrets in the text replaced and the length column counted anew; null texts stay null."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        forget()
         for batch in batches:
             clean = [None if t is None else redact_text(t) for t in batch[text_column]]
             lengths = [n if c is None or c is t else len(c) for n, c, t in zip(batch[length_column], clean, batch[text_column], strict=True)]
