@@ -8,7 +8,9 @@ text that stands at one place becomes one slot. The result is the host's
 wrapper, without alternatives. Each slot is then judged by what all pages of
 the host put into it: its place under menus, headers, footers, forms, notices,
 adverts or comments, the share of its text that is link text, and whether it
-ever changes. A page's main text is the blocks that its expression has in
+ever changes. A slot of a page that its wrapper has no place for is judged by the
+tags it stands under in the page itself, together with others under the same
+tags. A page's main text is the blocks that its expression has in
 content slots, in page order.
 
 Pages are parsed once and stored as blocks; figures per slot are sums over all
@@ -302,6 +304,19 @@ def outside(place: tuple[str, ...]) -> bool:
     return False
 
 
+def own_slots(expr: list) -> list[tuple[tuple[str, ...], bool, bool]]:
+    """For each slot of an expression: the tags it stands under, whether they put it into the article, whether they may hold main text."""
+    where = places(wrapper_of(expr))
+    inside = [any(x.split(".")[0] in ARTICLE for x in place) for place in where]
+    article = any(inside)
+    return [(place, own, (own or not article) and not outside(place)) for place, own in zip(where, inside, strict=True)]
+
+
+def _unmatched(place: tuple[str, ...]) -> int:
+    """A negative number for slots that the wrapper has no place for: those under the same tags are one."""
+    return -1 - int(hashlib.md5(" ".join(place).encode()).hexdigest()[:15], 16)
+
+
 def content(wrapper: list, figures: dict[int, tuple[float, float, float, bool]]) -> list[bool]:
     """Which slots hold main text, from their places and (pages, characters, link characters, always the same) over the host."""
     where = places(wrapper)
@@ -362,10 +377,17 @@ def infer(parsed: DataFrame) -> DataFrame:
 
     def locate(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            found = [located(json.loads(w), json.loads(e)) for w, e in zip(batch["wrapper"], batch["expr"], strict=True)]
-            yield {"host": batch["host"], "form": batch["form"], "found": found}
-
-    at = stored(map_columns(forms.join(wrappers, "host").select("host", "form", "expr", "wrapper"), locate, "host string, form string, found array<int>"), "slots")
+            out: dict[str, list] = {"found": [], "inside": [], "may": []}
+            for wrapper, text in zip(batch["wrapper"], batch["expr"], strict=True):
+                expr = json.loads(text)
+                own = own_slots(expr)
+                out["found"].append([p if p >= 0 else _unmatched(o[0]) for p, o in zip(located(json.loads(wrapper), expr), own, strict=True)])
+                out["inside"].append([o[1] for o in own])
+                out["may"].append([o[2] for o in own])
+            yield {"host": batch["host"], "form": batch["form"]} | out
+
+    schema = "host string, form string, found array<long>, inside array<boolean>, may array<boolean>"
+    at = stored(map_columns(forms.join(wrappers, "host").select("host", "form", "expr", "wrapper"), locate, schema), "slots")
     block = parsed.select("host", "form", F.explode("blocks").alias("b")).select("host", "form", "b.slot", F.length("b.text").alias("chars"), "b.links", F.xxhash64("b.text").alias("h"))
     sums = block.groupBy("host", "form", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("h").alias("low"), F.max("h").alias("high"))
     spread = at.select("host", "form", F.posexplode("found").alias("slot", "place"))
@@ -380,11 +402,14 @@ def infer(parsed: DataFrame) -> DataFrame:
             keep = []
             for text, rows in zip(batch["wrapper"], batch["figures"], strict=True):
                 known = {r["place"]: (r["n"], r["chars"], r["links"], r["same"]) for r in rows or ()}
-                keep.append([i for i, good in enumerate(content(json.loads(text), known)) if good])
+                good = [i for i, good in enumerate(content(json.loads(text), known)) if good]
+                # slots without a place in the wrapper: what their own tags leave open
+                keep.append(good + [k for k, (n, chars, links, same) in known.items() if k < 0 and not (same and n >= 3) and links <= chars / 2])
             yield {"host": batch["host"], "good": keep}
 
-    judged = map_columns(wrappers.join(gathered, "host", "left"), judge, "host string, good array<int>")
-    good = F.transform("found", lambda place, i: F.when(F.array_contains("good", place), i))
+    judged = map_columns(wrappers.join(gathered, "host", "left"), judge, "host string, good array<long>")
+    placed = F.transform("found", lambda place, i: F.array_contains("good", place) & ((place >= 0) | F.get("may", i)) | ((place < 0) & F.get("inside", i) & F.get("may", i)))
+    good = F.transform(placed, lambda is_good, i: F.when(is_good, i))
     return at.join(judged, "host").select("host", "form", F.array_compact(good).alias("keep"))
 
 

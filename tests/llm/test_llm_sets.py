@@ -228,6 +228,37 @@ def test_pages_without_article_and_odd_rows(spark):
     assert (by[20], by[21], by[22], by[23], by[None]) == ("", "", "a < b\nc d", "", "x")
 
 
+def mixed(seed):
+    """An article of mixed blocks, and its texts."""
+    rng, texts = random.Random(seed), []
+
+    def text():
+        texts.append(f"Text {seed} {len(texts)} of this page")
+        return texts[-1]
+
+    kinds = (
+        lambda: f"<h2>{text()}</h2>",
+        lambda: "".join(f"<p>{text()}</p>" for _ in range(rng.randint(1, 3))),
+        lambda: "<ul>" + "".join(f"<li>{text()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>",
+        lambda: f"<blockquote><p>{text()}</p></blockquote>",
+        lambda: "<table>" + "".join(f"<tr><td>{text()}</td><td>{text()}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>",
+    )
+    return "".join(rng.choice(kinds)() for _ in range(rng.randint(3, 12))), texts
+
+
+def main_texts(spark, rows):
+    found = page_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in found}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_no_block_of_a_mixed_article_is_lost(spark, tag):
+    pages = [mixed(i) for i in range(120)]
+    rows = [(i, "http://a.example", f"<nav><ul><li><a href='/'>Home</a></li></ul></nav><{tag}>{body}</{tag}><footer><p>Foot</p></footer>") for i, (body, _) in enumerate(pages)]
+    found = main_texts(spark, rows)
+    assert [i for i, (_, texts) in enumerate(pages) if found[i] != "\n".join(texts)] == []
+
+
 def test_wrapper_alignment():
     def expr(*symbols):
         return page_wrappers.plain(page_wrappers.expression(list(symbols)))
