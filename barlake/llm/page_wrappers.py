@@ -5,13 +5,16 @@ stream are folded into repeated groups, which gives the page's own regular
 expression. The different expressions of a host are aligned one after another:
 what only one side has becomes optional, repeated groups are merged inside, and
 text that stands at one place becomes one slot. The result is the host's
-wrapper, without alternatives. Each slot is then judged by what all pages of
-the host put into it: its place under menus, headers, footers, forms, notices,
-adverts or comments, the share of its text that is link text, and whether it
-ever changes. A slot of a page that its wrapper has no place for is judged by the
-tags it stands under in the page itself, together with others under the same
-tags. A page's main text is the blocks that its expression has in
-content slots, in page order.
+wrapper, without alternatives.
+
+What a block is worth is first said by its own page: text under menus, headers,
+footers, forms, notices, adverts or comments is dropped, text in the page's
+article is kept, and a page that has an article has its main text there. What is
+left is judged by what all pages of the host put into the slot: the share of
+text that is link text, and whether it ever changes, over at least three pages
+that differ in their other slots. A slot of a page that its wrapper has no place
+for is judged together with others under the same tags. A page's main text is
+its good blocks, in page order.
 
 Pages are parsed once and stored as blocks; figures per slot are sums over all
 pages. A host's different expressions are dealt to cells of ``CELL`` and aligned
@@ -246,16 +249,20 @@ def places(wrapper: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
     return out
 
 
-def _step(symbol: str, stack: list[str]) -> list[str]:
-    name = symbol.lstrip("/").split(".")[0]
+def _stay(names: list[str], symbol: str) -> int:
+    """How many of the open tags stay open at a tag."""
+    k = len(names)
     if symbol.startswith("/"):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].split(".")[0] == name:
-                return stack[:k]
-        return stack
-    while stack and stack[-1].split(".")[0] in LOOSE:  # self-closing blocks end where the next one begins
-        stack = stack[:-1]
-    return [*stack, symbol]
+        name = symbol[1:]
+        return next((i for i in range(k - 1, -1, -1) if names[i] == name), k)
+    while k and names[k - 1] in LOOSE:  # self-closing blocks end where the next one begins
+        k -= 1
+    return k
+
+
+def _step(symbol: str, stack: list[str]) -> list[str]:
+    stack = stack[:_stay([x.split(".")[0] for x in stack], symbol)]
+    return stack if symbol.startswith("/") else [*stack, symbol]
 
 
 def _walk(group: list, stack: list[str]) -> list[str]:
@@ -293,23 +300,50 @@ def located(wrapper: list, expr: list) -> list[int]:
     return match(wrapper, wrapper_of(expr), 0)
 
 
-def outside(place: tuple[str, ...]) -> bool:
-    """Whether tags say that what stands there isn't the article."""
-    inside = False
-    for symbol in place:
+def opened(symbols: list[str]) -> tuple[list[tuple[str, int]], list[int]]:
+    """The tags of a page, each with the number of the one it stands in (-1: none), and for each TEXT the tag it stands in."""
+    tags: list[tuple[str, int]] = []
+    leaves: list[int] = []
+    stack: list[int] = []
+    names: list[str] = []
+    for symbol in symbols:
+        if symbol == TEXT:
+            leaves.append(stack[-1] if stack else -1)
+            continue
+        stay = _stay(names, symbol)
+        del stack[stay:], names[stay:]
+        if not symbol.startswith("/"):
+            tags.append((symbol, stack[-1] if stack else -1))
+            stack.append(len(tags) - 1)
+            names.append(symbol.split(".")[0])
+    return tags, leaves
+
+
+DROP, ARTICLE_TEXT, OPEN = 0, 1, 2
+
+
+def states(symbols: list[str], chars: list[int]) -> list[int]:
+    """For each block of a page, by the page's own tags: no main text, text of its article, or to be judged by what the host's pages have there."""
+    tags, leaves = opened(symbols)
+    inside, out = [False], [False]  # of each tag, and at the end of what stands in none
+    for symbol, parent in tags:
         name, _, words = symbol.partition(".")
-        if name in OUTSIDE or (name == "header" and not inside) or OUTSIDE_WORDS.search(words):
-            return True
-        inside = inside or name in ARTICLE
-    return False
+        own, gone = (inside[parent], out[parent]) if parent >= 0 else (False, False)
+        out.insert(-1, gone or name in OUTSIDE or (name == "header" and not own) or bool(OUTSIDE_WORDS.search(words)))
+        inside.insert(-1, own or name in ARTICLE)
+    article = any(inside[k] and not out[k] for k in leaves)
+    return [DROP if out[k] or (article and not inside[k]) else ARTICLE_TEXT if inside[k] else OPEN for k in leaves]
 
 
-def own_slots(expr: list) -> list[tuple[tuple[str, ...], bool, bool]]:
-    """For each slot of an expression: the tags it stands under, whether they put it into the article, whether they may hold main text."""
-    where = places(wrapper_of(expr))
-    inside = [any(x.split(".")[0] in ARTICLE for x in place) for place in where]
-    article = any(inside)
-    return [(place, own, (own or not article) and not outside(place)) for place, own in zip(where, inside, strict=True)]
+def others(slots_of: list[int], texts: list[str], found: list[int]) -> list[int]:
+    """For each block, a hash of what may be main text in the page's other slots."""
+    sums: dict[int, int] = {}
+    for k, (slot, text) in enumerate(zip(slots_of, texts, strict=True)):
+        if found[k] != DROP:
+            own = hashlib.blake2b(f"{sums.get(slot, 0)} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            sums[slot] = int.from_bytes(own)
+    every = sum(sums.values())
+    return [((every - sums.get(slot, 0)) & (1 << 64) - 1) - (1 << 63) for slot in slots_of]
 
 
 def _unmatched(place: tuple[str, ...]) -> int:
@@ -317,21 +351,8 @@ def _unmatched(place: tuple[str, ...]) -> int:
     return -1 - int(hashlib.md5(" ".join(place).encode()).hexdigest()[:15], 16)
 
 
-def content(wrapper: list, figures: dict[int, tuple[float, float, float, bool]]) -> list[bool]:
-    """Which slots hold main text, from their places and (pages, characters, link characters, always the same) over the host."""
-    where = places(wrapper)
-    article = any(x.split(".")[0] in ARTICLE for place in where for x in place)
-    out = []
-    for slot, place in enumerate(where):
-        pages, chars, links, same = figures.get(slot, (0, 0, 0, False))
-        inside = any(x.split(".")[0] in ARTICLE for x in place)
-        fixed = same and pages >= 3 and not inside
-        out.append((inside or not article) and not outside(place) and not fixed and (inside or links <= chars / 2))
-    return out
-
-
 def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, form, expr, blocks): form is the hash of the expression, blocks have their slot in it."""
+    """(page_id, url, host, form, expr, blocks): form is the hash of the expression, blocks have their slot in it, their state and a hash of the page's other slots."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -344,17 +365,19 @@ def parse(pages: DataFrame) -> DataFrame:
                 out["expr"].append(expr)
                 out["form"].append(hashlib.md5(expr.encode()).hexdigest())
                 slot_of = {i: s for s, own in enumerate(slots(nodes)) for i in own}
-                out["blocks"].append([{"slot": slot_of[i], "text": t, "links": n} for i, (t, n) in enumerate(texts)])
+                found = states(symbols, [len(t) for t, _ in texts])
+                rest = others([slot_of[i] for i in range(len(texts))], [t for t, _ in texts], found)
+                out["blocks"].append([{"slot": slot_of[i], "text": t, "links": n, "state": found[i], "others": rest[i]} for i, (t, n) in enumerate(texts)])
             yield {c: batch[c] for c in ("page_id", "url", "host")} | out
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return map_columns(rows, run, f"{kinds}, host string, form string, expr string, blocks array<struct<slot: int, text: string, links: int>>")
+    return map_columns(rows, run, f"{kinds}, host string, form string, expr string, blocks array<struct<slot: int, text: string, links: int, state: tinyint, others: long>>")
 
 
 def infer(parsed: DataFrame) -> DataFrame:
-    """(host, form, keep): for each expression of a host, the slots that hold main text."""
+    """(host, form, keep): for each expression of a host, the slots that hold main text where the page's tags leave it open."""
     forms = stored(parsed.groupBy("host", "form").agg(F.min("expr").alias("expr"), F.count("*").alias("pages")), "forms")
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -377,40 +400,26 @@ def infer(parsed: DataFrame) -> DataFrame:
 
     def locate(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"found": [], "inside": [], "may": []}
+            found = []
             for wrapper, text in zip(batch["wrapper"], batch["expr"], strict=True):
                 expr = json.loads(text)
-                own = own_slots(expr)
-                out["found"].append([p if p >= 0 else _unmatched(o[0]) for p, o in zip(located(json.loads(wrapper), expr), own, strict=True)])
-                out["inside"].append([o[1] for o in own])
-                out["may"].append([o[2] for o in own])
-            yield {"host": batch["host"], "form": batch["form"]} | out
-
-    schema = "host string, form string, found array<long>, inside array<boolean>, may array<boolean>"
-    at = stored(map_columns(forms.join(wrappers, "host").select("host", "form", "expr", "wrapper"), locate, schema), "slots")
-    block = parsed.select("host", "form", F.explode("blocks").alias("b")).select("host", "form", "b.slot", F.length("b.text").alias("chars"), "b.links", F.xxhash64("b.text").alias("h"))
-    sums = block.groupBy("host", "form", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("h").alias("low"), F.max("h").alias("high"))
+                own = places(wrapper_of(expr))
+                found.append([p if p >= 0 else _unmatched(o) for p, o in zip(located(json.loads(wrapper), expr), own, strict=True)])
+            yield {"host": batch["host"], "form": batch["form"], "found": found}
+
+    at = stored(map_columns(forms.join(wrappers, "host").select("host", "form", "expr", "wrapper"), locate, "host string, form string, found array<long>"), "slots")
+    block = parsed.select("host", "form", F.explode("blocks").alias("b")).select("host", "form", "b.slot", "b.others", F.length("b.text").alias("chars"), "b.links", F.xxhash64("b.text").alias("h"))
+    sums = block.groupBy("host", "form", "slot", "others").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("h").alias("low"), F.max("h").alias("high"))
     spread = at.select("host", "form", F.posexplode("found").alias("slot", "place"))
-    figures = sums.join(spread, ["host", "form", "slot"]).groupBy("host", "place").agg(
-        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("low") == F.max("high")).alias("same"),
-    )
+    figure = (F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # repeats in a page and copies of pages are one
+    apart = sums.join(spread, ["host", "form", "slot"]).groupBy("host", "place", "others").agg(*figure)
+    figures = apart.groupBy("host", "place").agg(F.count("*").alias("pages"), *figure)
+    fixed = (F.col("pages") >= 3) & (F.col("low") == F.col("high"))
     # one row per slot of a host's wrapper
-    gathered = figures.groupBy("host").agg(F.collect_list(F.struct("place", "n", "chars", "links", "same")).alias("figures"))
-
-    def judge(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            keep = []
-            for text, rows in zip(batch["wrapper"], batch["figures"], strict=True):
-                known = {r["place"]: (r["n"], r["chars"], r["links"], r["same"]) for r in rows or ()}
-                good = [i for i, good in enumerate(content(json.loads(text), known)) if good]
-                # slots without a place in the wrapper: what their own tags leave open
-                keep.append(good + [k for k, (n, chars, links, same) in known.items() if k < 0 and not (same and n >= 3) and links <= chars / 2])
-            yield {"host": batch["host"], "good": keep}
-
-    judged = map_columns(wrappers.join(gathered, "host", "left"), judge, "host string, good array<long>")
-    placed = F.transform("found", lambda place, i: F.array_contains("good", place) & ((place >= 0) | F.get("may", i)) | ((place < 0) & F.get("inside", i) & F.get("may", i)))
-    good = F.transform(placed, lambda is_good, i: F.when(is_good, i))
-    return at.join(judged, "host").select("host", "form", F.array_compact(good).alias("keep"))
+    bad = figures.where(fixed | (F.col("links") > F.col("chars") / 2)).groupBy("host").agg(F.collect_list("place").alias("bad"))
+    good = F.transform("found", lambda place, i: F.when(~F.coalesce(F.array_contains("bad", place), F.lit(False)), i))
+    return at.join(bad, "host", "left").select("host", "form", F.array_compact(good).alias("keep"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -418,6 +427,6 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = stored(parse(pages), "pages")
     keep = stored(infer(parsed.select("host", "form", "expr", "blocks")), "keep")
     rows = parsed.drop("expr").join(keep, ["host", "form"])
-    main = F.filter("blocks", lambda b: F.array_contains("keep", b["slot"]))
+    main = F.filter("blocks", lambda b: (b["state"] == ARTICLE_TEXT) | ((b["state"] == OPEN) & F.array_contains("keep", b["slot"])))
     text = F.array_join(F.transform(main, lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

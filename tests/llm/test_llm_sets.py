@@ -259,6 +259,18 @@ def test_no_block_of_a_mixed_article_is_lost(spark, tag):
     assert [i for i, (_, texts) in enumerate(pages) if found[i] != "\n".join(texts)] == []
 
 
+def test_pages_are_judged_by_their_own_tags_and_copies_are_one(spark):
+    rows = [(i, "http://a.example", f"<article><p>In article {i}</p></article><div><p>Beside {i}</p></div>") for i in range(5)]
+    rows += [(10 + i, "http://a.example", f"<div><h2>Head {i}</h2><p>In div {i}</p></div>") for i in range(5)]
+    rows += [(20 + i, "http://b.example", "<div><p>A page and</p><ul><li>its copies</li></ul></div>") for i in range(4)]
+    rows += [(30 + i, "http://b.example", f"<div><p>Page {i}</p></div>") for i in range(4)]
+    rows += [(40 + i, "http://c.example", f"<div><h2>Title {i}</h2>{'<blockquote>Again</blockquote>' * 4 if i == 0 else ''}<p>Text {i}</p><section>All rights</section></div>") for i in range(4)]
+    found = main_texts(spark, rows)
+    assert all(found[i] == f"In article {i}" and found[10 + i] == f"Head {i}\nIn div {i}" for i in range(5))
+    assert all(found[20 + i] == "A page and\nits copies" and found[30 + i] == f"Page {i}" for i in range(4))
+    assert [found[40 + i] for i in range(4)] == ["Title 0" + "\nAgain" * 4 + "\nText 0", *(f"Title {i}\nText {i}" for i in range(1, 4))]
+
+
 def test_wrapper_alignment():
     def expr(*symbols):
         return page_wrappers.plain(page_wrappers.expression(list(symbols)))
