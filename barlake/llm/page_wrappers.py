@@ -9,7 +9,10 @@ wrapper, without alternatives.
 
 What a block is worth is first said by its own page: text under menus, headers,
 footers, forms, notices, adverts or comments is dropped, text in the page's
-article is kept, and a page that has an article has its main text there. What is
+article is kept, and a page that has an article has its main text there. Words
+such as sidebar, and forms, count below the page's article or beside it, not
+around it: that is its <main>, or the <article> least under such tags and, if
+there are any, with most of the text. What is
 left is judged by what all pages of the host put into the slot: the share of
 text that is link text, and whether it ever changes, over at least three pages
 that differ in their other slots. A slot of a page that its wrapper has no place
@@ -54,12 +57,21 @@ TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)""",
     re.DOTALL,
 )
-RAW = frozenset("script style textarea title noscript template iframe object svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe object desc metadata annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 LOOSE = frozenset("p li dt dd td th tr option hr h1 h2 h3 h4 h5 h6 html body head thead tbody tfoot caption summary".split())
+# Loose tags that any block ends, and for the others: which open tags a tag ends, and through which others it looks for them.
+SHORT = LOOSE - frozenset("li dt dd td th tr thead tbody tfoot".split())
+CELLS, ROWS, PARTS = frozenset(("td", "th")), frozenset(("td", "th", "tr")), frozenset("td th tr thead tbody tfoot".split())
+ENDS = (
+    {"li": frozenset(("li",))} | dict.fromkeys(("dt", "dd"), frozenset(("dt", "dd"))) | dict.fromkeys(("td", "th"), CELLS)
+    | {"tr": ROWS} | dict.fromkeys(("thead", "tbody", "tfoot"), PARTS)
+)
+WITHIN = frozenset("button label select".split())
+LISTS = frozenset("ul ol menu dl".split())
 ARTICLE = frozenset("article main".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select option label head fieldset legend".split())
 OUTSIDE_WORDS = re.compile(
@@ -77,18 +89,54 @@ def _symbol(name: str, rest: str) -> str:
     return f"{name}.{'.'.join(sorted(set(words.split())))}" if words.strip() else name
 
 
+def _stay(names: list[str], symbol: str) -> int:
+    """How many of the open tags stay open at a tag."""
+    k = len(names)
+    name = symbol.lstrip("/").split(".")[0]
+    if symbol.startswith("/"):
+        # an end does not reach out of the list or table it stands in
+        wall = LISTS if name in ("li", "dt", "dd") else ("table",) if name in PARTS else ()
+        for i in range(k - 1, -1, -1):
+            if names[i] == name:
+                return i
+            if names[i] in wall:
+                break
+        return k
+    while k and names[k - 1] in SHORT and name not in WITHIN:
+        k -= 1
+    ends = ENDS.get(name, ())
+    for i in range(k - 1, -1, -1) if ends else ():
+        if names[i] in ends:
+            k = i
+        elif names[i] == "table" or (name not in PARTS and names[i] not in ("div", "address", "p")):
+            break
+    return k
+
+
 def stream(page: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Block tags and TEXT in page order, and the blocks of text, each with its characters inside links."""
+    """Block tags and TEXT in page order, and the blocks of text, each with its characters inside links.
+
+    The end of a loose tag is a symbol only where text, or a tag that would not end it, follows.
+    """
     symbols: list[str] = []
     blocks: list[tuple[str, int]] = []
     parts: list[str] = []
     in_link: list[str] = []
     link = False
     at = 0
+    open_tags: list[str] = []
+    ended: list[str] = []  # closed by ends that are no symbols yet, the outermost first
+    ends: list[str] = []
+
+    def settle() -> None:
+        symbols.extend(ends)
+        ended.clear()
+        ends.clear()
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
+            settle()
             symbols.append(TEXT)
             blocks.append((text, min(len(text), len(" ".join(entities.unescape("".join(in_link)).split())))))
         parts.clear()
@@ -99,6 +147,31 @@ def stream(page: str) -> tuple[list[str], list[tuple[str, int]]]:
         if link:
             in_link.append(text)
 
+    def finish(name: str) -> None:
+        stay = _stay(open_tags, "/" + name)
+        if stay == len(open_tags):
+            return
+        if name in LOOSE:
+            ended[:0] = open_tags[stay:]
+            ends.append("/" + name)
+        else:
+            if name in ended:
+                settle()
+            symbols.append("/" + name)
+            ended.clear()
+            ends.clear()
+        del open_tags[stay:]
+
+    def begin(name: str, rest: str) -> None:
+        stay = _stay(open_tags, name)
+        if ended and _stay(open_tags + ended, name) != stay:
+            settle()
+        ended.clear()
+        ends.clear()
+        del open_tags[stay:]
+        symbols.append(_symbol(name, rest))
+        open_tags.append(name)
+
     while m := TOKEN.search(page, at):
         add(page[at:m.start()])
         at, name = m.end(), (m["name"] or "").lower()
@@ -110,14 +183,16 @@ def stream(page: str) -> tuple[list[str], list[tuple[str, int]]]:
                 at = close.end() if close else len(page)
         elif name in BLOCKS:
             flush()
-            if m["end"]:
-                if name not in LOOSE:
-                    symbols.append("/" + name)
-            elif name not in ("html", "body", "hr"):
-                symbols.append(_symbol(name, m["rest"][:-1]))
+            if name in ("html", "body", "hr"):
+                if not m["end"]:
+                    finish("head" if name == "body" else "p")
+            elif m["end"]:
+                finish(name)
+            else:
+                begin(name, m["rest"][:-1])
         elif name == "a":
             link = not m["end"]
-        elif name in ("br", "img", "input", "wbr"):
+        elif name in ("br", "img", "input", "wbr", "text", "svg"):
             add(" ")
     add(page[at:])
     flush()
@@ -249,17 +324,6 @@ def places(wrapper: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
     return out
 
 
-def _stay(names: list[str], symbol: str) -> int:
-    """How many of the open tags stay open at a tag."""
-    k = len(names)
-    if symbol.startswith("/"):
-        name = symbol[1:]
-        return next((i for i in range(k - 1, -1, -1) if names[i] == name), k)
-    while k and names[k - 1] in LOOSE:  # self-closing blocks end where the next one begins
-        k -= 1
-    return k
-
-
 def _step(symbol: str, stack: list[str]) -> list[str]:
     stack = stack[:_stay([x.split(".")[0] for x in stack], symbol)]
     return stack if symbol.startswith("/") else [*stack, symbol]
@@ -325,14 +389,62 @@ DROP, ARTICLE_TEXT, OPEN = 0, 1, 2
 def states(symbols: list[str], chars: list[int]) -> list[int]:
     """For each block of a page, by the page's own tags: no main text, text of its article, or to be judged by what the host's pages have there."""
     tags, leaves = opened(symbols)
-    inside, out = [False], [False]  # of each tag, and at the end of what stands in none
-    for symbol, parent in tags:
-        name, _, words = symbol.partition(".")
-        own, gone = (inside[parent], out[parent]) if parent >= 0 else (False, False)
-        out.insert(-1, gone or name in OUTSIDE or (name == "header" and not own) or bool(OUTSIDE_WORDS.search(words)))
-        inside.insert(-1, own or name in ARTICLE)
-    article = any(inside[k] and not out[k] for k in leaves)
-    return [DROP if out[k] or (article and not inside[k]) else ARTICLE_TEXT if inside[k] else OPEN for k in leaves]
+    names = [symbol.split(".")[0] for symbol, _ in tags]
+    # of each tag, and at the end of what stands in none
+    inside, shut, warns, text = [False], [False], [0], [0] * (len(tags) + 1)
+    warned = [n == "form" or bool(OUTSIDE_WORDS.search(symbol.partition(".")[2])) for n, (symbol, _) in zip(names, tags, strict=True)]
+    # a whole word, such as comments, says more than a part of one, such as has-comments
+    weight = [w * (100 if any(OUTSIDE_WORDS.fullmatch(x) for x in symbol.split(".")[1:]) else 1) for w, (symbol, _) in zip(warned, tags, strict=True)]
+    for k, (_, parent) in enumerate(tags):
+        shut.insert(-1, shut[parent] or (names[k] in OUTSIDE and names[k] != "form") or (names[k] == "header" and not inside[parent]))
+        inside.insert(-1, inside[parent] or names[k] in ARTICLE)
+        warns.insert(-1, warns[parent] + weight[k])
+    for leaf, n in zip(leaves, chars, strict=True):
+        text[leaf] += 0 if shut[leaf] else n
+    below = text.copy()
+    for k in range(len(tags) - 1, -1, -1):
+        below[tags[k][1]] += below[k]
+
+    def holders(k: int) -> list[int]:
+        out = []
+        while k >= 0:
+            out.append(k)
+            k = tags[k][1]
+        return out
+
+    # words and forms around the page's article, or on it, say nothing
+    free: set[int] = set()
+    for kind in ("main", "article"):
+        chosen = [k for k, n in enumerate(names) if n == kind and not shut[k] and below[k]]
+        if free and kind == "article":
+            chosen = [k for k in chosen if free.intersection(holders(k))] or chosen
+        if not chosen:
+            continue
+        best = holders(min(chosen, key=lambda k: (warns[k], -below[k], k)))
+        doubted = [k for k in best if warned[k] and k not in free]
+        if doubted and kind == "article":
+            # it must hold most of what else may be main text in the page, or in its <main>
+            if free and free.isdisjoint(best):
+                continue
+            around = free | set(best)
+            bad = _below(tags, [w and k not in around for k, w in enumerate(warned)])
+            within = _below(tags, [n == "main" and k in free for k, n in enumerate(names)]) if free else [True] * len(text)
+            if 2 * below[doubted[0]] <= sum(t for t, b, w in zip(text, bad, within, strict=True) if w and not b):
+                continue
+        free.update(best)
+    if not free:
+        free.update(k for k, n in enumerate(names) if n == "form" and 2 * below[k] > below[-1])
+    gone = _below(tags, [s or (w and k not in free) for k, (s, w) in enumerate(zip(shut[:-1], warned, strict=True))])
+    article = any(inside[k] and not gone[k] for k in leaves)
+    return [DROP if gone[k] or (article and not inside[k]) else ARTICLE_TEXT if inside[k] else OPEN for k in leaves]
+
+
+def _below(tags: list[tuple[str, int]], marked: list[bool]) -> list[bool]:
+    """Which tags are marked or stand in a marked one; at the end what stands in none."""
+    out = [False]
+    for k, (_, parent) in enumerate(tags):
+        out.insert(-1, marked[k] or out[parent])
+    return out
 
 
 def others(slots_of: list[int], texts: list[str], found: list[int]) -> list[int]:

@@ -271,6 +271,32 @@ def test_pages_are_judged_by_their_own_tags_and_copies_are_one(spark):
     assert [found[40 + i] for i in range(4)] == ["Title 0" + "\nAgain" * 4 + "\nText 0", *(f"Title {i}\nText {i}" for i in range(1, 4))]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div class='content-sidebar-wrap'><main><article><p>T</p></article></main><aside><p>no</p></aside></div>", "T"),
+    ("<main class='has-sidebar'><p>T</p><div class='share'>no</div></main>", "T"),
+    ("<form id='aspnetForm'><article><p>T</p><form class='poll'>no</form></article></form>", "T"),
+    ("<form id='aspnetForm'><div><p>Some words</p></div></form><footer>no</footer>", "Some words"),
+    ("<div class='sidebar-layout'><article class='post'><p>Text</p></article></div><div class='comments'><article><p>no, much longer than the text</p></article></div>", "Text"),
+    ("<div><p>The text itself</p></div><div class='related'><article><p>no</p></article></div>", "The text itself"),
+    ("<main><article class='post tag-social'><p>T</p></article><div class='comments'><article><p>no</p></article></div></main>", "T"),
+    ("<article><p>E <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><svg><title>no</title><text>A</text><text>B</text></svg></article>", "E x=2\nA B"),
+    ("<article><p class='notice'>no</p>bare<h2 class='share'>no</h2>text</article>", "bare\ntext"),
+    ("<article><ul><li class='comment'><div>no</div><p>no</p></li><li>yes</li></ul>end</article>", "yes\nend"),
+    ("<article><table><tr><td class='sidebar'><p>no</p><div>no</div><td>cell</table>end</article>", "cell\nend"),
+    ("<head class='x'><meta></head><body>bare<p>in</p></body>", "bare\nin"),
+])
+def test_tags_around_and_in_the_article(page, want):
+    symbols, blocks = page_wrappers.stream(page)
+    found = page_wrappers.states(symbols, [len(t) for t, _ in blocks])
+    got = [t for (t, _), state in zip(blocks, found, strict=True) if state]
+    assert " ".join(got) == " ".join(want.split("\n")) and "no" not in " ".join(got).split()
+
+
+def test_ends_of_loose_tags_do_not_matter_where_others_follow():
+    closed = "<div><h2>a</h2><p>b</p><p>c</p><ul><li>d</li><li>e</li></ul><table><tr><td>f</td></tr></table></div>"
+    assert page_wrappers.stream(closed) == page_wrappers.stream(re.sub("</(p|li|td|tr|h2)>", "", closed))
+
+
 def test_wrapper_alignment():
     def expr(*symbols):
         return page_wrappers.plain(page_wrappers.expression(list(symbols)))
