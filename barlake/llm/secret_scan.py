@@ -2,7 +2,9 @@
 
 A worklist starts with the text itself. Every layer is scanned for secrets and
 then unwrapped: percent escapes, Unicode and character escapes, runs of base64,
-and compressed data inside those. What comes out is a new layer, until none
+and compressed data inside those or written as escapes of its bytes. Base64 is
+read at all four offsets and over lines of any width, text is UTF-8 or the ASCII
+characters of UTF-16, and all streams that follow each other are opened. What comes out is a new layer, until none
 does. A layer keeps, for every character, the span of the text it came from, so
 whatever is found in any layer is reported as a span of the text itself. A layer
 with a content and place seen before is not taken up again, which ends cycles.
@@ -24,6 +26,7 @@ import binascii
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -48,8 +51,16 @@ ESCAPE = re.compile(
     r"\\(?:u005[cC])*(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})"
     r"|&(?:amp;|#38;|#[xX]26;)*(?:#[0-9]{1,7};|#[xX][0-9A-Fa-f]{1,6};|(?:quot|apos|amp|lt|gt|equals|colon|nbsp);)"
 )
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,76}\r?\n)+[A-Za-z0-9+/_-]{2,76}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of any width and indent are one run; a run may have other letters glued to it.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)++={0,2}|[A-Za-z0-9+/_-]{16,}+={0,2}")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_LETTERS = 16
+# Bytes written as escapes, with the bytes between them that stand for themselves.
+PERCENT_BYTES = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}|[!-$&-~]")
+ESCAPE_BYTES = re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|[abfnrtv0\\'"/])|[\x20-\[\]-~]""")
+PERCENT_RUN = re.compile(f"(?:{PERCENT_BYTES.pattern})++")
+ESCAPE_RUN = re.compile(f"(?:{ESCAPE_BYTES.pattern})++")
+SIMPLE = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 MARKS = {b"\x1f\x8b": "gzip", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib", b"BZh": "bz2", b"\xfd7zXZ\0": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 MOST_UNPACKED = 1 << 28
 
@@ -70,42 +81,92 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def unpack(data: bytes, most: int) -> bytes | None:
-    """Decompressed data, None if it isn't compressed; TooLarge beyond ``most`` bytes."""
-    kind = next((k for mark, k in MARKS.items() if data.startswith(mark)), None)
-    try:
-        if kind in ("gzip", "zlib"):
-            reader = zlib.decompressobj(47)
-            out = reader.decompress(data, most + 1)
-        elif kind == "bz2":
-            out = bz2.BZ2Decompressor().decompress(data, most + 1)
-        elif kind == "xz":
-            out = lzma.LZMADecompressor().decompress(data, most + 1)
-        elif kind == "zstd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                out = stream.read(most + 1)
-        else:
-            return None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, MemoryError):
-        return None
-    except Exception as error:  # zstandard has an error class of its own
-        if type(error).__name__ != "ZstdError":
-            raise
-        return None
-    if len(out) > most:
-        raise TooLarge
-    return out
+MARK = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+# Runs of text, UTF-8 or ASCII characters in UTF-16, between whatever bytes.
+UTF8 = re.compile(rb"(?:[\t\n\x0b\x0c\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
+LITTLE, BIG = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}+"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){12,}+")
+LEAST_BYTES = 12
+
 
+def _member(kind: str, data: bytes, most: int) -> tuple[bytes, int, bool]:
+    """What the first stream of compressed data holds, the bytes it takes, and whether it is complete."""
+    if kind == "zstd":
+        import zstandard
 
-def as_text(data: bytes) -> str | None:
-    """Text if the bytes are UTF-8 without control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        # the library does not say where a frame ends: up to the next one's mark
+        with zstandard.ZstdDecompressor().stream_reader(data) as stream:
+            out = stream.read(most + 1)
+        following = data.find(b"\x28\xb5\x2f\xfd", 4)
+        return out, len(data) if following < 0 else following, True
+    reader = {"gzip": lambda: zlib.decompressobj(47), "zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
+    out = reader.decompress(data, most + 1)
+    return out, len(data) - len(reader.unused_data), reader.eof
+
+
+def unpack(data: bytes, most: int, complete: bool = False) -> tuple[bytes, int] | None:
+    """What all streams that follow each other hold, and the bytes they take; None if data isn't compressed; TooLarge beyond ``most`` bytes."""
+    out, at, left = [], 0, most
+    while kind := next((k for mark, k in MARKS.items() if data.startswith(mark, at)), None):
+        try:
+            part, taken, whole = _member(kind, data[at:], left)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, MemoryError):
+            break
+        except Exception as error:  # zstandard has an error class of its own
+            if type(error).__name__ != "ZstdError":
+                raise
+            break
+        if len(part) > left:
+            raise TooLarge
+        if complete and not whole:
+            break
+        out.append(part)
+        left -= len(part)
+        at += taken
+        padding = at
+        while kind != "zstd" and data[padding:padding + 1] == b"\0":
+            padding += 1
+        if any(data.startswith(mark, padding) for mark in MARKS):
+            at = padding
+    return (b"".join(out), at) if out else None
+
+
+def texts(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Runs of text in bytes, with the first and last byte of each character; shorter ones only if they are all there is."""
+    for m in UTF8.finditer(data):
+        if len(m[0]) < LEAST_BYTES and len(m[0]) < len(data):
+            continue
+        text = m[0].decode("utf-8", "replace")
+        widths = np.array([len(c.encode()) for c in text])
+        last = m.start() + np.cumsum(widths) - 1
+        if last[-1] != m.end() - 1:  # surrogates and the like as bytes: place by place
+            text = m[0].decode("latin-1")
+            last, widths = np.arange(m.start(), m.end()), 1
+        yield text, last - widths + 1, last
+    if b"\0" in data:
+        for pattern, code in ((LITTLE, "utf-16-le"), (BIG, "utf-16-be")):
+            for m in pattern.finditer(data):
+                first = np.arange(m.start(), m.end(), 2)
+                yield m[0].decode(code), first, first + 1
+
+
+def opened(data: bytes, most: int, complete: bool = False) -> tuple[list[bytes], int] | None:
+    """What compressed data holds at its innermost, also what stands behind the streams inside it, and the bytes taken."""
+    found = unpack(data, most, complete)
+    if found is None:
         return None
-    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+    out, seen, work = [], {hashlib.sha256(data).digest()}, [found[0]]
+    while work:
+        inner = work.pop()
+        digest = hashlib.sha256(inner).digest()
+        if digest in seen:  # data that unpacks to itself
+            continue
+        seen.add(digest)
+        more = unpack(inner, most)
+        if more is None:
+            out.append(inner)
+            continue
+        work += [more[0], inner[more[1]:]]
+    return out, found[1]
 
 
 class Layer:
@@ -194,43 +255,81 @@ def _base64(layer: Layer, most: int) -> Iterator[Layer | tuple[int, int]]:
     candidates = [m.span() for m in BASE64.finditer(layer.text)]
     candidates += [(s + a.start(), s + a.end()) for s, e in candidates if "\n" in layer.text[s:e] for a in BASE64_LINE.finditer(layer.text[s:e])]
     for s, e in candidates:
-        if (s, e) in done:
+        if (s, e) in done or e - s < LEAST_LETTERS:
             continue
         done.add((s, e))
         run = layer.text[s:e]
-        places = np.array([i for i, c in enumerate(run) if c not in "\r\n="]) + s
-        letters = re.sub(r"[\r\n=]", "", run)
-        letters = letters[:len(letters) - (len(letters) % 4 == 1)]
-        try:
-            data = base64.b64decode(letters.replace("-", "+").replace("_", "/") + "=" * (-len(letters) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        places = np.array([i for i, c in enumerate(run) if c not in "\r\n\t >="]) + s
+        if len(places) < LEAST_LETTERS:
             continue
-        whole = layer.root(s, e)
-        inner, packed, seen = data, False, set()
+        every = re.sub(r"[\r\n\t >=]", "", run).replace("-", "+").replace("_", "/")
+        for offset in range(4):  # letters may be glued to the front
+            letters = every[offset:]
+            letters = letters[:len(letters) - (len(letters) % 4 == 1)]
+            try:
+                data = base64.b64decode(letters + "=" * (-len(letters) % 4), validate=True)
+            except (binascii.Error, ValueError):
+                continue
+
+            def span(first, last, places=places[offset:]):
+                # byte i lies in letters i * 4 // 3 and the next one
+                starts, ends = places[first * 4 // 3], places[np.minimum(last * 4 // 3 + 1, len(places) - 1)] + 1
+                return (starts, ends) if layer.starts is None else (layer.starts[starts], layer.ends[ends - 1])
+
+            whole = False
+            for text, first, last in texts(data):
+                whole = whole or last[-1] - first[0] + 1 >= len(data) - 1
+                yield Layer(text, *span(first, last))
+
+            def place(a, b, offset=offset, size=len(data)):
+                end = e if b >= size else int(places[min(offset + (b - 1) * 4 // 3 + 1, len(places) - 1)]) + 1
+                return int(places[offset + a * 4 // 3]), end
+
+            taken = yield from _packed(layer, data, place, most)
+            if whole or taken >= len(data) - 1:
+                break
+
+
+def _packed(layer: Layer, data: bytes, place, most: int):
+    """Layers and root spans for the compressed data in bytes; ``place`` gives the span of the bytes from a to b. Returns the end of the last."""
+    at = 0
+    while m := MARK.search(data, at):
+        a = m.start()
         try:
-            while (out := unpack(inner, most)) is not None:
-                digest = hashlib.sha256(inner).digest()
-                if digest in seen:  # data that unpacks to itself
-                    break
-                seen.add(digest)
-                inner, packed = out, True
+            found = opened(data[a:], most, complete=a > 0)
         except TooLarge:
-            yield whole
+            yield layer.root(*place(a, len(data)))
+            return len(data)
+        if found is None:
+            at = a + 1
             continue
-        text = as_text(inner)
-        if not text:
+        at = a + max(found[1], 1)
+        start, end = layer.root(*place(a, at))
+        for part in found[0]:
+            for text, _, _ in texts(part):
+                yield Layer(text, np.full(len(text), start), np.full(len(text), end))
+    return at
+
+
+def _bytes(layer: Layer, most: int) -> Iterator[Layer | tuple[int, int]]:
+    """Layers in compressed data that is written as escapes of its bytes; a root span for one that is too large to open."""
+    for sign, run, token, plus in (("%", PERCENT_RUN, PERCENT_BYTES, True), ("%", PERCENT_RUN, PERCENT_BYTES, False), ("\\", ESCAPE_RUN, ESCAPE_BYTES, False)):
+        if sign not in layer.text:
             continue
-        if packed:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
-            continue
-        # byte i lies in letters i * 4 // 3 and the next one
-        widths = np.array([len(c.encode()) for c in text])
-        last = np.cumsum(widths) - 1
-        first = last - widths + 1
-        starts, ends = places[first * 4 // 3], places[np.minimum(last * 4 // 3 + 1, len(places) - 1)] + 1
-        if layer.starts is not None:
-            starts, ends = layer.starts[starts], layer.ends[ends - 1]
-        yield Layer(text, starts, ends)
+        for m in run.finditer(layer.text):
+            if m[0].count(sign) < 2 or (plus and "+" not in m[0]):
+                continue
+            spans = [t.span() for t in token.finditer(layer.text, m.start(), m.end())]
+            data = bytes(_byte(layer.text[s:e], plus) for s, e in spans)
+            yield from _packed(layer, data, lambda a, b, spans=spans: (spans[a][0], spans[b - 1][1]), most)
+
+
+def _byte(raw: str, plus: bool) -> int:
+    if len(raw) == 1:
+        return 0x20 if plus and raw == "+" else ord(raw)
+    if raw[0] == "%" or raw[1] in "xu":
+        return int(raw[-2:], 16)
+    return SIMPLE.get(raw[1], ord(raw[1]))
 
 
 def layered(text: str, most_unpacked: int = MOST_UNPACKED) -> list[tuple[int, int, int]]:
@@ -253,7 +352,7 @@ def layered(text: str, most_unpacked: int = MOST_UNPACKED) -> list[tuple[int, in
         if "\\" in layer.text or "&" in layer.text:
             inner.append(_escaped(layer, ESCAPE, _escape))
         work += [x for x in inner if x is not None and x.text]
-        for x in _base64(layer, most_unpacked):
+        for x in itertools.chain(_bytes(layer, most_unpacked), _base64(layer, most_unpacked)):
             if isinstance(x, Layer):
                 work.append(x)
             else:

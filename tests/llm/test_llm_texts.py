@@ -1,10 +1,13 @@
 """Token files, prefix counts, sampled pieces, secrets: against libraries and brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
@@ -164,6 +167,28 @@ def test_secrets_end_on_cycles_and_bombs():
     assert secret_scan.scan_text("\\ud83d\\ude00 %ff%fe%E9 &#x110000; \\U00110000") == ([], [])
 
 
+PLANTED = "see " + SECRET + " and more"
+ZIPPED = gzip.compress(PLANTED.encode())
+
+
+@pytest.mark.parametrize("inner", [
+    b64(gzip.compress(b"first part ") + ZIPPED), b64(bz2.compress(b"first part ") + bz2.compress(PLANTED.encode())), b64(lzma.compress(b"first") + lzma.compress(PLANTED.encode())),
+    b64(gzip.compress(b"first") + b"\0" * 8 + ZIPPED), b64(zlib.compress(b"first") + PLANTED.encode()), urllib.parse.quote(ZIPPED, safe=""), urllib.parse.quote_plus(zlib.compress(PLANTED.encode())),
+    "".join(f"\\x{b:02x}" for b in ZIPPED), repr(ZIPPED)[2:-1], "/v1/" + b64(PLANTED), "id_" + b64(PLANTED), "x" + b64(PLANTED), "ab-" + b64(ZIPPED), b64(PLANTED).rstrip("=") + "/end_of",
+    "\n".join(textwrap.wrap(b64(PLANTED), 20)), "\r\n".join("    " + x for x in textwrap.wrap(b64(PLANTED * 3), 90)), b64(PLANTED.encode("utf-16-le")), b64(PLANTED.encode("utf-16-be")), b64(gzip.compress(PLANTED.encode("utf-16"))),
+])
+def test_secrets_in_layers_that_stayed_shut(inner):
+    text = f"é before\n{inner} , after"
+    every = secret_scan.scan_text(text)[1]
+    begin = text.index(inner)
+    assert any(k == 0 for _, k, _ in every) and all(begin <= s < e <= begin + len(inner) for s, k, e in every)
+
+
+def test_later_members_count_as_packed():
+    bombs = b64(gzip.compress(b"a" * 700_000) * 2)
+    assert secret_scan.scan_text(f"x {bombs}", most_unpacked=1 << 20)[1] == [(2, 3, 2 + len(bombs))]
+
+
 def base_spans(text):
     out = []
     kinds = (
