@@ -92,6 +92,14 @@ def test_keep_one_of_each_group(spark):
     assert kept.columns == docs_frame(spark, rows).columns
 
 
+def test_keep_one_tells_rows_of_a_repeated_id_apart(spark):
+    fox, cat, sun = (" ".join(f"{w}{i}" for i in range(60)) for w in ("fox", "cat", "sun"))
+    # unrelated texts under 5; 7 alone and 7 a copy of 1
+    rows = [(5, fox), (5, cat), (1, sun), (7, sun), (7, "one more text that copies nothing at all"), (7, "one more text that copies nothing at all")]
+    kept = simhash_join.keep_one(docs_frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, fox), (5, cat), (1, sun), (7, rows[-1][1])])
+
+
 def test_mixing_query(spark, sf_dir):
     rows = queries.op4_mixing(spark, sf_dir).collect()
     source = {r.doc_id: (r.source, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
