@@ -38,6 +38,11 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Workers on this machine find the package even where it is not installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
 def map_columns(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str) -> DataFrame:
     """Run a generator over Arrow batches given as dicts of Python lists.
 

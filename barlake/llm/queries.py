@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import compression_quality, line_labels, mixing, page_wrappers, permutation_index, piece_sampling, prefix_counts, secret_scan, simhash_join, token_files
+from barlake.llm import (
+    compression_quality,
+    line_labels,
+    mixing,
+    page_wrappers,
+    permutation_index,
+    piece_sampling,
+    prefix_counts,
+    ranked_search,
+    secret_scan,
+    simhash_join,
+    sliced_index,
+    spelling_groups,
+    token_files,
+)
 from barlake.llm.common import table
 from barlake.settings import shared_dir
 
@@ -53,6 +67,18 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.group(table(spark, sf_dir, "documents"), least=2, ratio=10)
+
+
+def op13_sliced_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliced_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_join": op2_simhash_join,
@@ -64,6 +90,13 @@ QUERIES = {
     "op8_prefix_counts": op8_prefix_counts,
     "op9_line_labels": op9_line_labels,
     "op10_permutation_index": op10_permutation_index,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_groups": op12_spelling_groups,
+    "op13_sliced_index": op13_sliced_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_ranked_search": ranked_search.SEARCH_SQL,
+    "op12_spelling_groups": spelling_groups.GROUP_SQL,
+    "op13_sliced_index": sliced_index.SEARCH_SQL,
+}
