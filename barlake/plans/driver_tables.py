@@ -187,13 +187,12 @@ def account_ratio_texts(ticks: DataFrame) -> DataFrame:
 
 
 def generic_texts(ticks: DataFrame) -> DataFrame:
-    """Every line has an id of 20 digits and an object, which in one line of seven is up to 30 levels deep (by size)."""
-    size = F.col("size").cast("int")
-    depth = F.when(F.pmod(size, F.lit(7)) == 0, F.pmod(size, F.lit(30))).otherwise(0) + 1
+    """Every line has an id of 20 digits, an object that is 1 to 30 levels deep (by size), keys that meet when joined, and braces in a text."""
+    depth = F.pmod(F.col("size").cast("int"), F.lit(30)) + 1
     deep = F.concat(F.repeat(F.lit('{"k":'), depth), F.lit("7"), F.repeat(F.lit("}"), depth))
     text = _text(
         '{"ts": 0, "timestamp": "", "time": "<ms>", "a": {"b": {"c": "<s>", "d": {}}, "e": <p>}, '
-        '"list": [1, "<s>", {"x": [2]}], "text": " user <u> ", "none": null, "u": <u>, "u": -<u>, "id": 12345678901<d>, "deep": <deep>}',
+        '"list": [1, "<s>", {"x": [2]}], "x": {"y_z": <s>, "y": {"z": -<u>}}, "text": " }user <u>{ ", "none": null, "u": <u>, "u": -<u>, "id": 12345678901<d>, "deep": <deep>}',
         d=F.lpad(F.col("user_id").cast("string"), 9, "0"), deep=deep, ms=F.col("ms"), s=F.col("size"), p=F.col("price"), u=F.col("user_id"),
     )
     return ticks.select("event_id", F.col("symbol").alias("path_symbol"), text.alias("value"))

@@ -137,10 +137,11 @@ _GENERIC_FIELDS = [
     ("ts", "'0'", "0", "0.0"), ("timestamp", "NULL", "NULL", "NULL"),
     ("time", "CAST(ms AS VARCHAR)", "ms", "CAST(ms AS DOUBLE)"),
     ("a_b_c", "CAST(size AS VARCHAR)", "NULL", "size"), ("a_e", "CAST(price AS VARCHAR)", "NULL", "price"),
-    ("list", """'[1,"' || size || '",{"x":[2]}]'""", "NULL", "NULL"), ("text", "'user ' || user_id", "NULL", "NULL"),
+    ("list", """'[1,"' || size || '",{"x":[2]}]'""", "NULL", "NULL"), ("text", "'}user ' || user_id || '{'", "NULL", "NULL"),
+    ("x_y_z", "CAST(-user_id AS VARCHAR)", "-user_id", "CAST(-user_id AS DOUBLE)"),
     ("none", "NULL", "NULL", "NULL"), ("u", "CAST(-user_id AS VARCHAR)", "-user_id", "CAST(-user_id AS DOUBLE)"),
 ]
-_DEEP = "'deep' || repeat('_k', CASE WHEN CAST(size AS INT) % 7 = 0 THEN CAST(size AS INT) % 30 ELSE 0 END + 1)"
+_DEEP = "'deep' || repeat('_k', CAST(size AS INT) % 30 + 1)"
 _LONG_ID = "'12345678901' || lpad(CAST(user_id AS VARCHAR), 9, '0')"
 ORACLES["jsonl_generic_flatten"] = f"""WITH {TICKS}
 SELECT event_id, symbol, ms AS ts_ms, {_DEEP} AS field, '7' AS value_str, CAST(7 AS BIGINT) AS value_long, 7.0::DOUBLE AS value_double FROM b

@@ -46,10 +46,6 @@ EVENT_HORIZON_HOURS = [1, 2, 3, 4, 5, 6, 8, 20]
 # ------------------------------------------------------------------------------
 
 
-LIST_FIELDS = {"raw", "extra"}
-
-
-def json_struct(fields: list[str]) -> str:
-    """DDL of a struct that reads the listed JSON fields as text, list fields as VARIANT."""
-    typed = (f"`{f}`: {'VARIANT' if f in LIST_FIELDS else 'STRING'}" for f in fields)
-    return f"STRUCT<{', '.join(typed)}>"
+def json_struct(fields: list[str], mark: str = "") -> str:
+    """DDL of a struct that reads the listed JSON fields as text; names may start with a mark."""
+    return f"STRUCT<{', '.join(f'`{mark}{f}`: STRING' for f in fields)}>"

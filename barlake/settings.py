@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM does not compile longer methods: rows of many number columns are then projected in several
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

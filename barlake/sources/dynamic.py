@@ -7,8 +7,12 @@ Keys are flattened inside the row (no shuffle) into ``fields``, a map from
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from barlake.functions import maybe_numeric, symbol_or, to_int, truthy, ts_from_ms
 from barlake.functions.text import stripped
@@ -27,10 +31,6 @@ def _entries(doc: Column) -> Column:
     return F.transform(F.map_entries(doc), lambda e: _entry(e["key"], e["value"]))
 
 
-def _is_object(entry: Column) -> Column:
-    return entry["inner"].isNotNull()
-
-
 def _opened(entries: Column) -> Column:
     """Replace every object in an entry list by its own entries, under joined keys."""
     def inner(e: Column) -> Column:
@@ -38,17 +38,7 @@ def _opened(entries: Column) -> Column:
             F.map_entries(e["inner"]), lambda x: _entry(F.concat(e["key"], F.lit("_"), x["key"]), x["value"])
         )
 
-    return F.flatten(F.transform(entries, lambda e: F.when(_is_object(e), inner(e)).otherwise(F.array(e))))
-
-
-def _leaves(entries: Column, text: Column) -> Column:
-    """Open objects level by level until none is left; a text has no more levels than opening braces."""
-    braces = F.length(text) - F.length(F.replace(text, F.lit("{")))
-
-    def step(e: Column, _: Column) -> Column:
-        return F.when(F.exists(e, _is_object), _opened(e).cast(ENTRIES)).otherwise(e)
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(braces, F.lit(1))), entries.cast(ENTRIES), step)
+    return F.flatten(F.transform(entries, lambda e: F.when(e["inner"].isNotNull(), inner(e)).otherwise(F.array(e))))
 
 
 def _text(value: Column, plain: Column) -> Column:
@@ -74,14 +64,87 @@ def _to_map(entries: Column) -> Column:
     return F.map_from_entries(F.transform(plain, lambda e: F.struct(e["key"], _text(e["value"], e["plain"]))))
 
 
-def flatten(doc: Column, text: Column) -> Column:
-    """Map<a_b_c, text> of a JSON object of any depth and its text; a repeated key keeps its last value."""
-    return _to_map(_leaves(_entries(doc), text))
+def flattener() -> Callable[[str], dict[str, str | None] | None]:
+    """A function from a text to its flattened keys and texts, null for a text that is not one JSON object.
+
+    One pass in the order of the text. Texts of more than some 900 levels count
+    as broken. It holds all it needs, so workers take it without the package.
+    """
+    import json
+    from decimal import Decimal
+
+    compact = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+    decode = json.loads
+
+    def other(value: object) -> str | None:
+        """Text of a value that is neither string, whole number nor object: numbers keep a fraction, without exponent."""
+        if value is None:
+            return None
+        plain = compact(value)
+        if isinstance(value, float) and plain[-1].isdigit():
+            plain = format(Decimal(plain), "f") if "e" in plain else plain
+            return plain if "." in plain else f"{plain}.0"
+        return plain
+
+    def walk(prefix: str, doc: dict, out: dict[str, str | None]) -> None:
+        for key, value in doc.items():
+            name = f"{prefix}_{key}" if prefix else key
+            kind = type(value)
+            if kind is str:
+                out[name] = value.strip() or None
+            elif kind is int:
+                out[name] = str(value)
+            elif kind is dict:
+                walk(name, value, out)
+            else:
+                out[name] = other(value)
+
+    def flat(line: str) -> dict[str, str | None] | None:
+        out: dict[str, str | None] = {}
+        try:
+            doc = decode(line)
+            if type(doc) is not dict:
+                return None
+            walk("", doc, out)
+        except (ValueError, RecursionError):
+            return None
+        return out
+
+    return flat
 
 
 def _flattened(texts: DataFrame) -> DataFrame:
-    docs = valid_docs(texts, DOC, keep_text=True)
-    return docs.withColumn("fields", flatten(F.col("doc"), F.col("value"))).drop("doc", "value")
+    """The texts that are one JSON object, with ``fields`` (map of a_b_c to text) for ``value``.
+
+    Of keys that meet when joined, the last one in the text counts. VARIANT can
+    tell neither their order nor open objects of any depth in one pass, so the
+    text is read by a JSON reader in Arrow batches.
+    """
+    carried = [c for c in texts.columns if c != "value"]
+    schema = StructType([*(texts.schema[c] for c in carried), StructField("fields", MapType(StringType(), StringType()))])
+    flat = flattener()
+
+    def strings(values: list) -> pa.Array:
+        try:
+            return pa.array(values, pa.string())
+        except UnicodeEncodeError:  # half a surrogate pair is no character
+            return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, ends, keys, values = [], [0], [], []
+            for line in batch.column(0).to_pylist():
+                fields = None if line is None else flat(line)
+                good.append(fields is not None)
+                if fields is not None:
+                    keys += fields
+                    values += fields.values()
+                    ends.append(len(keys))
+            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), strings(keys), strings(values))
+            rows = batch.filter(pa.array(good, pa.bool_())).columns[1:]
+            yield pa.RecordBatch.from_arrays([*rows, maps], [*carried, "fields"])
+
+    return texts.select("value", *carried).mapInArrow(run, schema)
 
 
 def generic_jsonl(texts: DataFrame) -> DataFrame:

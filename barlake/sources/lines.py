@@ -37,6 +37,26 @@ def read_texts(spark: SparkSession, paths: list[str], whole_files: bool = False)
     )
 
 
+#: Fixed value: a private-use character, put before the first one of every string in a marked text.
+MARK = "\ue000"
+
+
+def marked(text: Column) -> Column:
+    """The JSON text with :data:`MARK` at the start of all its strings, keys too.
+
+    Read as STRING, a marked string then differs from a number, a flag, or a list
+    kept as text. Escaped quotes and backslashes become \\u escapes first, so that
+    every quote left is one end of a string.
+    """
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    return F.regexp_replace(plain, '"([^"]*)"', f'"{MARK}$1"')
+
+
+def unmarked(kept: Column) -> Column:
+    """JSON kept as text, without the marks."""
+    return F.regexp_replace(kept, f'(?<!\\\\)"{MARK}', '"')
+
+
 def _enveloped(text: Column, doc_type: str) -> Column:
     envelope = F.concat(F.lit('{"doc":['), text, F.lit('],"end":[]}'))
     return F.from_json(envelope, f"MAP<STRING, ARRAY<{doc_type}>>", JSON_OPTIONS)

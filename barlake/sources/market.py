@@ -13,24 +13,32 @@ from pyspark.sql import functions as F
 
 from barlake import schemas
 from barlake.functions import guarded_ratio, symbol_or, to_float, to_int, ts_from_ms
-from barlake.sources.lines import JSON_OPTIONS, valid_docs
+from barlake.sources.lines import MARK, marked, unmarked, valid_docs
 
 
 def _docs(texts: DataFrame, fields: list[str]) -> tuple[DataFrame, list[str]]:
+    """The documents, each field as it stands in the text: strings marked, lists and objects as compact JSON. One parse a line."""
     carried = [c for c in texts.columns if c not in ("value", "path_symbol")]
-    docs = valid_docs(texts, schemas.json_struct(fields), keep_text=True)
-    # as text, a JSON true and a quoted "true" look alike; the few lines that have one are read again as booleans
-    scalars = [f for f in fields if f not in schemas.LIST_FIELDS]
-    any_flag = F.exists(F.array(*[F.col(f"doc.{f}") for f in scalars]), lambda t: t.isin("true", "false"))
-    flags = F.from_json("value", ", ".join(f"`{f}` BOOLEAN" for f in scalars), JSON_OPTIONS)
-    return docs.withColumn("_flags", F.when(any_flag, flags)), carried
+    return valid_docs(texts.withColumn("value", marked(F.col("value"))), schemas.json_struct(fields, MARK)), carried
 
 
-def _scalar(field: str) -> Column:
-    """Text of a scalar field: JSON true / false as 1 / 0, the literals for infinity as inf; quoted words stay words."""
-    text = F.col(f"doc.{field}")
-    flag = F.col(f"_flags.{field}").cast("int").cast("string")
-    return F.when(text.isin("true", "false"), flag).when(text == '"Infinity"', "inf").when(text == '"-Infinity"', "-inf").otherwise(text)
+def _field(name: str) -> Column:
+    return F.col(f"doc.`{MARK}{name}`")
+
+
+def _unquoted(text: Column) -> Column:
+    return F.substring(text, F.lit(2), F.length(text))
+
+
+def _plain(name: str) -> Column:
+    """Text of a field, whatever it is."""
+    return F.when(_field(name).startswith(MARK), _unquoted(_field(name))).otherwise(unmarked(_field(name)))
+
+
+def _scalar(text: Column) -> Column:
+    """Text of a scalar: JSON true / false as 1 / 0, the literals for infinity as inf; quoted words stay words."""
+    literal = F.when(text == "true", "1").when(text == "false", "0").when(text == '"Infinity"', "inf").when(text == '"-Infinity"', "-inf")
+    return F.when(text.startswith(MARK), _unquoted(text)).otherwise(F.coalesce(literal, text))
 
 
 def _with_times(rows: DataFrame, *names: str) -> DataFrame:
@@ -43,26 +51,24 @@ def _with_times(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*columns)
 
 
-def _list(field: Column) -> Column:
-    """A list field's elements; null for anything that is not a list."""
-    return field.try_cast("ARRAY<VARIANT>")
+def _list(name: str) -> Column:
+    """A list field as it was read; null for anything that is not a list."""
+    return F.when(_field(name).startswith("["), _field(name))
 
 
 def klines(texts: DataFrame) -> DataFrame:
     """Trade, mark, index and premium candles."""
     docs, carried = _docs(texts, schemas.KLINE_JSON)
-    raw_list = _list(F.col("doc.raw"))
-    extra_list = _list(F.col("doc.extra"))
-    # a VARIANT sorts the keys of objects; the text keeps them as they came
-    kept = F.when(raw_list.isNotNull() | extra_list.isNotNull(), F.from_json("value", "raw STRING, extra STRING", JSON_OPTIONS))
-    rows = docs.withColumns({"_raw": raw_list, "_first": F.get(raw_list, 0).cast("string"), "_kept": kept}).select(
+    raw = _list("raw")
+    rows = docs.select(
         F.col("path_symbol").alias("symbol"),
-        to_int(_scalar("ts")).alias("ts_ms"),
-        to_int(F.col("_first")).alias("ts_from_raw_ms"),
-        *[to_float(_scalar(c)).alias(c) for c in [*schemas.PRICE_COLUMNS, "volume", "turnover"]],
-        F.coalesce(F.size("_raw") >= 7, F.lit(False)).alias("has_volume_turnover"),
-        F.when(F.col("_raw").isNotNull(), F.col("_kept.raw")).alias("raw_json"),
-        F.when(extra_list.isNotNull(), F.col("_kept.extra")).alias("extra_json"),
+        to_int(_scalar(_field("ts"))).alias("ts_ms"),
+        # the list is short: its first element and its length are looked up in its own text
+        to_int(_scalar(F.get_json_object(raw, "$[0]"))).alias("ts_from_raw_ms"),
+        *[to_float(_scalar(_field(c))).alias(c) for c in [*schemas.PRICE_COLUMNS, "volume", "turnover"]],
+        F.coalesce(F.json_array_length(raw) >= 7, F.lit(False)).alias("has_volume_turnover"),
+        unmarked(raw).alias("raw_json"),
+        unmarked(_list("extra")).alias("extra_json"),
         "path_symbol", *carried,
     )
     return _with_times(rows, "ts", "ts_from_raw")
@@ -71,9 +77,9 @@ def klines(texts: DataFrame) -> DataFrame:
 def _collected(docs: DataFrame, source_field: str, source_name: str) -> DataFrame:
     """Collector and source times; the row's own time prefers the collector's."""
     parsed = docs.withColumns({
-        "collector_ts_ms": to_int(_scalar("ts")),
-        f"{source_name}_ms": to_int(_scalar(source_field)),
-        f"{source_name}_raw": F.col(f"doc.{source_field}"),
+        "collector_ts_ms": to_int(_scalar(_field("ts"))),
+        f"{source_name}_ms": to_int(_scalar(_field(source_field))),
+        f"{source_name}_raw": _plain(source_field),
     })
     return parsed.withColumn("ts_ms", F.coalesce("collector_ts_ms", f"{source_name}_ms"))
 
@@ -85,9 +91,9 @@ def _time_columns(source_name: str) -> list[str]:
 def funding_history(texts: DataFrame) -> DataFrame:
     docs, carried = _docs(texts, schemas.FUNDING_JSON)
     rows = _collected(docs, "fundingRateTimestamp", "funding_rate_timestamp").select(
-        symbol_or(F.col("doc.symbol"), F.col("path_symbol")).alias("symbol"),
+        symbol_or(_plain("symbol"), F.col("path_symbol")).alias("symbol"),
         *_time_columns("funding_rate_timestamp"),
-        to_float(_scalar("fundingRate")).alias("funding_rate"),
+        to_float(_scalar(_field("fundingRate"))).alias("funding_rate"),
         "path_symbol", *carried,
     )
     return _with_times(rows, "ts", "collector_ts", "funding_rate_timestamp")
@@ -98,7 +104,7 @@ def open_interest(texts: DataFrame) -> DataFrame:
     rows = _collected(docs, "timestamp", "source_timestamp").select(
         F.col("path_symbol").alias("symbol"),
         *_time_columns("source_timestamp"),
-        to_float(_scalar("openInterest")).alias("open_interest"),
+        to_float(_scalar(_field("openInterest"))).alias("open_interest"),
         "path_symbol", *carried,
     )
     return _with_times(rows, "ts", "collector_ts", "source_timestamp")
@@ -106,9 +112,9 @@ def open_interest(texts: DataFrame) -> DataFrame:
 
 def account_ratio(texts: DataFrame) -> DataFrame:
     docs, carried = _docs(texts, schemas.ACCOUNT_RATIO_JSON)
-    ratios = {"buy_ratio": to_float(_scalar("buyRatio")), "sell_ratio": to_float(_scalar("sellRatio"))}
+    ratios = {"buy_ratio": to_float(_scalar(_field("buyRatio"))), "sell_ratio": to_float(_scalar(_field("sellRatio")))}
     rows = _collected(docs, "timestamp", "source_timestamp").withColumns(ratios).select(
-        symbol_or(F.col("doc.symbol"), F.col("path_symbol")).alias("symbol"),
+        symbol_or(_plain("symbol"), F.col("path_symbol")).alias("symbol"),
         *_time_columns("source_timestamp"),
         "buy_ratio", "sell_ratio",
         guarded_ratio(F.col("buy_ratio"), F.col("sell_ratio")).alias("long_short_ratio"),

@@ -112,6 +112,25 @@ def test_kept_json_keeps_its_order(spark):
     assert state.endpoint_state_json == '{"k":{"n":1},"b":2}' and state.fields["k_n"] == "2"
 
 
+def test_keys_that_meet_are_taken_in_the_order_of_the_text(spark):
+    docs = ['{"a":{"b_c":1,"b":{"c":2}}}', '{"a":{"b":{"c":2},"b_c":1}}', '{"":{"x":1},"x":2}', '{"z":"\\u00e9{}\\"{","q":"' + "{" * 100_000 + '"}', '{"half":"\\ud800"}']
+    rows = [r.fields for r in dynamic.generic_jsonl(texts(spark, docs)).collect()]
+    assert [r.get("a_b_c") for r in rows[:2]] == ["2", "1"] and rows[2] == {"x": "2"}
+    assert rows[3] == {"z": 'é{}"{', "q": "{" * 100_000} and rows[4] == {"half": "?"}
+    broken = ['{"a":' * 5000 + "1" + "}" * 5000, '{"a":1} {"a":2}', "[{}]", None, '{"a":1}]', '{"t":"a\tb"}']
+    assert dynamic.generic_jsonl(texts(spark, broken)).count() == 0
+
+
+def test_strings_flags_and_lists_differ_in_one_parse(spark):
+    line = '{"ts":"true","open":true,"high":"Infinity","low":Infinity,"close":"\\\\\\"1","volume":"\\u0031","raw":"[1]","extra":["\\\\","a\\"b",{"z":"\\u00e9","a":true}]}'
+    row = market.klines(texts(spark, [line, '{"raw":[true,"\\"x"],"extra":{"a":[1]}}'])).orderBy("ts_from_raw_ms").collect()
+    assert (row[0].ts_ms, row[0].open, row[0].high, row[0].low, row[0].close, row[0].volume) == (None, 1.0, float("inf"), float("inf"), None, 1.0)
+    assert row[0].raw_json is None and json.loads(row[0].extra_json) == ["\\", 'a"b', {"z": "é", "a": True}]
+    assert (row[1].ts_from_raw_ms, json.loads(row[1].raw_json), row[1].extra_json) == (1, [True, '"x'], None)
+    plan = market.klines(texts(spark, [line]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_widen_and_names(spark):
     rows = dynamic.generic_jsonl(texts(spark, ['{"x":"1.5","y":"text"}', '{"z":2}']))
     assert {r.field for r in dynamic.field_names(rows).collect()} == {"x", "y", "z"}
