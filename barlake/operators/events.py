@@ -17,17 +17,22 @@ STATISTICS = [
 
 def forward_moves(
     bars: DataFrame, predicate: Column, horizons: list[int] | None = None, price: str = "kline_close",
+    order: Column | None = None,
 ) -> DataFrame:
     """One row per event and horizon: ``move`` = price at exactly ``ts_ms + h`` over the event's price, less 1.
 
     A horizon is a time offset, not a row offset; with no bar at that minute
     (or no price) the move is null. Rows of one minute collapse to one bar
-    first (highest price, event if any row is one), so copies neither pair up
-    nor pile onto one task; the same shuffle then serves the join.
+    first (event if any row is one), so copies neither pair up nor pile onto one
+    task; the same shuffle then serves the join. The bar's price is the last one
+    of the minute by ``order``, which should be or end in a unique column; rows
+    that have none are taken to be copies, of which the highest price counts.
     """
+    value = finite(F.col(price))
+    own = F.max(value) if order is None else F.max_by(value, F.when(value.isNotNull(), order))
     hours = EVENT_HORIZON_HOURS if horizons is None else horizons
     minutes = bars.groupBy("symbol", "ts_ms").agg(
-        F.max(finite(F.col(price))).alias("_price"),
+        own.alias("_price"),
         F.max(F.coalesce(predicate, F.lit(False))).alias("_event"),
     )
     targets = F.array(*[
@@ -45,7 +50,7 @@ def forward_moves(
 
 def event_study(
     bars: DataFrame, predicate: Column, horizons: list[int] | None = None, price: str = "kline_close",
-    by_symbol: bool = False, work_path: str | None = None,
+    by_symbol: bool = False, work_path: str | None = None, order: Column | None = None,
 ) -> DataFrame:
     """Statistics of the forward moves per horizon (and symbol).
 
@@ -53,7 +58,7 @@ def event_study(
     every executor can reach, the moves are stored there first, so that the
     join behind them runs once; do so for any large study.
     """
-    moves = forward_moves(bars, predicate, horizons, price).select("symbol", "horizon_hours", "move")
+    moves = forward_moves(bars, predicate, horizons, price, order).select("symbol", "horizon_hours", "move")
     if work_path is not None:
         moves.write.mode("overwrite").parquet(work_path)
         moves = bars.sparkSession.read.parquet(work_path)
@@ -110,4 +115,4 @@ def markdown_rows(result: DataFrame) -> DataFrame:
 
 
 def write_markdown(result: DataFrame, path: str) -> None:
-    markdown_rows(result).coalesce(1).write.mode("overwrite").text(path)
+    markdown_rows(result).write.mode("overwrite").text(path)

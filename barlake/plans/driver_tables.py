@@ -239,6 +239,7 @@ def supplier_documents(suppliers: DataFrame, template: str) -> DataFrame:
 
 # Documents of one object each, as a source has them in files of their own.
 INSTRUMENT_FILE = '{"symbol": "<n>", "priceFilter": {"tickSize": "<b>", "range": {"max": <k>}}, "status": " <p> ", "tags": ["<k>", 1]}'
+CHANGED_INSTRUMENT_FILE = '{"symbol": "<n>", "priceFilter": {"tickSize": "x<b>", "range": {"max": <k>.5}}, "tags": []}'
 TICKER_FILE = '{"lastPrice": "<b>", "turnover": <k>.5, "phone": "<p>"}'
 META_FILE = '{"symbol": "", "listingTimeMs": "<t>", "endpointState": {"kline": {"next": "<k>", "deep": {"z": <k>}}}, "note": "<p>"}'
 

@@ -195,6 +195,10 @@ ORACLES["snapshot_flatten"] = " UNION ALL ".join(
 _NATION = "CASE WHEN s_suppkey >= 3 THEN 'N' || s_nationkey END"
 ORACLES["instrument_view"] = f"""SELECT 'S' || s_suppkey AS symbol, s_name AS record_symbol, s_acctbal AS "priceFilter_tickSize",
   s_suppkey AS "priceFilter_range_max", {_NATION} AS status, '["' || s_suppkey || '",1]' AS tags FROM supplier"""
+ORACLES["instrument_view_second_run"] = """SELECT 'S' || s_suppkey AS symbol, s_name AS record_symbol,
+  CASE WHEN s_suppkey % 10 = 1 THEN 'x' || s_acctbal ELSE CAST(s_acctbal AS VARCHAR) END AS "priceFilter_tickSize",
+  CASE WHEN s_suppkey % 10 = 1 THEN s_suppkey + 0.5 ELSE s_suppkey END::DOUBLE AS "priceFilter_range_max",
+  CASE WHEN s_suppkey % 10 = 1 THEN '[]' ELSE '["' || s_suppkey || '",1]' END AS tags FROM supplier WHERE s_suppkey <> 1"""
 ORACLES["ticker_view"] = f"""SELECT 'S' || s_suppkey AS symbol, 'S' || s_suppkey AS record_symbol, s_acctbal AS "lastPrice",
   s_suppkey + 0.5::DOUBLE AS turnover, {_NATION} AS phone FROM supplier"""
 ORACLES["meta_view"] = f"""SELECT 'S' || s_suppkey AS symbol, 'S' || s_suppkey AS record_symbol, s_suppkey * 86400000 AS listing_time_at,
@@ -266,6 +270,7 @@ ORACLES["view_counts"] = (
     )
 )
 ORACLES["symbol_list"] = f"WITH {TICKS} SELECT DISTINCT symbol FROM b ORDER BY symbol"
+ORACLES["stored_symbols"] = f"WITH {TICKS} SELECT DISTINCT symbol FROM b WHERE symbol <> 'VIEW' ORDER BY symbol"
 ORACLES["series_coverage"] = f"{WIDE} " + " UNION ALL ".join(
     f"SELECT symbol, '{c}' AS series, count({c}) AS finite_rows, count({c}) > 0 AS has_data FROM w GROUP BY symbol"
     for c in SERIES_COLUMNS
@@ -350,6 +355,15 @@ FROM moves GROUP BY {keys}"""
 
 ORACLES["event_study_overall"] = _study("horizon_hours")
 ORACLES["event_study_by_symbol"] = _study("symbol, horizon_hours")
+ORACLES["event_study_ticks"] = f"""WITH {TICKS}, m AS (
+  SELECT symbol, {floor_to('ms', 60 * MINUTE)} AS ts_ms, arg_max(price, event_id) AS price, bool_or(size > 90) AS event FROM b GROUP BY 1, 2),
+moves AS (
+  SELECT m.symbol, CAST(h AS BIGINT) AS horizon_hours, CASE WHEN m.price <> 0 THEN later.price / m.price - 1 END AS move
+  FROM m CROSS JOIN (VALUES (1), (4)) t(h) LEFT JOIN m later ON later.symbol = m.symbol AND later.ts_ms = m.ts_ms + h * 3600000 WHERE m.event)
+SELECT symbol, horizon_hours, count(*) AS event_count, count(move) AS move_count, count(*) FILTER (move > 0) AS up_count,
+  count(*) FILTER (move < 0) AS down_count, round(avg(move), 6) AS mean_move, round(median(move), 6) AS median_move,
+  max(move) AS max_up, min(move) AS max_down, avg(CASE WHEN move > 0 THEN 1.0 WHEN move <= 0 THEN 0.0 END) AS win_rate
+FROM moves GROUP BY symbol, horizon_hours"""
 ORACLES["event_study_markdown"] = f"""WITH s AS ({_study('symbol, horizon_hours')})
 SELECT '| symbol | horizon_hours | event_count | up_count | down_count |' AS value
 UNION ALL SELECT '| --- | --- | --- | --- | --- |'
@@ -417,7 +431,7 @@ NOTES = f"""n AS (
     CASE WHEN turn <> 2 THEN 'turn ' || turn END AS title_, CASE WHEN conv_id % 7 <> 3 THEN text END AS body_
   FROM conversations),
 notes AS (
-  SELECT id, symbol, role, body_, turn, start_ms, nullif(tf, '') AS timeframe, title_ AS title,
+  SELECT id, symbol, role, body_, turn, conv_id AS conv, start_ms, nullif(tf, '') AS timeframe, title_ AS title,
     strftime(epoch_ms(start_ms), '%Y-%m-%d') || 'T00:00:00+00:00' AS saved_at,
     CASE WHEN role <> 'user' THEN strftime(epoch_ms(start_ms), '%Y-%m-%d') || 'T12:00' END AS created_at
   FROM n)"""
@@ -428,6 +442,9 @@ ORACLES["snapshot_index"] = _INDEX
 ORACLES["snapshots_of_symbol"] = f"{_INDEX} WHERE symbol = '{q.SYMBOL.upper()}'"
 ORACLES["snapshot_by_id"] = f"""WITH {NOTES} SELECT id, coalesce(title, ' ' || chr(9) || chr(10)) AS title, coalesce(body_, chr(10) || chr(9)) AS body,
   coalesce(timeframe, '') AS timeframe FROM notes WHERE symbol = 'VIEW' AND id = 'c4_0'"""
+ORACLES["note_files"] = f"""WITH {NOTES} SELECT symbol, id,
+  CASE WHEN conv % 10 = 3 THEN CASE WHEN conv % 7 = 3 THEN chr(10) || chr(9) ELSE 'again' END
+       ELSE coalesce(body_, chr(10) || chr(9)) END AS body, conv % 10 = 3 AS again FROM notes WHERE turn < 2"""
 ORACLES["snapshot_counts"] = f"WITH {NOTES} SELECT symbol, count(*) AS snapshots FROM notes GROUP BY symbol"
 ORACLES["note_validation"] = f"""WITH {NOTES}
 SELECT id, symbol, title, nullif(trim(body_), '') AS body, timeframe, created_at,

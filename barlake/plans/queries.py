@@ -21,7 +21,7 @@ from barlake.plans.timeseries import open_wide
 from barlake.schemas import SERIES_COLUMNS, WIDE_COLUMNS
 from barlake.settings import shared_dir
 from barlake.sources import dynamic, ingest, market, report, routing, tables
-from barlake.sources.notes import parse_notes
+from barlake.sources.notes import parse_notes, read_notes
 from barlake.streaming.ingest import stream_ingest
 from barlake.streaming.resample import latest_bars, run_append, run_updates, stream_resample
 
@@ -166,6 +166,23 @@ def meta_view(spark, sf_dir):
         "symbol", "record_symbol", *millis("listing_time"), "listingTimeMs", "kline_next", "kline_deep", "note", "endpoint_state_json")
 
 
+@query
+def instrument_view_second_run(spark, sf_dir):
+    """The view after a second refresh: one supplier in ten has text where numbers were, one has lost its document."""
+    root = shared_dir(spark, "view-second-run")
+    suppliers = dt.table(spark, sf_dir, "supplier")
+    texts = dt.supplier_documents(suppliers, dt.INSTRUMENT_FILE)
+    _write_texts(texts, f"{root}/source/raw/instrument.json")
+    ingest.refresh(spark, f"{root}/source", f"{root}/lake")
+    changed = dt.supplier_documents(suppliers.where("s_suppkey % 10 = 1"), dt.CHANGED_INSTRUMENT_FILE)
+    changed = changed.withColumn("value", F.when(F.col("path_symbol") == "S1", " ").otherwise(F.col("value")))
+    changed.select("value", F.col("path_symbol").alias("symbol")).write.mode("overwrite").partitionBy("symbol").option(
+        "partitionOverwriteMode", "dynamic").text(f"{root}/source/raw/instrument.json")
+    ingest.refresh(spark, f"{root}/source", f"{root}/lake")
+    tables.open_tables(spark, f"{root}/lake")
+    return spark.table("instrument").select("symbol", "record_symbol", "priceFilter_tickSize", "priceFilter_range_max", "tags")
+
+
 # --- symbols, routing, labels -----------------------------------------------------
 
 
@@ -293,6 +310,16 @@ def symbol_list(spark, sf_dir):
     return series.symbol_list([None, market_1m, dt.funding(ticks)])
 
 
+@query
+def stored_symbols(spark, sf_dir):
+    """Symbols of the first stored table that has any, by its folders."""
+    root = shared_dir(spark, "stored-symbols")
+    lines = dt.funding_texts(dt.ticks(spark, sf_dir).where("symbol <> 'VIEW'"))
+    rows = market.funding_history(lines.select("value", "path_symbol"))
+    tables.write_dataset(rows, root, routing.BY_NAME["funding_history"])
+    return tables.listed_symbols(spark, root, ["market_kline", "funding_history"])
+
+
 @query
 def series_coverage(spark, sf_dir):
     return series.coverage(dt.wide(spark, sf_dir))
@@ -417,6 +444,14 @@ def event_forward_moves(spark, sf_dir):
     return moves.withColumn("horizon_hours", F.col("horizon_hours").cast("bigint"))
 
 
+@query
+def event_study_ticks(spark, sf_dir):
+    """Several rows of one time: the price is that of the row with the largest id, not the highest."""
+    rows = dt.ticks(spark, sf_dir).select("symbol", bucket_floor(F.col("ms"), 3_600_000).alias("ts_ms"), "event_id", "price", "size")
+    result = events.event_study(rows, F.col("size") > 90, [1, 4], "price", by_symbol=True, order=F.col("event_id"))
+    return rounded(result.withColumn("horizon_hours", F.col("horizon_hours").cast("bigint")), ["mean_move", "median_move"])
+
+
 @query
 def event_study_markdown(spark, sf_dir):
     """The counts of a study as lines of a markdown table."""
@@ -555,6 +590,25 @@ def snapshot_bars(spark, sf_dir):
     return rounded(notes.snapshot_bars(_notes(spark, sf_dir), spark.read.parquet(path)))
 
 
+@query
+def note_files(spark, sf_dir):
+    """Notes written as files, those of one conversation in ten written again, and all read with which ones are newer."""
+    root = shared_dir(spark, "note-files")
+    turns = dt.table(spark, sf_dir, "conversations").where("turn < 2")
+
+    def land(rows: DataFrame) -> None:
+        texts = dt.note_texts(rows).select("value", F.col("folder_symbol").alias("symbol"), "id")
+        texts.write.mode("overwrite").partitionBy("symbol", "id").option("partitionOverwriteMode", "dynamic").text(f"{root}/note.json")
+
+    land(turns)
+    first = read_notes(spark, root).agg(F.max("modified_at")).first()[0]
+    land(turns.where("conv_id % 10 = 3").withColumn("role", F.lit("assistant")).withColumn("text", F.lit("again")))
+    newer = read_notes(spark, root, since=first).select("folder_symbol", "id", F.lit(True).alias("again"))
+    found = read_notes(spark, root).join(newer, ["folder_symbol", "id"], "left")
+    return found.select(
+        F.col("folder_symbol").alias("symbol"), "id", "body", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 # --- incremental and streaming ------------------------------------------------------------------
 
 

@@ -217,28 +217,41 @@ def widen(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "fields" and c not in columns], *typed)
 
 
-def field_types(rows: DataFrame) -> DataFrame:
-    """(field, type): the narrowest of bigint, double and string that all filled values of a key fit; one row per key."""
+#: Types of keys from the narrowest to the widest; a key without a filled value has none.
+KEY_TYPES = ["void", "bigint", "double", "string"]
+
+
+def key_types(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., field, type): the narrowest type that all filled values of a key fit, for each group."""
     value = maybe_numeric(F.col("_text"))
-    counts = _exploded(rows, []).select("field", value.alias("_v")).groupBy("field").agg(
+    counts = _exploded(rows, list(by)).select(*by, "field", value.alias("_v")).groupBy(*by, "field").agg(
         F.count("_v.value_str").alias("_n"), F.count("_v.value_long").alias("_whole"), F.count("_v.value_double").alias("_number"),
     )
-    kind = F.when((F.col("_n") > 0) & (F.col("_whole") == F.col("_n")), "bigint").when((F.col("_n") > 0) & (F.col("_number") == F.col("_n")), "double")
-    return counts.select("field", kind.otherwise("string").alias("type"))
+    kind = F.when(F.col("_n") == 0, "void").when(F.col("_whole") == F.col("_n"), "bigint").when(F.col("_number") == F.col("_n"), "double")
+    return counts.select(*by, "field", kind.otherwise("string").alias("type"))
+
+
+def merged_types(types: DataFrame) -> DataFrame:
+    """(field, type): the widest type of each key over all groups; one row per key. A key that is never filled is text."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in KEY_TYPES]), F.col("type"))
+    widest = types.where("field is not null").groupBy("field").agg(F.max(rank).alias("_rank"))
+    names = F.array(*[F.lit(t if t != "void" else "string") for t in KEY_TYPES])
+    return widest.select("field", F.element_at(names, F.col("_rank").cast("int")).alias("type"))
 
 
-def with_key_columns(rows: DataFrame) -> DataFrame:
+def with_key_columns(rows: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """The rows with every key that is no column yet as a typed column, in the order of names; ``fields`` stays.
 
-    What passes through the driver is one row per key, like a schema.
+    ``types`` are known :func:`key_types`; without them one pass over the rows
+    finds them. What passes through the driver is one row per key, like a schema.
     """
-    types = {r["field"]: r["type"] for r in field_types(rows).collect()}
+    found = {r["field"]: r["type"] for r in merged_types(key_types(rows) if types is None else types).collect()}
     known = {c.lower() for c in rows.columns}
     typed = []
-    for key in sorted(types):
+    for key in sorted(found):
         if key.lower() not in known:
             known.add(key.lower())  # names differ in more than case
-            typed.append(F.try_element_at("fields", F.lit(key)).try_cast(types[key]).alias(key))
+            typed.append(F.try_element_at("fields", F.lit(key)).try_cast(found[key]).alias(key))
     return rows.select("*", *typed)
 
 

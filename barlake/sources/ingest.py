@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barlake.settings import configure
 from barlake.sources.lines import decoded, read_texts
 from barlake.sources.routing import DATASETS, Dataset, for_symbols, route, source_files
-from barlake.sources.tables import write_dataset
+from barlake.sources.tables import write_dataset, write_key_types
 
 UNIT = ["dataset", "label", "path_symbol"]  # one table partition
 MANIFEST = "manifest"
@@ -31,7 +31,9 @@ def ingest(
     """Convert every selected source file. One job per dataset covers all symbols."""
     configure(spark)
     files = source_files(spark, source_root)
-    _ingest_files(spark, files if symbols is None else for_symbols(files, symbols), table_root, **write_options)
+    files = files if symbols is None else for_symbols(files, symbols)
+    _ingest_files(spark, files, table_root, **write_options)
+    _note_key_types(spark, files, table_root)
 
 
 def _ingest_files(spark: SparkSession, files: DataFrame, table_root: str, **write_options) -> None:
@@ -44,6 +46,15 @@ def _ingest_files(spark: SparkSession, files: DataFrame, table_root: str, **writ
             write_dataset(parse_files(spark, paths[dataset.name], dataset), table_root, dataset, **write_options)
 
 
+def _note_key_types(spark: SparkSession, files: DataFrame, table_root: str) -> None:
+    """Key types of the partitions that these files make, for datasets whose keys come from the data."""
+    names = {r["dataset"] for r in files.select("dataset").distinct().collect()}  # at most one row for each dataset
+    for dataset in DATASETS:
+        if dataset.keys_from_data and dataset.name in names:
+            label = [F.col("label").alias(dataset.label)] if dataset.label else []
+            write_key_types(spark, table_root, dataset, files.where(F.col("dataset") == dataset.name).select(*label, F.col("path_symbol").alias("symbol")))
+
+
 # --- incremental refresh ------------------------------------------------------
 
 
@@ -101,8 +112,8 @@ def refresh(
 
     ``symbols`` and ``datasets`` restrict it to some of the source files.
 
-    Order: write data, drop partitions that lost all rows, then record the
-    manifest. A run that dies in between is repeated by the next one.
+    Order: write data, drop partitions that lost all rows, note key types, then
+    record the manifest. A run that dies in between is repeated by the next one.
     """
     configure(spark)
     files = source_files(spark, source_root)
@@ -130,6 +141,7 @@ def refresh(
     for dataset in stored:
         after = {r["path"] for r in touched(dataset).toLocalIterator()}
         _delete(spark, sorted(before[dataset.name] & after))
+    _note_key_types(spark, plan, table_root)
 
     plan.select("path", "modified_at").coalesce(1).write.mode("append").parquet(f"{table_root}/{MANIFEST}")
     return count

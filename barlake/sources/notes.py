@@ -1,8 +1,11 @@
-"""Research notes: ``<root>/<SYMBOL>/<id>/note.json``."""
+"""Research notes, a JSON file each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.sources.lines import read_texts, valid_docs
@@ -18,18 +21,42 @@ NOTE_DOC = """STRUCT<
 def parse_notes(texts: DataFrame) -> DataFrame:
     """Note documents as rows; unreadable, non-object and empty ones are skipped.
 
-    Needs ``value``, ``folder_symbol`` and ``id``.
+    Needs ``value``, ``folder_symbol`` and ``id``; other columns are carried.
     """
+    carried = [c for c in texts.columns if c not in ("value", "folder_symbol", "id")]
     not_empty = ~F.col("value").rlike(r"^\s*\{\s*\}\s*$")
-    return valid_docs(texts.where(not_empty), NOTE_DOC).select("folder_symbol", "id", "doc.*")
-
-
-def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """All notes under ``root``; folder symbol and id come from the path."""
-    texts = read_texts(spark, [f"{root}/*/*/note.json"], whole_files=True)
-    place = r"([^/]+)/([^/]+)/note\.json$"
-    return parse_notes(texts.select(
-        "value",
-        F.regexp_extract("path", place, 1).alias("folder_symbol"),
-        F.regexp_extract("path", place, 2).alias("id"),
-    ))
+    return valid_docs(texts.where(not_empty), NOTE_DOC).select("folder_symbol", "id", *carried, "doc.*")
+
+
+def read_notes(spark: SparkSession, root: str, since: datetime | None = None) -> DataFrame:
+    """Notes under ``root`` with ``modified_at``; folder symbol and id come from the path.
+
+    A note is ``<root>/<SYMBOL>/<id>/note.json``, or a file in
+    ``<root>/note.json/symbol=<SYMBOL>/id=<id>``. ``since`` takes only files
+    changed after that time; the others are listed, not opened.
+    """
+    plain, keyed = f"{root}/*/*/note.json", f"{root}/note.json/*/*"
+    places = [p for p in (plain, keyed) if _any(spark, p)]
+    texts = read_texts(spark, places or [plain], whole_files=True)
+    if since is not None:
+        texts = texts.where(F.col("modified_at") > F.lit(since))
+
+    def part(plain: str, keyed: str) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in (keyed, plain)])
+
+    found = texts.select(
+        "value", "modified_at",
+        part(r"([^/]+)/[^/]+/note\.json$", r"/note\.json/symbol=([^/]+)/").alias("folder_symbol"),
+        part(r"([^/]+)/note\.json$", r"/note\.json/symbol=[^/]+/id=([^/]+)/").alias("id"),
+    )
+    return parse_notes(found.where("id is not null"))
+
+
+def _any(spark: SparkSession, place: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(place)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

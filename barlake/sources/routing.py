@@ -25,6 +25,7 @@ class Dataset:
     parse: Callable[[DataFrame], DataFrame]
     label: str | None = None
     whole_files: bool = False
+    keys_from_data: bool = False
 
     @property
     def partitions(self) -> list[str]:
@@ -40,11 +41,11 @@ DATASETS = [
     Dataset("funding_history", r"^funding_history\.jsonl$", market.funding_history),
     Dataset("open_interest", r"^open_interest_(.*)\.jsonl$", market.open_interest, "period"),
     Dataset("account_ratio", r"^account_ratio_(.*)\.jsonl$", market.account_ratio, "period"),
-    Dataset("other", r"^([^/]*)\.jsonl$", dynamic.generic_jsonl, "stem"),
+    Dataset("other", r"^([^/]*)\.jsonl$", dynamic.generic_jsonl, "stem", keys_from_data=True),
     Dataset("risk_limit", r"^risk_limit\.json$", market.risk_limit, whole_files=True),
-    Dataset("meta", r"^meta\.json$", dynamic.meta, whole_files=True),
-    Dataset("instrument", r"^raw/instrument\.json$", dynamic.snapshot, whole_files=True),
-    Dataset("ticker", r"^raw/ticker\.json$", dynamic.snapshot, whole_files=True),
+    Dataset("meta", r"^meta\.json$", dynamic.meta, whole_files=True, keys_from_data=True),
+    Dataset("instrument", r"^raw/instrument\.json$", dynamic.snapshot, whole_files=True, keys_from_data=True),
+    Dataset("ticker", r"^raw/ticker\.json$", dynamic.snapshot, whole_files=True, keys_from_data=True),
 ]
 BY_NAME = {d.name: d for d in DATASETS}
 

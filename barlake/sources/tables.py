@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from barlake.functions import bucket_floor
 from barlake.settings import configure
-from barlake.sources.dynamic import with_key_columns
+from barlake.sources.dynamic import key_types, with_key_columns
+from barlake.sources.lines import decoded
 from barlake.sources.routing import BY_NAME, Dataset
 
 
@@ -56,6 +57,15 @@ def write_by_symbol(rows: DataFrame, path: str, compression: str = "zstd") -> No
     )
 
 
+def _read(spark: SparkSession, path: str, merge_schema: bool) -> DataFrame | None:
+    try:
+        return configure(spark).read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_dataset(
     spark: SparkSession, root: str, name: str, extra: list[Column] | None = None, merge_schema: bool = False,
 ) -> DataFrame | None:
@@ -65,30 +75,70 @@ def read_dataset(
     All files written here share one schema; ``merge_schema`` reads every
     footer, for tables that other writers add columns to.
     """
-    try:
-        rows = configure(spark).read.option("mergeSchema", str(merge_schema).lower()).parquet(f"{root}/{name}")
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    rows = _read(spark, f"{root}/{name}", merge_schema)
+    if rows is None:
+        return None
     return rows.withColumn("symbol_partition", F.col("symbol")).select("*", *(extra or []))
 
 
+KEY_TYPES = "key_types"
+
+
+def write_key_types(spark: SparkSession, root: str, dataset: Dataset, units: DataFrame) -> None:
+    """Note the key types of some partitions of a stored dynamic dataset, in partitions of the same name.
+
+    ``units`` has the partition columns. A unit that lost all its rows gets a
+    row without a key, which replaces what was noted before.
+    """
+    keys = dataset.partitions
+    rows = read_dataset(spark, root, dataset.name)
+    noted = units.select(*keys).distinct()
+    if rows is None:
+        found = noted.select(*keys, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("type"))
+    else:
+        here = rows.select(*keys, "fields").join(noted, keys, "left_semi")
+        found = noted.join(key_types(here, tuple(keys)), keys, "left")
+    found.select("field", "type", *keys).write.mode("overwrite").partitionBy(*keys).option(
+        "partitionOverwriteMode", "dynamic").parquet(f"{root}/{KEY_TYPES}/{dataset.name}")
+
+
+def read_key_types(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    return _read(spark, f"{root}/{KEY_TYPES}/{name}", merge_schema=False)
+
+
 def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Every dataset that has files, registered as a temp view of the same name.
 
     Keys of documents that are not known beforehand are typed columns of their
-    views, found in one pass over such a table.
+    views. Their types were noted when the partitions were written, so opening
+    reads no rows; only a table that was written without notes is read once.
     """
     found = {name: read_dataset(spark, root, name) for name in BY_NAME}
     tables = {
-        name: with_key_columns(rows) if "fields" in rows.columns else rows for name, rows in found.items() if rows is not None
+        name: with_key_columns(rows, read_key_types(spark, root, name)) if "fields" in rows.columns else rows
+        for name, rows in found.items() if rows is not None
     }
     for name, rows in tables.items():
         rows.createOrReplaceTempView(name)
     return tables
 
 
+def listed_symbols(spark: SparkSession, root: str, names: list[str]) -> DataFrame | None:
+    """Sorted symbols of the first stored dataset that has any, by the names of its folders: no file is opened."""
+    for name in names:
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        symbol = decoded(F.regexp_extract("path", "/symbol=([^/]*)/", 1))
+        symbols = files.select(symbol.alias("symbol")).where("symbol <> ''").distinct()
+        if not symbols.isEmpty():
+            return symbols.orderBy("symbol")
+    return None
+
+
 def union_by_name(*parts: DataFrame) -> DataFrame:
     """Rows of all parts under the union of their columns; a part's missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -152,6 +152,37 @@ def test_keys_become_columns_of_views(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("AAA", "aaa", 0.5, "1"), ("BBB", "BBB", 2.0, "x")]
 
 
+def test_key_types_follow_changed_partitions(spark, tmp_path):
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    for symbol, text in (("AAA", '{"n":1,"m":"","k":2}'), ("BBB", '{"n":2,"m":null,"k":2.5}')):
+        write(source / symbol / "raw" / "instrument.json", text)
+
+    def types():
+        ingest.refresh(spark, str(source), lake)
+        view = tables.open_tables(spark, lake)["instrument"]
+        return {k: t for k, t in view.dtypes if k in ("n", "m", "k", "z")}
+
+    assert types() == {"n": "bigint", "m": "string", "k": "double"}
+    write(source / "BBB" / "raw" / "instrument.json", '{"n":"x","m":5,"z":1}')
+    later(source / "BBB" / "raw" / "instrument.json", 5)
+    assert types() == {"n": "string", "m": "bigint", "k": "bigint", "z": "bigint"}
+    # a partition that lost its rows no longer widens a type; a table without notes is read once
+    write(source / "BBB" / "raw" / "instrument.json", "[]")
+    later(source / "BBB" / "raw" / "instrument.json", 10)
+    assert types() == {"n": "bigint", "m": "string", "k": "bigint"}
+    rows = tables.read_dataset(spark, lake, "instrument")
+    assert dict(dynamic.with_key_columns(rows).dtypes)["n"] == "bigint"
+
+
+def test_listed_symbols_open_no_file(spark, source, tmp_path):
+    lake = str(tmp_path / "lake")
+    ingest.ingest(spark, str(source), lake)
+    found = tables.listed_symbols(spark, lake, ["nothing", "market_kline"])
+    assert [r.symbol for r in found.collect()] == ["007", "AAA"]
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tables.listed_symbols(spark, lake, ["nothing"]) is None
+
+
 def test_meta(spark):
     docs = [
         '{"symbol":"","listingTimeMs":"1704067200000","endpointState":{"k":{"n":"5","d":{"z":1}},"flag":true},"o":{"x":1}}',
