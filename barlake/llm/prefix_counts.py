@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from barlake.llm.common import WordMemo, byte_letters, kept, map_columns, tokenizer_file
 
-CODE = np.uint64(0x9E3779B97F4A7C15)
-
 # Unicode white space, the tokenizer's splitting rule, and chunks of it that
 # never share a match of that rule: white space before the last one, or a run of text with one space before.
 RARE = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -53,6 +51,77 @@ def chunks_of(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+class TokensByEnd:
+    """The longest token that ends at each byte, for many bytes at once.
+
+    An automaton over token bytes from last to first: its edges lie in one open
+    hash table, so a step back is one lookup, and most tokens part after few.
+    ``shorter`` leads from a token to the longest other one that ends it.
+    """
+
+    BITS = 20
+
+    def __init__(self, tokens: dict[bytes, int]):
+        ids = {t: i for t, i in tokens.items() if t}
+        nodes: dict[int, int] = {}
+        token_of = [-1]
+        for token, i in ids.items():
+            at = 0
+            for byte in reversed(token):
+                key = at << 8 | byte
+                if key not in nodes:
+                    nodes[key] = len(token_of)
+                    token_of.append(-1)
+                at = nodes[key]
+            token_of[at] = i
+        self.token_of = np.array(token_of, np.int32)
+        most = max(ids.values()) + 1
+        self.length, self.shorter = [0] * most, [-1] * most
+        for token, i in ids.items():
+            self.length[i] = len(token)
+            self.shorter[i] = next((ids[token[k:]] for k in range(1, len(token)) if token[k:] in ids), -1)
+        while len(nodes) > 1 << self.BITS - 1:
+            self.BITS += 1
+        self.keys, self.targets = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int32)
+        slots = self._slot(np.fromiter(nodes, np.int64, len(nodes))).tolist()
+        mask = (1 << self.BITS) - 1
+        for (key, node), slot in zip(nodes.items(), slots, strict=True):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & mask
+            self.keys[slot], self.targets[slot] = key, node
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """Where edges lead; 0 for an edge that is not there."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.targets[slot], 0)
+        wait = np.flatnonzero((there != keys) & (there >= 0))
+        while len(wait):
+            slot[wait] = slot[wait] + 1 & (1 << self.BITS) - 1
+            there = self.keys[slot[wait]]
+            hit = there == keys[wait]
+            out[wait[hit]] = self.targets[slot[wait[hit]]]
+            wait = wait[~hit & (there >= 0)]
+        return out
+
+    def longest(self, data: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """For each byte, the longest token that ends there and starts at most ``before`` bytes earlier."""
+        alive, node = np.arange(len(data)), np.zeros(len(data), np.int64)
+        found = np.full(len(data), -1, np.int32)
+        back = 0
+        while len(alive):
+            node = self._step(node << 8 | data[alive - back]).astype(np.int64)
+            token = self.token_of[node]
+            found[alive[token >= 0]] = token[token >= 0]
+            back += 1
+            go_on = (node > 0) & (before[alive] >= back)
+            alive, node = alive[go_on], node[go_on]
+        return found
+
+
 class PrefixCounter:
     """Counts for one vocabulary. Tokens are numbers; ``splits`` has the two parts a merged token is made of."""
 
@@ -76,18 +145,7 @@ class PrefixCounter:
         self.split = regex.compile(SPLIT)
         self.edges: tuple[dict, dict] = ({}, {})
         self.fits: dict[int, bool] = {}
-        self.table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for token, i in self.token.items():
-            tail = lambda k, t=token: np.uint64(int.from_bytes(t[max(0, len(t) - k - 8):len(t) - k], "big"))
-            with np.errstate(over="ignore"):
-                by_length.setdefault(len(token), []).append((int(self._code(tail, len(token))), i))
-        for length, rows in by_length.items():
-            rows.sort()
-            self.table[length] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
-            if len(set(self.table[length][0].tolist())) < len(rows):
-                raise ValueError("two tokens have one code")
-        self.lengths = sorted(-x for x in by_length)  # longest first, as negative numbers
+        self.ends = TokensByEnd(self.token)
         self.pieces = WordMemo(self._piece_counts, hot=250_000, recent=200_000)
         self.chunks = WordMemo(self._chunk_counts, hot=350_000, recent=250_000)
 
@@ -125,72 +183,48 @@ class PrefixCounter:
         self.fits[key] = fits = i == len(left) or j == len(right)
         return fits
 
-    def _may_follow_each(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        keys = (before.astype(np.int64) << 20 | token).tolist()
-        found = list(map(self.fits.get, keys))
-        if None in found:
-            found = [self._may_follow(k >> 20, k & 0xFFFFF) if f is None else f for k, f in zip(keys, found, strict=True)]
-        return np.array(found, bool)
-
-    def _piece_counts(self, pieces: list[str]) -> Iterator[bytes | array]:
-        """Counts at every character of matches of the splitting rule, many of like length at once."""
+    def _piece_counts(self, pieces: list[str], group: int = 2_000_000) -> Iterator[bytes | array]:
+        """Counts at every character of matches of the splitting rule; the tokens that end in ``group`` bytes are found at once."""
         if len(self.fits) > 1_000_000:
             self.fits.clear()
-        found: dict[str, bytes | array] = {}
-        order = sorted(((piece.encode(), piece) for piece in pieces), key=lambda x: -len(x[0]))
-        at = 0
-        while at < len(order):
-            longest = len(order[at][0])
-            group = order[at:at + max(1, min(8192, 1_000_000 // longest))]
-            self._fill(group, found)
-            at += len(group)
-        return (found[piece] for piece in pieces)
-
-    def _fill(self, group: list[tuple[bytes, str]], found: dict[str, bytes | array]) -> None:
+        waiting, size = [], 0
+        for piece in pieces:
+            waiting.append(piece.encode())
+            size += len(waiting[-1])
+            if size >= group:
+                yield from self._fill(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from self._fill(waiting)
+
+    def _fill(self, pieces: list[bytes]) -> Iterator[bytes | array]:
         """Prefix by prefix: the last token is the longest one that ends there and may follow what is before it."""
-        lengths = np.array([len(data) for data, _ in group])  # longest first
-        n, size = len(group), int(lengths[0])
-        data = np.frombuffer(b"".join(d.ljust(size, b"\0") for d, _ in group), np.uint8).reshape(n, size)
-        tail = np.zeros((n, size + 1), np.uint64)  # the last eight bytes of each prefix
-        last, counts = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
-        for end in range(1, size + 1):
-            live = int(np.searchsorted(-lengths, -end, side="right"))
-            tail[:live, end] = (tail[:live, end - 1] << np.uint64(8)) | data[:live, end - 1]
-            rows = np.arange(live)
-            for length in self.lengths[bisect.bisect_left(self.lengths, -end):]:
-                length = -length
-                codes, tokens = self.table[length]
-                code = self._code(lambda k: tail[rows, end - k], length)
-                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = np.flatnonzero(codes[place] == code)
-                if not len(hit):
-                    continue
-                token, owner = tokens[place[hit]], rows[hit]
-                if length < end:
-                    fits = self._may_follow_each(last[owner, end - length], token)
-                    token, owner, hit = token[fits], owner[fits], hit[fits]
-                last[owner, end] = token
-                counts[owner, end] = counts[owner, end - length] + 1
-                rows = np.delete(rows, hit)
-                if not len(rows):
-                    break
-            if len(rows):
-                raise ValueError("a byte without a token")
-        small = counts.astype(np.uint8)
-        for k, (raw, piece) in enumerate(group):
-            row = counts[k, :len(raw) + 1] if counts[k, len(raw)] > 255 else small[k, :len(raw) + 1]
-            if len(raw) != len(piece):  # only ends of characters
-                row = row[np.append((data[k, :len(raw)] & 0xC0) != 0x80, True)]
-            found[piece] = row.tobytes() if row.dtype == np.uint8 else array("I", row.tolist())
-
-    @staticmethod
-    def _code(tail, length: int):
-        """A number for the last ``length`` bytes, of eight bytes at a time; the bytes themselves up to eight."""
-        code, k = np.uint64(0), 0
-        while length - k > 8:
-            code, k = code * CODE + tail(k), k + 8
-        rest = (1 << 8 * (length - k)) - 1
-        return code * CODE + (tail(k) & np.uint64(rest)) if k else tail(0) & np.uint64(rest)
+        sizes = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        longest = self.ends.longest(data, np.arange(len(data)) - np.repeat(starts, sizes)).tolist()
+        length, shorter, known, may_follow = self.ends.length, self.ends.shorter, self.fits.get, self._may_follow
+        at = 0
+        for piece in pieces:
+            last, counts = [0], [0]
+            for end in range(1, len(piece) + 1):
+                token = longest[at]
+                at += 1
+                while True:
+                    if token < 0:
+                        raise ValueError("a byte without a token")
+                    begin = end - length[token]
+                    if not begin:
+                        break
+                    fits = known(last[begin] << 20 | token)
+                    if fits or (fits is None and may_follow(last[begin], token)):
+                        break
+                    token = shorter[token]
+                last.append(token)
+                counts.append(counts[begin] + 1)
+            if not piece.isascii():  # only ends of characters
+                counts = [c for c, byte in zip(counts, [*piece, 0], strict=True) if byte & 0xC0 != 0x80]
+            yield bytes(counts) if max(counts) < 256 else array("I", counts)
 
     def _split_counts(self, pieces: list[str]) -> bytes | array:
         """Counts of pieces in a row, as small numbers where they fit."""
@@ -260,6 +294,7 @@ class Prefixes:
         self.starts: list[int] = []
         self.totals: list[int] = []
         self.counts: list = []
+        self.run: tuple = (0, 0, 0, b"")
         begin = 0
         for m in counter.special.finditer(text) if counter.special is not None else ():
             self._plain(text[begin:m.start()])
@@ -288,23 +323,54 @@ class Prefixes:
         if length >= len(self.text):
             return self.total
         i = bisect.bisect_right(self.starts, length - 1) - 1
-        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
-        if self.text[length - 1] in BLANKS or (self.counts[i] is None and length < end):
-            # white space at the end is one run there, and a cut special string is plain text: both reach two chunks back at most
+        if self.text[length - 1] in BLANKS:
+            # white space at the end is one run there, and its prefixes have a table
+            start, base, counts = self._run(length)
+            return base + counts[length - start]
+        if self.counts[i] is None and length < self._end_of(i):
+            # a cut special string is plain text: it reaches two chunks back at most
             back = max(0, i - 2)
             return self.totals[back] + self.counter.count(self.text[self.starts[back]:length])
         return self.totals[i] + (1 if self.counts[i] is None else self.counts[i][length - self.starts[i]])
 
+    def _end_of(self, i: int) -> int:
+        return self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
+
+    def _run(self, length: int) -> tuple[int, int, bytes | array]:
+        """The run of white space around the character before ``length``: its start, the tokens before it, its prefix counts."""
+        if not self.run[0] < length <= self.run[1]:
+            start, end = length - 1, length
+            while start and self.text[start - 1] in BLANKS:
+                start -= 1
+            while end < len(self.text) and self.text[end] in BLANKS:
+                end += 1
+            counts = self.counter.pieces.learn([self.text[start:end]])[self.text[start:end]]
+            self.run = (start, end, self.count(start), counts)
+        return self.run[0], self.run[2], self.run[3]
+
     def fit(self, budget: int) -> int:
         """The longest prefix, in characters, of at most so many tokens."""
         if self.total <= budget:
             return len(self.text)
         # a cut can lower a count only by what white space or a special string at the end is worth
-        i = bisect.bisect_right(self.totals, budget + 16) - 1
-        at = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
-        while at and self.count(at) > budget:
-            at -= 1
-        return at
+        for i in range(bisect.bisect_right(self.totals, budget + 16) - 1, -1, -1):
+            start, end = self.starts[i], self._end_of(i)
+            blank = self.text[end - 1] in BLANKS
+            if blank:  # all of it is white space
+                run, base, counts = self._run(end)
+                counts = counts[start - run:end - run + 1]
+            elif self.counts[i] is None:
+                counts, base = [0, *(self.count(at) for at in range(start + 1, end + 1))], 0
+            else:
+                counts, base = self.counts[i], self.totals[i]
+            fitting = np.flatnonzero(np.array(list(counts), np.int64)[1:] + base <= budget) + 1
+            if not blank and len(fitting) and self.text[start] in BLANKS and fitting[0] == 1 and self.count(start + 1) > budget:
+                fitting = fitting[1:]
+            if len(fitting):
+                return start + int(fitting[-1])
+            if not blank and self.text[start] in BLANKS and self.count(start + 1) <= budget:
+                return start + 1
+        return 0
 
 
 def token_counts(docs: DataFrame, name: str, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

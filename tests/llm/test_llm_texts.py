@@ -71,6 +71,26 @@ def test_blocks_round_trip_and_open_anywhere(n):
         rans.decode(bytes(broken), table)
 
 
+def test_prefix_counts_of_long_runs_take_seconds():
+    import time
+
+    counter, encode = prefix_counts.PrefixCounter("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    rng = random.Random(1)
+    letters = "".join(rng.choices("abcdefghijklmnop", k=200_000))
+    for text in (letters, "a" + "\n" * 200_000 + "b", " \t" * 100_000, "x" + " " * 50_000 + letters[:50_000] + "é" * 20_000):
+        began = time.perf_counter()
+        prefixes = counter.prefixes(text)
+        whole = len(encode.encode(text, add_special_tokens=False).ids)
+        assert prefixes.total == whole and prefixes.count(len(text)) == whole
+        for budget in (0, 1, 20, 1024, whole - 1):
+            at = prefixes.fit(budget)
+            assert prefixes.count(at) <= budget
+            for cut in (at, at + 1, at + 2):
+                n = len(encode.encode(text[:cut], add_special_tokens=False).ids) if cut < 5000 else prefixes.count(cut)
+                assert n == prefixes.count(cut) and (cut == at or n > budget or cut > len(text))
+        assert time.perf_counter() - began < 30
+
+
 def test_prefix_counts_match_the_library_at_every_prefix():
     counter, encode = prefix_counts.PrefixCounter("byte_bpe_50k.json"), library("byte_bpe_50k.json")
     count = lambda t: len(encode.encode(t, add_special_tokens=False).ids)
