@@ -23,7 +23,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -146,6 +146,7 @@ class PrefixCounter:
         self.edges: tuple[dict, dict] = ({}, {})
         self.fits: dict[int, bool] = {}
         self.ends = TokensByEnd(self.token)
+        self.lengths = np.array(self.ends.length)
         self.pieces = WordMemo(self._piece_counts, hot=250_000, recent=200_000)
         self.chunks = WordMemo(self._chunk_counts, hot=350_000, recent=250_000)
 
@@ -201,27 +202,26 @@ class PrefixCounter:
         """Prefix by prefix: the last token is the longest one that ends there and may follow what is before it."""
         sizes = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        longest = self.ends.longest(data, np.arange(len(data)) - np.repeat(starts, sizes)).tolist()
-        length, shorter, known, may_follow = self.ends.length, self.ends.shorter, self.fits.get, self._may_follow
+        place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        longest = self.ends.longest(data, place)
+        if (longest < 0).any():
+            raise ValueError("a byte without a token")
+        begins = (place + 1 - self.lengths[longest]).tolist()
+        longest, length, shorter, known, may_follow = longest.tolist(), self.ends.length, self.ends.shorter, self.fits.get, self._may_follow
         at = 0
         for piece in pieces:
-            last, counts = [0], [0]
-            for end in range(1, len(piece) + 1):
-                token = longest[at]
-                at += 1
-                while True:
-                    if token < 0:
-                        raise ValueError("a byte without a token")
-                    begin = end - length[token]
-                    if not begin:
-                        break
+            last, counts, end = [0], [0], 0
+            for token, begin in zip(longest[at:at + len(piece)], begins[at:at + len(piece)], strict=True):
+                end += 1
+                while begin:
                     fits = known(last[begin] << 20 | token)
                     if fits or (fits is None and may_follow(last[begin], token)):
                         break
                     token = shorter[token]
+                    begin = end - length[token]
                 last.append(token)
                 counts.append(counts[begin] + 1)
+            at += len(piece)
             if not piece.isascii():  # only ends of characters
                 counts = [c for c, byte in zip(counts, [*piece, 0], strict=True) if byte & 0xC0 != 0x80]
             yield bytes(counts) if max(counts) < 256 else array("I", counts)
@@ -255,23 +255,40 @@ class PrefixCounter:
         """Where a prefix ends inside a contraction, which then is none."""
         return [k for m in self.split.finditer(chunk) if m[0][0] == "'" and len(m[0]) > 2 for k in range(m.start() + 1, m.end())]
 
-    def counts(self, texts: list[str], group: int = 6_000_000) -> Iterator[int]:
-        """Tokens of whole texts; new chunks of about ``group`` characters are learnt together."""
+    def counts(self, texts: list[str], limit: int | None = None, group: int = 6_000_000) -> Iterator[tuple[int, int]]:
+        """Tokens of whole texts, and the longest prefix within the limit; new chunks of about ``group`` characters are learnt together."""
         waiting, size = [], 0
         for text in texts:
             special = self.special is not None and self.special.search(text)
-            waiting.append((text if special else None, [] if special else chunks_of(text)))
+            waiting.append((text, None if special else chunks_of(text)))
             size += len(text)
             if size >= group:
-                yield from self._count_waiting(waiting)
+                yield from self._count_waiting(waiting, limit)
                 waiting, size = [], 0
-        yield from self._count_waiting(waiting)
+        yield from self._count_waiting(waiting, limit)
+
+    def _count_waiting(self, waiting: list, limit: int | None) -> Iterator[tuple[int, int]]:
+        known = self.chunks.learn(set(chain.from_iterable(chunks for _, chunks in waiting if chunks)))
+        plain = [chunks and [known[c][-1] for c in chunks] for _, chunks in waiting]
+        for (text, chunks), counts in zip(waiting, plain, strict=True):
+            if chunks is None:
+                n = self.count(text)
+                yield n, len(text) if limit is None or n <= limit else self.prefixes(text, limit).fit(limit)
+            elif limit is None or (n := sum(counts)) <= limit:
+                yield sum(counts), len(text)
+            else:
+                yield n, self._fit(text, chunks, counts, limit)
 
-    def _count_waiting(self, waiting: list) -> Iterator[int]:
-        known = self.chunks.learn(set(chain.from_iterable(chunks for _, chunks in waiting)))
-        plain = [sum([known[c][-1] for c in chunks]) for _, chunks in waiting]
-        for (text, _), n in zip(waiting, plain, strict=True):
-            yield n if text is None else self.count(text)
+    def _fit(self, text: str, chunks: list[str], counts: list[int], limit: int) -> int:
+        """The longest prefix within the limit: it reaches past the last place that ends no white space and fits."""
+        at = total = safe = spent = 0
+        for chunk, n in zip(chunks, counts, strict=True):
+            if total > limit:
+                break
+            if at and text[at - 1] not in BLANKS:
+                safe, spent = at, total
+            at, total = at + len(chunk), total + n
+        return safe + self.prefixes(text[safe:], limit - spent).fit(limit - spent)
 
     def count(self, text: str) -> int:
         """Tokens of the whole text: the last value of its prefixes."""
@@ -282,21 +299,23 @@ class PrefixCounter:
         known = self.chunks.learn(chunks)
         return sum([known[c][-1] for c in chunks])
 
-    def prefixes(self, text: str) -> Prefixes:
-        return Prefixes(self, text)
+    def prefixes(self, text: str, upto: float = math.inf) -> Prefixes:
+        return Prefixes(self, text, upto)
 
 
 class Prefixes:
-    """Token counts of every prefix of one text, in characters."""
+    """Token counts of every prefix of one text, in characters; with ``upto`` of prefixes until well over so many tokens."""
 
-    def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
+    def __init__(self, counter: PrefixCounter, text: str, upto: float = math.inf):
+        self.counter, self.text, self.most = counter, text, upto + 64
         self.starts: list[int] = []
         self.totals: list[int] = []
         self.counts: list = []
         self.run: tuple = (0, 0, 0, b"")
         begin = 0
         for m in counter.special.finditer(text) if counter.special is not None else ():
+            if self.totals and self.totals[-1] > self.most:
+                break
             self._plain(text[begin:m.start()])
             self._add(len(m[0]), None, 1)
             begin = m.end()
@@ -311,9 +330,12 @@ class Prefixes:
         self._end = at + length
 
     def _plain(self, part: str) -> None:
-        chunks = chunks_of(part)
+        # a chunk has one token at least
+        chunks = chunks_of(part) if self.most == math.inf else [m[0] for m in islice(CHUNK.finditer(part), int(self.most))]
         known = self.counter.chunks.learn(chunks)
         for chunk in chunks:
+            if self.totals and self.totals[-1] > self.most:
+                break
             self._add(len(chunk), known[chunk], known[chunk][-1])
 
     def count(self, length: int) -> int:
@@ -350,6 +372,8 @@ class Prefixes:
 
     def fit(self, budget: int) -> int:
         """The longest prefix, in characters, of at most so many tokens."""
+        if budget > self.most - 64:
+            raise ValueError("counts were made up to a smaller budget")
         if self.total <= budget:
             return len(self.text)
         # a cut can lower a count only by what white space or a special string at the end is worth
@@ -379,9 +403,8 @@ def token_counts(docs: DataFrame, name: str, limit: int, id_column: str = "doc_i
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         counter = kept(("prefixes", name), lambda: PrefixCounter(name))
         for batch in batches:
-            n_tokens = list(counter.counts(batch["text"]))
-            fit = [len(t) if n <= limit else counter.prefixes(t).fit(limit) for t, n in zip(batch["text"], n_tokens, strict=True)]
-            yield batch | {"n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens], "fit_chars": fit}
+            found = list(counter.counts(batch["text"], limit))
+            yield batch | {"n_tokens": [n for n, _ in found], "over_limit": [n > limit for n, _ in found], "fit_chars": [f for _, f in found]}
 
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),

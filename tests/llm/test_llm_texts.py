@@ -84,7 +84,7 @@ def test_prefix_counts_of_long_runs_take_seconds():
         assert prefixes.total == whole and prefixes.count(len(text)) == whole
         for budget in (0, 1, 20, 1024, whole - 1):
             at = prefixes.fit(budget)
-            assert prefixes.count(at) <= budget
+            assert prefixes.count(at) <= budget and counter.prefixes(text, budget).fit(budget) == at
             for cut in (at, at + 1, at + 2):
                 n = len(encode.encode(text[:cut], add_special_tokens=False).ids) if cut < 5000 else prefixes.count(cut)
                 assert n == prefixes.count(cut) and (cut == at or n > budget or cut > len(text))
@@ -97,13 +97,16 @@ def test_prefix_counts_match_the_library_at_every_prefix():
     random.seed(2)
     letters = [*" \n\t'srevdl ", "a", "B", "1", "é", "日", "　", "<|endoftext|>", "!", "th", "🙂"]
     texts = ODD_TEXTS[:12] + ["".join(random.choices(letters, k=random.randint(1, 25))) for _ in range(150)]
-    assert list(counter.counts(texts)) == [count(t) for t in texts]
+    assert list(counter.counts(texts)) == [(count(t), len(t)) for t in texts]
+    for limit in (0, 1, 3, 7):
+        assert list(counter.counts(texts, limit)) == [(count(t), counter.prefixes(t).fit(limit)) for t in texts]
     for text in (t for t in texts if len(t) < 100):
         prefixes = counter.prefixes(text)
         each = [count(text[:i]) for i in range(len(text) + 1)]
         assert [prefixes.count(i) for i in range(len(text) + 1)] == each
         for budget in (0, 1, 3, 7):
-            assert prefixes.fit(budget) == max(i for i, n in enumerate(each) if n <= budget)
+            longest = max(i for i, n in enumerate(each) if n <= budget)
+            assert prefixes.fit(budget) == longest == counter.prefixes(text, budget).fit(budget)
 
 
 def test_token_counts_query(spark, sf_dir):
