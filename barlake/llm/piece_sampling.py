@@ -86,18 +86,24 @@ class PieceSampler:
         order = sorted(range(len(normal)), key=lambda k: (-model.get_score(normal[k][0]), k))
         for rank, k in enumerate(order):
             i, piece = normal[k]
-            by_length.setdefault(len(piece), []).append((self._hash(piece), i, float(rank + 1) ** -alpha))
+            by_length.setdefault(len(piece), []).append((self._hash(piece), i, float(rank + 1) ** -alpha, piece))
         self.longest = max(by_length)
-        self.pieces = {}
+        self.pieces, self.letters = {}, {}
         for length, found in by_length.items():
             found.sort()
-            self.pieces[length] = tuple(np.array(x, t) for x, t in zip(zip(*found, strict=True), (np.uint64, np.int32, np.float64), strict=True))
+            hashes, ids, weights, texts = zip(*found, strict=True)
+            if len(set(hashes)) < len(hashes):
+                raise ValueError("two pieces have one hash")
+            letters = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
+            self.letters[length] = letters
+            self.pieces[length] = np.array(hashes, np.uint64), np.array(ids, np.int32), np.array(weights, np.float64)
         self.byte_weight = float(len(normal)) ** -alpha
         self.hot, self.recent = hot, recent
         self.base: dict[str, int] = {}
         self.late: list[str] = []
         self.nodes = self.kept_nodes = self.edges = self.kept_edges = 0
         self.cumulative, self.edge_id, self.edge_length = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.first_edge = np.zeros(1024, np.int64)  # of each node; its other edges follow
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -148,6 +154,10 @@ class PieceSampler:
             hashes, ids, weights = self.pieces[length]
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[at] == h
+            if length > 1:  # a hash of the same value is not yet the piece
+                row, end = np.nonzero(hit)
+                same = (chars[row[:, None], end[:, None] + np.arange(length)] == self.letters[length][at[row, end]]).all(axis=1)
+                hit[row[~same], end[~same]] = False
             if length == 1:
                 piece[:, :, 0] = np.where(hit, ids[at], -chars.astype(np.int64) - 1)  # a character spelt in bytes
                 weight[:, :, 0] = np.where(hit, weights[at], self.byte_weight)
@@ -177,19 +187,27 @@ class PieceSampler:
         cumulative = weight[unit, end, length]
         final = np.append(node[1:] != node[:-1], True)
         cumulative[final] = 1.0
+        begins = np.flatnonzero(np.append(True, final[:-1])) + self.edges
+        self.first_edge = self._grown("first_edge", self.nodes, self.nodes + len(begins))
+        self.first_edge[self.nodes:self.nodes + len(begins)] = begins
         self._append(node + cumulative, piece[unit, end, length], length + 1)
         self.base.update(zip(units, first.tolist(), strict=True))
         self.nodes += int(lengths.sum())
 
+    def _grown(self, name: str, used: int, upto: int) -> np.ndarray:
+        old = getattr(self, name)
+        if upto <= len(old):
+            return old
+        out = np.zeros(max(upto, 2 * len(old)), old.dtype)
+        out[:used] = old[:used]
+        return out
+
     def _append(self, *columns: np.ndarray) -> None:
         upto = self.edges + len(columns[0])
         for name, new in zip(("cumulative", "edge_id", "edge_length"), columns, strict=True):
-            old = getattr(self, name)
-            if upto > len(old):
-                grown = np.zeros(max(upto, 2 * len(old)), old.dtype)
-                grown[:self.edges] = old[:self.edges]
-                setattr(self, name, old := grown)
-            old[self.edges:upto] = new
+            out = self._grown(name, self.edges, upto)
+            out[self.edges:upto] = new
+            setattr(self, name, out)
         self.edges = upto
 
     # sampling
@@ -223,12 +241,16 @@ class PieceSampler:
         taken = np.zeros(n, np.int64)
         active = np.arange(n)
         node = at + left - 1
-        cumulative = self.cumulative[:self.edges]
         draw = 0
         while len(active):
             draw += 1
             chance = uniform(key + np.uint64(draw * int(STEP) & 0xFFFFFFFFFFFFFFFF))
-            edge = np.searchsorted(cumulative, node + np.minimum(chance, 1 - 1e-7), side="right")
+            target = node + np.minimum(chance, 1 - 1e-7)
+            edge = self.first_edge[node]
+            further = np.flatnonzero(self.cumulative[edge] <= target)
+            while len(further):
+                edge[further] += 1
+                further = further[self.cumulative[edge[further]] <= target[further]]
             steps.append((active, self.edge_id[edge]))
             taken[active] += 1
             length = self.edge_length[edge]
@@ -264,8 +286,8 @@ class PieceSampler:
         return b"".join(map(self.piece_bytes.__getitem__, ids.tolist())).decode()[1:]
 
 
-def encode(docs: DataFrame, name: str, seed: int = 7, alpha: float = 1.0, key: Column | None = None, text: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, n_chars, n_tokens, ids, ids_crc32 and whether decoding gave the text back."""
+def encode(docs: DataFrame, name: str, seed: int = 7, alpha: float = 1.0, key: Column | None = None, text: Column | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+    """The kept columns, n_chars, n_tokens, ids (if asked for), ids_crc32 and whether decoding gave the text back."""
     key = F.col("doc_id") if key is None else key
     text = F.col("text") if text is None else text
 
@@ -275,7 +297,7 @@ def encode(docs: DataFrame, name: str, seed: int = 7, alpha: float = 1.0, key: C
             ids = list(sampler.sample(batch["own_text"], batch["own_key"]))
             yield {
                 **{c: batch[f"k_{c}"] for c in keep}, "n_chars": [len(t) for t in batch["own_text"]], "n_tokens": [len(x) for x in ids],
-                "ids": ids, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
+                **({"ids": ids} if with_ids else {}), "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
                 "lossless": [sampler.decode(x) == t for x, t in zip(ids, batch["own_text"], strict=True)],
             }
 
@@ -283,4 +305,4 @@ def encode(docs: DataFrame, name: str, seed: int = 7, alpha: float = 1.0, key: C
         *(F.col(c).alias(f"k_{c}") for c in keep), F.xxhash64(F.lit(seed), key).alias("own_key"), F.coalesce(text, F.lit("")).alias("own_text"),
     )
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_columns(rows, run, f"{kinds}, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, lossless boolean")
+    return map_columns(rows, run, f"{kinds}, n_chars long, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long, lossless boolean")

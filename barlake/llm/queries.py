@@ -51,7 +51,7 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model").drop("ids")
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", with_ids=False)
 
 
 def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
