@@ -12,7 +12,10 @@ footers, forms, notices, adverts or comments is dropped, text in the page's
 article is kept, and a page that has an article has its main text there. Words
 such as sidebar, and forms, count below the page's article or beside it, not
 around it: that is its <main>, or the <article> least under such tags and, if
-there are any, with most of the text. What is
+there are any, with most of the text. A word counts as a whole class, role or id
+(ids not on headings and text), or with words that say nothing, as in
+related-posts; a menu, sidebar or widget that holds most of the text counts for
+nothing. What is
 left is judged by what all pages of the host put into the slot: the share of
 text that is link text, and whether it ever changes, over at least three pages
 that differ in their other slots. A slot of a page that its wrapper has no place
@@ -75,9 +78,17 @@ LISTS = frozenset("ul ol menu dl".split())
 ARTICLE = frozenset("article main".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select option label head fieldset legend".split())
 OUTSIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|pagination|pager|footer|masthead|site-?header|comments?|replies|"
-    r"disqus|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget)(?:$|[^a-z])"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|pagination|pager|footer|masthead|site-?header|comments?|replies|"
+    r"disqus|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget"
 )
+# Words that say nothing beside one of those, as in related-posts; and those of them that are also put around all text of a page.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons container element global group header inner item items left link links list main outer page post posts primary region "
+    "right row secondary section signup site slot top unit wrap wrapper".split()
+)
+AROUND_ALL = re.compile(r"banner|side-?bar|menu|nav\w*|popup|modal|widget")
+# An id says what a tag is for only on these; on headings and text it is made of their own words.
+HOLDERS = frozenset("aside div dl footer form header nav ol section table ul".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.IGNORECASE)
 
 
@@ -85,10 +96,31 @@ def _symbol(name: str, rest: str) -> str:
     """A tag with the words of its class and id that say what it is for; numbers in them go."""
     if not rest.strip(" />"):
         return name
-    words = " ".join(re.sub(r"\d+", "", " ".join(m[1:]).lower()) for m in ATTRIBUTE.findall(rest))
+    found = ((m[0].lower(), re.sub(r"\d+", "", " ".join(m[1:]).lower())) for m in ATTRIBUTE.findall(rest))
+    words = " ".join(f"#{text.strip()}" if kind == "id" and text.strip() else text for kind, text in found)
     return f"{name}.{'.'.join(sorted(set(words.split())))}" if words.strip() else name
 
 
+def _warning(symbol: str) -> tuple[int, bool]:
+    """How much a tag's words say that it is not the article, and whether they are also put around all text.
+
+    A whole class, role or id says much. A part of a class says little, and only
+    if its other parts say nothing: related-posts, but not social-impact.
+    """
+    name, *words = symbol.split(".")
+    said, around = 0, True
+    for word in words:
+        if word.startswith("#"):
+            parts = [word[1:]] if name in HOLDERS and OUTSIDE_WORDS.fullmatch(word[1:]) else []
+        else:
+            parts = [word] if OUTSIDE_WORDS.fullmatch(word) else re.split("[-_]+", word)
+        telling = [p for p in parts if OUTSIDE_WORDS.fullmatch(p)]
+        if telling and all(p in NEUTRAL or p in telling for p in parts):
+            said = max(said, 100 if len(parts) == 1 else 1)
+            around = around and all(AROUND_ALL.fullmatch(p) for p in telling)
+    return said, around
+
+
 def _stay(names: list[str], symbol: str) -> int:
     """How many of the open tags stay open at a tag."""
     k = len(names)
@@ -392,9 +424,9 @@ def states(symbols: list[str], chars: list[int]) -> list[int]:
     names = [symbol.split(".")[0] for symbol, _ in tags]
     # of each tag, and at the end of what stands in none
     inside, shut, warns, text = [False], [False], [0], [0] * (len(tags) + 1)
-    warned = [n == "form" or bool(OUTSIDE_WORDS.search(symbol.partition(".")[2])) for n, (symbol, _) in zip(names, tags, strict=True)]
-    # a whole word, such as comments, says more than a part of one, such as has-comments
-    weight = [w * (100 if any(OUTSIDE_WORDS.fullmatch(x) for x in symbol.split(".")[1:]) else 1) for w, (symbol, _) in zip(warned, tags, strict=True)]
+    warnings = [_warning(symbol) for symbol, _ in tags]
+    weight = [said or int(n == "form") for n, (said, _) in zip(names, warnings, strict=True)]
+    warned = [w > 0 for w in weight]
     for k, (_, parent) in enumerate(tags):
         shut.insert(-1, shut[parent] or (names[k] in OUTSIDE and names[k] != "form") or (names[k] == "header" and not inside[parent]))
         inside.insert(-1, inside[parent] or names[k] in ARTICLE)
@@ -434,6 +466,9 @@ def states(symbols: list[str], chars: list[int]) -> list[int]:
         free.update(best)
     if not free:
         free.update(k for k, n in enumerate(names) if n == "form" and 2 * below[k] > below[-1])
+    # what holds most of the article's text is no menu or widget beside it
+    scope = max((below[k] for k in free if names[k] in ARTICLE), default=below[-1])
+    free.update(k for k, (said, around) in enumerate(warnings) if said and around and names[k] != "form" and 2 * below[k] > scope)
     gone = _below(tags, [s or (w and k not in free) for k, (s, w) in enumerate(zip(shut[:-1], warned, strict=True))])
     article = any(inside[k] and not gone[k] for k in leaves)
     return [DROP if gone[k] or (article and not inside[k]) else ARTICLE_TEXT if inside[k] else OPEN for k in leaves]

@@ -300,6 +300,32 @@ def test_tags_around_and_in_the_article(page, want):
     assert " ".join(got) == " ".join(want.split("\n")) and "no" not in " ".join(got).split()
 
 
+LONG = "the article's own words, which are many more than those of anything beside it"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><h2 id='related-work'>Related work</h2><p>T</p></article>", "Related work\nT"),
+    ("<article><p>T</p><section id='social-impact'><h3>Impact</h3><p>U</p></section></article>", "T\nImpact\nU"),
+    ("<article><h2 id='navigation'>Navigation</h2><p id='notice-periods'>P</p><div class='alert alert-info'>N</div></article>", "Navigation\nP\nN"),
+    ("<article><blockquote class='share-quote'>Q</blockquote><p>T</p></article>", "Q\nT"),
+    (f"<main><div class='widget-content'><p>{LONG}</p></div></main>", LONG),
+    (f"<main><div class='elementor-widget widget'><p>{LONG}</p></div><div class='social-links'>no</div></main>", LONG),
+    # a blog, a shop of page builders, a documentation, a forum, a newspaper
+    (f"<div id='header'>no</div><div id='content'><div class='post'><h1>H</h1><p>{LONG}</p></div><div id='comments'><ol class='comment-list'><li>{'no ' * 90}</li></ol></div></div><div id='sidebar'><ul class='widget_links'><li>no</li></ul></div>", None),
+    (f"<body class='page'><main><section class='section-wrapper'><p>{LONG}</p></section><div class='newsletter-signup'>no</div></main></body>", LONG),
+    (f"<nav class='toc'>no</nav><main role='main'><article><h1 id='menu'>Menu</h1><p>{LONG}</p><h2 id='share'>Share</h2><p>T</p></article></main><footer>no</footer>", f"Menu\n{LONG}\nShare\nT"),
+    (f"<article class='story'><p>{LONG}</p><aside>no</aside><div class='related-posts'>no</div><div class='ad-slot'>no</div><div class='cookie_banner'>no</div></article>", LONG),
+])
+def test_words_of_tags_in_real_templates(page, want):
+    symbols, blocks = page_wrappers.stream(page)
+    found = page_wrappers.states(symbols, [len(t) for t, _ in blocks])
+    got = [t for (t, _), state in zip(blocks, found, strict=True) if state]
+    if want is None:
+        assert LONG in got and not any("no no" in t for t in got)
+    else:
+        assert "\n".join(got) == want
+
+
 def test_ends_of_loose_tags_do_not_matter_where_others_follow():
     closed = "<div><h2>a</h2><p>b</p><p>c</p><ul><li>d</li><li>e</li></ul><table><tr><td>f</td></tr></table></div>"
     assert page_wrappers.stream(closed) == page_wrappers.stream(re.sub("</(p|li|td|tr|h2)>", "", closed))
