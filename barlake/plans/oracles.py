@@ -196,9 +196,9 @@ _NATION = "CASE WHEN s_suppkey >= 3 THEN 'N' || s_nationkey END"
 ORACLES["instrument_view"] = f"""SELECT 'S' || s_suppkey AS symbol, s_name AS record_symbol, s_acctbal AS "priceFilter_tickSize",
   s_suppkey AS "priceFilter_range_max", {_NATION} AS status, '["' || s_suppkey || '",1]' AS tags FROM supplier"""
 ORACLES["instrument_view_second_run"] = """SELECT 'S' || s_suppkey AS symbol, s_name AS record_symbol,
-  CASE WHEN s_suppkey % 10 = 1 THEN 'x' || s_acctbal ELSE CAST(s_acctbal AS VARCHAR) END AS "priceFilter_tickSize",
-  CASE WHEN s_suppkey % 10 = 1 THEN s_suppkey + 0.5 ELSE s_suppkey END::DOUBLE AS "priceFilter_range_max",
-  CASE WHEN s_suppkey % 10 = 1 THEN '[]' ELSE '["' || s_suppkey || '",1]' END AS tags FROM supplier WHERE s_suppkey <> 1"""
+  CASE WHEN s_suppkey % 5 = 1 THEN 'x' || s_acctbal ELSE CAST(s_acctbal AS VARCHAR) END AS "priceFilter_tickSize",
+  CASE WHEN s_suppkey % 5 = 1 THEN s_suppkey + 0.5 ELSE s_suppkey END::DOUBLE AS "priceFilter_range_max",
+  CASE WHEN s_suppkey % 5 = 1 THEN '[]' ELSE '["' || s_suppkey || '",1]' END AS tags FROM supplier WHERE s_suppkey <> 1"""
 ORACLES["ticker_view"] = f"""SELECT 'S' || s_suppkey AS symbol, 'S' || s_suppkey AS record_symbol, s_acctbal AS "lastPrice",
   s_suppkey + 0.5::DOUBLE AS turnover, {_NATION} AS phone FROM supplier"""
 ORACLES["meta_view"] = f"""SELECT 'S' || s_suppkey AS symbol, 'S' || s_suppkey AS record_symbol, s_suppkey * 86400000 AS listing_time_at,

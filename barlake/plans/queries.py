@@ -168,13 +168,13 @@ def meta_view(spark, sf_dir):
 
 @query
 def instrument_view_second_run(spark, sf_dir):
-    """The view after a second refresh: one supplier in ten has text where numbers were, one has lost its document."""
+    """The view after a second refresh: one supplier in five has text where numbers were, one has lost its document."""
     root = shared_dir(spark, "view-second-run")
     suppliers = dt.table(spark, sf_dir, "supplier")
     texts = dt.supplier_documents(suppliers, dt.INSTRUMENT_FILE)
     _write_texts(texts, f"{root}/source/raw/instrument.json")
     ingest.refresh(spark, f"{root}/source", f"{root}/lake")
-    changed = dt.supplier_documents(suppliers.where("s_suppkey % 10 = 1"), dt.CHANGED_INSTRUMENT_FILE)
+    changed = dt.supplier_documents(suppliers.where("s_suppkey % 5 = 1"), dt.CHANGED_INSTRUMENT_FILE)
     changed = changed.withColumn("value", F.when(F.col("path_symbol") == "S1", " ").otherwise(F.col("value")))
     changed.select("value", F.col("path_symbol").alias("symbol")).write.mode("overwrite").partitionBy("symbol").option(
         "partitionOverwriteMode", "dynamic").text(f"{root}/source/raw/instrument.json")
