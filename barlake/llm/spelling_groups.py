@@ -51,6 +51,8 @@ DAMAGED = 31
 #: The code points at either end of a word of which one edit leaves one end alone.
 END = (SHORTEST - 1) // 2
 FLUSH = 400_000
+#: Longer words are compared without an edit-distance table, whose time grows with the square of their length.
+LONG = 64
 
 
 def word_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -99,6 +101,15 @@ def signatures(parts: list[str], differ: int, length: Column, sorted_letters: Co
     return F.array_distinct(F.array(*out))
 
 
+def one_edit(a: Column, b: Column, more: int) -> Column:
+    """Whether b has one code point replaced (``more`` = 0) or one more (1). Long words are compared from their first
+    difference on, which takes time in proportion to their length."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(differ, True).cast("int")
+    rest = F.substring(a, at + 1 - more, F.length(a)) == F.substring(b, at + 1, F.length(b))
+    return F.when(F.length(b) <= LONG, F.levenshtein(a, b, 1) == 1).otherwise(rest)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): every two words exactly one edit apart, once."""
     length, letters = F.length("word"), F.array_join(F.array_sort(F.split("word", "")), "")
@@ -109,11 +120,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
         keys = signatures(parts, differ, F.col("length") + shift, F.col("letters"), F.col("word"))
         return known.select(F.explode(keys).alias("key"), F.col("word").alias(prefix), F.col("n").alias(f"{prefix}_n"))
 
-    one_edit = F.levenshtein("a", "b", 1) == 1
+    a, b = F.col("a"), F.col("b")
     # a letter replaced: two places of the vectors differ
-    same = signed(four, 2, 0, "a").join(signed(four, 2, 0, "b"), "key").where((F.col("a") < F.col("b")) & one_edit)
+    same = signed(four, 2, 0, "a").join(signed(four, 2, 0, "b"), "key").where((a < b) & one_edit(a, b, 0))
     # a letter more: one place differs
-    longer = signed(three, 1, 1, "a").join(signed(three, 1, 0, "b"), "key").where((F.length("a") + 1 == F.length("b")) & one_edit)
+    longer = signed(three, 1, 1, "a").join(signed(three, 1, 0, "b"), "key").where((F.length(a) + 1 == F.length(b)) & one_edit(a, b, 1))
     return same.unionByName(longer).drop("key").distinct()
 
 

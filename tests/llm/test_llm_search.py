@@ -162,6 +162,8 @@ def test_every_edit_shares_a_signature(spark):
     for w in words:
         for i in range(len(w) + 1):
             pairs |= {(w, w[:i] + c + w[i:]) for c in alphabet} | {(w, w[:i] + c + w[i + 1:]) for c in alphabet if i < len(w)}
+    long = "abcdefghij" * 8  # compared without an edit-distance table
+    pairs |= {(long, long[:i] + c + long[i + k:]) for i in (0, 1, 40, 79, 80) for c in ("", "z", "é") for k in (0, 1)}
     known = sorted({w for p in pairs for w in p})
     frame = spark.createDataFrame([(w, 2) for w in known], "word string, n long")
     found = {tuple(sorted((r.a, r.b))) for r in spelling_groups.near_pairs(frame).collect()}
