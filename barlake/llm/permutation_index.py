@@ -1,19 +1,23 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots. It is posted in the
-inverted files of its first ``post`` pivots; a query looks into those of its
-first ``probe`` pivots, ranks what it finds by the footrule distance of the two
-orders (the sum of the differences of places), and measures the best ``share``
-of each file exactly. Within a file this is done in blocks of stored vectors
-against blocks of queries, so no file, however long, is one task.
-
-Equal vectors are one entry with its smallest ids, as many as any answer can
-use, and equal queries are searched once.
+A vector is represented by its nearest pivots, in order. Each block of vectors
+has an inverted file per pivot, with the vector and the pivot's place in its
+order for the first ``post`` pivots. A query reads the files of its own first
+``probe`` pivots and sums the footrule distance of the two orders from them: a
+shared pivot adds the difference of its places, one that only one of them has
+adds ``probe``. Nothing but posted places is touched. The nearest ``share`` of a
+block by that distance is measured exactly.
+
+Blocks of vectors meet blocks of queries; vectors are spread by hash, so no
+block is large, whatever lies close together. Equal vectors are one entry with
+its smallest ids, as many as any answer can use, and equal queries are searched once.
 
 Bounds: ``pivots`` vectors, those with the smallest hashes, are gathered to be
-pivots; counts per pivot are broadcast; all else is joined and grouped on Spark.
-Recall against brute force on 10,256 random unit vectors of 64 components is
-0.97 with these parameters; tests/llm measures it on each run.
+pivots; all else is joined and grouped on Spark. A query reads about
+``post * probe / pivots`` places for each vector (three with these parameters)
+and measures a tenth of them. On random unit vectors of 64 components, whose
+nearest are hardly nearer than the rest, recall against brute force is stated in
+the README for three sizes; tests/llm measures it on each run.
 
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components, and rows without an id, take no part; rows
@@ -25,19 +29,14 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from barlake.llm.common import ROOT, stored
+from barlake.llm.common import reach_workers, stored
 
-PIVOTS, POST, PROBE, SHARE, LEAST = 256, 8, 56, 0.06, 96
+PIVOTS, POST, PROBE, SHARE, LEAST = 1024, 48, 64, 0.1, 96
 STORED_ROWS, QUERY_ROWS = 16_384, 2_048
 
 
@@ -57,48 +56,46 @@ def choose_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     return np.array([r.v for r in rows])
 
 
-def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Pivots from nearest to farthest, by number; ties to the smaller number."""
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, first: int) -> np.ndarray:
+    """The first pivots of each vector from nearest on, by number; of pivots equally far the smaller number comes first."""
     square = (pivots**2).sum(1) - 2 * vectors @ pivots.T
-    return np.argsort(square, axis=1, kind="stable")
-
-
-def places(order: np.ndarray) -> np.ndarray:
-    """The place of each pivot in an order."""
-    out = np.empty(order.shape, np.int16)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None], axis=1)
-    return out
-
+    first = min(first, len(pivots))
+    found = np.sort(np.argpartition(square, first - 1, axis=1)[:, :first], axis=1)
+    order = np.argsort(np.take_along_axis(square, found, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(found, order, axis=1).astype(np.int32)
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
+class Files:
+    """The inverted files of one block: for every pivot the vectors that have it among their first, and its place there."""
 
-def _dealt(rows: DataFrame, pivots: np.ndarray, first: int) -> DataFrame:
-    """Each row once for each of its first pivots."""
-    kind = StructType([*rows.schema.fields, *StructType.fromDDL("pivot int")])
-    first = min(first, len(pivots))
+    def __init__(self, first: np.ndarray, pivots: int):
+        self.rows = len(first)
+        order = np.argsort(first, axis=None, kind="stable")
+        self.vector, self.place = np.divmod(order, first.shape[1])
+        self.begin = np.searchsorted(first.ravel()[order], np.arange(pivots + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                near = orders(_matrix(part.column("v")), pivots)[:, :first].astype(np.int32)
-                taken = part.take(pa.array(np.repeat(np.arange(part.num_rows), first)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near.ravel())], schema=to_arrow_schema(kind))
+    def nearest(self, first: np.ndarray, wanted: int, least: int) -> np.ndarray:
+        """The ``wanted`` vectors of least footrule distance to an order, and those as near as the last of them.
 
-    rows.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    return rows.mapInArrow(run, kind)
+        The distance is ``probe`` for each pivot less what shared ones save, so the largest savings are wanted.
+        Vectors that share no pivot come, in their order, only where fewer than ``least`` do.
+        """
+        spans = [slice(self.begin[p], self.begin[p + 1]) for p in first]
+        vector = np.concatenate([self.vector[s] for s in spans])
+        saved = np.concatenate([len(first) - np.abs(self.place[s] - at) for at, s in enumerate(spans)])
+        total = np.bincount(vector, np.maximum(saved, 0), self.rows)
+        wanted = min(wanted, self.rows)
+        bound = np.partition(total, self.rows - wanted)[self.rows - wanted]
+        if bound > 0:
+            return np.flatnonzero(total >= bound)
+        shared = np.flatnonzero(total > 0)
+        return np.concatenate([shared, np.flatnonzero(total == 0)[:max(0, least - len(shared))]])
 
 
-def _blocks(rows: DataFrame, own: str, sizes: DataFrame, other: str) -> DataFrame:
-    """Put each row in one block of its pivot's file, repeated for every block of the other side."""
-    return (
-        rows.join(F.broadcast(sizes), "pivot")
-        .withColumn(own, F.pmod(F.xxhash64(F.lit(5), "v"), F.col(f"n_{own}")))
-        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)))
-        .drop(f"n_{own}", f"n_{other}")
-    )
+def _in_blocks(rows: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+    """Each row in one block of its side, once for every block of the other side."""
+    own_block = F.pmod(F.xxhash64(F.lit(5), "v"), F.lit(own_blocks)).cast("int").alias(own)
+    return rows.select("*", own_block, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other))
 
 
 def search(
@@ -117,43 +114,29 @@ def search(
     queries = stored(queries, "queries")
     if not len(chosen):
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    posted, probed = stored(_dealt(entries, chosen, post), "postings"), _dealt(queries, chosen, probe)
-    counts = posted.groupBy("pivot").agg(F.count("*").alias("stored")).join(probed.groupBy("pivot").agg(F.count("*").alias("asked")), "pivot")
-    # one row per pivot
-    sizes = stored(counts.select(
-        "pivot", F.ceil(F.col("stored") / STORED_ROWS).alias("n_side"), F.ceil(F.col("asked") / QUERY_ROWS).alias("n_ask"),
-    ), "sizes")
-    one = _blocks(posted, "side", sizes, "ask").groupBy("pivot", "side", "ask")
-    two = _blocks(probed, "ask", sizes, "side").groupBy("pivot", "side", "ask")
-
-    def compare(key: tuple, entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+    entries = stored(entries, "entries")
+    sides, asks = -(-entries.count() // STORED_ROWS), max(1, -(-queries.count() // QUERY_ROWS))
+    one = _in_blocks(entries, "side", sides, "ask", asks).groupBy("side", "ask")
+    two = _in_blocks(queries, "ask", asks, "side", sides).groupBy("side", "ask")
+
+    def compare(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(entry) and len(query):
-            own, asks = np.stack(entry["v"].to_numpy()), np.stack(query["v"].to_numpy())
-            own_place, order = places(orders(own, chosen)), orders(asks, chosen)
-            ids = entry["ids"].to_numpy()
-            for q, (name, h) in enumerate(zip(query["query"], query["query_hash"], strict=True)):
-                out += [(name, h, i, d) for d, i in _nearest(own, own_place, ids, asks[q], order[q], int(key[0]))]
+            entry = entry.iloc[np.argsort([i[0] for i in entry["ids"]])]
+            own, ask, ids = np.stack(entry["v"].to_numpy()), np.stack(query["v"].to_numpy()), entry["ids"].to_numpy()
+            files = Files(nearest_pivots(own, chosen, post), len(chosen))
+            wanted = max(least, int(np.ceil(share * len(own))))
+            for n, (name, h, first) in enumerate(zip(query["query"], query["query_hash"], nearest_pivots(ask, chosen, probe), strict=True)):
+                here = files.nearest(first, wanted, least)
+                distance = np.sqrt(((own[here] - ask[n]) ** 2).sum(axis=1))
+                if len(here) > k + 1:
+                    near = distance <= np.partition(distance, k)[k]
+                    here, distance = here[near], distance[near]
+                met = sorted((float(d), int(i)) for d, e in zip(distance, here, strict=True) for i in ids[e])
+                out += [(name, h, i, d) for d, i in met[:k + 1]]
         return pd.DataFrame(out, columns=["query", "query_hash", "vec_id", "score"])
 
-    def _nearest(own: np.ndarray, own_place: np.ndarray, ids: np.ndarray, ask: np.ndarray, order: np.ndarray, pivot: int) -> list[tuple[float, int]]:
-        # a pair that shares several files is compared in the query's first one
-        earlier = order[:int(np.flatnonzero(order == pivot)[0])]
-        here = np.flatnonzero(~(own_place[:, earlier] < post).any(axis=1))
-        if not len(here):
-            return []
-        place = np.empty(len(order), np.int16)
-        place[order] = np.arange(len(order), dtype=np.int16)
-        footrule = np.abs(own_place[here] - place).sum(axis=1, dtype=np.int64)
-        best = max(least, int(np.ceil(share * len(here))))
-        if len(here) > best:
-            here = here[footrule <= np.partition(footrule, best - 1)[best - 1]]
-        distance = np.sqrt(((own[here] - ask) ** 2).sum(axis=1))
-        if len(here) > k + 1:
-            near = distance <= np.partition(distance, k)[k]
-            here, distance = here[near], distance[near]
-        return sorted((float(d), int(i)) for d, e in zip(distance, here, strict=True) for i in ids[e])[:k + 1]
-
+    reach_workers(rows.sparkSession)
     found = one.cogroup(two).applyInPandas(compare, schema)
     best = Window.partitionBy("query", "query_hash").orderBy("score", "vec_id")
     # several vectors of one id: the nearest counts

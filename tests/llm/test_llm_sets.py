@@ -181,6 +181,34 @@ def test_neighbours_query_recall(spark, sf_dir):
     assert hits >= 0.9 * len(rows)
 
 
+def test_files_give_the_footrule_of_posted_places():
+    """Savings against a plain sum over the pivots of both orders; only shared pivots count as read."""
+    rng = np.random.default_rng(2)
+    pivots, post, probe = 20, 3, 5
+    stored = np.array([rng.permutation(pivots)[:post] for _ in range(40)])
+    files = permutation_index.Files(stored, pivots)
+    for _ in range(10):
+        asked = rng.permutation(pivots)[:probe]
+        saved = [sum(probe - abs(i - list(asked).index(p)) for i, p in enumerate(row) if p in asked) for row in stored]
+        for wanted in (1, 7, 40, 90):
+            bound = sorted(saved, reverse=True)[min(wanted, 40) - 1]
+            expected = [i for i, s in enumerate(saved) if s >= bound and s > 0]
+            if bound == 0:
+                expected += [i for i, s in enumerate(saved) if s == 0][:max(0, 30 - len(expected))]
+            assert list(files.nearest(asked, wanted, 30)) == expected
+
+
+def test_neighbours_over_several_blocks(spark, monkeypatch):
+    """Blocks of vectors and of queries change nothing where all is measured."""
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))], "vec_id long, embedding array<double>")
+    whole = permutation_index.search(table, F.col("vec_id") % 20 == 0, share=1.0, post=64, probe=64).collect()
+    monkeypatch.setattr(permutation_index, "STORED_ROWS", 90)
+    monkeypatch.setattr(permutation_index, "QUERY_ROWS", 6)
+    parts = permutation_index.search(table, F.col("vec_id") % 20 == 0, share=1.0, post=64, probe=64).collect()
+    assert sorted(whole) == sorted(parts) and len(parts) == 200
+
+
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0, 1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (8, [float("inf"), 0.0]), (100, [1.0, 0.0])]
