@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from barlake.functions import ts_from_ms
 from barlake.operators.resample import BAR_COLUMNS, bar_aggregates
@@ -25,10 +26,47 @@ def stream_resample(rows: DataFrame, timeframe: str, late_by: str = "1 day") ->
     )
 
 
-def run_updates(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's changed bars to ``path/batch=<id>``; a repeated batch replaces its own folder."""
+#: Batches between two compactions, and how far behind the newest bar a bar is taken to be closed.
+CYCLE, OPEN_MS = 8, 2 * 86_400_000
+
+
+def _newest(versions: DataFrame) -> DataFrame:
+    """Of every bar the version of the latest batch."""
+    values = F.struct(*[c for c in BAR_COLUMNS if c not in ("symbol", "ts_ms")])
+    found = versions.groupBy("symbol", "ts_ms").agg(F.max_by(values, "batch").alias("_bar"), F.max("batch").alias("batch"))
+    return found.select("symbol", "ts_ms", "_bar.*", "batch")
+
+
+def run_updates(bars: DataFrame, path: str, checkpoint: str, cycle: int = CYCLE, open_ms: int = OPEN_MS) -> StreamingQuery:
+    """Keep the changed bars of a stream under ``path``, compacted every ``cycle`` batches.
+
+    Each batch has a folder of versions, used again a cycle later. The last
+    batch of a cycle merges the open bars of the cycle before with the cycle's
+    versions. Bars more than ``open_ms`` behind the newest one go to a folder of
+    closed bars that is never read here again, the rest to one of two folders of
+    open bars in turn. So closed bars are stored once, and the work of a batch
+    grows with the open bars alone. ``open_ms`` below the lateness of the
+    stream costs space, not correctness: :func:`latest_bars` goes by batch numbers.
+
+    Until a compaction has ended, all it read is still there, and a repeated
+    batch replaces what it wrote before, so a lost run leaves nothing double.
+    ``cycle`` must stay the same for a checkpoint. A reader that listed files
+    before a folder was used again has to read again.
+    """
+    schema = StructType([*bars.schema.fields, StructField("batch", LongType()), StructField("part", StringType())])
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        turn, slot = divmod(batch_id, cycle)
+        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/part=slot-{slot}")
+        if slot < cycle - 1:
+            return
+        parts = [f"slot-{i}" for i in range(cycle)] + [f"open-{(turn + 1) % 2}"]
+        versions = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("part").isin(parts))
+        merged = _newest(versions)
+        border = merged.agg(F.max("ts_ms") - open_ms).first()[0]
+        closed = F.coalesce(F.col("ts_ms") < F.lit(border).cast("bigint"), F.lit(False))
+        merged.where(closed).write.mode("overwrite").parquet(f"{path}/part=closed-{turn}")
+        merged.where(~closed).write.mode("overwrite").parquet(f"{path}/part=open-{turn % 2}")
 
     return (
         bars.writeStream.outputMode("update").foreachBatch(save)
@@ -38,10 +76,7 @@ def run_updates(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def latest_bars(spark: SparkSession, path: str) -> DataFrame:
     """Current state of every bar: its version from the newest batch."""
-    versions = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
-    values = F.struct(*[c for c in BAR_COLUMNS if c not in ("symbol", "ts_ms")])
-    newest = versions.groupBy("symbol", "ts_ms").agg(F.max_by(values, "batch").alias("_bar"))
-    return newest.select("symbol", "ts_ms", "_bar.*")
+    return _newest(spark.read.parquet(path)).drop("batch")
 
 
 def run_append(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

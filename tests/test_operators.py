@@ -347,6 +347,37 @@ def test_streamed_bars_over_several_batches(spark, frame, rows, tmp_path):
     assert_same(as_bars(latest_bars(spark, str(tmp_path / "out"))), bars_of(rows, HOUR))
 
 
+@pytest.mark.parametrize("in_order", [True, False])
+def test_versions_of_streamed_bars_are_compacted(spark, frame, rows, tmp_path, in_order):
+    """Twenty batches in cycles of four: closed bars once, the same bars at the end, also after a batch has run again."""
+    source, out, cp = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    ordered = sorted(rows, key=lambda r: r[1])
+    size = -(-len(ordered) // 20)
+    for i in range(20):
+        chunk = ordered[i * size:(i + 1) * size] if in_order else ordered[i::20]
+        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        run_updates(stream_resample(stream, "1h", "30 days"), out, cp, cycle=4, open_ms=3 * HOUR).awaitTermination()
+        return as_bars(latest_bars(spark, out))
+
+    expected = bars_of(rows, HOUR)
+    assert_same(run(), expected)
+    stored = spark.read.parquet(out)
+    versions = stored.count()
+    closed = stored.where("part like 'closed%'")
+    assert closed.count() and stored.select("part").distinct().count() <= 4 + 2 + 5 + 1
+    if in_order:
+        assert closed.groupBy("symbol", "ts_ms").count().where("count > 1").count() == 0
+        assert versions <= 2 * len(expected)
+    commits = tmp_path / "cp" / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    (commits / str(last)).unlink()
+    (commits / f".{last}.crc").unlink(missing_ok=True)
+    assert_same(run(), expected)
+
+
 def test_appended_bars_appear_when_closed(spark, frame, rows, tmp_path):
     ordered = sorted(rows, key=lambda r: r[1])
     for i, chunk in enumerate((ordered[:400], ordered[400:])):
