@@ -1,18 +1,25 @@
-"""Convert source files to typed tables, in full or only what changed."""
+"""Convert source files to typed tables: in full, only what changed, or only what is new."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.settings import configure
+from barlake.settings import configure, delete, shared_dir
 from barlake.sources.lines import decoded, read_texts
 from barlake.sources.routing import DATASETS, Dataset, for_symbols, route, source_files
-from barlake.sources.tables import write_dataset, write_key_types
+from barlake.sources.tables import append_key_types, read_stored, stored_files, write_dataset, write_key_types
+
+T = TypeVar("T")
 
 UNIT = ["dataset", "label", "path_symbol"]  # one table partition
 MANIFEST = "manifest"
 MANIFEST_SCHEMA = "path STRING, modified_at TIMESTAMP"
+ROUND_FILES = 20_000  # files that one round converts, some more where a table partition has more
 
 
 def dataset_texts(spark: SparkSession, paths: list[str], dataset: Dataset) -> DataFrame:
@@ -28,31 +35,62 @@ def parse_files(spark: SparkSession, paths: list[str], dataset: Dataset) -> Data
 def ingest(
     spark: SparkSession, source_root: str, table_root: str, symbols: DataFrame | None = None, **write_options,
 ) -> None:
-    """Convert every selected source file. One job per dataset covers all symbols."""
+    """Convert every selected source file. One job per dataset and round covers many symbols."""
     configure(spark)
     files = source_files(spark, source_root)
     files = files if symbols is None else for_symbols(files, symbols)
-    _ingest_files(spark, files, table_root, **write_options)
-    _note_key_types(spark, files, table_root)
+
+    def convert(plan: DataFrame) -> None:
+        for part in _rounds(plan):
+            _ingest_files(spark, part, table_root, **write_options)
+            _note_key_types(spark, part, table_root)
+
+    with_plan(files, convert)
+
+
+def with_plan(files: DataFrame, use: Callable[[DataFrame], T]) -> T:
+    """Call ``use`` on a stored copy of a file list: a file touched while it is converted is left to the next run."""
+    spark = files.sparkSession
+    folder = shared_dir(spark, "file-plan")
+    files.select("path", "modified_at", *UNIT).write.parquet(folder)
+    try:
+        return use(spark.read.parquet(folder))
+    finally:
+        delete(spark, folder)
+
+
+def _rounds(plan: DataFrame) -> Iterator[DataFrame]:
+    """The plan in parts of whole table partitions, so that a list of file names on the driver stays short."""
+    count = -(-plan.count() // ROUND_FILES)
+    for number in range(count):
+        yield plan if count == 1 else plan.where(F.pmod(F.xxhash64(*UNIT), F.lit(count)) == number)
 
 
 def _ingest_files(spark: SparkSession, files: DataFrame, table_root: str, **write_options) -> None:
-    # File names only, as any file scan plans them on the driver.
+    # File names only, as any file scan plans them on the driver; at most a round's or a batch's.
     paths: dict[str, list[str]] = {}
     for row in files.select("dataset", "path").toLocalIterator():
         paths.setdefault(row["dataset"], []).append(row["path"])
     for dataset in DATASETS:
         if dataset.name in paths:
-            write_dataset(parse_files(spark, paths[dataset.name], dataset), table_root, dataset, **write_options)
+            rows = parse_files(spark, paths[dataset.name], dataset)
+            write_dataset(rows, table_root, dataset, **write_options)
+            if write_options.get("mode") == "append" and dataset.keys_from_data:
+                append_key_types(spark, table_root, dataset, rows)
 
 
 def _note_key_types(spark: SparkSession, files: DataFrame, table_root: str) -> None:
     """Key types of the partitions that these files make, for datasets whose keys come from the data."""
-    names = {r["dataset"] for r in files.select("dataset").distinct().collect()}  # at most one row for each dataset
-    for dataset in DATASETS:
-        if dataset.keys_from_data and dataset.name in names:
+    for dataset in _datasets(files):
+        if dataset.keys_from_data:
             label = [F.col("label").alias(dataset.label)] if dataset.label else []
-            write_key_types(spark, table_root, dataset, files.where(F.col("dataset") == dataset.name).select(*label, F.col("path_symbol").alias("symbol")))
+            units = files.where(F.col("dataset") == dataset.name).select(*label, F.col("path_symbol").alias("symbol"))
+            write_key_types(spark, table_root, dataset, units)
+
+
+def _datasets(files: DataFrame) -> list[Dataset]:
+    names = {r["dataset"] for r in files.select("dataset").distinct().collect()}  # at most one row for each dataset
+    return [d for d in DATASETS if d.name in names]
 
 
 # --- incremental refresh ------------------------------------------------------
@@ -70,83 +108,115 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def files_to_rebuild(files: DataFrame, changed: DataFrame) -> DataFrame:
     """All files of every table partition that has a changed file."""
-    unit = [files[c].eqNullSafe(changed[c]) for c in UNIT]
-    return files.join(changed, unit, "left_semi")
+    return files.join(changed, _same_unit(files, changed), "left_semi")
+
+
+def _same_unit(left: DataFrame, right: DataFrame) -> list[Column]:
+    return [left[c].eqNullSafe(right[c]) for c in UNIT]
 
 
 def read_manifest(spark: SparkSession, table_root: str) -> DataFrame:
-    """Converted files with the modification time they had; empty before the first refresh."""
-    if not _has_files(spark, f"{table_root}/{MANIFEST}"):
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{table_root}/{MANIFEST}")
+    """Converted files with the modification time they had; empty before the first run.
 
+    A row without a time says that a file's rows were about to be appended.
+    """
+    rows = read_stored(spark, f"{table_root}/{MANIFEST}")
+    return spark.createDataFrame([], MANIFEST_SCHEMA) if rows is None else rows.select("path", "modified_at")
 
-def _table_files(spark: SparkSession, table_root: str, dataset: Dataset) -> DataFrame:
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").load(f"{table_root}/{dataset.name}").select("path")
-    )
 
-    def part(key: str) -> Column:
-        return decoded(F.regexp_extract("path", f"{key}=([^/]*)", 1))
+def record(files: DataFrame, table_root: str, done: bool) -> None:
+    """Note files in the manifest as converted, or as about to be appended."""
+    time = F.col("modified_at") if done else F.lit(None).cast("timestamp")
+    files.select("path", time.alias("modified_at")).coalesce(1).write.mode("append").parquet(f"{table_root}/{MANIFEST}")
 
-    return listing.select(
-        "path", F.lit(dataset.name).alias("dataset"),
-        (part(dataset.label) if dataset.label else F.lit(None).cast("string")).alias("label"),
-        part("symbol").alias("path_symbol"),
-    )
 
+def _table_files(spark: SparkSession, table_root: str, plan: DataFrame) -> DataFrame | None:
+    """Stored files of the table partitions that a plan rebuilds; None where there are none."""
+    def part(key: str) -> Column:
+        return decoded(F.regexp_extract("path", f"{key}=([^/]*)", 1))
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, False)
+    found = []
+    for dataset in _datasets(plan):
+        files = stored_files(spark, f"{table_root}/{dataset.name}")
+        if files is not None:
+            label = part(dataset.label) if dataset.label else F.lit(None).cast("string")
+            found.append(files.select(
+                "path", F.lit(dataset.name).alias("dataset"), label.alias("label"), part("symbol").alias("path_symbol")))
+    if not found:
+        return None
+    listing = reduce(DataFrame.unionAll, found)
+    return listing.join(plan.select(*UNIT).distinct(), _same_unit(listing, plan), "left_semi").select("path")
+
+
+def _replace(spark: SparkSession, plan: DataFrame, table_root: str, **write_options) -> None:
+    """Write the plan's partitions, drop those that lost all rows, note key types, then record the files."""
+    before = _table_files(spark, table_root, plan)
+    kept = shared_dir(spark, "files-before")
+    if before is not None:
+        before.write.parquet(kept)
+    _ingest_files(spark, plan, table_root, mode="overwrite", **write_options)
+    if before is not None:
+        # A partition that got rows has other files now; what is still there belongs to one that got none.
+        left = _table_files(spark, table_root, plan).join(spark.read.parquet(kept), "path", "left_semi")
+        emptied = left.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+        for row in emptied.toLocalIterator():
+            delete(spark, row["folder"])
+        delete(spark, kept)
+    _note_key_types(spark, plan, table_root)
+    record(plan, table_root, done=True)
 
 
 def refresh(
     spark: SparkSession, source_root: str, table_root: str, symbols: DataFrame | None = None,
     overwrite: bool = False, datasets: list[str] | None = None, **write_options,
 ) -> int:
-    """Rebuild the partitions whose source changed since the last refresh; returns the file count.
-
-    ``symbols`` and ``datasets`` restrict it to some of the source files.
+    """Rebuild the partitions whose source changed since the last run; returns the file count.
 
-    Order: write data, drop partitions that lost all rows, note key types, then
-    record the manifest. A run that dies in between is repeated by the next one.
+    ``symbols`` and ``datasets`` restrict it to some of the source files. The
+    file plan is a stored table, converted in rounds of whole partitions. Each
+    round records its files when its tables are written, so a run that dies is
+    continued by the next one, and readers see a partition as it was or as it is.
     """
     configure(spark)
     files = source_files(spark, source_root)
     files = files if symbols is None else for_symbols(files, symbols)
     files = files if datasets is None else files.where(F.col("dataset").isin(datasets))
-    # The plan is a list of file names and times: taken once, so that a file
-    # touched while the refresh runs is picked up by the next refresh.
     changed = files if overwrite else changed_files(files, read_manifest(spark, table_root))
-    rebuild = files_to_rebuild(files, changed).toLocalIterator()
-    plan = spark.createDataFrame(list(rebuild), files.schema)
-    count = plan.count()
-    if not count:
-        return 0
 
-    names = {r["dataset"] for r in plan.select("dataset").distinct().toLocalIterator()}
-    stored = [d for d in DATASETS if d.name in names and _has_files(spark, f"{table_root}/{d.name}")]
-    units = plan.select(*UNIT).distinct()
+    def replace(plan: DataFrame) -> int:
+        for part in _rounds(plan):
+            _replace(spark, part, table_root, **write_options)
+        return plan.count()
 
-    def touched(dataset: Dataset) -> DataFrame:
-        listing = _table_files(spark, table_root, dataset)
-        return listing.join(units, [listing[c].eqNullSafe(units[c]) for c in UNIT], "left_semi").select("path")
+    return with_plan(files_to_rebuild(files, changed), replace)
 
-    before = {d.name: {r["path"] for r in touched(d).toLocalIterator()} for d in stored}
-    _ingest_files(spark, plan, table_root, mode="overwrite", **write_options)
-    for dataset in stored:
-        after = {r["path"] for r in touched(dataset).toLocalIterator()}
-        _delete(spark, sorted(before[dataset.name] & after))
-    _note_key_types(spark, plan, table_root)
 
-    plan.select("path", "modified_at").coalesce(1).write.mode("append").parquet(f"{table_root}/{MANIFEST}")
-    return count
+# --- files that are new ---------------------------------------------------------
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def append_new(
+    files: DataFrame, source_root: str, table_root: str, datasets: list[str] | None = None, **write_options,
+) -> int:
+    """Append the rows of files that were not converted yet; returns the file count.
+
+    Only these files are read, and stored rows stay as they are. The files are
+    noted in the manifest before their rows are appended and again afterwards.
+    A file that is noted but not done (an earlier run died in between), or is
+    newer than its note, may have rows in the table already: then a refresh
+    rebuilds its partition instead.
+    """
+    spark = configure(files.sparkSession)
+    manifest = read_manifest(spark, table_root)
+
+    def append(plan: DataFrame) -> int:
+        count = plan.count()
+        if not count:
+            return 0
+        if not plan.join(manifest, "path", "left_semi").isEmpty():
+            return refresh(spark, source_root, table_root, datasets=datasets, **write_options)
+        record(plan, table_root, done=False)
+        _ingest_files(spark, plan, table_root, mode="append", **write_options)
+        record(plan, table_root, done=True)
+        return count
+
+    return with_plan(changed_files(files, manifest), append)

@@ -57,7 +57,8 @@ def write_by_symbol(rows: DataFrame, path: str, compression: str = "zstd") -> No
     )
 
 
-def _read(spark: SparkSession, path: str, merge_schema: bool) -> DataFrame | None:
+def read_stored(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame | None:
+    """A folder of Parquet files; None when there are none."""
     try:
         return configure(spark).read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
     except AnalysisException as error:
@@ -66,6 +67,17 @@ def _read(spark: SparkSession, path: str, merge_schema: bool) -> DataFrame | Non
         raise
 
 
+def stored_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Listing of the Parquet files below a folder, none of which is opened; None when there is no folder."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    try:
+        return listing.load(path).select("path")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_dataset(
     spark: SparkSession, root: str, name: str, extra: list[Column] | None = None, merge_schema: bool = False,
 ) -> DataFrame | None:
@@ -75,7 +87,7 @@ def read_dataset(
     All files written here share one schema; ``merge_schema`` reads every
     footer, for tables that other writers add columns to.
     """
-    rows = _read(spark, f"{root}/{name}", merge_schema)
+    rows = read_stored(spark, f"{root}/{name}", merge_schema)
     if rows is None:
         return None
     return rows.withColumn("symbol_partition", F.col("symbol")).select("*", *(extra or []))
@@ -88,11 +100,14 @@ def write_key_types(spark: SparkSession, root: str, dataset: Dataset, units: Dat
     """Note the key types of some partitions of a stored dynamic dataset, in partitions of the same name.
 
     ``units`` has the partition columns. A unit that lost all its rows gets a
-    row without a key, which replaces what was noted before.
+    row without a key, which replaces what was noted before. Where nothing was
+    noted yet, all stored partitions are.
     """
     keys = dataset.partitions
     rows = read_dataset(spark, root, dataset.name)
     noted = units.select(*keys).distinct()
+    if rows is not None and read_key_types(spark, root, dataset.name) is None:
+        noted = noted.union(rows.select(*keys)).distinct()
     if rows is None:
         found = noted.select(*keys, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("type"))
     else:
@@ -102,8 +117,19 @@ def write_key_types(spark: SparkSession, root: str, dataset: Dataset, units: Dat
         "partitionOverwriteMode", "dynamic").parquet(f"{root}/{KEY_TYPES}/{dataset.name}")
 
 
+def append_key_types(spark: SparkSession, root: str, dataset: Dataset, rows: DataFrame) -> None:
+    """Note the key types of parsed rows that were appended to their partitions, beside what is noted of these."""
+    here = rows.drop("symbol").withColumnRenamed("path_symbol", "symbol")
+    keys = dataset.partitions
+    if read_key_types(spark, root, dataset.name) is None:
+        write_key_types(spark, root, dataset, here.select(*keys))
+    else:
+        key_types(here.select(*keys, "fields"), tuple(keys)).select("field", "type", *keys).write.mode("append").partitionBy(
+            *keys).parquet(f"{root}/{KEY_TYPES}/{dataset.name}")
+
+
 def read_key_types(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    return _read(spark, f"{root}/{KEY_TYPES}/{name}", merge_schema=False)
+    return read_stored(spark, f"{root}/{KEY_TYPES}/{name}")
 
 
 def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -126,11 +152,8 @@ def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def listed_symbols(spark: SparkSession, root: str, names: list[str]) -> DataFrame | None:
     """Sorted symbols of the first stored dataset that has any, by the names of its folders: no file is opened."""
     for name in names:
-        try:
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        files = stored_files(spark, f"{root}/{name}")
+        if files is None:
             continue
         symbol = decoded(F.regexp_extract("path", "/symbol=([^/]*)/", 1))
         symbols = files.select(symbol.alias("symbol")).where("symbol <> ''").distinct()

@@ -3,32 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlake.settings import configure
-from barlake.sources.ingest import refresh
+from barlake.sources.ingest import append_new
+from barlake.sources.routing import route
 
 
 def stream_ingest(
-    spark: SparkSession, source_root: str, table_root: str, checkpoint: str, dataset: str | None = None, **write_options,
+    spark: SparkSession, source_root: str, table_root: str, checkpoint: str, dataset: str | None = None,
+    max_files: int = 10_000, **write_options,
 ) -> StreamingQuery:
-    """Process every file not seen before, then stop.
-
-    The stream only notices new files; each batch then runs the incremental
-    refresh, restricted to one dataset if one is named. So stream and refresh
-    share one writer and one manifest, may take turns on one table in any order,
-    and a batch that is run again finds nothing left to do. Partitions that a
-    new file touches are rebuilt; others are not read.
+    """Append the rows of every file not seen before, then stop.
+
+    A batch reads its own new files only, at most ``max_files``, and leaves
+    stored rows alone. ``dataset`` restricts it to one dataset. Stream and
+    refresh share one manifest, so they may take turns on a table in any order:
+    files that a refresh has converted are skipped, and a batch that runs again
+    after a failure has its partitions rebuilt instead of appended twice. A file
+    that changes after the stream has seen it is left to the next refresh.
     """
     configure(spark)
     listing = spark.readStream.format("binaryFile").schema(
         "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-    ).option("recursiveFileLookup", "true").load(source_root)
+    ).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(source_root)
+    datasets = [dataset] if dataset else None
 
     def convert(batch: DataFrame, batch_id: int) -> None:
-        refresh(batch.sparkSession, source_root, table_root, datasets=[dataset] if dataset else None, **write_options)
+        files = route(batch).where(F.col("dataset").isin(datasets) if datasets else F.col("dataset").isNotNull())
+        append_new(files, source_root, table_root, datasets, **write_options)
 
     return (
-        listing.select("path").writeStream.foreachBatch(convert)
+        listing.select("path", F.col("modificationTime").alias("modified_at")).writeStream.foreachBatch(convert)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -370,6 +370,87 @@ def test_stream_ingest_takes_each_file_once(spark, source, tmp_path):
     assert run() == 9 and ingest.refresh(spark, str(source), lake) == 0
 
 
+def test_stream_appends_new_files_only(spark, tmp_path):
+    """Old table files stay, the key types of new rows are noted, small batches add up."""
+    source, lake, checkpoint = tmp_path / "src", str(tmp_path / "lake"), str(tmp_path / "cp")
+
+    def files():
+        return {r.path for r in tables.stored_files(spark, f"{lake}/other").collect()}
+
+    write(source / "AAA" / "orders.jsonl" / "part-0", '{"ts": 1, "size": 1}')
+    stream_ingest(spark, str(source), lake, checkpoint).awaitTermination()
+    first = files()
+    for i in range(1, 4):
+        write(source / "AAA" / "orders.jsonl" / f"part-{i}", json.dumps({"ts": i, "size": "x" if i == 2 else i, f"k{i}": i}))
+    stream_ingest(spark, str(source), lake, checkpoint, max_files=2).awaitTermination()
+    assert first < files()
+    rows = tables.open_tables(spark, lake)["other"].select("size", "k1", "k3").collect()
+    assert sorted(r["size"] for r in rows) == ["1", "1", "3", "x"]
+    assert {(r.k1, r.k3) for r in rows} == {(None, None), (1, None), (None, 3)}
+    assert ingest.refresh(spark, str(source), lake) == 0
+
+
+@pytest.mark.parametrize("dies", ["before", "after"])
+def test_repeated_batch_adds_nothing(spark, tmp_path, monkeypatch, dies):
+    """A batch that dies before or after its rows were appended is run again with the same checkpoint."""
+    source, lake, checkpoint = tmp_path / "src", str(tmp_path / "lake"), str(tmp_path / "cp")
+    write(source / "AAA" / "kline_1.jsonl" / "part-0", candle(0, 1.0))
+    stream_ingest(spark, str(source), lake, checkpoint).awaitTermination()
+    write(source / "AAA" / "kline_1.jsonl" / "part-1", candle(60000, 1.0))
+    write(source / "BBB" / "kline_1.jsonl", candle(0, 1.0))
+
+    with monkeypatch.context() as broken:
+        if dies == "before":
+            broken.setattr(ingest, "write_dataset", lambda *a, **k: 1 / 0)
+        else:
+            kept = ingest.record
+            broken.setattr(ingest, "record", lambda plan, root, done: 1 / 0 if done else kept(plan, root, done))
+        with pytest.raises(Exception):
+            stream_ingest(spark, str(source), lake, checkpoint).awaitTermination()
+    assert tables.read_dataset(spark, lake, "market_kline").count() == (1 if dies == "before" else 3)
+    stream_ingest(spark, str(source), lake, checkpoint).awaitTermination()
+    rows = tables.read_dataset(spark, lake, "market_kline").select("symbol", "ts_ms").collect()
+    assert sorted(map(tuple, rows)) == [("AAA", 0), ("AAA", 60000), ("BBB", 0)]
+    assert ingest.refresh(spark, str(source), lake) == 0
+
+
+def test_refresh_in_rounds_goes_on_where_it_died(spark, source, tmp_path, monkeypatch):
+    whole, lake = str(tmp_path / "whole"), str(tmp_path / "lake")
+    ingest.refresh(spark, str(source), whole)
+    monkeypatch.setattr(ingest, "ROUND_FILES", 5)
+    kept, runs = ingest.record, []
+
+    def dying(plan, root, done):
+        runs.append(plan.count())
+        if len(runs) == 3:
+            raise RuntimeError("lost")
+        kept(plan, root, done)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest, "record", dying)
+        with pytest.raises(RuntimeError):
+            ingest.refresh(spark, str(source), lake)
+    left = 28 - sum(runs[:2])
+    assert ingest.refresh(spark, str(source), lake) == left < 28
+    for name in tables.open_tables(spark, whole):
+        counts = [tables.read_dataset(spark, root, name).count() for root in (whole, lake)]
+        assert counts[0] == counts[1], name
+    assert ingest.refresh(spark, str(source), lake) == 0
+
+
+def test_lake_without_notes_is_noted_whole(spark, tmp_path):
+    """A table that was written without key types gets them for all its partitions with the first refresh."""
+    source, lake = tmp_path / "src", str(tmp_path / "lake")
+    for symbol in "AB":
+        write(source / symbol / "orders.jsonl", json.dumps({"ts": 1, f"key{symbol}": 1}))
+    paths = [r.path for r in ingest.source_files(spark, str(source)).collect()]
+    other = ingest.DATASETS[[d.name for d in ingest.DATASETS].index("other")]
+    tables.write_dataset(ingest.parse_files(spark, paths, other), lake, other)
+    write(source / "A" / "orders.jsonl", json.dumps({"ts": 2, "keyA": 2}))
+    ingest.append_new(ingest.source_files(spark, str(source)).where("path_symbol = 'A'"), str(source), lake)
+    assert {"keyA", "keyB"} <= set(tables.open_tables(spark, lake)["other"].columns)
+
+
 def test_report(spark):
     rows = [("AAA", "a/kline_1.jsonl", v) for v in ["{}", "", "{bad", "[1]", '{"a":1}']] + [("AAA", "a/kline_5.jsonl", "{}")]
     frame = spark.createDataFrame(rows, "path_symbol STRING, path STRING, value STRING").withColumn("dataset", F.lit("market_kline"))
