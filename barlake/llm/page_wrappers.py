@@ -24,8 +24,9 @@ its good blocks, in page order.
 
 Pages are parsed once and stored as blocks; figures per slot are sums over all
 pages. A host's different expressions are dealt to cells of ``CELL`` and aligned
-there, then the cells' wrappers are aligned, so a host with a third of all pages
-sends only its different expressions, not its pages, to a task.
+there, then the cells' wrappers are dealt and aligned in the same way, until a
+host has one. So a host with a third of all pages sends only its different
+expressions to tasks, and to each task a cell of them.
 
 Blocks: character references are decoded, white space becomes one space, ends
 are trimmed, empty blocks go; blocks are joined by a line end.
@@ -42,7 +43,7 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,6 +61,8 @@ TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)""",
     re.DOTALL,
 )
+# A tag needs a > behind it; these do not.
+DECLARATION = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.DOTALL)
 RAW = frozenset("script style textarea title noscript template iframe object desc metadata annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -204,9 +207,21 @@ def stream(page: str) -> tuple[list[str], list[tuple[str, int]]]:
         symbols.append(_symbol(name, rest))
         open_tags.append(name)
 
-    while m := TOKEN.search(page, at):
+    last = page.rfind(">") + 1
+
+    def token(at: int) -> tuple[re.Match | None, str]:
+        """The next token and the name of its tag, if it is one. Unclosed tags behind the last > are not looked through."""
+        m = TOKEN.search(page, at, last)
+        if m and m["name"]:
+            return m, m["name"].lower()
+        return DECLARATION.search(page, m.start() if m else at), ""
+
+    while True:
+        m, name = token(at)
+        if not m:
+            break
         add(page[at:m.start()])
-        at, name = m.end(), (m["name"] or "").lower()
+        at = m.end()
         if not name:
             continue
         if name in RAW and not m["end"]:
@@ -323,7 +338,13 @@ def _grouped(wrapper: list, bodies: list[list[str]]) -> list:
 
 
 def _matches(one: list, two: list) -> list[tuple[int, int, int]]:
-    return difflib.SequenceMatcher(None, [_head(x) for x in one], [_head(x) for x in two], autojunk=False).get_matching_blocks()
+    """Runs both have, as (start in one, start in two, length). Equal starts and ends are matched at once, so that like pages take linear time."""
+    a, b = [_head(x) for x in one], [_head(x) for x in two]
+    most = min(len(a), len(b))
+    start = next((i for i in range(most) if a[i] != b[i]), most)
+    end = next((i for i in range(most - start) if a[-1 - i] != b[-1 - i]), most - start)
+    middle = difflib.SequenceMatcher(None, a[start:len(a) - end], b[start:len(b) - end], autojunk=False).get_matching_blocks()
+    return [(0, 0, start), *((start + i, start + j, n) for i, j, n in middle), (len(a) - end, len(b) - end, end), (len(a), len(b), 0)]
 
 
 def align(one: list, two: list) -> list:
@@ -340,31 +361,28 @@ def align(one: list, two: list) -> list:
     return out
 
 
-def places(wrapper: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
-    """For each slot of a wrapper, the tags it stands under."""
-    out: list[tuple[str, ...]] = []
-    stack = list(path)
-    for item, _ in wrapper:
-        if not isinstance(item, str):
-            out += places(item, tuple(stack))
-            # tags a group leaves open stay open behind it
-            stack = _walk(item, stack)
-        elif item == TEXT:
-            out.append(tuple(stack))
-        else:
-            stack = _step(item, stack)
-    return out
-
-
-def _step(symbol: str, stack: list[str]) -> list[str]:
-    stack = stack[:_stay([x.split(".")[0] for x in stack], symbol)]
-    return stack if symbol.startswith("/") else [*stack, symbol]
-
+def places(wrapper: list) -> list[int]:
+    """For each slot of a wrapper, a hash of the tags it stands under."""
+    out: list[int] = []
+    names: list[str] = []
+    chain = [0]  # of each open tag, a hash of it and those around it
+
+    def walk(items: list) -> None:
+        # tags that a group leaves open stay open behind it
+        for item, _ in items:
+            if not isinstance(item, str):
+                walk(item)
+            elif item == TEXT:
+                out.append(chain[-1])
+            else:
+                stay = _stay(names, item)
+                del names[stay:], chain[stay + 1:]
+                if not item.startswith("/"):
+                    names.append(item.split(".")[0])
+                    chain.append(int(hashlib.md5(f"{chain[-1]} {item}".encode()).hexdigest()[:15], 16))
 
-def _walk(group: list, stack: list[str]) -> list[str]:
-    for item, _ in group:
-        stack = _walk(item, stack) if not isinstance(item, str) else stack if item == TEXT else _step(item, stack)
-    return stack
+    walk(wrapper)
+    return out
 
 
 def located(wrapper: list, expr: list) -> list[int]:
@@ -449,7 +467,8 @@ def states(symbols: list[str], chars: list[int]) -> list[int]:
     for kind in ("main", "article"):
         chosen = [k for k, n in enumerate(names) if n == kind and not shut[k] and below[k]]
         if free and kind == "article":
-            chosen = [k for k in chosen if free.intersection(holders(k))] or chosen
+            in_main = _below(tags, [k in free for k in range(len(tags))])
+            chosen = [k for k in chosen if in_main[k]] or chosen
         if not chosen:
             continue
         best = holders(min(chosen, key=lambda k: (warns[k], -below[k], k)))
@@ -493,11 +512,6 @@ def others(slots_of: list[int], texts: list[str], found: list[int]) -> list[int]
     return [((every - sums.get(slot, 0)) & (1 << 64) - 1) - (1 << 63) for slot in slots_of]
 
 
-def _unmatched(place: tuple[str, ...]) -> int:
-    """A negative number for slots that the wrapper has no place for: those under the same tags are one."""
-    return -1 - int(hashlib.md5(" ".join(place).encode()).hexdigest()[:15], 16)
-
-
 def parse(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, form, expr, blocks): form is the hash of the expression, blocks have their slot in it, their state and a hash of the page's other slots."""
 
@@ -539,19 +553,29 @@ def infer(parsed: DataFrame) -> DataFrame:
     def as_wrapper(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return merge(key, rows.assign(expr=[json.dumps(wrapper_of(json.loads(x))) for x in rows["expr"]]))
 
-    cell = F.pmod(F.xxhash64("form"), F.ceil(F.col("n") / CELL))
-    counted = forms.join(forms.groupBy("host").agg(F.count("*").alias("n")), "host").withColumn("cell", cell)
-    schema = "host string, form string, pages long, expr string"
-    cells = counted.select("host", "cell", "form", "pages", "expr").groupBy("host", "cell").applyInPandas(as_wrapper, schema)
-    wrappers = stored(cells.groupBy("host").applyInPandas(merge, schema).select("host", F.col("expr").alias("wrapper")), "wrappers")
+    def aligned(parts: DataFrame, merged: Callable[[tuple, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+        """The parts of each host in cells of about ``CELL``, each cell as one part."""
+        counted = parts.join(parts.groupBy("host").agg(F.count("*").alias("n")), "host")
+        dealt = counted.withColumn("cell", F.pmod(F.xxhash64("form"), F.ceil(F.col("n") / CELL)))
+        cells = dealt.select("host", "cell", "form", "pages", "expr").groupBy("host", "cell")
+        return stored(cells.applyInPandas(merged, "host string, form string, pages long, expr string"), "wrappers")
+
+    parts = aligned(forms, as_wrapper)
+    while (parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        parts = aligned(parts, merge)
+    wrappers = parts.select("host", F.col("expr").alias("wrapper"))
 
     def locate(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             found = []
+            known, whole = "", []
             for wrapper, text in zip(batch["wrapper"], batch["expr"], strict=True):
+                if wrapper != known:
+                    known, whole = wrapper, json.loads(wrapper)
                 expr = json.loads(text)
                 own = places(wrapper_of(expr))
-                found.append([p if p >= 0 else _unmatched(o) for p, o in zip(located(json.loads(wrapper), expr), own, strict=True)])
+                # slots that the wrapper has no place for: those under the same tags are one, with a negative number
+                found.append([p if p >= 0 else -1 - o for p, o in zip(located(whole, expr), own, strict=True)])
             yield {"host": batch["host"], "form": batch["form"], "found": found}
 
     at = stored(map_columns(forms.join(wrappers, "host").select("host", "form", "expr", "wrapper"), locate, "host string, form string, found array<long>"), "slots")

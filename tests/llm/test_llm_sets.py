@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -295,6 +296,45 @@ def test_no_block_of_a_mixed_article_is_lost(spark, tag):
     assert [i for i, (_, texts) in enumerate(pages) if found[i] != "\n".join(texts)] == []
 
 
+def test_wrappers_are_merged_in_rounds(spark, monkeypatch):
+    """Cells of two expressions take several rounds to one wrapper; the text is that of one round."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(24):
+        kinds = [rng.choice("pqh") for _ in range(4 + i % 6)]
+        body = [f"{k} {i} {j} " + "word " * 20 for j, k in enumerate(kinds)]
+        tags = {"p": "<p>%s</p>", "q": "<blockquote>%s</blockquote>", "h": "<h2>%s</h2>"}
+        page = "".join(tags[k] % t for k, t in zip(kinds, body, strict=True))
+        rows.append((i, "http://h/x", f"<div id=top>Same line</div><div class=text>{page}</div><div><a href=x>all links</a></div>"))
+        want[i] = "\n".join(t.strip() for t in body)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(page_wrappers, "CELL", 2)
+    assert {r.page_id: r.text for r in page_wrappers.extract(table).collect()} == want
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<div>" * 100_000 + "text" + "</div>" * 100_000, 1),
+    ("<p>text" + "<a " * 100_000, 1),
+    ("<p>text</p>" + '<a "' * 100_000, 2),
+    ("".join(f"<section class=c{'abcdefghij'[i % 10] * (i // 10 + 1)}><p>text {i}" for i in range(2000)), 2000),
+])
+def test_deep_and_unclosed_pages_take_linear_time(page, blocks):
+    begun = time.monotonic()
+    symbols, texts = page_wrappers.stream(page)
+    expr = page_wrappers.plain(page_wrappers.expression(symbols))
+    wrapper = page_wrappers.wrapper_of(expr)
+    slots = len(page_wrappers.places(wrapper))
+    assert len(texts) == blocks == len(page_wrappers.states(symbols, [1] * blocks))
+    assert page_wrappers.located(wrapper, expr) == list(range(slots))
+    assert time.monotonic() - begun < 30
+
+
+def test_declarations_behind_the_last_tag():
+    assert page_wrappers.stream("<p>a</p> b <!-- c > d")[1] == [("a", 0), ("b", 0)]
+    assert page_wrappers.stream("a <!-- never closed")[1] == [("a", 0)]
+    assert page_wrappers.stream("a < b <i")[1] == [("a < b <i", 0)]
+
+
 def test_pages_are_judged_by_their_own_tags_and_copies_are_one(spark):
     rows = [(i, "http://a.example", f"<article><p>In article {i}</p></article><div><p>Beside {i}</p></div>") for i in range(5)]
     rows += [(10 + i, "http://a.example", f"<div><h2>Head {i}</h2><p>In div {i}</p></div>") for i in range(5)]
