@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -12,15 +12,20 @@ from barlake.operators.resample import BAR_COLUMNS, bar_aggregates
 from barlake.schemas import TIMEFRAMES
 
 
-def stream_resample(rows: DataFrame, timeframe: str, late_by: str = "1 day") -> DataFrame:
-    """Streaming twin of the batch resample; rows later than ``late_by`` are dropped by the watermark."""
+def stream_resample(
+    rows: DataFrame, timeframe: str, late_by: str = "1 day", order: Column | None = None, last_order: Column | None = None,
+) -> DataFrame:
+    """Streaming twin of the batch resample; rows later than ``late_by`` are dropped by the watermark.
+
+    Without an order, which of several rows of one time is first and last is left open.
+    """
     window = F.window("_time", f"{TIMEFRAMES[timeframe]} minutes")
     return (
         rows.where(F.col("ts_ms").isNotNull())
         .withColumn("_time", ts_from_ms(F.col("ts_ms")))
         .withWatermark("_time", late_by)
         .groupBy("symbol", window.alias("_window"))
-        .agg(*bar_aggregates())
+        .agg(*bar_aggregates(order, last_order))
         .withColumn("ts_ms", F.unix_millis("_window.start"))
         .select(*BAR_COLUMNS)
     )
