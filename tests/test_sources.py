@@ -483,3 +483,24 @@ def test_write_by_symbol(spark, tmp_path):
     tables.write_by_symbol(rows, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.select("symbol", "ts_ms", "v").exceptAll(rows).isEmpty() and back.count() == 3005
+
+
+def test_notes_of_many_partitions_are_one_folder(spark, tmp_path):
+    source, lake = tmp_path / "s", tmp_path / "lake"
+    for n in range(40):
+        write(source / f"S{n}" / "meta.json", f'{{"n":{n}}}')
+    ingest.refresh(spark, str(source), str(lake))
+    folders = [p for p in (lake / tables.KEY_TYPES).rglob("*") if p.is_dir()]
+    assert [p.name for p in folders] == ["meta"]
+    assert tables.read_key_types(spark, str(lake), "meta").where("field = 'n'").count() == 40
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for n in range(200):
+        write(tmp_path / f"S{n}" / "meta.json", "{}")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    assert routing.source_files(spark, str(tmp_path)).count() == 200
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) <= 64
