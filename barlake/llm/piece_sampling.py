@@ -88,6 +88,8 @@ class PieceSampler:
             i, piece = normal[k]
             by_length.setdefault(len(piece), []).append((self._hash(piece), i, float(rank + 1) ** -alpha, piece))
         self.longest = max(by_length)
+        if self.longest > np.iinfo(np.int16).max:
+            raise ValueError("a piece is too long for the lattices")
         self.pieces, self.letters = {}, {}
         for length, found in by_length.items():
             found.sort()
@@ -102,7 +104,7 @@ class PieceSampler:
         self.base: dict[str, int] = {}
         self.late: list[str] = []
         self.nodes = self.kept_nodes = self.edges = self.kept_edges = 0
-        self.cumulative, self.edge_id, self.edge_length = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.cumulative, self.edge_id, self.edge_length = np.zeros(1024), np.zeros(1024, np.int32), np.zeros(1024, np.int16)
         self.first_edge = np.zeros(1024, np.int64)  # of each node; its other edges follow
 
     @staticmethod
@@ -198,7 +200,7 @@ class PieceSampler:
         old = getattr(self, name)
         if upto <= len(old):
             return old
-        out = np.zeros(max(upto, 2 * len(old)), old.dtype)
+        out = np.empty(max(upto, len(old) + len(old) // 4), old.dtype)  # a worker's memory is short: little room ahead
         out[:used] = old[:used]
         return out
 

@@ -242,3 +242,11 @@ def test_redaction_keeps_rows_and_columns(spark):
     rows = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert rows[1].text == "a [SECRET] b" and rows[1].n_chars == 12
     assert rows[2].text is None and rows[3].text == "clean"
+
+
+def test_lattices_are_kept_in_few_bytes():
+    sampler = piece_sampling.PieceSampler("piece_bpe_32k.model")
+    rng = random.Random(1)
+    list(sampler.sample(["".join(rng.choices("abcdefgh é", k=20_000))], [1]))
+    columns = (sampler.cumulative, sampler.edge_id, sampler.edge_length)
+    assert sum(a.itemsize for a in columns) == 14 and max(map(len, columns)) <= max(1024, 1.25 * sampler.edges)
