@@ -48,6 +48,27 @@ def test_ticks_of_one_time(spark, tied_dir, name):
     assert not differences(entry.queries()[name](spark, tied_dir), entry.oracle_sql()[name], sql)
 
 
+@pytest.fixture(scope="module")
+def unordered_dir(tmp_path_factory, tied_dir):
+    """The same ticks in the order of time, those of one time from the largest id to the smallest."""
+    folder = tmp_path_factory.mktemp("unordered")
+    for name in TABLES:
+        if name != "events":
+            (folder / f"{name}.parquet").symlink_to(f"{tied_dir}/{name}.parquet")
+    duckdb.sql(f"COPY (FROM '{tied_dir}/events.parquet' ORDER BY ts, event_id DESC) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [
+    "sql_over_views", "stream_append_1h", "stream_resample_1h", "resample_1m", "resample_all_timeframes",
+    "series_filter_bounds", "series_pack", "series_unpack", "snapshot_bars", "funding_series",
+])
+def test_ticks_of_one_time_count_in_table_order(spark, unordered_dir, name):
+    sql = oracle_connection(unordered_dir)
+    sql.execute("SET threads = 1")
+    assert not differences(entry.queries()[name](spark, unordered_dir), entry.oracle_sql()[name], sql)
+
+
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries())
