@@ -61,6 +61,11 @@ def uniform(keys: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(12)).astype(np.float64) * 2.0**-52
 
 
+def slot(hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in a table of 2 ** 18."""
+    return ((hashes * MIX_A) >> np.uint64(46)).astype(np.int64)
+
+
 class PieceSampler:
     def __init__(self, name: str, alpha: float = 1.0, hot: int = 150_000, recent: int = 60_000):
         import sentencepiece
@@ -90,7 +95,7 @@ class PieceSampler:
         self.longest = max(by_length)
         if self.longest > np.iinfo(np.int16).max:
             raise ValueError("a piece is too long for the lattices")
-        self.pieces, self.letters = {}, {}
+        self.pieces, self.letters, self.taken = {}, {}, {}
         for length, found in by_length.items():
             found.sort()
             hashes, ids, weights, texts = zip(*found, strict=True)
@@ -98,6 +103,8 @@ class PieceSampler:
                 raise ValueError("two pieces have one hash")
             letters = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
             self.letters[length] = letters
+            self.taken[length] = np.zeros(1 << 18, bool)
+            self.taken[length][slot(np.array(hashes, np.uint64))] = True
             self.pieces[length] = np.array(hashes, np.uint64), np.array(ids, np.int32), np.array(weights, np.float64)
         self.byte_weight = float(len(normal)) ** -alpha
         self.hot, self.recent = hot, recent
@@ -123,7 +130,7 @@ class PieceSampler:
                 del self.base[u]
             self.late, self.nodes, self.edges = [], self.kept_nodes, self.kept_edges
             new = [u for u in units if u not in self.base]
-        new.sort(key=lambda u: (len(u), u))
+        new.sort(key=len)
         at = 0
         while at < len(new):  # units of like length, so that little is padded
             size = max(1, min(4096, 400_000 // (len(new[at]) * self.longest)))
@@ -142,32 +149,28 @@ class PieceSampler:
         """Forward filtering of several lattices at once."""
         n, size = len(units), max(map(len, units))
         lengths = np.array([len(u) for u in units])
-        chars = np.zeros((n, size), np.uint64)
-        for i, u in enumerate(units):
-            chars[i, :len(u)] = np.frombuffer(u.encode("utf-32-le", "surrogatepass"), "<u4")
+        padded = "".join([u.ljust(size, "\0") for u in units]).encode("utf-32-le", "surrogatepass")
+        chars = np.frombuffer(padded, "<u4").reshape(n, size).astype(np.uint64)
         widest = min(self.longest, size)
         weight = np.zeros((n, size, widest))  # by end position and length less one
-        piece = np.zeros((n, size, widest), np.int64)
+        piece = np.zeros((n, size, widest), np.int32)
+        piece[:, :, 0], weight[:, :, 0] = -chars.astype(np.int64) - 1, self.byte_weight  # a character spelt in bytes
         h = np.zeros((n, size), np.uint64)
         for length in range(1, widest + 1):
             h = h[:, :size - length + 1] * BASE + (chars[:, length - 1:] + np.uint64(1))
             if length not in self.pieces:
                 continue
             hashes, ids, weights = self.pieces[length]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[at] == h
+            row, end = np.nonzero(self.taken[length][slot(h)])  # few places pass, only those are searched
+            own = h[row, end]
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            hit = hashes[at] == own
+            row, end, at = row[hit], end[hit], at[hit]
             if length > 1:  # a hash of the same value is not yet the piece
-                row, end = np.nonzero(hit)
-                same = (chars[row[:, None], end[:, None] + np.arange(length)] == self.letters[length][at[row, end]]).all(axis=1)
-                hit[row[~same], end[~same]] = False
-            if length == 1:
-                piece[:, :, 0] = np.where(hit, ids[at], -chars.astype(np.int64) - 1)  # a character spelt in bytes
-                weight[:, :, 0] = np.where(hit, weights[at], self.byte_weight)
-            else:
-                piece[:, length - 1:, length - 1][hit] = ids[at][hit]
-                weight[:, length - 1:, length - 1][hit] = weights[at][hit]
-        if 1 not in self.pieces:
-            piece[:, :, 0], weight[:, :, 0] = -chars.astype(np.int64) - 1, self.byte_weight
+                same = (chars[row[:, None], end[:, None] + np.arange(length)] == self.letters[length][at]).all(axis=1)
+                row, end, at = row[same], end[same], at[same]
+            piece[row, end + length - 1, length - 1] = ids[at]
+            weight[row, end + length - 1, length - 1] = weights[at]
         ways = np.zeros((n, size + 1))
         ways[:, 0] = 1.0
         for end in range(1, size + 1):

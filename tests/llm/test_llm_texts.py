@@ -136,6 +136,14 @@ def test_sampled_pieces_are_lossless_and_repeatable(spark, sf_dir):
     assert all(r.lossless for r in queries.op7_piece_sampling(spark, sf_dir).collect())
 
 
+def test_places_of_pieces_are_searched_and_few_others():
+    sampler = piece_sampling.PieceSampler("piece_bpe_32k.model")
+    others = np.random.default_rng(0).integers(0, 2**63, 100_000).astype(np.uint64)
+    for length, (hashes, _, _) in sampler.pieces.items():
+        assert sampler.taken[length][piece_sampling.slot(hashes)].all()
+        assert sampler.taken[length][piece_sampling.slot(others)].mean() < 0.05
+
+
 def test_sampled_pieces_follow_the_lattice():
     sampler = piece_sampling.PieceSampler("piece_bpe_32k.model", alpha=0.3)
     weights = {}
