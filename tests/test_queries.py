@@ -69,6 +69,32 @@ def test_ticks_of_one_time_count_in_table_order(spark, unordered_dir, name):
     assert not differences(entry.queries()[name](spark, unordered_dir), entry.oracle_sql()[name], sql)
 
 
+@pytest.fixture(scope="module")
+def folder_dir(tmp_path_factory, tied_dir):
+    """The same ticks in a folder of three files, each with one of the three of a time."""
+    folder = tmp_path_factory.mktemp("folder")
+    (folder / "events.parquet").mkdir()
+    for name in TABLES:
+        if name != "events":
+            (folder / f"{name}.parquet").symlink_to(f"{tied_dir}/{name}.parquet")
+    for i in range(3):
+        duckdb.sql(f"""COPY (FROM '{tied_dir}/events.parquet' WHERE event_id // 1000000 = {i} ORDER BY event_id)
+            TO '{folder}/events.parquet/part-000{(i + 1) % 3}.parquet'""")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [
+    "resample_1m", "resample_all_timeframes", "series_filter_bounds", "series_pack", "series_unpack",
+    "funding_series",
+])
+def test_ticks_of_one_time_count_in_the_order_of_file_names(spark, folder_dir, name):
+    sql = duckdb.connect()
+    sql.execute("SET TimeZone = 'UTC'")
+    sql.execute("SET threads = 1")
+    sql.execute(f"CREATE VIEW events AS FROM '{folder_dir}/events.parquet/*.parquet'")
+    assert not differences(entry.queries()[name](spark, folder_dir), entry.oracle_sql()[name], sql)
+
+
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries())
