@@ -84,7 +84,7 @@ def folder_dir(tmp_path_factory, tied_dir):
 
 
 @pytest.mark.parametrize("name", [
-    "resample_1m", "resample_all_timeframes", "series_filter_bounds", "series_pack", "series_unpack",
+    "stream_append_1h", "stream_resample_1h", "resample_1m", "resample_all_timeframes", "series_filter_bounds", "series_pack", "series_unpack",
     "funding_series",
 ])
 def test_ticks_of_one_time_count_in_the_order_of_file_names(spark, folder_dir, name):
