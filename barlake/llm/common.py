@@ -43,11 +43,12 @@ def reach_workers(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
-def map_columns(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str) -> DataFrame:
+def map_columns(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str, rows: int | None = None) -> DataFrame:
     """Run a generator over Arrow batches given as dicts of Python lists.
 
     ``make`` gets an iterator of batches and yields dicts of columns; it is the
-    only Python in a task, so state such as caches lives in its scope.
+    only Python in a task, so state such as caches lives in its scope. Batches
+    are given in parts of at most ``rows`` rows, where what is made of them is large.
     """
     kind = StructType.fromDDL(schema)
     # workers on this machine find the package even where it is not installed
@@ -55,7 +56,8 @@ def map_columns(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
-        for out in make(dict(zip(b.schema.names, (c.to_pylist() for c in b.columns), strict=True)) for b in batches):
+        parts = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows or max(1, b.num_rows)))
+        for out in make(dict(zip(b.schema.names, (c.to_pylist() for c in b.columns), strict=True)) for b in parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)

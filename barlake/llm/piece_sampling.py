@@ -40,6 +40,8 @@ SPACE_MARK = "▁"
 # odd constants of a 64-bit mixing function
 STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BASE = np.uint64(0x100000001B3)
+# rows of a batch that are held as Python texts and ids at once
+ROWS = 500
 
 
 def units_of(text: str) -> list[str]:
@@ -310,4 +312,5 @@ def encode(docs: DataFrame, name: str, seed: int = 7, alpha: float = 1.0, key: C
         *(F.col(c).alias(f"k_{c}") for c in keep), F.xxhash64(F.lit(seed), key).alias("own_key"), F.coalesce(text, F.lit("")).alias("own_text"),
     )
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_columns(rows, run, f"{kinds}, n_chars long, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long, lossless boolean")
+    made = f"{kinds}, n_chars long, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long, lossless boolean"
+    return map_columns(rows, run, made, rows=ROWS)

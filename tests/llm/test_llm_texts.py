@@ -16,7 +16,7 @@ import pytest
 from llm_helpers import DOCS, docs_frame, documents
 
 from barlake.llm import piece_sampling, prefix_counts, queries, rans, secret_scan, token_files
-from barlake.llm.common import tokenizer_file
+from barlake.llm.common import map_columns, tokenizer_file
 
 ODD_TEXTS = [
     "", " ", "  a", "a  \n b", "it's they're\n\n x 're 'r", "a  <|endoftext|>  <|endoftext|> <|endo", "日本語 テスト　x y", "é" * 50,
@@ -136,6 +136,18 @@ def test_sampled_pieces_are_lossless_and_repeatable(spark, sf_dir):
     assert all(r.lossless for r in queries.op7_piece_sampling(spark, sf_dir).collect())
 
 
+def test_few_texts_are_held_at_once(spark, monkeypatch):
+    """A batch of thousands of texts, with their ids beside them, is more than a worker has room for."""
+    def sizes(batches):
+        for batch in batches:
+            yield {"doc_id": batch["k_doc_id"], "held": [len(batch["own_text"])] * len(batch["own_text"])}
+
+    monkeypatch.setattr(piece_sampling, "map_columns", lambda df, run, schema, **how: map_columns(df, sizes, "doc_id long, held int", **how))
+    docs = spark.range(2300).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1)
+    found = piece_sampling.encode(docs, "piece_bpe_32k.model").collect()
+    assert sorted(r.doc_id for r in found) == list(range(2300)) and max(r.held for r in found) <= 500
+
+
 def test_places_of_pieces_are_searched_and_few_others():
     sampler = piece_sampling.PieceSampler("piece_bpe_32k.model")
     others = np.random.default_rng(0).integers(0, 2**63, 100_000).astype(np.uint64)
