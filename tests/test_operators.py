@@ -80,6 +80,21 @@ def test_resample_matches_row_by_row_reading(frame, rows, timeframe):
     assert_same(as_bars(resample.resample(frame, timeframe)), bars_of(rows, TIMEFRAMES[timeframe] * 60_000))
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e200])
+def test_sums_do_not_depend_on_the_order_of_addition(spark, scale):
+    rnd = random.Random(3)
+    base = dict.fromkeys(SERIES_COLUMNS)
+    turnovers = [rnd.choice([-1, 1]) * round(rnd.uniform(0, 10 ** rnd.randint(0, 6)), 4) * scale for _ in range(2000)]
+    data = [("A", i * 40_000, *{**base, "kline_volume": 0.1, "kline_turnover": x}.values()) for i, x in enumerate(turnovers)]
+    sums = set()
+    for parts in (1, 3, 7):
+        bar = resample.resample(spark.createDataFrame(data, SCHEMA).repartition(parts), "1d").first()
+        assert bar.kline_turnover == pytest.approx(math.fsum(turnovers), rel=1e-12)
+        sums.add((bar.kline_volume, bar.kline_turnover))
+    if scale <= 1:
+        assert sums == {(math.fsum([0.1] * 2000), math.fsum(turnovers))}
+
+
 def test_one_minute_and_unknown_stay_unchanged(frame):
     for timeframe in ("1m", "weird"):
         assert resample.resample(frame, timeframe).exceptAll(frame).isEmpty()
