@@ -504,3 +504,63 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     spark.sparkContext.setJobGroup("tests", "tests")
     assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) <= 64
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """What Spark's own listing finds, with no file's status on the driver."""
+    root = tmp_path / "A b+c%41=é"
+    for name in ("S1/x.json", "S2/raw/x.json/symbol=Q%3A1/part-0", "S2/.hidden/x.json", "S3/_no/x.json", "_k=v/x.json", "S4/_no.json", "x.json"):
+        write(root / name, name)
+    (tmp_path / "elsewhere").mkdir()
+    write(tmp_path / "elsewhere" / "y.json", "y")
+    write(tmp_path / "elsewhere" / "empty.json", "")
+    (root / "link").symlink_to(tmp_path / "elsewhere")
+    (root / "broken").symlink_to(tmp_path / "nothing")
+    visible = lines.visible_names()
+    found = lines.listed(spark, str(root), lambda parts: visible(parts[-1]))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).select("path", "modificationTime", "length")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scan.collect())) and found.count() == 5
+    assert "Scan binaryFile" not in found._jdf.queryExecution().toString()
+    assert lines.listed(spark, str(tmp_path / "nothing"), lambda parts: True) is None
+
+
+def test_documents_are_read_as_a_text_scan_does(spark, tmp_path):
+    rows = spark.createDataFrame([("é \r\n",), ("x" * 300_000,), ("{}",)], "value STRING").coalesce(1)
+    for codec in ("none", "gzip", "bzip2", "deflate", "lz4", "snappy"):
+        rows.write.option("compression", codec).text(str(tmp_path / codec))
+    files = lines.listed(spark, str(tmp_path), lambda parts: not parts[-1].startswith((".", "_")))
+    read = lines.document_texts(files.withColumn("more", F.lit(1)))
+    assert read.columns == ["value", "path", "modified_at", "bytes", "more"]
+    assert {r.value for r in read.collect()} == {r.value for r in lines.read_texts(spark, [str(tmp_path)], whole_files=True).collect()}
+    assert read.count() == 6
+
+
+def test_written_documents_replace_what_their_folders_held(spark, tmp_path):
+    """A file for each row, also for rows of one key, of a null key or text and of odd characters; other folders stay."""
+    def land(*rows):
+        lines.write_documents(spark.createDataFrame(rows, "symbol STRING, id STRING, value STRING"), str(tmp_path / "d"), ["symbol", "id"])
+        return sorted((p.parent.parent.name, p.parent.name, p.read_text()) for p in (tmp_path / "d").rglob("*") if p.is_file())
+
+    first = land(("A", "1", "x"), ("A", "1", "y"), ("A", "1", "y"), ("b/é:%", "2", None), (None, "3", "z"))
+    assert first == sorted([
+        ("symbol=A", "id=1", "x\n"), ("symbol=A", "id=1", "y\n"), ("symbol=A", "id=1", "y\n"),
+        ("symbol=b%2Fé%3A%25", "id=2", "\n"), ("symbol=__HIVE_DEFAULT_PARTITION__", "id=3", "z\n")])
+    assert land(("A", "1", "new")) == sorted([*(f for f in first if f[0] != "symbol=A"), ("symbol=A", "id=1", "new\n")])
+
+
+def test_notes_in_keyed_folders(spark, tmp_path):
+    """Many folders of notes, some written again: all are found, the newer ones by their time, beside plain ones."""
+    def land(name, numbers):
+        rows = [("S", f"n{i}", json.dumps({"title": name})) for i in numbers]
+        lines.write_documents(spark.createDataFrame(rows, "symbol STRING, id STRING, value STRING"), str(tmp_path / "note.json"), ["symbol", "id"])
+
+    land("a", range(1200))
+    write(tmp_path / "_P" / "n0" / "note.json", '{"title": "plain"}')
+    write(tmp_path / "_P" / "n0" / "deep" / "note.json", '{"title": "not one"}')
+    first = notes.read_notes(spark, str(tmp_path)).agg(F.max("modified_at")).first()[0]
+    land("b", range(0, 1200, 100))
+    found = notes.read_notes(spark, str(tmp_path))
+    assert {(r.folder_symbol, r.title, r["count"]) for r in found.groupBy("folder_symbol", "title").count().collect()} == {
+        ("S", "a", 1188), ("S", "b", 12), ("_P", "plain", 1)}
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in notes.read_notes(spark, str(tmp_path), since=first).collect()} == {f"n{i}" for i in range(0, 1200, 100)}
