@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barlake.functions import clean_key, symbol_in_path, symbol_or
 from barlake.functions.text import stripped
 from barlake.sources import dynamic, market
+from barlake.sources.lines import listed, visible_names
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,14 @@ class Dataset:
 
     @property
     def partitions(self) -> list[str]:
+        """What tells the parts of a table that are rebuilt and noted on their own."""
         return [self.label, "symbol"] if self.label else ["symbol"]
 
+    @property
+    def folders(self) -> list[str]:
+        """Columns whose values are the folders of the table. Documents, one a symbol, share a fixed number of these."""
+        return [BUCKET] if self.whole_files else self.partitions
+
 
 # File name patterns; the first match decides.
 DATASETS = [
@@ -48,6 +55,14 @@ DATASETS = [
     Dataset("ticker", r"^raw/ticker\.json$", dynamic.snapshot, whole_files=True, keys_from_data=True),
 ]
 BY_NAME = {d.name: d for d in DATASETS}
+DOCUMENTS = [d.name for d in DATASETS if d.whole_files]
+
+BUCKET, BUCKETS = "bucket", 64
+
+
+def bucket_of(symbol: Column) -> Column:
+    """Folder of a symbol's document: the task of ``repartition(BUCKETS, symbol)``, so that a task writes one folder."""
+    return F.pmod(F.hash(symbol), F.lit(BUCKETS))
 
 
 def source_file(path: Column) -> Column:
@@ -78,10 +93,13 @@ def route(files: DataFrame) -> DataFrame:
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """Listing of every source file under ``root``: path, modified_at, bytes and its route."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"))
-    )
+    visible = visible_names()
+    listing = listed(spark, root, lambda parts: visible(parts[-1]))
+    if listing is None:
+        listing = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+            .select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"))
+        )
     return route(listing).where(F.col("dataset").isNotNull())
 
 

@@ -564,3 +564,18 @@ def test_notes_in_keyed_folders(spark, tmp_path):
         ("S", "a", 1188), ("S", "b", 12), ("_P", "plain", 1)}
     assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.id for r in notes.read_notes(spark, str(tmp_path), since=first).collect()} == {f"n{i}" for i in range(0, 1200, 100)}
+
+
+def instruments(folder, **docs):
+    for symbol, text in docs.items():
+        write(folder / symbol / "raw" / "instrument.json", text)
+
+
+def test_documents_lie_in_a_fixed_number_of_folders(spark, tmp_path):
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    instruments(source, **{f"S{i}": f'{{"n":{i}}}' for i in range(150)})
+    assert ingest.refresh(spark, str(source), lake) == 150
+    view = tables.open_tables(spark, lake)["instrument"]
+    assert {(r.symbol, r.symbol_partition, r.record_symbol, r.n) for r in view.collect()} == {(f"S{i}", f"S{i}", f"S{i}", i) for i in range(150)}
+    assert len(view.inputFiles()) <= routing.BUCKETS and "bucket" not in view.columns
+    assert [r.symbol for r in tables.listed_symbols(spark, lake, ["instrument"]).limit(2).collect()] == ["S0", "S1"]
