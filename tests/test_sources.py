@@ -579,3 +579,44 @@ def test_documents_lie_in_a_fixed_number_of_folders(spark, tmp_path):
     assert {(r.symbol, r.symbol_partition, r.record_symbol, r.n) for r in view.collect()} == {(f"S{i}", f"S{i}", f"S{i}", i) for i in range(150)}
     assert len(view.inputFiles()) <= routing.BUCKETS and "bucket" not in view.columns
     assert [r.symbol for r in tables.listed_symbols(spark, lake, ["instrument"]).limit(2).collect()] == ["S0", "S1"]
+
+
+def test_second_refresh_of_documents_that_share_a_folder(spark, tmp_path, monkeypatch):
+    """A changed and a lost document: the others of their folder stay, and a round that died is made again."""
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    monkeypatch.setattr(routing, "BUCKETS", 2)
+    monkeypatch.setattr(ingest, "BUCKETS", 2)
+    instruments(source, **{f"S{i}": f'{{"n":{i}}}' for i in range(9)})
+    ingest.refresh(spark, str(source), lake)
+
+    def rows():
+        return {(r.symbol, r.n) for r in tables.open_tables(spark, lake)["instrument"].collect()}
+
+    instruments(source, S1=" ", S2='{"n":"x"}')
+    later(source / "S1" / "raw" / "instrument.json", 5)
+    later(source / "S2" / "raw" / "instrument.json", 5)
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest, "record", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest.refresh(spark, str(source), lake)
+    ingest.refresh(spark, str(source), lake)
+    assert rows() == {(f"S{i}", "x" if i == 2 else str(i)) for i in range(9) if i != 1}
+    assert len(tables.open_tables(spark, lake)["instrument"].inputFiles()) <= 2
+    assert ingest.refresh(spark, str(source), lake) == 0
+
+
+def test_documents_stored_with_a_folder_for_each_symbol(spark, tmp_path):
+    """A lake of an earlier version is read as it is, and stored anew by the next refresh or batch."""
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    instruments(source, A='{"n":1}', B='{"n":2}')
+    files = ingest.source_files(spark, str(source))
+    dataset = routing.BY_NAME["instrument"]
+    old = ingest.parse_files(spark, [r.path for r in files.collect()], dataset).withColumnRenamed("symbol", "record_symbol")
+    old.withColumnRenamed("path_symbol", "symbol").write.partitionBy("symbol").parquet(f"{lake}/instrument")
+    files.select("path", "modified_at").write.parquet(f"{lake}/{ingest.MANIFEST}")
+    view = tables.open_tables(spark, lake)["instrument"]
+    assert {(r.symbol, r.n) for r in view.collect()} == {("A", 1), ("B", 2)}
+    instruments(source, C='{"n":3}')
+    ingest.append_new(ingest.source_files(spark, str(source)).where("path_symbol = 'C'"), str(source), lake)
+    assert {(r.symbol, r.n) for r in tables.open_tables(spark, lake)["instrument"].collect()} == {("A", 1), ("B", 2), ("C", 3)}
+    assert ingest.refresh(spark, str(source), lake) == 0
