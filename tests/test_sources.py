@@ -620,3 +620,14 @@ def test_documents_stored_with_a_folder_for_each_symbol(spark, tmp_path):
     ingest.append_new(ingest.source_files(spark, str(source)).where("path_symbol = 'C'"), str(source), lake)
     assert {(r.symbol, r.n) for r in tables.open_tables(spark, lake)["instrument"].collect()} == {("A", 1), ("B", 2), ("C", 3)}
     assert ingest.refresh(spark, str(source), lake) == 0
+
+
+def test_documents_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """No name of a document's file is gathered: a reader that gets names would fail, and all come in one round."""
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    for i in range(30):
+        write(source / f"S{i}" / "meta.json", f'{{"listingTimeMs": {i}, "endpointState": {{"k": {{"n": {i}}}}}}}')
+    monkeypatch.setattr(ingest, "read_texts", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(ingest, "ROUND_FILES", 7)
+    assert ingest.refresh(spark, str(source), lake) == 30
+    assert {(r.symbol, r.k_n) for r in tables.open_tables(spark, lake)["meta"].collect()} == {(f"S{i}", i) for i in range(30)}
