@@ -631,3 +631,20 @@ def test_documents_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "ROUND_FILES", 7)
     assert ingest.refresh(spark, str(source), lake) == 30
     assert {(r.symbol, r.k_n) for r in tables.open_tables(spark, lake)["meta"].collect()} == {(f"S{i}", i) for i in range(30)}
+
+
+def test_documents_in_part_files_of_one_symbol(spark, tmp_path):
+    """Part files are documents each, and all of them are read again when one changes."""
+    source, lake = tmp_path / "s", str(tmp_path / "lake")
+    texts = spark.createDataFrame([("S1", '{"p":1}'), ("S1", '{"p":2}'), ("S2", '{"p":3}'), ("S3", "{bad")], "symbol STRING, value STRING")
+    lines.write_documents(texts, str(source / "raw" / "ticker.json"), ["symbol"])
+
+    def rows():
+        ingest.refresh(spark, str(source), lake)
+        return sorted((r.symbol, r.p) for r in tables.open_tables(spark, lake)["ticker"].select("symbol", "p").collect())
+
+    assert rows() == [("S1", 1), ("S1", 2), ("S2", 3)]
+    part = source / "raw" / "ticker.json" / "symbol=S1" / "part-00000.txt"
+    write(part, '{"p":7}')
+    later(part, 5)
+    assert rows() == [("S1", 2), ("S1", 7), ("S2", 3)]
